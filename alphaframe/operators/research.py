@@ -208,3 +208,10 @@ def linear_score(df: DataFrame, weights: dict[str, float], out: str, fill: float
     for c, w in weights.items():
         total = total + F.lit(float(w)) * (F.col(c) if fill is None else F.coalesce(c, F.lit(float(fill))))
     return df.withColumn(out, total)
+
+
+def pct_rank_columns(df: DataFrame, cols: Sequence[str], universe: int | None = None) -> DataFrame:
+    """Shorthand for percentile ranks of several columns by date, named ``{col}_rank``."""
+    from .ranks import pct_rank
+
+    return pct_rank(df, list(cols), universe=universe)

@@ -1,6 +1,6 @@
 """All registered queries, by theme; importing this module fills the registry."""
 
-from . import windows  # noqa: F401
+from . import research, sources, windows  # noqa: F401
 from .base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -37,7 +37,7 @@ FORMS = ("10-Q", "10-K", "10-Q/A", "10-K/A")
 _FACT = (
     "struct<`end`: string, val: double, form: string, filed: string, fy: int, fp: string, accn: string>"
 )
-_DOC = f"struct<facts: struct<`us-gaap`: map<string, struct<units: map<string, array<{_FACT}>>>>>"
+_DOC = f"struct<facts: struct<`us-gaap`: map<string, struct<units: map<string, array<{_FACT}>>>>>>"
 
 
 def flatten_company_facts(
