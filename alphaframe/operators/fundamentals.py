@@ -9,7 +9,7 @@ from operator import add
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import finite, mean_known, ratio, true_or_false
+from ..functions import by_date, finite, mean_known, ratio, true_or_false
 from ..sources.filings import METRICS
 from .asof import asof_join
 from .technical import eps_change
@@ -72,9 +72,12 @@ def fundamental_ratios(df: DataFrame) -> DataFrame:
 def pit_fundamentals(
     rows: DataFrame, facts: DataFrame, k: int, min_revenue: float, min_assets: float,
 ) -> DataFrame:
-    """The four fundamental columns the panel takes, per (date, symbol)."""
-    pit = point_in_time(rows.select("date", "symbol"), facts)
-    pit = fundamental_ratios(pit_fundamental_gate(pit, k, min_revenue, min_assets))
+    """The rows with their point-in-time ratios, gate, and earnings change.
+
+    Everything is partitioned by symbol, so technical windows on the same rows need no further
+    shuffle.
+    """
+    pit = fundamental_ratios(pit_fundamental_gate(point_in_time(rows, facts), k, min_revenue, min_assets))
     return eps_change(pit).withColumn("earnings_raw", finite("earnings_raw"))
 
 
@@ -82,8 +85,21 @@ def attach_fundamentals(panel: DataFrame, pit: DataFrame) -> DataFrame:
     """Left join on (date, symbol); a missing composite takes the date's median, then 0."""
     cols = ["fundamental_raw", "earnings_raw", "solid_fundamental_eligible", "sec_core_metrics"]
     joined = panel.join(pit.select("date", "symbol", *cols), ["date", "symbol"], "left")
-    medians = joined.groupBy("date").agg(F.percentile("fundamental_raw", F.lit(0.5)).alias("_median"))
-    return joined.join(medians, "date", "left").withColumns({
+    return fill_fundamentals(joined)
+
+
+def fill_fundamentals(df: DataFrame, one_task_per_date: bool = False) -> DataFrame:
+    """Missing composite to the date's median, then 0; missing earnings to 0.
+
+    ``one_task_per_date`` takes the median in a window, which shares the shuffle of the date
+    ranks that follow; the default aggregates map side and joins the medians back.
+    """
+    median = F.percentile("fundamental_raw", F.lit(0.5))
+    if one_task_per_date:
+        df = df.withColumn("_median", median.over(by_date()))
+    else:
+        df = df.join(df.groupBy("date").agg(median.alias("_median")), "date", "left")
+    return df.withColumns({
         "fundamental_raw": F.coalesce("fundamental_raw", "_median", F.lit(0.0)),
         "earnings_raw": F.coalesce("earnings_raw", F.lit(0.0)),
     }).drop("_median")

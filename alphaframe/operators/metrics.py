@@ -28,9 +28,9 @@ def running_drawdown(ledger: DataFrame, initial: float, by: Sequence[str] = ())
 
 
 def compound_equity(rets: DataFrame, by: Sequence[str] = ("scenario",), order: str = "rebalance_id", ret: str = "net_return", out: str = "equity") -> DataFrame:
-    """Running product of 1 + r, as exp of summed logs; needs r > -1."""
+    """Running product of 1 + r; a loss of more than everything turns the sign, as it should."""
     w = _ordered(by, order).rowsBetween(Window.unboundedPreceding, 0)
-    return rets.withColumn(out, F.exp(F.sum(F.log1p(ret)).over(w)))
+    return rets.withColumn(out, F.product(F.lit(1.0) + F.col(ret)).over(w))
 
 
 def period_performance(curve: DataFrame, by: Sequence[str] = (), initial: float | None = None) -> DataFrame:
@@ -135,7 +135,7 @@ def equal_weight_benchmark(bars: DataFrame, start=None, initial: float = 100_000
     w = Window.orderBy("date")
     r = F.when(F.row_number().over(w) == 1, F.lit(0.0)).otherwise(F.coalesce("_mean", F.lit(0.0)))
     daily = daily.select("date", r.alias("daily_return"))
-    total = F.exp(F.sum(F.log1p("daily_return")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    total = F.product(F.lit(1.0) + F.col("daily_return")).over(w.rowsBetween(Window.unboundedPreceding, 0))
     return daily.withColumn("equity_usd", F.lit(float(initial)) * total)
 
 
@@ -170,7 +170,7 @@ def journal_totals(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     return df.groupBy(*by).agg(
         F.sum(zero("daily_pnl_usd")).alias("daily_pnl_usd"),
-        (F.exp(F.sum(F.log1p(zero("daily_return")))) - F.lit(1.0)).alias("daily_return"),
+        (F.product(F.lit(1.0) + zero("daily_return")) - F.lit(1.0)).alias("daily_return"),
         F.max_by("equity_usd", "date").alias("equity_usd"),
         F.min(zero("drawdown")).alias("drawdown"),
         F.avg("gross_exposure").alias("gross_exposure"),
@@ -195,11 +195,12 @@ def compare_runs(ledger: DataFrame, run_ids: Sequence, value: str = "equity_usd"
     )
 
 
-def paper_vs_model(snaps: DataFrame, curve: DataFrame) -> DataFrame:
+def paper_vs_model(snaps: DataFrame, curve: DataFrame, tie: str | None = None) -> DataFrame:
     """Realised return between the first and last snapshot against the model's over those dates."""
     day = F.to_date("created_at")
+    at = F.struct("created_at", tie) if tie else F.col("created_at")
     paper = snaps.agg(
-        F.min_by("equity", "created_at").alias("_e0"), F.max_by("equity", "created_at").alias("_e1"),
+        F.min_by("equity", at).alias("_e0"), F.max_by("equity", at).alias("_e1"),
         F.count("*").alias("snapshots"), F.min(day).alias("_from"), F.max(day).alias("_to"),
     )
     first, last = snaps.agg(F.min(day)).scalar(), snaps.agg(F.max(day)).scalar()
@@ -210,3 +211,14 @@ def paper_vs_model(snaps: DataFrame, curve: DataFrame) -> DataFrame:
         "snapshots", F.when(F.col("snapshots") >= 2, period_return("_e1", "_e0")).alias("paper_return"),
         model.alias("model_return"),
     ).withColumn("return_gap", F.col("paper_return") - F.col("model_return"))
+
+
+def symbol_search(df: DataFrame, q: str, col: str = "active_symbols") -> DataFrame:
+    """Journal rows with an active symbol containing ``q``, ignoring case."""
+    return df.where(F.exists(col, lambda s: F.contains(F.upper(s), F.lit(q.strip().upper()))))
+
+
+def sort_journal(df: DataFrame, key: str, descending: bool = False) -> DataFrame:
+    """Order by any column, missing values last, ties by date."""
+    c = F.col(key)
+    return df.orderBy(c.desc_nulls_last() if descending else c.asc_nulls_last(), "date")

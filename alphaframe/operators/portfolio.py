@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import clip, period_return, ratio
 from ..functions.cols import EPS
 from .calendar import held_sessions
+from .ranks import top_bottom_k
 
 KEY = ("scenario", "rebalance_id")
 
@@ -34,8 +35,46 @@ def with_scenarios(df: DataFrame, scenarios: Sequence[Mapping]) -> DataFrame:
     return df.withColumn("_s", F.explode(structs)).select("*", "_s.*").drop("_s")
 
 
+def _num(x) -> Column:
+    return x if isinstance(x, Column) else F.lit(float(x))
+
+
+def schedules(cal: DataFrame, scenarios: Sequence[Mapping]) -> DataFrame:
+    """``align_execution_dates`` for every scenario at once (fields rebalance_days, warmup_days)."""
+    nxt = cal.withColumn("entry_date", F.lead("date", 1).over(Window.orderBy("idx")))
+    rows = with_scenarios(nxt, scenarios).where(
+        (F.col("idx") >= F.col("warmup_days"))
+        & ((F.col("idx") - F.col("warmup_days")) % F.col("rebalance_days") == 0)
+    )
+    w = Window.partitionBy("scenario").orderBy("idx")
+    return rows.select(
+        "scenario", F.row_number().over(w).alias("rebalance_id"), F.col("date").alias("signal_date"),
+        F.col("idx").alias("signal_idx"), "entry_date", (F.col("idx") + F.lit(1)).alias("entry_idx"),
+        F.lead("entry_date").over(w).alias("exit_date"), (F.lead("idx").over(w) + F.lit(1)).alias("exit_idx"),
+    ).where(F.col("exit_date").isNotNull())
+
+
+def select_names(scored: DataFrame, score: str, schedule: DataFrame, scenarios: Sequence[Mapping]) -> DataFrame:
+    """Longs and shorts of every scenario and rebalance.
+
+    A date is ranked once, cut to the largest count any scenario asks for, and only then
+    repeated per scenario, so extra scenarios cost rows of selected names, not of the panel.
+    """
+    most_long = max(int(s["long_count"]) for s in scenarios)
+    most_short = max(int(s["short_count"]) for s in scenarios)
+    cut = top_bottom_k(scored, score, most_long, most_short, min_names=0).drop("side")
+    up = F.col("candidates") - F.col("rank") + F.lit(1)
+    rows = with_scenarios(cut, scenarios)
+    n_long = F.least("long_count", "candidates")
+    n_short = F.least(F.col("short_count"), F.col("candidates") - n_long)
+    side = F.when(F.col("rank") <= n_long, "LONG").when(up <= n_short, "SHORT")
+    rows = rows.where(F.col("candidates") >= F.col("min_names")).withColumn("side", side).where(
+        F.col("side").isNotNull()).withColumnRenamed("date", "signal_date")
+    return rows.join(schedule, ["scenario", "signal_date"])
+
+
 def target_weights(
-    sel: DataFrame, long_gross: float = 1.0, short_gross: float = 0.0, scale: str | None = None,
+    sel: DataFrame, long_gross=1.0, short_gross=0.0, scale: str | None = None,
     normalize: bool = True, cap: float | None = None, by: Sequence[str] = KEY,
 ) -> DataFrame:
     """Equal weights per side, or weights by a 0..1 scale; shorts are negative.
@@ -44,7 +83,7 @@ def target_weights(
     each slot stays in cash. Zero weights are dropped.
     """
     side = Window.partitionBy(*by, "side")
-    gross = F.when(F.col("side") == "LONG", F.lit(float(long_gross))).otherwise(F.lit(float(-short_gross)))
+    gross = F.when(F.col("side") == "LONG", _num(long_gross)).otherwise(-_num(short_gross))
     n = F.count("*").over(side)
     if scale is None:
         w = gross / n
@@ -122,9 +161,14 @@ def turnover_trades(held: DataFrame, by: Sequence[str] = KEY) -> DataFrame:
 
 def turnover_costs(held: DataFrame, bps, by: Sequence[str] = KEY) -> DataFrame:
     """Turnover and cost per rebalance; ``bps`` is a number or a per-scenario column expression."""
-    rate = (F.lit(float(bps)) if isinstance(bps, (int, float)) else bps) / F.lit(10_000.0)
     traded = turnover_trades(held, by).groupBy(*by).agg(F.sum(F.abs("traded")).alias("turnover"))
-    return traded.withColumn("cost", F.col("turnover") * rate)
+    return traded.withColumn("cost", F.col("turnover") * _num(bps) / F.lit(10_000.0))
+
+
+def per_scenario(scenarios: Sequence[Mapping], field: str) -> Column:
+    """The value of a scenario field as an expression over the ``scenario`` column."""
+    pairs = [x for s in scenarios for x in (F.lit(s["scenario"]), F.lit(s[field]))]
+    return F.try_element_at(F.create_map(*pairs), F.col("scenario"))
 
 
 def split_orders(trades: DataFrame, min_qty: float = 1e-9) -> DataFrame:

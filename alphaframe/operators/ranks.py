@@ -177,13 +177,14 @@ def ranking_report(df: DataFrame, score: str, top: int = 30, bottom: int = 30) -
     return head.select(*keep).unionByName(tail.select(*keep))
 
 
-def explain_symbol(df: DataFrame, symbol: str, score: str, factors: Sequence[str], k: int = 3) -> DataFrame:
+def explain_symbol(df: DataFrame, symbol: str | Column, score: str, factors: Sequence[str], k: int = 3) -> DataFrame:
     """One row per known factor of a symbol: its rank in the last universe, and whether the
     factor is among its ``k`` strongest or weakest."""
     from .calendar import latest_cross_section
 
     snap = latest_cross_section(df)
-    me = snap.where(F.upper("symbol") == F.lit(symbol.upper()))
+    wanted = F.lit(symbol) if isinstance(symbol, str) else symbol
+    me = snap.where(F.upper("symbol") == F.upper(wanted))
     mine, name = me.agg(F.max(score)).scalar(), me.agg(F.max("symbol")).scalar()
     ahead = (F.col(score) > mine) | ((F.col(score) == mine) & (F.col("symbol") < name))
     # Ranking one symbol needs a count of the names ahead of it, not a sort of all of them.

@@ -33,10 +33,26 @@ def rolling_vol(df: DataFrame, ns: Sequence[int], ret: str = "ret_1d") -> DataFr
 
 
 def sma_trend(df: DataFrame, ns: Sequence[int], price: str = "close") -> DataFrame:
+    """Simple moving averages and the distance of the price from them.
+
+    The mean of n rows is a difference of running sums, so a long average costs no more than a
+    short one; a sliding frame would add up all n values again for every row.
+    """
     w = by_symbol()
-    sma = {f"sma_{n}": full_window(F.avg(price), F.col(price), past(w, n), n) for n in ns}
-    return df.withColumns(sma).withColumns(
-        {f"trend_{n}": period_return(price, f"sma_{n}") for n in ns}
+    run = w.rowsBetween(Window.unboundedPreceding, 0)
+    base = df.withColumns({
+        "_sum": F.sum(F.coalesce(price, F.lit(0.0))).over(run), "_known": F.count(price).over(run)
+    })
+
+    def sma(n: int):
+        before = lambda c: F.coalesce(F.lag(c, n).over(w), F.lit(0))
+        full = F.col("_known") - before("_known") == F.lit(n)
+        return F.when(full, (F.col("_sum") - before("_sum")) / F.lit(float(n)))
+
+    return (
+        base.withColumns({f"sma_{n}": sma(n) for n in ns})
+        .withColumns({f"trend_{n}": period_return(price, f"sma_{n}") for n in ns})
+        .drop("_sum", "_known")
     )
 
 

@@ -11,7 +11,7 @@ from ...operators.ranks import pct_rank
 from ...operators.technical import forward_return, returns_n
 from ...sources.bars import resample_bars
 from ...sources.news import score_news
-from ..panel import META_WEIGHTS, Eligibility, feature_panel
+from ..panel import META_WEIGHTS, Eligibility, FundamentalGate, feature_panel
 from .base import cte
 
 POS, NEG = ("the", "and", "is"), ("of", "for", "on")
@@ -227,16 +227,16 @@ cte("panel", "SELECT * FROM (SELECT *, " + " + ".join(f"{w} * {c}" for c, w in M
     + " AS meta_score FROM ranked) WHERE meta_score IS NOT NULL", ["ranked"])
 
 
-def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+def panel(spark: SparkSession, sf_dir: str, complete: bool = True) -> DataFrame:
     return feature_panel(
-        bars(spark, sf_dir), pit(spark, sf_dir), news(spark, sf_dir), sectors(spark, sf_dir), LIMITS,
-        universe=universe_size(spark, sf_dir),
+        bars(spark, sf_dir), filings(spark, sf_dir), news(spark, sf_dir), sectors(spark, sf_dir), LIMITS,
+        FundamentalGate(CORE_K, MIN_REVENUE, MIN_ASSETS), universe=universe_size(spark, sf_dir), complete=complete,
     )
 
 
-def panel_w(spark: SparkSession, sf_dir: str) -> DataFrame:
+def panel_w(spark: SparkSession, sf_dir: str, weekly: DataFrame | None = None) -> DataFrame:
     """Weekly panel for portfolio work: 20-week return rank as the score."""
-    df = returns_n(bars_w(spark, sf_dir), [1, 20])
+    df = returns_n(bars_w(spark, sf_dir) if weekly is None else weekly, [1, 20])
     return pct_rank(forward_return(df, 20), {"ret_20d": "score"}, universe=universe_size(spark, sf_dir))
 
 

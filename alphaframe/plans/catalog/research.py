@@ -192,9 +192,8 @@ SELECT date, symbol, score, feature AS factor, value, rn AS rank, n AS universe_
 def _(spark, sf):
     from ...operators.calendar import latest_cross_section
 
-    p = I.panel(spark, sf)
-    who = latest_cross_section(p).agg(F.min("symbol")).first()[0]
-    return explain_symbol(p, who or "", "meta_score", list(R.FEATURES))
+    p = latest_cross_section(I.panel(spark, sf))
+    return explain_symbol(p, p.agg(F.min("symbol")).scalar(), "meta_score", list(R.FEATURES))
 
 
 @register("panel_metadata", """
@@ -219,7 +218,4 @@ JOIN (SELECT 'market_data_present' AS name, (SELECT count(*) FROM ranked) > 0 AS
   UNION ALL SELECT 'fundamentals_coverage', avg((fundamental_raw <> 0)::INT) > 0.5 FROM ranked WHERE date = (SELECT max(date) FROM ranked)) USING (name)""",
     ["ranked"])
 def _(spark, sf):
-    from ..panel import feature_panel
-
-    full = feature_panel(I.bars(spark, sf), I.pit(spark, sf), I.news(spark, sf), I.sectors(spark, sf), I.LIMITS, complete=False)
-    return data_quality(full).select("name", "severity", "ok")
+    return data_quality(I.panel(spark, sf, complete=False)).select("name", "severity", "ok")

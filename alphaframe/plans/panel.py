@@ -7,8 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.fundamentals import attach_fundamentals
-from ..operators.ranks import pct_rank
+from ..operators.fundamentals import fill_fundamentals, pit_fundamentals
+from ..operators.ranks import SPLIT_AT, pct_rank
 from ..operators.research import linear_score
 from ..operators.technical import forward_return, solid_eligible, technical
 from ..sources.news import pit_news_mask
@@ -38,21 +38,35 @@ class Eligibility:
     max_vol: float = 0.90
 
 
+@dataclass(frozen=True)
+class FundamentalGate:
+    """Coverage and size floors of the filing gate."""
+
+    core_metrics: int = 4
+    min_revenue: float = 50_000_000.0
+    min_assets: float = 100_000_000.0
+
+
+FILING_COLUMNS = ("fundamental_raw", "earnings_raw", "solid_fundamental_eligible", "sec_core_metrics")
+
+
 def feature_panel(
-    bars: DataFrame, pit: DataFrame, news: DataFrame, sectors: DataFrame, limits: Eligibility,
-    horizon: int = 20, universe: int | None = None, complete: bool = True,
+    bars: DataFrame, facts: DataFrame, news: DataFrame, sectors: DataFrame, limits: Eligibility,
+    gate: FundamentalGate, horizon: int = 20, universe: int | None = None, complete: bool = True,
 ) -> DataFrame:
     """One row per (date, symbol) with a complete score.
 
-    Three shuffles: by symbol for the technical windows and the target, by (date, symbol) for
-    the fundamentals, by date for the ranks. Rows without a score are dropped last, because the
-    date mean of the target covers all of them.
+    Two shuffles after the bars: by symbol, serving the as-of filings, the technical windows and
+    the target; and by date, serving the target's mean, the filing medians and all ranks. Rows
+    without a score are dropped last, because the date mean of the target covers all of them.
     """
-    df = technical(bars.select("date", "symbol", "open", "close", "volume"))
-    df = forward_return(df, horizon)
-    df = attach_fundamentals(df, pit)
+    rows = bars.select("date", "symbol", "open", "close", "volume")
+    pit = pit_fundamentals(rows, facts, gate.core_metrics, gate.min_revenue, gate.min_assets)
+    df = technical(pit.select(*rows.columns, *FILING_COLUMNS))
     df = solid_eligible(df, limits.min_price, limits.min_sessions, limits.min_dollar_volume, limits.max_vol)
     df = pit_news_mask(df, news).join(sectors, "symbol", "left")
+    df = forward_return(df, horizon)
+    df = fill_fundamentals(df, one_task_per_date=universe is None or universe <= SPLIT_AT)
     df = pct_rank(df, RANKED, invert=["low_vol_rank"], universe=universe)
     df = linear_score(df, META_WEIGHTS, "meta_score")
     return df.where(F.col("meta_score").isNotNull()) if complete else df

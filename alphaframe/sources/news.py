@@ -29,10 +29,9 @@ def score_news(
     """
     text = F.lower(F.concat_ws(" ", F.col("headline"), F.col("summary")))
     words = F.split(F.translate(text, ",.", "  "), r"\s+")
-    # Words outside both lists do not count, so the distinct set is taken after the filter.
-    seen = F.array_distinct(F.filter(words, lambda w: w.isin(*pos, *neg)))
-    n_pos = F.size(F.filter(seen, lambda w: w.isin(*pos)))
-    n_neg = F.size(F.filter(seen, lambda w: w.isin(*neg)))
+    listed = lambda ws: F.array(*[F.lit(w) for w in ws])
+    n_pos = F.size(F.array_intersect(words, listed(pos)))
+    n_neg = F.size(F.array_intersect(words, listed(neg)))
     age = F.greatest(F.lit(0), F.coalesce(age_days, F.lit(UNKNOWN_AGE_DAYS)))
     tone = (n_pos - n_neg) / F.greatest(F.lit(1), n_pos + n_neg) * F.exp(-age / F.lit(7.0))
     return (
