@@ -122,14 +122,17 @@ def execution_target(df: DataFrame, h: int = 10) -> DataFrame:
     )
 
 
-def ewma_score(df: DataFrame, col: str, span: int = 5, out: str | None = None, depth: int = 80) -> DataFrame:
+def ewma_score(
+    df: DataFrame, col: str, span: int = 5, out: str | None = None, depth: int = 80,
+    by: Sequence[str] = ("symbol",),
+) -> DataFrame:
     """One-sided exponential smoothing per symbol, s = a*x + (1-a)*previous, from its first row.
 
     The fold looks at the last ``depth`` known values: with span 5 what lies before weighs
     (2/3)^80 ~ 1e-14. Rows whose input is null carry no smoothed value.
     """
     alpha = 2.0 / (span + 1.0)
-    frame = past(by_symbol(), depth)
+    frame = past(Window.partitionBy(*by).orderBy("date"), depth)
     fold = F.aggregate(
         F.slice("_h", 2, depth), F.element_at("_h", 1),
         lambda s, x: F.lit(alpha) * x + F.lit(1.0 - alpha) * s,
