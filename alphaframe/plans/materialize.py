@@ -4,18 +4,24 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the checkpoint folder and continue from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors reach: the one the cluster names in ``spark.checkpoint.dir``.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``, which every executor
-    can reach, so losing executors costs nothing that was written. Only where neither that
-    setting nor a folder is set (local tests) is a temporary one used.
+    Only where neither that setting nor a checkpoint folder is set (local tests) is a temporary
+    one used.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        shared = sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="alphaframe-"))
+        named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="alphaframe-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` once to the shared folder and continue from there, so that losing executors
+    costs nothing that was written."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
