@@ -54,7 +54,7 @@ def schedules(cal: DataFrame, scenarios: Sequence[Mapping]) -> DataFrame:
     ).where(F.col("exit_date").isNotNull())
 
 
-def select_names(scored: DataFrame, score: str, schedule: DataFrame, scenarios: Sequence[Mapping]) -> DataFrame:
+def select_names(scored: DataFrame, score: str, schedule: DataFrame, scenarios: Sequence[Mapping], universe: int | None = None) -> DataFrame:
     """Longs and shorts of every scenario and rebalance.
 
     A date is ranked once, cut to the largest count any scenario asks for, and only then
@@ -62,7 +62,7 @@ def select_names(scored: DataFrame, score: str, schedule: DataFrame, scenarios:
     """
     most_long = max(int(s["long_count"]) for s in scenarios)
     most_short = max(int(s["short_count"]) for s in scenarios)
-    cut = top_bottom_k(scored, score, most_long, most_short, min_names=0).drop("side")
+    cut = top_bottom_k(scored, score, most_long, most_short, min_names=0, universe=universe).drop("side")
     up = F.col("candidates") - F.col("rank") + F.lit(1)
     rows = with_scenarios(cut, scenarios)
     n_long = F.least("long_count", "candidates")

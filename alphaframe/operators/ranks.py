@@ -73,12 +73,12 @@ def pct_rank(
     of rows a group can have, if known.
     """
     names = cols if isinstance(cols, dict) else {c: f"{c}_rank" for c in cols}
-    split = universe is not None and universe > SPLIT_AT
+    split = too_wide(universe)
     out = df
     ranked: dict[str, Column] = {}
     for src, dst in names.items():
         if split:
-            table = value_ranks(df, src, by, max(2, -(-universe // RANGE_ROWS)))
+            table = value_ranks(df, src, by, _ranges(universe))
             share = ratio("avg_rank", "known")
             table = table.select(*by, src, share.alias(f"_share_{dst}"))
             out = out.join(table, [*by, src], "left")
@@ -93,18 +93,52 @@ def pct_rank(
     return out.drop(*[f"_share_{d}" for d in names.values()]) if split else out
 
 
+def too_wide(universe: int | None) -> bool:
+    """Whether a group of ``universe`` rows should not be handled by a single task."""
+    return universe is not None and universe > SPLIT_AT
+
+
+def _ranges(universe: int) -> int:
+    return max(2, -(-universe // RANGE_ROWS))
+
+
+def split_ordinal(df: DataFrame, value: str, by: Sequence[str], tie: str, ranges: int) -> DataFrame:
+    """Adds ``_ord`` (row number by value, then tie) and ``_known`` without sorting a whole group:
+    rows are numbered inside value ranges and shifted by the size of the ranges below."""
+    rows = df.where(F.col(value).isNotNull())
+    cuts = rows.groupBy(*by).agg(
+        F.percentile_approx(value, [i / ranges for i in range(1, ranges)], 20 * ranges).alias("_cuts"))
+    placed = rows.join(cuts, list(by)).withColumn(
+        "_range", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
+    g = Window.partitionBy(*by).orderBy("_range")
+    below = placed.groupBy(*by, "_range").agg(F.count("*").alias("_rows")).select(
+        *by, "_range", (F.sum("_rows").over(g) - F.col("_rows")).alias("_below"),
+        F.sum("_rows").over(Window.partitionBy(*by)).alias("_known"))
+    inside = Window.partitionBy(*by, "_range").orderBy(value, tie)
+    return (
+        placed.withColumn("_in", F.row_number().over(inside)).join(below, [*by, "_range"])
+        .withColumn("_ord", F.col("_below") + F.col("_in")).drop("_in", "_below", "_range")
+    )
+
+
+def bin_of(ordinal: Column, known: Column, k: int) -> Column:
+    """Equal-count bin (0 … k-1) of the ordinal-th of ``known`` rows."""
+    edge = F.ceil(ratio((ordinal - F.lit(1)) * F.lit(k), known - F.lit(1))) - F.lit(1)
+    return F.greatest(F.lit(0), F.coalesce(edge, F.lit(0))).cast("int")
+
+
 def quantile_bins(
     df: DataFrame, value: str, k: int = 5, by: Sequence[str] = ("date",), tie: str = "symbol",
-    out: str = "bin",
+    out: str = "bin", universe: int | None = None,
 ) -> DataFrame:
     """Equal-count bins of the ordinal rank; rows with a null value are dropped."""
+    if too_wide(universe):
+        rows = split_ordinal(df, value, by, tie, _ranges(universe))
+        return rows.withColumn(out, bin_of(F.col("_ord"), F.col("_known"), k)).drop("_ord", "_known")
     w = Window.partitionBy(*by).orderBy(value, tie)
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    r, n = F.row_number().over(w), F.count("*").over(whole)
-    edge = F.ceil(ratio((r - F.lit(1)) * F.lit(k), n - F.lit(1))) - F.lit(1)
     return df.where(F.col(value).isNotNull()).withColumn(
-        out, F.greatest(F.lit(0), F.coalesce(edge, F.lit(0))).cast("int")
-    )
+        out, bin_of(F.row_number().over(w), F.count("*").over(whole), k))
 
 
 def top_bottom_k(
@@ -115,18 +149,32 @@ def top_bottom_k(
     min_names: int | None = None,
     by: Sequence[str] = ("date",),
     tie: str = "symbol",
+    universe: int | None = None,
 ) -> DataFrame:
     """Long the ``top`` best and short the ``bottom`` worst names per group.
 
     Groups with fewer scored names than ``min_names`` (default top + bottom) are skipped. A
-    short group larger than what is left after the longs is cut to the rest.
+    short group larger than what is left after the longs is cut to the rest. For a wide
+    universe each end is a separate "row number <= k", which Spark cuts down before the
+    shuffle, and group sizes are counted map side; otherwise one window does it all.
     """
     need = top + bottom if min_names is None else min_names
+    scored = df.where(F.col(score).isNotNull())
     w = Window.partitionBy(*by).orderBy(F.col(score).desc(), F.col(tie).asc())
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    ranked = df.where(F.col(score).isNotNull()).withColumns(
-        {"rank": F.row_number().over(w), "candidates": F.count("*").over(whole)}
-    )
+    if too_wide(universe):
+        up = Window.partitionBy(*by).orderBy(F.col(score).asc(), F.col(tie).desc())
+        sizes = scored.groupBy(*by).agg(F.count("*").alias("candidates"))
+        heads = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= F.lit(top))
+        ranked = heads.join(sizes, list(by))
+        if bottom:
+            tails = scored.withColumn("_up", F.row_number().over(up)).where(F.col("_up") <= F.lit(bottom))
+            tails = tails.join(sizes, list(by)).withColumn(
+                "rank", (F.col("candidates") - F.col("_up") + F.lit(1)).cast("int")).drop("_up")
+            ranked = ranked.unionByName(tails.where(F.col("rank") > F.lit(top)))
+    else:
+        whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        ranked = scored.withColumns(
+            {"rank": F.row_number().over(w), "candidates": F.count("*").over(whole)})
     n_long = F.least(F.lit(top), F.col("candidates"))
     n_short = F.least(F.lit(bottom), F.col("candidates") - n_long)
     side = F.when(F.col("rank") <= n_long, F.lit("LONG")).when(

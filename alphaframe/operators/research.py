@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import corr_of, ratio
 from ..functions.cols import EPS
 from .calendar import latest_cross_section
-from .ranks import SPLIT_AT, _window_rank, quantile_bins, value_ranks
+from .ranks import _ranges, _window_rank, bin_of, quantile_bins, too_wide, value_ranks
 
 FEATURES = (
     "momentum_12_1_rank", "ret_60d_rank", "ret_20d_rank", "trend_50_rank", "trend_200_rank",
@@ -27,9 +27,9 @@ def rank_ic(
     pairs = df.where(F.col(score).isNotNull() & F.col(target).isNotNull()).select(
         *by, F.col(score).alias("_x"), F.col(target).alias("_y")
     )
-    if universe is not None and universe > SPLIT_AT:
+    if too_wide(universe):
         for c in ("_x", "_y"):
-            table = value_ranks(pairs, c, by, -(-universe // 100_000))
+            table = value_ranks(pairs, c, by, _ranges(universe))
             pairs = pairs.join(table.select(*by, c, F.col("avg_rank").alias(f"{c}r")), [*by, c])
     else:
         pairs = pairs.withColumns({f"{c}r": _window_rank(c, by)[0] for c in ("_x", "_y")})
@@ -62,10 +62,10 @@ def recent_ic(ic: DataFrame, days: int = 60) -> DataFrame:
     return ic.orderBy(F.col("date").desc()).limit(days).select("date", "ic")
 
 
-def quintile_spread(df: DataFrame, feature: str, target: str = TARGET, k: int = 5) -> DataFrame:
+def quintile_spread(df: DataFrame, feature: str, target: str = TARGET, k: int = 5, universe: int | None = None) -> DataFrame:
     """(date, spread): mean target of the top bin minus the bottom bin, dates with all bins only."""
     pairs = df.where(F.col(feature).isNotNull() & F.col(target).isNotNull())
-    return bin_spread(quantile_bins(pairs, feature, k), target, ["date"], k)
+    return bin_spread(quantile_bins(pairs, feature, k, universe=universe), target, ["date"], k)
 
 
 def bin_spread(binned: DataFrame, target: str, by: Sequence[str], k: int = 5) -> DataFrame:
@@ -77,7 +77,7 @@ def bin_spread(binned: DataFrame, target: str, by: Sequence[str], k: int = 5) ->
     )
 
 
-def factor_summary(df: DataFrame, features: Sequence[str] = FEATURES, target: str = TARGET) -> DataFrame:
+def factor_summary(df: DataFrame, features: Sequence[str] = FEATURES, target: str = TARGET, universe: int | None = None) -> DataFrame:
     """IC summary, mean bin spread and counts of every feature from one long pass.
 
     Unpivoting makes (feature, date) the unit of work: ten times more, ten times smaller
@@ -87,19 +87,22 @@ def factor_summary(df: DataFrame, features: Sequence[str] = FEATURES, target: st
         ["date", "symbol", "target"], list(features), "feature", "value"
     ).where(F.col("value").isNotNull() & F.col("target").isNotNull())
     by = ["feature", "date"]
-    w = Window.partitionBy(*by).orderBy("value", "symbol")
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    n = F.count("*").over(whole)
-    edge = F.ceil(ratio((F.row_number().over(w) - F.lit(1)) * F.lit(5), n - F.lit(1))) - F.lit(1)
-    ranked = long.withColumns({
-        "bin": F.greatest(F.lit(0), F.coalesce(edge, F.lit(0))).cast("int"),
-        "_x": _window_rank("value", by)[0], "_y": _window_rank("target", by)[0],
-    })
-    in_bin = lambda b: F.avg(F.when(F.col("bin") == F.lit(b), F.col("target")))
-    daily = ranked.groupBy(*by).agg(
-        corr_of("_x", "_y").alias("ic"), F.count("*").alias("n"),
-        F.when(F.countDistinct("bin") >= 5, in_bin(4) - in_bin(0)).alias("spread"),
-    )
+    if too_wide(universe):
+        ic = rank_ic(long, "value", "target", by, universe)
+        spread = bin_spread(quantile_bins(long, "value", 5, by, universe=universe), "target", by)
+        daily = ic.join(spread, by, "left")
+    else:
+        w = Window.partitionBy(*by).orderBy("value", "symbol")
+        whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        ranked = long.withColumns({
+            "bin": bin_of(F.row_number().over(w), F.count("*").over(whole), 5),
+            "_x": _window_rank("value", by)[0], "_y": _window_rank("target", by)[0],
+        })
+        in_bin = lambda b: F.avg(F.when(F.col("bin") == F.lit(b), F.col("target")))
+        daily = ranked.groupBy(*by).agg(
+            corr_of("_x", "_y").alias("ic"), F.count("*").alias("n"),
+            F.when(F.countDistinct("bin") >= 5, in_bin(4) - in_bin(0)).alias("spread"),
+        )
     return daily.groupBy("feature").agg(
         F.avg("ic").alias("mean_rank_ic"),
         F.stddev_samp("ic").alias("ic_std"),
@@ -111,8 +114,8 @@ def factor_summary(df: DataFrame, features: Sequence[str] = FEATURES, target: st
     )
 
 
-def factor_report(df: DataFrame, feature: str, target: str = TARGET) -> DataFrame:
-    return factor_summary(df, [feature], target)
+def factor_report(df: DataFrame, feature: str, target: str = TARGET, universe: int | None = None) -> DataFrame:
+    return factor_summary(df, [feature], target, universe)
 
 
 def factor_corr(df: DataFrame, features: Sequence[str] = FEATURES) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import by_date, by_symbol, clip, full_window, past, period_return, ratio, true_or_false
 from ..functions.cols import TRADING_DAYS
+from .ranks import too_wide
 
 ANNUAL = TRADING_DAYS ** 0.5
 
@@ -103,23 +104,30 @@ def technical(bars: DataFrame) -> DataFrame:
     return sessions_to_date(df)
 
 
-def forward_return(df: DataFrame, h: int = 20, price: str = "close") -> DataFrame:
+def forward_return(df: DataFrame, h: int = 20, price: str = "close", universe: int | None = None) -> DataFrame:
     """Return over the next ``h`` rows of the symbol, and the excess over the date's mean."""
     fwd, rel = f"future_{h}d", f"future_relative_{h}d"
     out = df.withColumn(fwd, period_return(F.lead(price, h).over(by_symbol()), price))
-    return out.withColumn(rel, F.col(fwd) - F.avg(fwd).over(by_date()))
+    return _excess(out, fwd, rel, universe)
 
 
-def execution_target(df: DataFrame, h: int = 10) -> DataFrame:
+def _excess(df: DataFrame, col: str, out: str, universe: int | None) -> DataFrame:
+    """Value minus the mean of its date. The window shares the shuffle of later date ranks; for
+    a wide universe the mean is aggregated map side and joined back."""
+    if too_wide(universe):
+        mean = df.groupBy("date").agg(F.avg(col).alias("_mean"))
+        return df.join(mean, "date", "left").withColumn(out, F.col(col) - F.col("_mean")).drop("_mean")
+    return df.withColumn(out, F.col(col) - F.avg(col).over(by_date()))
+
+
+def execution_target(df: DataFrame, h: int = 10, universe: int | None = None) -> DataFrame:
     """Open-to-open return entered one session after the signal and held ``h`` sessions."""
     w = by_symbol()
     out = df.withColumn(
         "future_open_return",
         period_return(F.lead("open", h + 1).over(w), F.lead("open", 1).over(w)),
     )
-    return out.withColumn(
-        "future_relative_open", F.col("future_open_return") - F.avg("future_open_return").over(by_date())
-    )
+    return _excess(out, "future_open_return", "future_relative_open", universe)
 
 
 def ewma_score(

@@ -9,7 +9,7 @@ from ...operators.calendar import sessions
 from ...operators.fundamentals import pit_fundamentals
 from ...operators.ranks import pct_rank
 from ...operators.technical import forward_return, returns_n
-from ...sources.bars import resample_bars
+from ...sources.bars import ordered_key, resample_bars
 from ...sources.news import score_news
 from ..panel import META_WEIGHTS, Eligibility, FundamentalGate, feature_panel
 from .base import cte
@@ -36,7 +36,7 @@ def bars(spark: SparkSession, sf_dir: str, unit: str | None = None) -> DataFrame
         table(spark, sf_dir, "lineitem").where(F.col("l_quantity") > 0),
         date=day if unit is None else F.trunc(day, unit),
         price=F.col("l_extendedprice") / F.col("l_quantity"), qty=F.col("l_quantity"),
-        symbol=F.col("l_suppkey").cast("string"), tie=["l_orderkey", "l_linenumber", "l_partkey"],
+        symbol=F.col("l_suppkey").cast("string"), tie=ordered_key(l_orderkey=15, l_linenumber=2, l_partkey=12),
     )
 
 
@@ -69,6 +69,12 @@ def cal_w(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions(li.select(F.trunc(F.col("l_shipdate").cast("date"), "week").alias("date")))
 
 
+def last_session(spark: SparkSession, sf_dir: str):
+    """Last trading date as a scalar, from two columns of the transactions."""
+    li = table(spark, sf_dir, "lineitem").where(F.col("l_quantity") > 0)
+    return li.agg(F.max("l_shipdate").cast("date")).scalar()
+
+
 def sectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("sector"))
     sup = table(spark, sf_dir, "supplier")
@@ -231,6 +237,7 @@ def panel(spark: SparkSession, sf_dir: str, complete: bool = True) -> DataFrame:
     return feature_panel(
         bars(spark, sf_dir), filings(spark, sf_dir), news(spark, sf_dir), sectors(spark, sf_dir), LIMITS,
         FundamentalGate(CORE_K, MIN_REVENUE, MIN_ASSETS), universe=universe_size(spark, sf_dir), complete=complete,
+        last_date=last_session(spark, sf_dir),
     )
 
 

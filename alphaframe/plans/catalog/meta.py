@@ -129,9 +129,9 @@ FROM panel_w p JOIN cal_w c ON c.date = p.date WINDOW w AS (PARTITION BY p.symbo
 def cal_frame(spark, sf):
     df = execution_target(I.panel_w(spark, sf)).join(I.cal_w(spark, sf), "date")
     prob = 0.3 + 0.6 * ((F.col("symbol").cast("bigint") * 37 + F.col("idx") * 11) % 101) / 101.0
-    return df.select(
+    return cut(df.select(
         "date", "symbol", F.floor(F.col("idx") / 100).alias("fold"), "idx", F.col("score").alias("smooth_score"),
-        "future_relative_20d", "future_open_return", prob.alias("prob"))
+        "future_relative_20d", "future_open_return", prob.alias("prob")))
 
 
 @register("meta_label", """SELECT date, symbol, CAST(coalesce(future_relative_20d > 0, FALSE) AS INT) AS relative_label,

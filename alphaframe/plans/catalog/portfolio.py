@@ -110,7 +110,7 @@ FROM net GROUP BY 1) USING (scenario)""", ["perf", "net"])
 def ev(spark, sf, scenarios=BASE):
     """The transactions are read once; panel, prices and marks all start from the stored bars."""
     bars = cut(I.bars_w(spark, sf))
-    return evaluate(I.panel_w(spark, sf, bars), bars, "score", scenarios)
+    return evaluate(I.panel_w(spark, sf, bars), bars, "score", scenarios, universe=I.universe_size(spark, sf))
 
 
 @register("align_execution_dates", """SELECT rebalance_id, signal_date, signal_idx, entry_date, entry_idx, exit_date, exit_idx
@@ -131,7 +131,7 @@ def _(spark, sf):
 @register("top_bottom_k", """SELECT date, symbol, rank, candidates, CASE WHEN rank <= 10 THEN 'LONG' ELSE 'SHORT' END AS side FROM rk
 WHERE candidates >= 20 AND (rank <= 10 OR rank > candidates - 5)""", ["rk"])
 def _(spark, sf):
-    out = top_bottom_k(I.panel_w(spark, sf), "score", 10, 5, min_names=20)
+    out = top_bottom_k(I.panel_w(spark, sf), "score", 10, 5, min_names=20, universe=I.universe_size(spark, sf))
     return out.select("date", "symbol", "rank", "candidates", "side")
 
 

@@ -110,6 +110,15 @@ def _(spark, sf):
     return ST.read_panel(spark, where)
 
 
+@register("read_panel", "SELECT date, symbol, close FROM bars_w WHERE year(date) = 1998", ["bars_w"], six("close"))
+def _(spark, sf):
+    """Reading one year back touches that year's directory only."""
+    where = f"{shared_folder(spark)}/panel-{uuid.uuid4().hex}"
+    df = I.bars_w(spark, sf).select("date", "symbol", "close", F.lit(True).alias("solid_eligible"))
+    ST.write_panel(df, where)
+    return ST.read_panel(spark, where, years=[1998]).select("date", "symbol", "close")
+
+
 @register("panel_status", "SELECT TRUE AS ready, 'ready' AS reason, (SELECT count(*) FROM bars_w) AS stored_rows", ["bars_w"])
 def _(spark, sf):
     where = f"{shared_folder(spark)}/panel-{uuid.uuid4().hex}"

@@ -3,11 +3,11 @@
 from pyspark.sql import functions as F
 
 from ...operators import research as R
-from ...operators.metrics import sweep_best  # noqa: F401
 from ...operators.quality import data_quality
-from ...operators.ranks import explain_symbol, quantile_bins, ranking_report
+from ...operators.ranks import explain_symbol, ranking_report
 from ...operators.technical import forward_return, returns_n
 from ...sources.store import panel_metadata
+from ..materialize import cut
 from . import inputs as I
 from .base import cte, register, six
 
@@ -54,18 +54,18 @@ def _(spark, sf):
 
 @register("ic_summary", ic_agg_sql("ic_mom"), ["ic_mom"], six(*SUMMARY))
 def _(spark, sf):
-    return R.ic_summary(R.daily_rank_ic(I.panel(spark, sf), "momentum_12_1_rank"))
+    return R.ic_summary(R.daily_rank_ic(I.panel(spark, sf), "momentum_12_1_rank", universe=I.universe_size(spark, sf)))
 
 
 @register("monthly_ic", """SELECT CAST(date_trunc('month', date) AS DATE) AS month, avg(ic) AS ic FROM ic_mom
 WHERE ic IS NOT NULL GROUP BY 1 ORDER BY 1 DESC LIMIT 36""", ["ic_mom"], six("ic"))
 def _(spark, sf):
-    return R.monthly_ic(R.daily_rank_ic(I.panel(spark, sf), "momentum_12_1_rank"))
+    return R.monthly_ic(R.daily_rank_ic(I.panel(spark, sf), "momentum_12_1_rank", universe=I.universe_size(spark, sf)))
 
 
 @register("recent_ic", "SELECT date, ic FROM ic_mom WHERE ic IS NOT NULL ORDER BY date DESC LIMIT 60", ["ic_mom"], six("ic"))
 def _(spark, sf):
-    return R.recent_ic(R.daily_rank_ic(I.panel(spark, sf), "momentum_12_1_rank"))
+    return R.recent_ic(R.daily_rank_ic(I.panel(spark, sf), "momentum_12_1_rank", universe=I.universe_size(spark, sf)))
 
 
 def spread_sql(source: str, value: str, by: str = "date") -> str:
@@ -80,7 +80,7 @@ GROUP BY {by} HAVING count(DISTINCT bin) >= 5"""
 
 @register("quintile_spread", spread_sql("panel", "momentum_12_1_rank"), ["panel"], six("spread"))
 def _(spark, sf):
-    return R.quintile_spread(I.panel(spark, sf), "momentum_12_1_rank")
+    return R.quintile_spread(I.panel(spark, sf), "momentum_12_1_rank", universe=I.universe_size(spark, sf))
 
 
 cte("long_f", f"""SELECT date, symbol, future_relative_20d, feature, value FROM panel
@@ -96,18 +96,18 @@ FROM ic_f i LEFT JOIN spread_f s ON i.feature = s.feature AND i.date = s.date GR
 
 @register("factor_summary", "SELECT * FROM summary_f", ["summary_f"], six(*SUMMARY, "top_bottom_future_20d"))
 def _(spark, sf):
-    return R.factor_summary(I.panel(spark, sf))
+    return R.factor_summary(I.panel(spark, sf), universe=I.universe_size(spark, sf))
 
 
 @register("factor_report", "SELECT * FROM summary_f WHERE feature = 'ret_60d_rank'", ["summary_f"], six(*SUMMARY, "top_bottom_future_20d"))
 def _(spark, sf):
-    return R.factor_report(I.panel(spark, sf), "ret_60d_rank")
+    return R.factor_report(I.panel(spark, sf), "ret_60d_rank", universe=I.universe_size(spark, sf))
 
 
 @register("feature_top", "SELECT feature, mean_rank_ic FROM summary_f ORDER BY mean_rank_ic DESC NULLS LAST, feature LIMIT 6",
           ["summary_f"], six("mean_rank_ic"))
 def _(spark, sf):
-    return R.feature_top(R.factor_summary(I.panel(spark, sf))).select("feature", "mean_rank_ic")
+    return R.feature_top(R.factor_summary(I.panel(spark, sf), universe=I.universe_size(spark, sf))).select("feature", "mean_rank_ic")
 
 
 @register("factor_corr", """
@@ -117,7 +117,7 @@ SELECT a.feature AS f1, b.feature AS f2,
 FROM (SELECT * FROM long_f WHERE date = (SELECT max(date) FROM panel)) a
 JOIN (SELECT * FROM long_f WHERE date = (SELECT max(date) FROM panel)) b ON a.symbol = b.symbol GROUP BY 1, 2""", ["long_f", "panel"])
 def _(spark, sf):
-    return R.factor_corr(I.panel(spark, sf))
+    return R.factor_corr(stored(spark, sf))
 
 
 cte("icw", f"SELECT c.date, idx, {', '.join(f'{f}' for f in R.FEATURES)} FROM cal_p c LEFT JOIN (PIVOT (SELECT feature, date, ic FROM ic_f) ON feature IN ({', '.join(repr(f) for f in R.FEATURES)}) USING max(ic) GROUP BY date) p ON c.date = p.date",
@@ -148,6 +148,11 @@ cte("aw", "SELECT date, idx, " + ", ".join(
     f"w[{i + 1}] / list_sum(w) AS {f}" for i, f in enumerate(R.FEATURES)) + " FROM aw8", ["aw8"])
 
 
+def stored(spark, sf, *more):
+    """The panel columns that several steps of a query read, computed once."""
+    return cut(I.panel(spark, sf).select("date", "symbol", "future_relative_20d", *R.FEATURES, *more))
+
+
 def weights(spark, sf, panel):
     from ...operators.calendar import sessions
 
@@ -156,14 +161,14 @@ def weights(spark, sf, panel):
 
 @register("adaptive_weights", "SELECT * FROM aw", ["aw"], six(*R.FEATURES))
 def _(spark, sf):
-    return weights(spark, sf, I.panel(spark, sf))
+    return weights(spark, sf, stored(spark, sf))
 
 
 @register("adaptive_score", "SELECT p.date, p.symbol, " + " + ".join(
     f"coalesce(p.{f}, 0.5) * w.{f}" for f in R.FEATURES) + " AS adaptive_score FROM panel p JOIN aw w ON p.date = w.date",
     ["panel", "aw"], six("adaptive_score"))
 def _(spark, sf):
-    p = I.panel(spark, sf)
+    p = stored(spark, sf)
     return R.adaptive_score(p, weights(spark, sf, p)).select("date", "symbol", "adaptive_score")
 
 
@@ -178,7 +183,8 @@ FROM panel WHERE date = (SELECT max(date) FROM panel)""", ["panel"])
 SELECT 'TOP' AS part, rn AS rank, date, symbol, meta_score AS score FROM r WHERE rn <= 30
 UNION ALL SELECT 'BOTTOM', rn, date, symbol, meta_score FROM r WHERE rn > n - 30""", ["r"], six("score"))
 def _(spark, sf):
-    return ranking_report(I.panel(spark, sf), "meta_score", 30, 30)
+    p = cut(I.panel(spark, sf).select("date", "symbol", "meta_score"))
+    return ranking_report(p, "meta_score", 30, 30)
 
 
 cte("me", """SELECT date, symbol, meta_score AS score, rn, n, feature, value FROM
@@ -192,7 +198,7 @@ SELECT date, symbol, score, feature AS factor, value, rn AS rank, n AS universe_
 def _(spark, sf):
     from ...operators.calendar import latest_cross_section
 
-    p = latest_cross_section(I.panel(spark, sf))
+    p = cut(latest_cross_section(stored(spark, sf, "meta_score")))
     return explain_symbol(p, p.agg(F.min("symbol")).scalar(), "meta_score", list(R.FEATURES))
 
 
@@ -205,7 +211,8 @@ SELECT a.*, b.*, 'batch' AS mode, '7' AS schema FROM
   FROM (SELECT date, count(DISTINCT symbol) AS k FROM panel WHERE solid_eligible GROUP BY date)) b""", ["panel"],
     six("solid_eligible_symbols_median", "solid_eligible_symbols_p10"))
 def _(spark, sf):
-    return panel_metadata(I.panel(spark, sf)).drop("fingerprint")
+    p = cut(I.panel(spark, sf).select("date", "symbol", "solid_eligible"))
+    return panel_metadata(p).drop("fingerprint")
 
 
 @register("data_quality", """
@@ -218,4 +225,5 @@ JOIN (SELECT 'market_data_present' AS name, (SELECT count(*) FROM ranked) > 0 AS
   UNION ALL SELECT 'fundamentals_coverage', avg((fundamental_raw <> 0)::INT) > 0.5 FROM ranked WHERE date = (SELECT max(date) FROM ranked)) USING (name)""",
     ["ranked"])
 def _(spark, sf):
-    return data_quality(I.panel(spark, sf, complete=False)).select("name", "severity", "ok")
+    p = I.panel(spark, sf, complete=False).select("date", "symbol", "meta_score", "fundamental_raw")
+    return data_quality(cut(p)).select("name", "severity", "ok")

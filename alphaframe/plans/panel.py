@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.fundamentals import fill_fundamentals, pit_fundamentals
-from ..operators.ranks import SPLIT_AT, pct_rank
+from ..operators.ranks import pct_rank, too_wide
 from ..operators.research import linear_score
 from ..operators.technical import forward_return, solid_eligible, technical
 from ..sources.news import pit_news_mask
@@ -53,6 +53,7 @@ FILING_COLUMNS = ("fundamental_raw", "earnings_raw", "solid_fundamental_eligible
 def feature_panel(
     bars: DataFrame, facts: DataFrame, news: DataFrame, sectors: DataFrame, limits: Eligibility,
     gate: FundamentalGate, horizon: int = 20, universe: int | None = None, complete: bool = True,
+    last_date: Column | None = None,
 ) -> DataFrame:
     """One row per (date, symbol) with a complete score.
 
@@ -64,9 +65,9 @@ def feature_panel(
     pit = pit_fundamentals(rows, facts, gate.core_metrics, gate.min_revenue, gate.min_assets)
     df = technical(pit.select(*rows.columns, *FILING_COLUMNS))
     df = solid_eligible(df, limits.min_price, limits.min_sessions, limits.min_dollar_volume, limits.max_vol)
-    df = pit_news_mask(df, news).join(sectors, "symbol", "left")
-    df = forward_return(df, horizon)
-    df = fill_fundamentals(df, one_task_per_date=universe is None or universe <= SPLIT_AT)
+    df = pit_news_mask(df, news, last=last_date).join(sectors, "symbol", "left")
+    df = forward_return(df, horizon, universe=universe)
+    df = fill_fundamentals(df, one_task_per_date=not too_wide(universe))
     df = pct_rank(df, RANKED, invert=["low_vol_rank"], universe=universe)
     df = linear_score(df, META_WEIGHTS, "meta_score")
     return df.where(F.col("meta_score").isNotNull()) if complete else df

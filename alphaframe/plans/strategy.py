@@ -77,7 +77,7 @@ class Evaluation:
 
 def evaluate(
     scored: DataFrame, bars: DataFrame, score: str, scenarios: Sequence[Mapping], cal: DataFrame | None = None,
-    scale: str | None = None, normalize: bool = True, initial: float = INITIAL_CAPITAL,
+    scale: str | None = None, normalize: bool = True, initial: float = INITIAL_CAPITAL, universe: int | None = None,
 ) -> Evaluation:
     """Selection, weights, prices, costs, daily account and figures as one lazy plan.
 
@@ -86,7 +86,7 @@ def evaluate(
     """
     cal = sessions(bars) if cal is None else cal
     schedule = P.schedules(cal, scenarios)
-    sel = P.select_names(scored, score, schedule, scenarios)
+    sel = P.select_names(scored, score, schedule, scenarios, universe)
     weights = P.target_weights(sel, F.col("long_gross"), F.col("short_gross"), scale, normalize)
     cap = F.col("cap")
     weights = weights.withColumn("weight", F.greatest(-cap, F.least(cap, F.col("weight"))))

@@ -41,15 +41,17 @@ def unique_bars(df: DataFrame, order: Sequence[str] = BAR_COLUMNS) -> DataFrame:
 
 
 def resample_bars(
-    df: DataFrame, date: Column, price: Column, qty: Column, symbol: Column, tie: Sequence[str],
+    df: DataFrame, date: Column, price: Column, qty: Column, symbol: Column, tie: Column,
 ) -> DataFrame:
     """Transactions to one OHLCV + vwap bar per (date, symbol), pre-aggregated map side.
 
-    ``tie`` orders the transactions of a bar and has to be unique inside it.
+    ``tie`` orders the transactions of a bar and has to be unique inside it. Give it as one
+    number where possible (``ordered_key`` packs several): the aggregation then stays hashed,
+    while a struct would make it sort.
     """
     rows = df.select(
         date.alias("date"), symbol.alias("symbol"), price.alias("_p"), qty.alias("_q"),
-        F.struct(*tie).alias("_at"),
+        tie.alias("_at"),
     )
     return rows.groupBy("date", "symbol").agg(
         F.min_by("_p", "_at").alias("open"),
@@ -61,6 +63,22 @@ def resample_bars(
     )
 
 
+def ordered_key(**digits: int) -> Column:
+    """Several whole-number columns as one decimal with their lexicographic order.
+
+    ``digits`` gives the width of each column; together at most 38. A value that does not fit
+    raises instead of losing the order.
+    """
+    left, total = sum(digits.values()), None
+    for name, width in digits.items():
+        left -= width
+        part = F.col(name).cast(f"decimal({width},0)")
+        if left:
+            part = part * F.lit(10 ** left).cast(f"decimal({left + 1},0)")
+        total = part if total is None else total + part
+    return total
+
+
 def flatten_bars_json(df: DataFrame, payload: str = "payload") -> DataFrame:
     """{"bars": {symbol: [{t,o,h,l,c,v,vw}]}} to rows; vwap falls back to the close."""
     parsed = df.select(F.from_json(payload, _BARS_JSON).alias("j"))

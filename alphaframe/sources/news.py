@@ -41,9 +41,14 @@ def score_news(
     )
 
 
-def pit_news_mask(df: DataFrame, scores: DataFrame, out: str = "news_raw") -> DataFrame:
-    """News is known for a recent window only: it is written on the last date and 0 elsewhere."""
-    last = df.agg(F.max("date")).scalar()
+def pit_news_mask(
+    df: DataFrame, scores: DataFrame, out: str = "news_raw", last: Column | None = None,
+) -> DataFrame:
+    """News is known for a recent window only: it is written on the last date and 0 elsewhere.
+
+    ``last`` saves working out the last date of ``df`` when a cheaper source knows it.
+    """
+    last = df.agg(F.max("date")).scalar() if last is None else last
     joined = df.join(scores.select("symbol", F.col("news_score").alias("_n")), "symbol", "left")
     value = F.when(F.col("date") == last, F.coalesce("_n", F.lit(0.0))).otherwise(F.lit(0.0))
     return joined.withColumn(out, value).drop("_n")
