@@ -104,6 +104,7 @@ def threshold_search(
 ) -> DataFrame:
     """Per fold the threshold with the best mean relative return x sqrt(n).
 
+    Objectives are compared to ten digits, so that equal ones tie and the first threshold wins.
     All thresholds are conditional aggregates of one pass; rows are not repeated per threshold.
     """
     ok = lambda t: F.col(prob) >= F.lit(float(t))
@@ -118,7 +119,7 @@ def threshold_search(
     long = wide.select(*by, "_rows", F.explode(rows).alias("r")).select(*by, "_rows", "r.*")
     long = long.withColumn("acceptance_rate", ratio("accepted", "_rows")).withColumn(
         "objective",
-        F.when(F.col("acceptance_rate") >= F.lit(min_rate), F.col("mean_target") * F.sqrt(F.greatest(F.col("accepted"), F.lit(1)))),
+        F.when(F.col("acceptance_rate") >= F.lit(min_rate), F.round(F.col("mean_target") * F.sqrt(F.greatest(F.col("accepted"), F.lit(1))), 10)),
     )
     best = Window.partitionBy(*by).orderBy(F.col("objective").desc_nulls_last(), "threshold")
     any_ok = F.max("objective").over(Window.partitionBy(*by)).isNotNull()
@@ -165,7 +166,7 @@ def portfolio_grid_search(
         "acceptance_rate": F.coalesce(ratio("_acc", "_names"), F.lit(0.0)),
     })
     objective = ratio("mean_net", F.col("vol") + F.lit(EPS)) - F.lit(0.15) * F.abs(F.least("worst", F.lit(0.0)))
-    out = out.withColumn("objective", F.when(F.col("periods") >= 4, objective))
+    out = out.withColumn("objective", F.when(F.col("periods") >= 4, F.round(objective, 10)))
     best = Window.partitionBy(*by).orderBy(F.col("objective").desc_nulls_last(), "threshold", "long_count")
     any_ok = F.max("objective").over(Window.partitionBy(*by)).isNotNull()
     middle = (F.col("threshold") == F.lit(float(thresholds[len(thresholds) // 2]))) & (

@@ -141,7 +141,7 @@ def _(spark, sf):
     return ME.meta_label(df, "net").select("date", "symbol", "relative_label", F.col("label").alias("net_label"))
 
 
-cte("ts", """SELECT *, CASE WHEN acceptance_rate >= 0.15 THEN mean_target * sqrt(greatest(accepted, 1)) END AS objective FROM (
+cte("ts", """SELECT *, CASE WHEN acceptance_rate >= 0.15 THEN round(mean_target * sqrt(greatest(accepted, 1)), 10) END AS objective FROM (
  SELECT fold, t AS threshold, count(*) FILTER (prob >= t) AS accepted, avg(future_relative_20d) FILTER (prob >= t) AS mean_target,
    count(*) FILTER (prob >= t) / count(*) AS acceptance_rate
  FROM cf, (VALUES (0.5::DOUBLE), (0.55), (0.6), (0.65)) g(t) WHERE future_relative_20d IS NOT NULL GROUP BY fold, t)""", ["cf"])
@@ -165,7 +165,7 @@ cte("pg2", """SELECT fold, t, k, date, count(*) AS n, avg(size * (future_open_re
 FROM pg1, (VALUES (8), (10), (12), (15)) c(k) WHERE rk <= k GROUP BY 1, 2, 3, 4 HAVING count(*) >= 3""", ["pg1"])
 cte("pg", """
 SELECT g.fold, g.t AS threshold, g.k AS long_count, coalesce(periods, 0) AS periods, coalesce(acc / names, 0) AS acceptance_rate,
-  CASE WHEN periods >= 4 THEN m / (v + 1e-12) - 0.15 * abs(least(w, 0)) END AS objective
+  CASE WHEN periods >= 4 THEN round(m / (v + 1e-12) - 0.15 * abs(least(w, 0)), 10) END AS objective
 FROM (SELECT fold, t, k, names FROM (SELECT fold, count(*) AS names FROM pg0 GROUP BY 1), (VALUES (0.5::DOUBLE), (0.55), (0.6), (0.65), (0.7), (0.75)) a(t),
   (VALUES (8), (10), (12), (15)) b(k)) g
 LEFT JOIN (SELECT fold, t, k, count(*) AS periods, sum(n) AS acc, avg(r) AS m, stddev_samp(r) AS v, min(r) AS w FROM pg2 GROUP BY 1, 2, 3) s
@@ -229,7 +229,7 @@ SELECT name, value, ok, bool_and(ok) OVER () AS passed, 'RESEARCH_ONLY' AS tier
   ('strict_continuous_oos', 0.0, FALSE), ('historical_news_no_leakage', 1.0, TRUE), ('post_startup_coverage_at_least_95pct', 0.96, TRUE),
   ('eligible_universe_breadth', 30.0, TRUE), ('oos_rank_ic_at_least_0_02', NULL, FALSE), ('positive_oos_ic_days', 0.5, FALSE),
   ('positive_oos_folds', 0.6, TRUE), ('beats_equal_weight_cagr', NULL, FALSE), ('meta_filter_not_degenerate', 0.4, TRUE),
-  ('cost_stress_x2_x3', 1.0, TRUE)) v(n, v, o))""", ["metrics"], six("value"))
+  ('cost_stress_x2_x3', 1.0, TRUE)) v(n, v, o)) WHERE EXISTS (SELECT 1 FROM metrics WHERE scenario = 'base')""", ["metrics"], six("value"))
 def _(spark, sf):
     """Figures of the base and stressed portfolios through the gate; the rest are parameters."""
     m = cut(ev(spark, sf, SCENARIOS).metrics)

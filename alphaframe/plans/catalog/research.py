@@ -135,7 +135,8 @@ _fall = ", ".join(str(R.FALLBACK_WEIGHTS.get(f, 0.0)) for f in R.FEATURES)
 _step = lambda x: (
     f"list_transform({x}, lambda v: CASE WHEN v > 0.35 + 1e-12 THEN 0.35 ELSE v + v * coalesce("
     f"list_sum(list_transform({x}, lambda u: CASE WHEN u > 0.35 + 1e-12 THEN u - 0.35 ELSE 0 END))"
-    f" / nullif(list_sum(list_transform({x}, lambda u: CASE WHEN u > 0.35 + 1e-12 THEN 0 ELSE u END)), 0), 0) END)"
+    f" / CASE WHEN list_sum(list_transform({x}, lambda u: CASE WHEN u > 0.35 + 1e-12 THEN 0 ELSE u END)) > 1e-12"
+    f" THEN list_sum(list_transform({x}, lambda u: CASE WHEN u > 0.35 + 1e-12 THEN 0 ELSE u END)) END, 0) END)"
 )
 cte("aw0", f"""SELECT date, idx, CASE WHEN idx - 20 > 40 AND list_sum(rw) > 1e-12
   THEN list_transform(rw, lambda v: v / list_sum(rw)) ELSE [{_fall}]::DOUBLE[] END AS w,
