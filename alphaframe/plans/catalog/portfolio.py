@@ -21,9 +21,10 @@ SCENARIOS = [
     scenario("gross_half", **_S | {"long_gross": LG / 2, "short_gross": SG / 2}),
 ]
 BASE = SCENARIOS[:1]
+LONG_ONLY = dict(warmup_days=20, long_gross=LG)
 cte("scen", "SELECT * FROM (VALUES " + ", ".join(
     f"('{s['scenario']}', {s['rebalance_days']}, {s['warmup_days']}, {s['long_count']}, {s['short_count']}, {s['min_names']},"
-    f" {s['long_gross']}::DOUBLE, {s['short_gross']}::DOUBLE, {s['cost_bps']}::DOUBLE)" for s in SCENARIOS
+    f" {s['long_gross']}::DOUBLE, {s['short_gross']}::DOUBLE, {s['cost_bps']}::DOUBLE)" for s in [*SCENARIOS, scenario("long_only", "long_only", **LONG_ONLY)]
 ) + ") v(scenario, every, warm, nl, ns, mn, lg, sg, bps)")
 cte("sched", """
 SELECT * FROM (SELECT scenario, row_number() OVER w AS rebalance_id, date AS signal_date, idx AS signal_idx, entry_date,
@@ -104,7 +105,7 @@ SELECT scenario, g - 1 AS total_return, pow(g, 1 / elapsed_years) - 1 AS cagr, v
 cte("perf", perf_sql("journal"), ["journal"])
 PERF = ("total_return", "cagr", "volatility", "sharpe", "sortino", "calmar", "max_drawdown", "elapsed_years")
 cte("metrics", """SELECT * FROM perf JOIN (SELECT scenario, avg(turnover) AS avg_turnover, count(*) AS rebalance_count
-FROM net GROUP BY 1) USING (scenario)""", ["perf", "net"])
+FROM net GROUP BY 1) USING (scenario) WHERE scenario <> 'long_only'""", ["perf", "net"])
 
 
 def ev(spark, sf, scenarios=BASE):
@@ -349,7 +350,7 @@ def _(spark, sf):
 SELECT scenario, sum(daily_pnl_usd) AS daily_pnl_usd, product(1 + daily_return) - 1 AS daily_return,
   arg_max(equity_usd, date) AS equity_usd, min(drawdown) AS drawdown, avg(gross_exposure) AS gross_exposure, avg(cash_pct) AS cash_pct,
   sum(turnover) AS turnover, CAST(sum(position_count) AS BIGINT) AS trade_count, max(gross_exposure) AS largest_weight, sum(cost_usd) AS cost_usd
-FROM journal GROUP BY 1""", ["journal"], {"daily_pnl_usd": 2, "daily_return": 6, "equity_usd": 2, "drawdown": 6, "gross_exposure": 6,
+FROM journal WHERE scenario <> 'long_only' GROUP BY 1""", ["journal"], {"daily_pnl_usd": 2, "daily_return": 6, "equity_usd": 2, "drawdown": 6, "gross_exposure": 6,
                                         "cash_pct": 6, "turnover": 6, "largest_weight": 6, "cost_usd": 2})
 def _(spark, sf):
     d = ev(spark, sf, SCENARIOS).daily.withColumns({"trade_count": F.col("position_count"), "largest_weight": F.col("gross_exposure")})
@@ -459,11 +460,30 @@ def _(spark, sf):
     return P.exposure_gate(last_targets(spark, sf), F.lit("2002-01-15").cast("date"), latest)
 
 
-@register("run_strategy")
+cte("bench_lo", """
+SELECT 'bench' AS scenario, date, daily_return, 100000 * product(1 + daily_return) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING) AS equity_usd
+FROM (SELECT date, CASE WHEN row_number() OVER (ORDER BY date) = 1 THEN 0.0 ELSE coalesce(m, 0) END AS daily_return FROM (
+  SELECT date, avg(r) AS m FROM (SELECT date, open / lag(open) OVER (PARTITION BY symbol ORDER BY date) - 1 AS r FROM bars_w) GROUP BY date)
+  WHERE date BETWEEN (SELECT min(date) FROM full_days WHERE scenario = 'long_only') AND (SELECT max(date) FROM full_days WHERE scenario = 'long_only'))""",
+    ["bars_w", "full_days"])
+cte("bench_lo_perf", perf_sql("bench_lo"), ["bench_lo"])
+
+
+@register("run_strategy", """
+SELECT p.*, avg_turnover, rebalance_count, b.sharpe AS benchmark_sharpe, b.max_drawdown AS benchmark_max_drawdown,
+  ln(1 + b.cagr) AS log_benchmark_cagr, (p.cagr - b.cagr) / (1 + abs(b.cagr)) AS relative_excess
+FROM perf p, bench_lo_perf b, (SELECT avg(turnover) AS avg_turnover, count(*) AS rebalance_count FROM net WHERE scenario = 'long_only')
+WHERE p.scenario = 'long_only'""", ["perf", "bench_lo_perf", "net"],
+          six(*PERF, "avg_turnover", "benchmark_sharpe", "benchmark_max_drawdown", "log_benchmark_cagr", "relative_excess"))
 def _(spark, sf):
     """One preset end to end on the weekly panel, beside its equal-weight benchmark."""
     bars = cut(I.bars_w(spark, sf))
-    return run_strategy(I.panel_w(spark, sf, bars), bars, "long_only", "score", warmup_days=20, long_gross=LG)
+    out = run_strategy(I.panel_w(spark, sf, bars), bars, "long_only", "score", **LONG_ONLY)
+    # The benchmark of these prices grows beyond any scale, so its growth is shown as a logarithm.
+    return out.withColumns({
+        "log_benchmark_cagr": F.log1p("benchmark_cagr"),
+        "relative_excess": F.col("excess_cagr_vs_equal_weight") / (1 + F.abs("benchmark_cagr")),
+    }).drop("benchmark_cagr", "excess_cagr_vs_equal_weight")
 
 
 @register("paper_vs_model", """
