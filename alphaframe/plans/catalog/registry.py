@@ -64,10 +64,10 @@ def _(spark, sf):
 @register("latest_run_per_strategy", """SELECT version, id, strategy FROM (SELECT *, row_number() OVER (PARTITION BY version ORDER BY id DESC) AS rn FROM (
   SELECT o_orderkey AS id, strategy, CASE WHEN strategy ILIKE '%v7.1%' THEN 'V7.1' WHEN regexp_matches(strategy, '(?i)v[5-9]')
     THEN 'V' || regexp_extract(strategy, '(?i)v([5-9])', 1) ELSE substr(strategy, 1, 18) END AS version
-  FROM (SELECT o_orderkey, CASE o_custkey % 5 WHEN 0 THEN 'META Ensemble v5 OOS' WHEN 1 THEN 'META V6' WHEN 2 THEN 'META v7 base'
-    WHEN 3 THEN 'META V7.1 Balanced' ELSE 'Momentum 12-1 baseline' END AS strategy FROM orders))) WHERE rn = 1""")
+  FROM (SELECT o_orderkey, CASE o_custkey % 5 WHEN 0 THEN 'Blend v5 OOS' WHEN 1 THEN 'Blend V6' WHEN 2 THEN 'Blend v7 base'
+    WHEN 3 THEN 'Blend V7.1 Balanced' ELSE 'Momentum 12-1 baseline' END AS strategy FROM orders))) WHERE rn = 1""")
 def _(spark, sf):
-    names = ["META Ensemble v5 OOS", "META V6", "META v7 base", "META V7.1 Balanced", "Momentum 12-1 baseline"]
+    names = ["Blend v5 OOS", "Blend V6", "Blend v7 base", "Blend V7.1 Balanced", "Momentum 12-1 baseline"]
     pick = F.element_at(F.array(*[F.lit(n) for n in names]), (F.col("o_custkey") % 5 + 1).cast("int"))
     return RG.latest_run_per_strategy(I.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), pick.alias("strategy")))
 
