@@ -66,8 +66,11 @@ def exact_dedup(
     ).select("doc_id", "text_sha256", "recipe",
              F.coalesce("fix", F.array().cast("array<struct<pos:int,variant:int>>")).alias("fix"))
     groups = named.groupBy("recipe", "fix").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    # Stored, so that the join deals both sides itself and can split a group of very many copies.
+    shared = stored(groups.where("group_size > 1"))
+    keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     return (
-        named.join(groups, ["recipe", "fix"])
-        .select("doc_id", "keep_id", "group_size",
-                F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False)).alias("kept"), "text_sha256")
+        named.join(shared, ["recipe", "fix"], "left")
+        .select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
+                F.coalesce(F.col("doc_id") == keep, F.lit(False)).alias("kept"), "text_sha256")
     )
