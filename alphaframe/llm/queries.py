@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import stored, table
 from .exact_dedup import exact_dedup
+from .packing import best_fit_pack, token_pieces
 from .piece_codec import encode_pieces
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,6 +22,16 @@ def query(fn: Callable[[SparkSession, str], DataFrame]):
     return fn
 
 
+@query
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(table(spark, sf_dir, "documents"))
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    pieces = token_pieces(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return best_fit_pack(stored(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")))
+
+
 @query
 def op7_piece_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = encode_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
