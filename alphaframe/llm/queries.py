@@ -12,6 +12,7 @@ from .common import stored, table
 from .exact_dedup import exact_dedup
 from .packing import best_fit_pack, token_pieces
 from .piece_codec import encode_pieces
+from .warc import archive
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -22,6 +23,30 @@ def query(fn: Callable[[SparkSession, str], DataFrame]):
     return fn
 
 
+@query
+def op3_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive(table(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "position")
+
+
+ORACLES["op3_warc_index"] = r"""
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, regexp_replace(coalesce(url, ''), '^.*?://', '') AS rest FROM pages
+), keyed AS (
+  SELECT page_id, html, strlen(html) AS payload_bytes, min(page_id) OVER (PARTITION BY html) AS first_page,
+         regexp_extract(rest, '^[^/?#]*') AS host, rest FROM p
+), named AS (
+  SELECT *, array_to_string(list_reverse(string_split(lower(host), '.')), ',') || ')' || substr(rest, length(host) + 1) AS url_key
+  FROM keyed
+)
+SELECT page_id, payload_bytes, sha256(html) AS payload_digest,
+       CASE WHEN payload_bytes >= 100 AND page_id > first_page THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id > first_page THEN first_page END AS refers_to,
+       url_key, row_number() OVER (ORDER BY url_key, page_id) - 1 AS position
+FROM named
+"""
+
+
 @query
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"))
