@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .common import stored, table
 from .exact_dedup import exact_dedup
+from .language_id import identify
 from .packing import best_fit_pack, token_pieces
 from .piece_codec import encode_pieces
 from .warc import archive
@@ -57,6 +58,11 @@ def packed(docs: DataFrame) -> DataFrame:
     return best_fit_pack(stored(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")))
 
 
+@query
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
 @query
 def op7_piece_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = encode_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
