@@ -13,6 +13,7 @@ from .exact_dedup import exact_dedup
 from .language_id import identify
 from .packing import best_fit_pack, token_pieces
 from .piece_codec import encode_pieces
+from .secret_scan import scan_secrets
 from .warc import archive
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,6 +59,21 @@ def packed(docs: DataFrame) -> DataFrame:
     return best_fit_pack(stored(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")))
 
 
+@query
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_secrets(table(spark, sf_dir, "documents"))
+
+    def joined(spans: str):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def number(kind: str):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id", number("assign"), number("access"), number("hex"),
+        F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
 @query
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
