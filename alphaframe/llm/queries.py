@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .common import stored, table
 from .exact_dedup import exact_dedup
 from .language_id import identify
+from .ngram_join import near_duplicates
 from .packing import best_fit_pack, token_pieces
 from .piece_codec import encode_pieces
 from .secret_scan import scan_secrets
@@ -25,6 +26,32 @@ def query(fn: Callable[[SparkSession, str], DataFrame]):
     return fn
 
 
+@query
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op2_ngram_jaccard_join"] = r"""
+WITH RECURSIVE worded AS MATERIALIZED (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^ 	-]+') AS w FROM documents
+), shingle AS MATERIALIZED (
+  SELECT doc_id, hash(s) AS h, s FROM (
+    SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+      ELSE list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' ')) END) AS s FROM worded)
+), size AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM shingle GROUP BY 1
+), pair AS MATERIALIZED (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM shingle a JOIN shingle b ON a.h = b.h AND a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), link AS MATERIALIZED (
+  SELECT a, b FROM pair JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b WHERE 100 * common >= 75 * (x.n + y.n - common)
+), reach(doc_id, other) AS (
+  SELECT a, b FROM link UNION SELECT r.doc_id, l.b FROM reach r JOIN link l ON l.a = r.other
+)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce(low, d.doc_id)) AS component_id
+FROM documents d LEFT JOIN size USING (doc_id) LEFT JOIN (SELECT doc_id, min(other) AS low FROM reach GROUP BY 1) USING (doc_id)
+"""
+
+
 @query
 def op3_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive(table(spark, sf_dir, "pages")).select(
