@@ -15,6 +15,7 @@ from .ngram_join import near_duplicates
 from .packing import best_fit_pack, token_pieces
 from .piece_codec import encode_pieces
 from .secret_scan import scan_secrets
+from .vector_forest import near_vectors
 from .warc import archive
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,6 +27,29 @@ def query(fn: Callable[[SparkSession, str], DataFrame]):
     return fn
 
 
+@query
+def op1_vector_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op1_vector_forest"] = r"""
+WITH RECURSIVE fine AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), link AS MATERIALIZED (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM fine a JOIN fine b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.98
+), reach(vec_id, other) AS (
+  SELECT a, b FROM link UNION SELECT r.vec_id, l.b FROM reach r JOIN link l ON l.a = r.other
+), low AS (SELECT vec_id, min(other) AS low FROM reach GROUP BY 1
+), n AS (SELECT a AS vec_id, count(*) AS n FROM link GROUP BY 1)
+SELECT e.vec_id, coalesce(n, 0) AS n_links, least(e.vec_id, coalesce(low, e.vec_id)) AS component_id,
+       e.vec_id = least(e.vec_id, coalesce(low, e.vec_id)) AS kept
+FROM embeddings e LEFT JOIN low USING (vec_id) LEFT JOIN n USING (vec_id)
+"""
+
+
 @query
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
@@ -34,7 +58,8 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op2_ngram_jaccard_join"] = r"""
 WITH RECURSIVE worded AS MATERIALIZED (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-                                    '[^ 	-]+') AS w FROM documents
+                                    '[^ 	-
+]+') AS w FROM documents
 ), shingle AS MATERIALIZED (
   SELECT doc_id, hash(s) AS h, s FROM (
     SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
