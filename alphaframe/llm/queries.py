@@ -12,6 +12,7 @@ from .byte_repeats import remove_repeats
 from .common import stored, table
 from .exact_dedup import exact_dedup
 from .language_id import identify
+from .maxent_lm import score_texts
 from .ngram_join import near_duplicates
 from .packing import best_fit_pack, token_pieces
 from .piece_codec import encode_pieces
@@ -159,3 +160,8 @@ SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
 FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents)
 WINDOW same AS (PARTITION BY norm)
 """
+
+
+@query
+def op10_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"))
