@@ -259,3 +259,38 @@ def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     id_kind = rows.schema["doc_id"].dataType.simpleString()
     span = "array<struct<kind:string,start:int,end:int>>"
     return rows.mapInArrow(run, f"doc_id {id_kind}, base {span}, spans {span}")
+
+
+def mask(text: str, spans: list[Span], mark: str) -> str:
+    """The text with ``mark`` in place of each run of overlapping spans."""
+    out, end = [], 0
+    for _, a, b in sorted(spans, key=lambda s: s[1]):
+        if a >= end:
+            out += [text[end:a], mark]
+        end = max(end, b)
+    return "".join([*out, text[end:]])
+
+
+def masked(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars", mark: str = "[secret]",
+    formats: Formats | None = None, **training,
+) -> DataFrame:
+    """All rows and columns, with the secrets masked and the length (if there is such a column) that of the new text.
+
+    A null text stays null, and so does its length.
+    """
+    model = formats or learn(only(docs, doc_id=id_col, text=text_col), **training)
+    place, length = docs.columns.index(text_col), docs.columns.index(length_col) if length_col in docs.columns else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                columns = list(part.columns)
+                texts = [None if t is None else mask(t, model.spans(t)[1], mark) for t in columns[place].to_pylist()]
+                columns[place] = pa.array(texts, pa.string())
+                if length is not None:
+                    columns[length] = pa.array([None if t is None else len(t) for t in texts], columns[length].type)
+                yield pa.RecordBatch.from_arrays(columns, names=part.schema.names)
+
+    return docs.mapInArrow(run, docs.schema)
