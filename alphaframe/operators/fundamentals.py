@@ -18,8 +18,12 @@ CORE = ("revenue", "net_income", "assets", "equity", "operating_cf")
 
 
 def facts_wide(facts: DataFrame, metrics: Sequence[str] = METRICS) -> DataFrame:
-    """One row per (symbol, available_at) with a column per metric of a fixed list."""
-    return facts.groupBy("symbol", "available_at").pivot("metric", list(metrics)).agg(F.max("value"))
+    """One row per (symbol, available_at) with a column per metric of a fixed list.
+
+    A filing also repeats earlier periods; the value of the latest period with one counts.
+    """
+    latest = F.max_by("value", F.when(F.col("value").isNotNull(), F.col("period_end")))
+    return facts.groupBy("symbol", "available_at").pivot("metric", list(metrics)).agg(latest)
 
 
 def point_in_time(rows: DataFrame, facts: DataFrame, metrics: Sequence[str] = METRICS) -> DataFrame:

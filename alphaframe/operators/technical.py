@@ -130,24 +130,42 @@ def execution_target(df: DataFrame, h: int = 10, universe: int | None = None) ->
     return _excess(out, "future_open_return", "future_relative_open", universe)
 
 
+EWMA_BLOCK = 64
+
+
 def ewma_score(
-    df: DataFrame, col: str, span: int = 5, out: str | None = None, depth: int = 80,
-    by: Sequence[str] = ("symbol",),
+    df: DataFrame, col: str, span: float = 5, out: str | None = None, by: Sequence[str] = ("symbol",),
 ) -> DataFrame:
     """One-sided exponential smoothing per symbol, s = a*x + (1-a)*previous, from its first row.
 
-    The fold looks at the last ``depth`` known values: with span 5 what lies before weighs
-    (2/3)^80 ~ 1e-14. Rows whose input is null carry no smoothed value.
+    The known rows of a key are numbered and cut into blocks. Within a block s is a running sum of
+    inputs scaled by powers of 1-a, whose range 64 rows keep; what the earlier blocks leave is folded
+    over one number per block and joined back. Exact for each span, linear in the rows. Rows whose input is null carry no smoothed value.
     """
-    alpha = 2.0 / (span + 1.0)
-    frame = past(Window.partitionBy(*by).orderBy("date"), depth)
-    fold = F.aggregate(
-        F.slice("_h", 2, depth), F.element_at("_h", 1),
-        lambda s, x: F.lit(alpha) * x + F.lit(1.0 - alpha) * s,
-    )
-    known = df.where(F.col(col).isNotNull()).withColumn("_h", F.collect_list(col).over(frame))
-    smoothed = known.withColumn(out or f"{col}_smooth", fold).drop("_h")
-    return smoothed.unionByName(df.where(F.col(col).isNull()), allowMissingColumns=True)
+    alpha, name, x = 2.0 / (span + 1.0), out or f"{col}_smooth", F.col(col)
+    if alpha >= 1.0:
+        return df.withColumn(name, x.cast("double"))
+    rest, keys = F.lit(1.0 - alpha), list(by)
+    past_rows = Window.partitionBy(*keys).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    # Rows without input take the number of the known row before them and add nothing.
+    known = df.withColumn("_n", F.count(x).over(past_rows) - 1).withColumns({
+        "_block": F.floor(F.col("_n") / EWMA_BLOCK).cast("int"), "_pos": F.pmod("_n", F.lit(EWMA_BLOCK)),
+    })
+    term = F.col(col) * F.when(F.col("_n") == 0, F.lit(1.0)).otherwise(F.lit(alpha))
+    sums = F.sum(term * F.pow(rest, -F.col("_pos"))).over(
+        Window.partitionBy(*keys, "_block").orderBy("date").rowsBetween(Window.unboundedPreceding, 0))
+    known = known.withColumn("_in", F.pow(rest, F.col("_pos").cast("double")) * sums)
+    # What the end of a block hands on; a key has one row per 64 of its own.
+    ends = known.where((F.col("_pos") == EWMA_BLOCK - 1) & x.isNotNull()).groupBy(*keys).agg(
+        F.sort_array(F.collect_list(F.struct("_block", "_in"))).alias("_ends"))
+    empty = F.array().cast("array<struct<_block:int,_carry:double>>")
+    carried = F.aggregate("_ends", empty, lambda done, e: F.concat(done, F.array(F.struct(
+        (e["_block"] + 1).alias("_block"),
+        (e["_in"] + F.pow(rest, F.lit(float(EWMA_BLOCK))) * F.coalesce(F.try_element_at(done, F.lit(-1))["_carry"], F.lit(0.0))).alias("_carry"),
+    ))))
+    carries = ends.select(*keys, F.explode(carried).alias("_c")).select(*keys, "_c._block", "_c._carry")
+    smooth = F.col("_in") + F.pow(rest, F.col("_pos") + 1.0) * F.coalesce("_carry", F.lit(0.0))
+    return known.join(carries, [*keys, "_block"], "left").withColumn(name, F.when(x.isNotNull(), smooth)).select(*df.columns, name)
 
 
 def eps_change(pit: DataFrame) -> DataFrame:

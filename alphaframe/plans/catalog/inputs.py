@@ -88,7 +88,10 @@ FROM supplier JOIN nation ON s_nationkey = n_nationkey""")
 
 
 def filings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Long quarterly facts per supplier, published 45 days after the quarter."""
+    """Long quarterly facts per supplier, published 45 days after the quarter.
+
+    As in real filings, each also repeats the year before, here with a larger value.
+    """
     from pyspark.sql import Window
 
     ext, disc, tax = F.col("l_extendedprice"), F.col("l_discount"), F.col("l_tax")
@@ -110,10 +113,16 @@ def filings(spark: SparkSession, sf_dir: str) -> DataFrame:
     }).withColumn("equity", F.col("assets") * F.lit(0.4) + F.col("net_income")).withColumn(
         "eps", F.col("net_income") / F.col("_qty"))
     end = F.last_day(F.add_months("q", 2))
-    return q.select(
+    now = q.select(
         F.col("l_suppkey").cast("string").alias("symbol"), end.alias("period_end"),
         F.date_add(end, 45).alias("available_at"), *METRICS,
     ).unpivot(["symbol", "period_end", "available_at"], list(METRICS), "metric", "value")
+    period = F.explode(F.array(
+        F.struct("period_end", "value"),
+        F.struct(F.add_months("period_end", -12).alias("period_end"), (F.abs("value") * 2 + 1).alias("value")),
+    ))
+    return now.select("symbol", "available_at", "metric", period.alias("p")).select(
+        "symbol", "p.period_end", "available_at", "metric", "p.value")
 
 
 cte("fq", """
@@ -129,8 +138,10 @@ SELECT CAST(l_suppkey AS VARCHAR) AS symbol, last_day(q + INTERVAL 2 MONTH) AS p
 FROM (SELECT *, 1000000.0 + s_acctbal
         + sum(revenue) OVER (PARTITION BY l_suppkey ORDER BY q ROWS UNBOUNDED PRECEDING) AS assets
       FROM fq JOIN supplier ON s_suppkey = l_suppkey)""", ["fq"])
-cte("facts", """SELECT symbol, period_end, available_at, metric, value FROM facts_w
+cte("facts_now", """SELECT symbol, period_end, available_at, metric, value FROM facts_w
 UNPIVOT (value FOR metric IN (revenue, net_income, gross_profit, operating_cf, assets, equity, eps))""", ["facts_w"])
+cte("facts", """SELECT symbol, period_end, available_at, metric, value FROM facts_now
+UNION ALL SELECT symbol, CAST(period_end - INTERVAL 12 MONTH AS DATE), available_at, metric, abs(value) * 2 + 1 FROM facts_now""", ["facts_now"])
 
 
 def news_items(spark: SparkSession, sf_dir: str) -> DataFrame:

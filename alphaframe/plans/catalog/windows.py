@@ -139,16 +139,25 @@ def _(spark, sf):
     return T.market_risk_scale(I.bars_w(spark, sf))
 
 
-@register("ewma_score", """
-SELECT b.date, b.symbol, score, e AS smooth FROM panel_w b LEFT JOIN (
-  SELECT symbol, unnest(ds) AS date, unnest(list_transform(range(1, len(xs) + 1), lambda i:
-    list_reduce(xs[greatest(1, i - 79):i], lambda s, x: x / 3.0 + s * (1 - 1 / 3.0)))) AS e
-  FROM (SELECT symbol, list(date ORDER BY date) AS ds, list(score ORDER BY date) AS xs
-        FROM panel_w WHERE score IS NOT NULL GROUP BY symbol)) q
-ON b.symbol = q.symbol AND b.date = q.date""", ["panel_w"], six("score", "smooth"))
+SPANS = (5, 20, 60)
+
+
+@register("ewma_score", f"""
+SELECT b.date, b.symbol, score, {", ".join(f"s{k} AS smooth_{k}" for k in SPANS)} FROM panel_w b LEFT JOIN (
+  WITH RECURSIVE known AS (
+    SELECT symbol, date, score AS x, row_number() OVER (PARTITION BY symbol ORDER BY date) AS i FROM panel_w WHERE score IS NOT NULL
+  ), e AS (
+    SELECT symbol, date, i, {", ".join(f"x AS s{k}" for k in SPANS)} FROM known WHERE i = 1
+    UNION ALL
+    SELECT k.symbol, k.date, k.i, {", ".join(f"x * (2.0 / {k + 1}) + s{k} * (1 - 2.0 / {k + 1})" for k in SPANS)}
+    FROM e JOIN known k ON k.symbol = e.symbol AND k.i = e.i + 1
+  ) SELECT * FROM e) q
+ON b.symbol = q.symbol AND b.date = q.date""", ["panel_w"], six("score", *(f"smooth_{k}" for k in SPANS)))
 def _(spark, sf):
     df = I.panel_w(spark, sf).select("date", "symbol", "score")
-    return T.ewma_score(df, "score", 5, out="smooth")
+    for k in SPANS:
+        df = T.ewma_score(df, "score", k, out=f"smooth_{k}")
+    return df
 
 
 @register("eps_change", "SELECT date, symbol, earnings_raw FROM pit", ["pit"], six("earnings_raw"))

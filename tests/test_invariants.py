@@ -78,14 +78,25 @@ def test_execution_target_value(spark):
     assert abs(got - (111 / 101 - 1)) < 1e-12
 
 
-def test_ewma_is_one_sided(spark):
-    rows = [(day(i), "A", float(i % 7)) for i in range(120)]
-    a = as_dict(T.ewma_score(spark.createDataFrame(rows, "date date, symbol string, x double"), "x"), ["date"], "x_smooth")
-    want = pd.Series([r[2] for r in rows]).ewm(span=5, adjust=False).mean()
-    assert max(abs(a[(day(i),)] - w) for i, w in enumerate(want)) < 1e-12
+@pytest.mark.parametrize("span", [1, 2, 5, 20, 60, 500])
+def test_ewma_is_exact_and_one_sided(spark, span):
+    rows = [(day(i), "A", None if i % 11 == 3 else float(i % 7)) for i in range(400)]
+    schema = "date date, symbol string, x double"
+    a = as_dict(T.ewma_score(spark.createDataFrame(rows, schema), "x", span), ["date"], "x_smooth")
+    want = pd.Series([r[2] for r in rows]).dropna().ewm(span=span, adjust=False).mean()
+    assert max(abs(a[(day(i),)] - w) for i, w in want.items()) < 1e-9
+    assert all(a[(day(i),)] is None for i in range(3, 400, 11))
     rows[-1] = (*rows[-1][:2], 999.0)
-    b = as_dict(T.ewma_score(spark.createDataFrame(rows, "date date, symbol string, x double"), "x"), ["date"], "x_smooth")
-    assert all(a[k] == b[k] for k in a if k != (day(119),))
+    b = as_dict(T.ewma_score(spark.createDataFrame(rows, schema), "x", span), ["date"], "x_smooth")
+    assert all(a[k] == b[k] for k in a if k != (day(399),))
+
+
+def test_facts_take_the_latest_period(spark):
+    from alphaframe.operators.fundamentals import facts_wide
+
+    rows = [("A", "revenue", 100.0, day(0), day(200)), ("A", "revenue", 60.0, day(90), day(200)), ("A", "revenue", None, day(180), day(200))]
+    got = facts_wide(spark.createDataFrame(rows, "symbol string, metric string, value double, period_end date, available_at date"))
+    assert [r.revenue for r in got.collect()] == [60.0]
 
 
 def test_entry_follows_signal_and_costs_hurt(walk):
