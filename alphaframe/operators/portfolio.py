@@ -19,14 +19,18 @@ from .ranks import top_bottom_k
 KEY = ("scenario", "rebalance_id")
 
 
-def scenario_cross(spark, grid: Mapping[str, Sequence]) -> DataFrame:
-    """Cartesian product of parameter lists, numbered in order: one array column per list,
-    exploded in turn, so no cross join is planned."""
-    df = spark.range(1).select()
+def scenario_cross(df: DataFrame, grid: Mapping[str, Sequence]) -> DataFrame:
+    """Repeat rows for each point of the product of parameter lists, numbered in order.
+
+    One literal array per list, exploded in turn, so no cross join is planned; the number comes from
+    the places in the lists.
+    """
     for name, values in grid.items():
-        df = df.select("*", F.explode(F.array(*[F.lit(v) for v in values])).alias(name))
-    w = Window.orderBy(*grid)
-    return df.withColumn("scenario", F.row_number().over(w))
+        df = df.select("*", F.posexplode(F.array(*[F.lit(v) for v in values])).alias(f"_{name}", name))
+    number, stride = F.lit(1), 1
+    for name in reversed(list(grid)):
+        number, stride = number + F.col(f"_{name}") * stride, stride * len(grid[name])
+    return df.withColumn("scenario", number).drop(*[f"_{name}" for name in grid])
 
 
 def with_scenarios(df: DataFrame, scenarios: Sequence[Mapping]) -> DataFrame:

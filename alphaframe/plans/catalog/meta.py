@@ -179,11 +179,11 @@ def _(spark, sf):
     return ME.portfolio_grid_search(cal_frame(spark, sf).where("smooth_score is not null and future_open_return is not null"))
 
 
-cte("sc", "SELECT *, CASE WHEN prob >= 0.6 THEN smooth_score END AS trade_score FROM cf WHERE idx >= 150 AND smooth_score IS NOT NULL", ["cf"])
+cte("sc", "SELECT *, CASE WHEN prob >= 0.6 THEN smooth_score END AS trade_score FROM cf WHERE smooth_score IS NOT NULL", ["cf"])
 
 
 def scored(spark, sf):
-    df = cal_frame(spark, sf).where("idx >= 150 and smooth_score is not null")
+    df = cal_frame(spark, sf).where("smooth_score is not null")
     return df.withColumn("trade_score", F.when(F.col("prob") >= 0.6, F.col("smooth_score")))
 
 

@@ -120,13 +120,17 @@ def _(spark, sf):
     return C.align_execution_dates(I.cal_w(spark, sf), 4, 20)
 
 
-@register("scenario_cross", """SELECT *, row_number() OVER (ORDER BY long_count, short_count, rebalance_days) AS scenario,
- (SELECT count(*) FROM orders) AS data_rows FROM
- (VALUES (10), (20), (30)) a(long_count), (VALUES (10), (20), (30)) b(short_count), (VALUES (5), (10), (21)) c(rebalance_days)""")
+@register("scenario_cross", """
+SELECT *, row_number() OVER (ORDER BY long_count, short_count, rebalance_days) AS scenario FROM (
+  SELECT long_count, short_count, rebalance_days, count(*) AS rebalances, min(date) AS first_date, max(date) AS last_date
+  FROM cal_w, (VALUES (10), (20), (30)) a(long_count), (VALUES (10), (20), (30)) b(short_count), (VALUES (5), (10), (21)) c(rebalance_days)
+  WHERE idx % rebalance_days = 0 GROUP BY 1, 2, 3)""", ["cal_w"])
 def _(spark, sf):
+    """The sweep's grid over the sessions of the data: when each point of it rebalances."""
     grid = {"long_count": [10, 20, 30], "short_count": [10, 20, 30], "rebalance_days": [5, 10, 21]}
-    n = I.table(spark, sf, "orders").agg(F.count("*")).scalar()
-    return P.scenario_cross(spark, grid).withColumn("data_rows", n)
+    runs = P.scenario_cross(I.cal_w(spark, sf).select("idx", "date"), grid).where("idx % rebalance_days = 0")
+    return runs.groupBy(*grid, "scenario").agg(
+        F.count("*").alias("rebalances"), F.min("date").alias("first_date"), F.max("date").alias("last_date"))
 
 
 @register("top_bottom_k", """SELECT date, symbol, rank, candidates, CASE WHEN rank <= 10 THEN 'LONG' ELSE 'SHORT' END AS side FROM rk
@@ -260,18 +264,21 @@ cte("bench", """
 SELECT 'bench' AS scenario, date, daily_return, 100000 * product(1 + daily_return) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING) AS equity_usd
 FROM (SELECT date, CASE WHEN row_number() OVER (ORDER BY date) = 1 THEN 0.0 ELSE coalesce(m, 0) END AS daily_return FROM (
   SELECT date, avg(r) AS m FROM (SELECT date, open / lag(open) OVER (PARTITION BY symbol ORDER BY date) - 1 AS r FROM bars_w) GROUP BY date)
-  WHERE date >= DATE '1997-01-01')""", ["bars_w"])
+  WHERE date BETWEEN (SELECT min(date) FROM full_days WHERE scenario = 'base') AND (SELECT max(date) FROM full_days WHERE scenario = 'base'))""",
+    ["bars_w", "full_days"])
 cte("bench_perf", perf_sql("bench"), ["bench"])
 
 
-def bench(spark, sf):
-    return M.equal_weight_benchmark(I.bars_w(spark, sf), F.lit("1997-01-01").cast("date"))
+def bench(spark, sf, daily):
+    """Equal weights over the dates of a strategy's own days."""
+    first, last = daily.agg(F.min("date")).scalar(), daily.agg(F.max("date")).scalar()
+    return M.equal_weight_benchmark(I.bars_w(spark, sf), first).where(F.col("date") <= last)
 
 
 @register("equal_weight_benchmark", "SELECT date, daily_return, ln(equity_usd) AS log_equity FROM bench", ["bench"],
           six("daily_return", "log_equity"))
 def _(spark, sf):
-    return bench(spark, sf).select("date", "daily_return", F.log("equity_usd").alias("log_equity"))
+    return bench(spark, sf, ev(spark, sf).daily).select("date", "daily_return", F.log("equity_usd").alias("log_equity"))
 
 
 @register("excess_vs_benchmark", """SELECT p.scenario, p.sharpe, b.sharpe AS benchmark_sharpe, b.max_drawdown AS benchmark_max_drawdown,
@@ -279,8 +286,9 @@ def _(spark, sf):
 FROM perf p, bench_perf b WHERE p.scenario = 'base'""", ["perf", "bench_perf"],
           six("sharpe", "benchmark_sharpe", "benchmark_max_drawdown", "log_benchmark_cagr", "relative_excess"))
 def _(spark, sf):
-    b = M.period_performance(bench(spark, sf), initial=100_000.0)
-    out = M.excess_vs_benchmark(M.period_performance(ev(spark, sf).daily, ["scenario"], 100_000.0), b)
+    daily = ev(spark, sf).daily
+    b = M.period_performance(bench(spark, sf, daily), initial=100_000.0)
+    out = M.excess_vs_benchmark(M.period_performance(daily, ["scenario"], 100_000.0), b)
     return out.select(
         "scenario", "sharpe", "benchmark_sharpe", "benchmark_max_drawdown", F.log1p("benchmark_cagr").alias("log_benchmark_cagr"),
         (F.col("excess_cagr_vs_equal_weight") / (1 + F.abs("benchmark_cagr"))).alias("relative_excess"))
@@ -359,10 +367,10 @@ def _(spark, sf):
 
 @register("ledger_drilldown", """
 SELECT d.scenario, d.rebalance_id, d.date, symbol, side, weight FROM mark d JOIN held h
-ON d.scenario = h.scenario AND d.rebalance_id = h.rebalance_id WHERE d.scenario = 'base' AND year(d.date) = 1998""", ["mark", "held"], six("weight"))
+ON d.scenario = h.scenario AND d.rebalance_id = h.rebalance_id WHERE d.scenario = 'base'""", ["mark", "held"], six("weight"))
 def _(spark, sf):
     e = ev(spark, sf)
-    day = e.daily.where((F.year("date") == 1998) & F.col("rebalance_id").isNotNull())
+    day = e.daily.where(F.col("rebalance_id").isNotNull())
     pos = e.held.select(*P.KEY, "symbol", "side", "weight")
     return P.ledger_drilldown(day, pos).select("scenario", "rebalance_id", "date", "symbol", "side", "weight")
 
@@ -437,15 +445,14 @@ cte("tradables", """SELECT CAST(s_suppkey AS VARCHAR) AS symbol, s_suppkey % 7 <
 SELECT * FROM (SELECT t.symbol, t.weight, unnest([CASE WHEN NOT coalesce(tradable, FALSE) THEN 'not_tradable' END,
   CASE WHEN t.weight < 0 AND NOT coalesce(shortable, FALSE) THEN 'not_shortable' END,
   CASE WHEN t.weight < 0 AND lower(borrow_status) = 'hard_to_borrow' THEN 'hard_to_borrow' END]) AS reason
-  FROM (SELECT symbol, CAST(weight AS DOUBLE) AS weight FROM wts WHERE scenario = 'base' AND rebalance_id <= 5) t
+  FROM (SELECT symbol, CAST(weight AS DOUBLE) AS weight FROM wts WHERE scenario = 'base') t
   LEFT JOIN tradables a ON a.symbol = t.symbol) WHERE reason IS NOT NULL""", ["wts", "tradables"], six("weight"))
 def _(spark, sf):
     k = F.col("s_suppkey")
     a = I.table(spark, sf, "supplier").where(k % 9 != 0).select(
         k.cast("string").alias("symbol"), (k % 7 != 0).alias("tradable"), (k % 4 != 0).alias("shortable"),
         F.when(k % 5 == 0, "Hard_To_Borrow").otherwise("easy").alias("borrow_status"))
-    sched = P.schedules(I.cal_w(spark, sf), BASE).where("rebalance_id <= 5")
-    sel = P.select_names(I.panel_w(spark, sf), "score", sched, BASE)
+    sel = P.select_names(I.panel_w(spark, sf), "score", P.schedules(I.cal_w(spark, sf), BASE), BASE)
     return P.untradable_anti(P.target_weights(sel, LG, SG), a)
 
 
@@ -487,15 +494,16 @@ def _(spark, sf):
 
 
 @register("paper_vs_model", """
+SELECT *, paper_return - model_return AS return_gap FROM (
 SELECT count(*) AS snapshots, arg_max(o_totalprice, o_orderkey) / arg_min(o_totalprice, o_orderkey) - 1 AS paper_return,
   (SELECT arg_max(equity_usd, date) / arg_min(equity_usd, date) - 1 FROM mark m WHERE scenario = 'base'
-     AND date BETWEEN DATE '1997-01-01' AND (SELECT max(CAST(o_orderdate AS DATE)) FROM orders WHERE o_orderdate >= TIMESTAMP '1997-01-01')) AS model_return
-FROM (SELECT o_totalprice, row(o_orderdate, o_orderkey) AS o_orderkey FROM orders WHERE o_orderdate >= TIMESTAMP '1997-01-01')""", ["mark"],
-          six("paper_return", "model_return"))
+     AND date BETWEEN (SELECT min(CAST(o_orderdate AS DATE)) FROM orders) AND (SELECT max(CAST(o_orderdate AS DATE)) FROM orders)) AS model_return
+FROM (SELECT o_totalprice, row(o_orderdate, o_orderkey) AS o_orderkey FROM orders))""", ["mark"],
+          six("paper_return", "model_return", "return_gap"))
 def _(spark, sf):
-    o = I.table(spark, sf, "orders").where("o_orderdate >= timestamp_ntz'1997-01-01'")
+    o = I.table(spark, sf, "orders")
     snaps = P.dedup_keep_last(
         o.select(F.col("o_orderdate").alias("created_at"), "o_orderkey", F.col("o_totalprice").alias("equity")),
         ["created_at", "o_orderkey"], ["equity"])
     curve = ev(spark, sf).daily.where("not is_cash_day").select("date", F.col("equity_usd").alias("equity"))
-    return M.paper_vs_model(snaps, curve, tie="o_orderkey").drop("return_gap")
+    return M.paper_vs_model(snaps, curve, tie="o_orderkey")

@@ -91,11 +91,15 @@ def _(spark, sf):
     return a.distinct().union(b.distinct()).distinct()
 
 
-@register("common_symbols", """SELECT CAST(l_suppkey AS VARCHAR) AS symbol FROM lineitem WHERE year(l_shipdate) = 1996
-INTERSECT SELECT CAST(l_suppkey AS VARCHAR) FROM lineitem WHERE year(l_shipdate) = 1999""")
+@register("common_symbols", """
+WITH s AS (SELECT DISTINCT CAST(l_suppkey AS VARCHAR) AS symbol, CAST(date_trunc('month', l_shipdate) AS DATE) AS m FROM lineitem)
+SELECT symbol FROM s WHERE m = (SELECT min(m) FROM s) INTERSECT SELECT symbol FROM s WHERE m = (SELECT max(m) FROM s)""")
 def _(spark, sf):
-    li = I.table(spark, sf, "lineitem").select(F.col("l_suppkey").cast("string").alias("symbol"), F.year("l_shipdate").alias("y"))
-    return li.where("y = 1996").select("symbol").intersect(li.where("y = 1999").select("symbol"))
+    """Symbols that trade in the month of the first entry and in that of the last exit."""
+    day = F.trunc(F.col("l_shipdate").cast("date"), "month")
+    s = I.table(spark, sf, "lineitem").select(F.col("l_suppkey").cast("string").alias("symbol"), day.alias("m"))
+    first, last = s.agg(F.min("m")).scalar(), s.agg(F.max("m")).scalar()
+    return s.where(F.col("m") == first).select("symbol").intersect(s.where(F.col("m") == last).select("symbol"))
 
 
 # --- stores -----------------------------------------------------------------------------------

@@ -1,27 +1,25 @@
-"""Cut a lineage that several later steps read, or that a loop keeps extending."""
+"""Write what several later steps read, or what a loop keeps extending, as Parquet."""
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors reach: the one the cluster names in ``spark.checkpoint.dir``.
-
-    Only where neither that setting nor a checkpoint folder is set (local tests) is a temporary
-    one used.
-    """
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="alphaframe-"))
-    return sc.getCheckpointDir()
+    """The folder all executors reach: ``spark.checkpoint.dir``, else the warehouse."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    return named or spark.conf.get("spark.sql.warehouse.dir")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared folder and continue from there, so that losing executors
-    costs nothing that was written."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """Write ``df`` once to the shared folder and continue from there.
+
+    Losing executors costs nothing that was written; readers prune columns, push filters down and
+    know the true size, so small stages are broadcast by Spark's own rule.
+    """
+    spark = df.sparkSession
+    folder = f"{shared_folder(spark)}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
