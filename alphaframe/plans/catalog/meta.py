@@ -10,7 +10,7 @@ from ...operators.quality import coverage_report, validation_gate
 from ...operators.research import MODEL_FEATURES
 from ...operators.technical import execution_target
 from ..materialize import cut
-from ..walk_forward import WalkForward, walk_forward_oos
+from ..walk_forward import WalkForward, fit_or_calibrate, walk_forward_oos
 from . import inputs as I
 from .base import cte, register, six
 from .portfolio import SCENARIOS, ev
@@ -288,22 +288,26 @@ def _(spark, sf):
 
 
 def labelled_cal(spark, sf):
+    """Labelled rows with the early dates flagged for fitting and, past the embargo, the late ones for calibration."""
     df = cal_frame(spark, sf).where("smooth_score is not null and future_relative_20d is not null")
-    return cut(ME.meta_label(df))
+    return cut(fit_or_calibrate(ME.meta_label(df).withColumn("fold", F.lit(0)), WalkForward()))
 
 
 @register("meta_classifier")
 def _(spark, sf):
     df = labelled_cal(spark, sf)
-    m = MO.meta_classifier(df.where("fold < 2"), ["smooth_score", "prob"])
+    m = MO.meta_classifier(df.where("_fit"), ["smooth_score", "prob"])
     return MO.probability(df, m, ["smooth_score", "prob"], "p").select("date", "symbol", "label", "p")
 
 
 @register("platt_calibration")
 def _(spark, sf):
+    """A filter fitted on the early dates, calibrated on the late ones."""
     df = labelled_cal(spark, sf)
-    p = MO.platt_calibration(df.where("fold < 2"), raw="prob")
-    return MO.calibrated(df, p, "prob", "p").select("date", "symbol", "label", "p")
+    m = MO.meta_classifier(df.where("_fit"), ["smooth_score", "prob"])
+    raw = MO.probability(df, m, ["smooth_score", "prob"], "raw_prob")
+    p = MO.platt_calibration(raw.where("_cal"))
+    return MO.calibrated(raw, p, "raw_prob", "p").select("date", "symbol", "label", "p")
 
 
 @register("walk_forward_oos")

@@ -204,7 +204,7 @@ def _(spark, sf):
 
 
 @register("panel_metadata", """
-SELECT a.*, b.*, 'batch' AS mode, '7' AS schema FROM
+SELECT a.*, b.*, 'batch' AS mode, '7' AS schema, 16 AS fingerprint_length FROM
  (SELECT count(*) AS rows, count(DISTINCT symbol) AS symbols, min(date) AS "from", max(date) AS "to",
     count(*) FILTER (solid_eligible) AS solid_eligible_rows FROM panel) a,
  (SELECT arg_max(k, date) AS solid_eligible_symbols_latest, quantile_cont(k, 0.5) AS solid_eligible_symbols_median,
@@ -213,18 +213,24 @@ SELECT a.*, b.*, 'batch' AS mode, '7' AS schema FROM
     six("solid_eligible_symbols_median", "solid_eligible_symbols_p10"))
 def _(spark, sf):
     p = cut(I.panel(spark, sf).select("date", "symbol", "solid_eligible"))
-    return panel_metadata(p).drop("fingerprint")
+    meta = panel_metadata(p)
+    # The digest covers the JSON of the row; the twin can only tell that it is there.
+    return meta.withColumn("fingerprint_length", F.length("fingerprint")).drop("fingerprint")
 
 
-@register("data_quality", """
-SELECT * FROM (VALUES ('market_data_present', 'critical'), ('universe_size', 'critical'), ('latest_features', 'critical'),
-  ('finite_scores', 'critical'), ('fundamentals_coverage', 'warning')) v(name, severity)
-JOIN (SELECT 'market_data_present' AS name, (SELECT count(*) FROM ranked) > 0 AS ok
-  UNION ALL SELECT 'universe_size', count(DISTINCT symbol) >= 20 FROM ranked WHERE date = (SELECT max(date) FROM ranked)
-  UNION ALL SELECT 'latest_features', count(*) > 0 FROM ranked WHERE date = (SELECT max(date) FROM ranked)
-  UNION ALL SELECT 'finite_scores', avg((momentum_12_1_rank IS NOT NULL)::INT) > 0.98 FROM ranked WHERE date = (SELECT max(date) FROM ranked)
-  UNION ALL SELECT 'fundamentals_coverage', avg((fundamental_raw <> 0)::INT) > 0.5 FROM ranked WHERE date = (SELECT max(date) FROM ranked)) USING (name)""",
-    ["ranked"])
+cte("quality", """
+SELECT name, severity, coalesce(ok, FALSE) AS ok, value,
+  CASE WHEN bool_or(severity = 'critical' AND NOT coalesce(ok, FALSE)) OVER () THEN 'BLOCK' ELSE 'PASS' END AS status FROM (
+    SELECT 'market_data_present' AS name, 'critical' AS severity, (SELECT count(*) FROM ranked)::DOUBLE AS value, (SELECT count(*) FROM ranked) > 0 AS ok
+    UNION ALL SELECT 'universe_size', 'critical', count(DISTINCT symbol), count(DISTINCT symbol) >= 20 FROM last_ranked
+    UNION ALL SELECT 'latest_features', 'critical', count(*), count(*) > 0 FROM last_ranked
+    UNION ALL SELECT 'finite_scores', 'critical', avg((momentum_12_1_rank IS NOT NULL)::INT), avg((momentum_12_1_rank IS NOT NULL)::INT) > 0.98 FROM last_ranked
+    UNION ALL SELECT 'fundamentals_coverage', 'warning', avg((fundamental_raw <> 0)::INT), avg((fundamental_raw <> 0)::INT) > 0.5 FROM last_ranked)""",
+    ["ranked", "last_ranked"])
+cte("last_ranked", "SELECT * FROM ranked WHERE date = (SELECT max(date) FROM ranked)", ["ranked"])
+
+
+@register("data_quality", "SELECT name, severity, ok, value, status FROM quality", ["quality"], six("value"))
 def _(spark, sf):
     p = I.panel(spark, sf, complete=False).select("date", "symbol", "meta_score", "fundamental_raw")
-    return data_quality(cut(p)).select("name", "severity", "ok")
+    return data_quality(cut(p)).select("name", "severity", "ok", "value", "status")

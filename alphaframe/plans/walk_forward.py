@@ -86,7 +86,7 @@ def walk_forward_oos(panel: DataFrame, cfg: WalkForward) -> tuple[DataFrame, Dat
 
     inputs = [*names, "raw_score", "smooth_score", *feats]
     cols = [*inputs, *[f"regime_{r.lower()}" for r in REGIMES]]
-    val = cut(ME.meta_label(ME.meta_features(_fit_or_calibrate(val, cfg), inputs), cfg.kind))
+    val = cut(ME.meta_label(ME.meta_features(fit_or_calibrate(val, cfg), inputs), cfg.kind))
     layer, cal_rows = _meta_layer(val, cols, cfg)
     chosen = _thresholds(cal_rows, cfg)
     meta = layer.join(chosen, "fold")
@@ -152,7 +152,7 @@ def _union(parts: Sequence[DataFrame]) -> DataFrame:
     return out
 
 
-def _fit_or_calibrate(val: DataFrame, cfg: WalkForward) -> DataFrame:
+def fit_or_calibrate(val: DataFrame, cfg: WalkForward) -> DataFrame:
     """Flag the early validation dates for fitting and, after an embargo, the late ones for
     calibration; with fewer than ten late dates the embargo is given up."""
     w = Window.partitionBy("fold")

@@ -70,11 +70,11 @@ def stream_order_status(updates: DataFrame, path: str, checkpoint: str):
 
 
 def read_order_status(spark: SparkSession, path: str, n: int | None = None) -> DataFrame | None:
-    """Snapshot ``n``, or the newest one; None if there is none."""
+    """Snapshot ``n``, which must be there, or the newest one; None if there is none yet."""
+    if n is not None:
+        return spark.read.parquet(f"{path}/batch={n}")
     try:
-        if n is not None:
-            return spark.read.parquet(f"{path}/batch={n}")
         every = spark.read.parquet(path)
-        return every.where(F.col("batch") == every.agg(F.max("batch")).scalar()).drop("batch")
     except AnalysisException:
         return None
+    return every.where(F.col("batch") == every.agg(F.max("batch")).scalar()).drop("batch")
