@@ -28,18 +28,14 @@ def pairwise_corr(
 ) -> DataFrame:
     """(decision, a, b, corr, n) with a < b over the sessions both have a return.
 
-    For names that are few per decision (a portfolio, or one block of candidates): the pairs of
-    a day are formed inside one row from its sorted list, so no self join is shuffled.
+    A join on (decision, date) that keeps each pair once; sums are combined map side, so neither
+    the names of a day nor their pairs are ever held together.
     """
-    day = trailing_returns(names, rets, cal, lookback).groupBy("decision", "date").agg(
-        F.sort_array(F.collect_list(F.struct("symbol", "ret"))).alias("xs")
-    )
-    pairs = F.flatten(F.transform("xs", lambda x, i: F.transform(
-        F.slice("xs", i + 2, F.size("xs")),
-        lambda y: F.struct(x["symbol"].alias("a"), y["symbol"].alias("b"), x["ret"].alias("x"), y["ret"].alias("y")),
-    )))
+    known = trailing_returns(names, rets, cal, lookback)
+    x = known.select("decision", "date", F.col("symbol").alias("a"), F.col("ret").alias("x"))
+    y = known.select("decision", "date", F.col("symbol").alias("b"), F.col("ret").alias("y"))
     return (
-        day.select("decision", F.explode(pairs).alias("p")).select("decision", "p.*")
+        x.join(y, ["decision", "date"]).where(F.col("a") < F.col("b"))
         .groupBy("decision", "a", "b").agg(corr_of("x", "y").alias("corr"), F.count("*").alias("n"))
         .where((F.col("n") >= F.lit(min_obs)) & F.col("corr").isNotNull())
     )

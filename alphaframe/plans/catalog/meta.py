@@ -267,12 +267,12 @@ def _(spark, sf):
 
 @register("gbt_walk_forward")
 def _(spark, sf):
-    """Three long folds; every fold is one distributed fit."""
+    """Every fold is one distributed fit."""
     p = model_panel(spark, sf).na.drop(subset=[*MODEL_FEATURES])
     cal = cut(sessions(p))
-    folds = cut(FO.simple_folds(cal, min_train=900, test=250))
+    folds = cut(FO.simple_folds(cal))
     ks = [r["fold"] for r in folds.select("fold").collect()]
-    out = MO.gbt_walk_forward(p, cut(fold_range_join(cal, folds)), MODEL_FEATURES, "future_relative_20d", ks, rounds=10, step=0.2)
+    out = MO.gbt_walk_forward(p, cut(fold_range_join(cal, folds)), MODEL_FEATURES, "future_relative_20d", ks)
     return out.select("fold", "date", "symbol", "model_score")
 
 
@@ -283,7 +283,7 @@ def _(spark, sf):
     at = cal.agg(F.floor(F.count("*") * 0.8)).scalar()
     p = p.join(cal, "date")
     train, test = p.where(F.col("idx") < at - 20), p.where(F.col("idx") >= at)
-    out, _ = MO.reweighted_ensemble(cut(train), cut(test), MODEL_FEATURES, "future_relative_20d", "pred", cut, rounds=6, step=0.2)
+    out, _ = MO.reweighted_ensemble(cut(train), cut(test), MODEL_FEATURES, "future_relative_20d", "pred", cut)
     return out.select("date", "symbol", "pred")
 
 
@@ -312,8 +312,7 @@ def _(spark, sf):
 
 @register("walk_forward_oos")
 def _(spark, sf):
-    """Few refreshes, so that the tree fits stay quick; every row of the panel takes part."""
+    """All four models at their own size, on eligible rows. The fixture has few names a day and
+    refreshes are far apart: a refresh every 20 sessions would be some 500 fits (README)."""
     p = I.panel(spark, sf).join(context(spark, sf).select("date", "regime"), "date")
-    p = p.withColumn("solid_eligible", F.lit(True))
-    cfg = WalkForward(min_names=2, refresh=450, models=("ridge", "gbt", "momentum"), boosting={"rounds": 5, "step": 0.2})
-    return walk_forward_oos(p, cfg)[0]
+    return walk_forward_oos(p, WalkForward(min_names=3, refresh=450))[0]

@@ -71,7 +71,7 @@ SELECT CAST(user_id AS VARCHAR) AS symbol, unnest(ids) AS tie, unnest(list_trans
 FROM (SELECT user_id, list(event_id ORDER BY ts, event_id) AS ids, list(value ORDER BY ts, event_id) AS xs FROM events GROUP BY user_id)""",
           (), six("smooth"))
 def _(spark, sf):
-    ev = spark.readStream.schema(I.table(spark, sf, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    ev = spark.readStream.schema(I.table(spark, sf, "events").schema).option("pathGlobFilter", "events.parquet").option("maxFilesPerTrigger", 1).parquet(sf)
     rows = ev.select(F.col("user_id").cast("string").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"),
                      F.col("event_id").alias("tie"), F.col("value").alias("score"))
     return drain(stream_ewma(rows), spark).select("symbol", "tie", "smooth")

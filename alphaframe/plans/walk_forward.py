@@ -132,17 +132,23 @@ def _base_predictions(labelled, val, test, dates, usable, cfg: WalkForward):
     trees = [m for m in ("gbt", "ensemble") if m in cfg.models]
     if not trees:
         return val, test
-    val, test, parts = cut(val), cut(test), ([], [])
-    for k in sorted(r["fold"] for r in usable.select("fold").collect()):
-        for i, (frame, role) in enumerate(((val, "train"), (test, "live"))):
-            fit = labelled.join(dates(role).where(F.col("fold") == k), "date", "left_semi")
-            out = frame.where(F.col("fold") == k)
-            if "gbt" in trees:
-                out, _ = MO.gbt_fit_predict(fit, out, feats, target, "pred_gbt", **cfg.boosting)
-            if "ensemble" in trees:
-                out, _ = MO.reweighted_ensemble(fit, out, feats, target, "pred_ensemble", cut, **cfg.boosting)
-            parts[i].append(cut(out))
-    return tuple(_union(p) for p in parts)
+    val, test, labelled = cut(val), cut(test), cut(labelled)
+    tasks = [(k, role) for role in ("train", "live") for k in sorted(r["fold"] for r in usable.select("fold").collect())]
+    when = {role: dates(role) for role in ("train", "live")}
+
+    def one(task: tuple[int, str]) -> DataFrame:
+        k, role = task
+        fit = cut(labelled.join(when[role].where(F.col("fold") == k), "date", "left_semi"))
+        out = (val if role == "train" else test).where(F.col("fold") == k)
+        if "gbt" in trees:
+            out, _ = MO.gbt_fit_predict(fit, out, feats, target, "pred_gbt", **cfg.boosting)
+        if "ensemble" in trees:
+            out, _ = MO.reweighted_ensemble(fit, out, feats, target, "pred_ensemble", cut, **cfg.boosting)
+        return cut(out)
+
+    done = MO.at_once(one, tasks)
+    half = len(done) // 2
+    return _union(done[:half]), _union(done[half:])
 
 
 def _union(parts: Sequence[DataFrame]) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -11,22 +12,38 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 OUTPUT = "symbol string, ts timestamp, tie long, score double, smooth double"
 
 
+BLOCK = 64
+
+
+def smoothed(x: np.ndarray, alpha: float, previous: float | None) -> np.ndarray:
+    """s = alpha*x + (1-alpha)*previous, a block at a time by a running sum of scaled inputs."""
+    x = np.asarray(x, float)
+    if alpha >= 1.0 or not len(x):
+        return x
+    out, rest = np.empty(len(x)), 1.0 - alpha
+    up = rest ** np.arange(BLOCK)
+    last = x[0] if previous is None else previous
+    for at in range(0, len(x), BLOCK):
+        part = x[at:at + BLOCK]
+        k = up[:len(part)]
+        out[at:at + BLOCK] = k * (np.cumsum(alpha * part / k) + rest * last)
+        last = out[min(at + BLOCK, len(x)) - 1]
+    return out
+
+
 def stream_ewma(sdf: DataFrame, span: int = 5) -> DataFrame:
     """(symbol, ts, tie, score) with the running smoothed score.
 
     The state of a symbol is one number. Rows of a micro-batch are ordered by (ts, tie) inside
-    their symbol; rows that arrive in a later batch continue from the stored value.
+    their symbol; rows that arrive in a later batch continue from the stored value. The source bounds how
+    much of a symbol one micro-batch holds (``maxFilesPerTrigger``).
     """
     alpha = 2.0 / (span + 1.0)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(batches)).sort_values(["ts", "tie"], kind="stable")
-        previous = state.get[0] if state.exists else None
-        out = []
-        for x in rows["score"]:
-            previous = float(x) if previous is None else alpha * float(x) + (1.0 - alpha) * previous
-            out.append(previous)
-        state.update((previous,))
+        out = smoothed(rows["score"].to_numpy(), alpha, state.get[0] if state.exists else None)
+        state.update((float(out[-1]),))
         yield rows.assign(symbol=key[0], smooth=out)[["symbol", "ts", "tie", "score", "smooth"]]
 
     return sdf.groupBy("symbol").applyInPandasWithState(
