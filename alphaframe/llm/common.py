@@ -36,3 +36,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def only(df: DataFrame, **columns: str) -> DataFrame:
     """Just the named columns under the operator's own names, so that others cannot clash."""
     return df.select(*[F.col(f"`{c}`").alias(alias) for alias, c in columns.items()])
+
+
+STEPS = 32  # bins per doubling of a count
+
+
+def most_frequent(counts: DataFrame, most: int) -> list:
+    """Rows (key, n) of the largest counts, at most ``most``, largest first, then by key.
+
+    Counts are binned by size; the bins that fit whole are taken, so no task sorts or gathers more
+    than the result. Keys of the first bin that does not fit are left out.
+    """
+    key = counts.columns[0]
+    binned = counts.withColumn("_bin", F.floor(F.log2("n") * STEPS).cast("int"))
+    sizes = sorted(((r["_bin"], r["k"]) for r in binned.groupBy("_bin").agg(F.count("*").alias("k")).collect()), reverse=True)  # 64 * STEPS at most
+    edge, total = None, 0
+    for b, k in sizes:
+        total += k
+        if total > most:
+            break
+        edge = b
+    if edge is None:
+        return []
+    rows = binned.where(F.col("_bin") >= edge).select(key, "n").collect()
+    return sorted(rows, key=lambda r: (-r["n"], r[key]))

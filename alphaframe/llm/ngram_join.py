@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import only, stored
+from .common import most_frequent, only, stored
 from .components import components
 from .shingles import mixed, shingle_set
 
@@ -41,7 +41,7 @@ def common_shingles(docs: DataFrame, most: int = HOT_MOST, least: int = HOT_LEAS
             yield pa.RecordBatch.from_arrays([pa.array(h[n > 1].view(np.int64)), pa.array(n[n > 1])], names=["h", "n"])
 
     counts = docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    rows = counts.orderBy(F.desc("n"), "h").limit(most).collect()
+    rows = most_frequent(stored(counts), most)
     h, n = np.array([r["h"] for r in rows], np.int64).view(np.uint64), np.array([r["n"] for r in rows], np.int64)
     by = np.argsort(h)
     return h[by], n[by]
