@@ -143,12 +143,12 @@ FALLBACK_WEIGHTS = {
 }
 
 
-def feature_ic_wide(df: DataFrame, cal: DataFrame, features: Sequence[str] = FEATURES, target: str = TARGET) -> DataFrame:
+def feature_ic_wide(df: DataFrame, cal: DataFrame, features: Sequence[str] = FEATURES, target: str = TARGET, universe: int | None = None) -> DataFrame:
     """One row per session with the IC of every feature (null where undefined)."""
     long = df.select("date", F.col(target).alias("target"), *features).unpivot(
         ["date", "target"], list(features), "feature", "value"
     )
-    ic = rank_ic(long, "value", "target", ["feature", "date"])
+    ic = rank_ic(long, "value", "target", ["feature", "date"], universe)
     wide = ic.groupBy("date").pivot("feature", list(features)).agg(F.max("ic"))
     return cal.join(wide, "date", "left")
 

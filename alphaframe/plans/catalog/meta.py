@@ -130,7 +130,7 @@ FROM panel_w p JOIN cal_w c ON c.date = p.date WINDOW w AS (PARTITION BY p.symbo
 
 
 def cal_frame(spark, sf):
-    df = execution_target(I.panel_w(spark, sf)).join(I.cal_w(spark, sf), "date")
+    df = execution_target(I.panel_w(spark, sf), universe=I.universe_size(spark, sf)).join(I.cal_w(spark, sf), "date")
     prob = 0.3 + 0.6 * ((F.col("symbol").cast("bigint") * 37 + F.col("idx") * 11) % 101) / 101.0
     return cut(df.select(
         "date", "symbol", F.floor(F.col("idx") / 100).alias("fold"), "idx", F.col("score").alias("smooth_score"),
@@ -360,4 +360,4 @@ def _(spark, sf):
     """All four models at their own size, on eligible rows. The fixture has few names a day and
     refreshes are far apart: a refresh every 20 sessions would be some 500 fits (README)."""
     p = I.panel(spark, sf).join(context(spark, sf).select("date", "regime"), "date")
-    return walk_forward_oos(p, WalkForward(min_names=3, refresh=450))[0]
+    return walk_forward_oos(p, WalkForward(min_names=3, refresh=450, universe=I.universe_size(spark, sf)))[0]

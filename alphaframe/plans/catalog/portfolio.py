@@ -143,7 +143,7 @@ def _(spark, sf):
 @register("target_weights", "SELECT scenario, rebalance_id, symbol, side, weight FROM wts WHERE scenario = 'base'", ["wts"], six("weight"))
 def _(spark, sf):
     sched = P.schedules(I.cal_w(spark, sf), BASE)
-    sel = P.select_names(I.panel_w(spark, sf), "score", sched, BASE)
+    sel = P.select_names(I.panel_w(spark, sf), "score", sched, BASE, I.universe_size(spark, sf))
     return P.target_weights(sel, LG, SG).select("scenario", "rebalance_id", "symbol", "side", "weight")
 
 
@@ -154,7 +154,7 @@ WHERE abs(lg * score / n) > 1e-12""", ["sel"], six("weight"))
 def _(spark, sf):
     """Sized by the score, unused share in cash, capped per name."""
     sched = P.schedules(I.cal_w(spark, sf), BASE)
-    sel = P.select_names(I.panel_w(spark, sf), "score", sched, BASE).where("side = 'LONG'")
+    sel = P.select_names(I.panel_w(spark, sf), "score", sched, BASE, I.universe_size(spark, sf)).where("side = 'LONG'")
     out = P.target_weights(sel, LG, 0.0, scale="score", normalize=False, cap=0.0015)
     return out.select("scenario", "rebalance_id", "symbol", "weight")
 
@@ -240,7 +240,7 @@ def _(spark, sf):
 @register("stress_matrix", "SELECT * FROM metrics", ["metrics"], six(*PERF, "avg_turnover"))
 def _(spark, sf):
     bars = cut(I.bars_w(spark, sf))
-    return stress_matrix(I.panel_w(spark, sf, bars), bars, "score", SCENARIOS)
+    return stress_matrix(I.panel_w(spark, sf, bars), bars, "score", SCENARIOS, universe=I.universe_size(spark, sf))
 
 
 @register("sweep_best", "SELECT scenario, sharpe, cagr FROM metrics ORDER BY sharpe DESC NULLS LAST, scenario LIMIT 1", ["metrics"], six("sharpe", "cagr"))
@@ -420,7 +420,7 @@ FROM bars_w WHERE date = (SELECT max(date) FROM bars_w) AND CAST(symbol AS INT)
 def last_targets(spark, sf):
     sched = P.schedules(I.cal_w(spark, sf), BASE)
     last = sched.agg(F.max("rebalance_id")).scalar()
-    sel = P.select_names(I.panel_w(spark, sf), "score", sched.where(F.col("rebalance_id") == last), BASE)
+    sel = P.select_names(I.panel_w(spark, sf), "score", sched.where(F.col("rebalance_id") == last), BASE, I.universe_size(spark, sf))
     return P.target_weights(sel, LG, SG).select("symbol", "weight")
 
 
@@ -452,7 +452,7 @@ def _(spark, sf):
     a = I.table(spark, sf, "supplier").where(k % 9 != 0).select(
         k.cast("string").alias("symbol"), (k % 7 != 0).alias("tradable"), (k % 4 != 0).alias("shortable"),
         F.when(k % 5 == 0, "Hard_To_Borrow").otherwise("easy").alias("borrow_status"))
-    sel = P.select_names(I.panel_w(spark, sf), "score", P.schedules(I.cal_w(spark, sf), BASE), BASE)
+    sel = P.select_names(I.panel_w(spark, sf), "score", P.schedules(I.cal_w(spark, sf), BASE), BASE, I.universe_size(spark, sf))
     return P.untradable_anti(P.target_weights(sel, LG, SG), a)
 
 
@@ -485,7 +485,7 @@ WHERE p.scenario = 'long_only'""", ["perf", "bench_lo_perf", "net"],
 def _(spark, sf):
     """One preset end to end on the weekly panel, beside its equal-weight benchmark."""
     bars = cut(I.bars_w(spark, sf))
-    out = run_strategy(I.panel_w(spark, sf, bars), bars, "long_only", "score", **LONG_ONLY)
+    out = run_strategy(I.panel_w(spark, sf, bars), bars, "long_only", "score", universe=I.universe_size(spark, sf), **LONG_ONLY)
     # The benchmark of these prices grows beyond any scale, so its growth is shown as a logarithm.
     return out.withColumns({
         "log_benchmark_cagr": F.log1p("benchmark_cagr"),

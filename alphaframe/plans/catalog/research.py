@@ -41,7 +41,7 @@ cte("flag_ic", ic_sql("flag_score", "future_relative_20d", "flag0"), ["flag0"])
 def _(spark, sf):
     """Transactions to bars, two momentum ranks, a linear score, and its rank IC summary."""
     n = I.universe_size(spark, sf)
-    df = forward_return(returns_n(I.bars(spark, sf), [20, 60]))
+    df = forward_return(returns_n(I.bars(spark, sf), [20, 60]), universe=n)
     df = R.pct_rank_columns(df, ["ret_20d", "ret_60d"], n)
     df = R.linear_score(df, {"ret_20d_rank": 0.5, "ret_60d_rank": 0.5}, "flag_score")
     return R.ic_summary(R.daily_rank_ic(df, "flag_score", universe=n))
@@ -157,7 +157,7 @@ def stored(spark, sf, *more):
 def weights(spark, sf, panel):
     from ...operators.calendar import sessions
 
-    return R.adaptive_weights(R.feature_ic_wide(panel, sessions(panel)))
+    return R.adaptive_weights(R.feature_ic_wide(panel, sessions(panel), universe=I.universe_size(spark, sf)))
 
 
 @register("adaptive_weights", "SELECT * FROM aw", ["aw"], six(*R.FEATURES))

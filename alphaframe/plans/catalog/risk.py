@@ -33,7 +33,7 @@ def weekly(spark, sf):
     """Stored weekly bars, their returns, and the base portfolio per decision date."""
     bars = cut(I.bars_w(spark, sf))
     sched = P.schedules(sessions(bars), BASE)
-    sel = P.select_names(I.panel_w(spark, sf, bars), "score", sched, BASE)
+    sel = P.select_names(I.panel_w(spark, sf, bars), "score", sched, BASE, I.universe_size(spark, sf))
     w = P.target_weights(sel, LG, SG).select(F.col("signal_date").alias("decision"), "symbol", "weight")
     rets = bars.select("date", "symbol", period_return("close", F.lag("close").over(by_symbol())).alias("ret"))
     return cut(w), rets, sessions(bars)

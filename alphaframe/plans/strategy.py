@@ -108,12 +108,12 @@ def figures(daily: DataFrame, ledger: DataFrame, initial: float = INITIAL_CAPITA
 
 
 def run_strategy(
-    scored: DataFrame, bars: DataFrame, preset: str, score: str, scale: str | None = None, **override,
+    scored: DataFrame, bars: DataFrame, preset: str, score: str, scale: str | None = None, universe: int | None = None, **override,
 ) -> DataFrame:
     """Figures of one preset, beside the equal-weight benchmark over the same dates."""
     rows = [scenario(preset, preset, **override)]
     sized = preset in ("v5", "v6", "v7", "v71")
-    ev = evaluate(scored, bars, score, rows, scale=scale, normalize=not sized)
+    ev = evaluate(scored, bars, score, rows, scale=scale, normalize=not sized, universe=universe)
     ev = replace(ev, daily=cut(ev.daily))
     ev = replace(ev, metrics=figures(ev.daily, ev.ledger))
     first = ev.daily.agg(F.min("date")).scalar()
@@ -124,7 +124,7 @@ def run_strategy(
 
 def stress_matrix(
     scored: DataFrame, bars: DataFrame, score: str, scenarios: Sequence[Mapping] | None = None,
-    scale: str | None = None, normalize: bool = True,
+    scale: str | None = None, normalize: bool = True, universe: int | None = None,
 ) -> DataFrame:
     """Figures per scenario; scenarios are rows of the plan, not separate plans."""
-    return evaluate(scored, bars, score, scenarios or stress_scenarios(), scale=scale, normalize=normalize).metrics
+    return evaluate(scored, bars, score, scenarios or stress_scenarios(), scale=scale, normalize=normalize, universe=universe).metrics

@@ -38,6 +38,7 @@ class WalkForward:
     logistic_c: float = 0.35
     fit_share: float = 0.65
     min_fit: int = 20
+    universe: int | None = None
 
     @property
     def target(self) -> str:
@@ -76,8 +77,8 @@ def walk_forward_oos(panel: DataFrame, cfg: WalkForward) -> tuple[DataFrame, Dat
     val, test = _base_predictions(labelled, val, test, dates, usable, cfg)
     ranks = {f"pred_{m}": f"rank_{m}" for m in cfg.models}
     names = list(ranks.values())
-    val = cut(pct_rank(val, ranks, by=["fold", "date"]))
-    test = cut(pct_rank(test, ranks))
+    val = cut(pct_rank(val, ranks, by=["fold", "date"], universe=cfg.universe))
+    test = cut(pct_rank(test, ranks, universe=cfg.universe))
 
     val_dates = val.select("fold", "date", "regime").distinct()
     router = cut(ME.regime_router(ME.model_ic(val, names, target), val_dates))
