@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,15 +18,22 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{named or spark.conf.get('spark.sql.warehouse.dir')}/llm-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, *, by: str | None = None) -> DataFrame:
+LET_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back with its own schema.
 
-    What was written survives any executor; the plan that made it is not run again.
+    What was written survives any executor; the plan that made it is not run again, so its shuffle
+    files are let go at once instead of when the driver happens to collect garbage.
     """
     spark = df.sparkSession
-    folder = shared_folder(spark)
-    writer = df.write.partitionBy(by) if by else df.write
-    writer.parquet(folder)
+    folder, before = shared_folder(spark), spark.conf.get(LET_GO)
+    spark.conf.set(LET_GO, "true")
+    try:
+        df.write.parquet(folder)
+    finally:
+        spark.conf.set(LET_GO, before)
     return spark.read.schema(df.schema).parquet(folder)
 
 
@@ -41,8 +49,8 @@ def only(df: DataFrame, **columns: str) -> DataFrame:
 STEPS = 32  # bins per doubling of a count
 
 
-def most_frequent(counts: DataFrame, most: int) -> list:
-    """Rows (key, n) of the largest counts, at most ``most``, largest first, then by key.
+def most_frequent(counts: DataFrame, most: int) -> pa.Table:
+    """The largest counts as a table (key, n), at most ``most``, largest first, then by key.
 
     Counts are binned by size; the bins that fit whole are taken, so no task sorts or gathers more
     than the result. Keys of the first bin that does not fit are left out.
@@ -56,7 +64,5 @@ def most_frequent(counts: DataFrame, most: int) -> list:
         if total > most:
             break
         edge = b
-    if edge is None:
-        return []
-    rows = binned.where(F.col("_bin") >= edge).select(key, "n").collect()
-    return sorted(rows, key=lambda r: (-r["n"], r[key]))
+    rows = binned.where(F.col("_bin") >= edge) if edge is not None else binned.limit(0)
+    return rows.select(key, "n").toArrow().sort_by([("n", "descending"), (key, "ascending")])
