@@ -15,10 +15,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import most_frequent, only, stored
+from .common import discard, most_frequent, only, stored
 from .components import components
 from .shingles import mixed, shingle_set
 
@@ -41,8 +41,10 @@ def common_shingles(docs: DataFrame, most: int = HOT_MOST, least: int = HOT_LEAS
             yield pa.RecordBatch.from_arrays([pa.array(h[n > 1].view(np.int64)), pa.array(n[n > 1])], names=["h", "n"])
 
     counts = docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    rows = most_frequent(stored(counts), most)
-    h, n = np.array([r["h"] for r in rows], np.int64).view(np.uint64), np.array([r["n"] for r in rows], np.int64)
+    kept = stored(counts)
+    top = most_frequent(kept, most)
+    discard(kept)
+    h, n = top.column("h").to_numpy().view(np.uint64), top.column("n").to_numpy()
     by = np.argsort(h)
     return h[by], n[by]
 
@@ -100,8 +102,9 @@ def named(shingles: np.ndarray, size: int) -> int:
     return int(mixed(np.array([total + np.uint64(len(shingles))], np.uint64)).view(np.int64)[0])
 
 
-def posting_lists(signs: DataFrame) -> DataFrame:
-    """h, grp, n_shingles, place, lead, dealt: groups that share a prefix shingle, and the list's smallest group.
+def posting_lists(signs: DataFrame, share: int) -> DataFrame:
+    """h, grp, n, place, dealt, lead, able: groups that share a prefix shingle, the list's smallest
+    group, and whether sizes and places leave a link with that possible.
 
     A common shingle's list is dealt out in parts, each with a lead of its own; lists of one group are dropped.
     """
@@ -118,11 +121,17 @@ def posting_lists(signs: DataFrame) -> DataFrame:
         once[1:] |= grp[1:] != grp[:-1]
         of = np.cumsum(new) - 1
         groups = np.bincount(of, weights=once, minlength=1)
-        take = np.flatnonzero(once & ((groups[of] > 1) | dealt)) if len(h) else np.empty(0, np.int64)
-        lead = grp[new][of[take]] if len(h) else grp
+        take = np.flatnonzero(once & ((groups[of] > 1) | dealt))
+        n, place = (table.column(c).to_numpy().astype(np.int64) for c in ("n", "place"))
+        lead, lead_n, lead_place = (x[new][of[take]] for x in (grp, n, place))
+        n, place = n[take], place[take]
+        # What two sets can share at most if they have the shingle at these places, against what a link needs.
+        most = np.minimum(place, lead_place) + 1 + np.minimum(n - place - 1, lead_n - lead_place - 1)
+        need = -(-share * (n + lead_n) // (100 + share))
+        able = (100 * lead_n >= share * n) & (most >= need)
         return pa.RecordBatch.from_arrays(
-            [*(pa.array(table.column(c).to_numpy()[take]) for c in ("h", "grp", "n", "place", "dealt")), pa.array(lead)],
-            names=["h", "grp", "n", "place", "dealt", "lead"])
+            [pa.array(h[take]), pa.array(grp[take]), pa.array(n, pa.int32()), pa.array(place, pa.int32()), pa.array(dealt[take]), pa.array(lead), pa.array(able)],
+            names=["h", "grp", "n", "place", "dealt", "lead", "able"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None  # the last list, which the next batch may go on with
@@ -140,7 +149,7 @@ def posting_lists(signs: DataFrame) -> DataFrame:
             yield kept(rest)
 
     dealt_out = tokens.repartition("h", "part").sortWithinPartitions("h", "part", "n", "grp")
-    return dealt_out.mapInArrow(run, "h long, grp long, n int, place int, dealt boolean, lead long")
+    return dealt_out.mapInArrow(run, "h long, grp long, n int, place int, dealt boolean, lead long, able boolean")
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -161,13 +170,35 @@ def whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return docs.join(wanted, "doc_id").select("member", "text").mapInArrow(run, "member long, n int, shingles array<long>")
 
 
-def linked(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
-    """The pairs (a, b) whose sets reach the threshold."""
-    left, right = (sets.select(F.col("member").alias(x), F.col("n").alias(f"n_{x}"), F.col("shingles").alias(f"s_{x}")) for x in "ab")
+def of_like_size(pairs: DataFrame, members: DataFrame, share: int) -> DataFrame:
+    """The pairs whose sizes leave a link possible; nothing but sizes moves for it."""
+    a, b = (members.select(F.col("member").alias(x), F.col("n").alias(f"n_{x}")).distinct() for x in "ab")
     able = 100 * F.least("n_a", "n_b") >= share * F.greatest("n_a", "n_b")
-    both = pairs.join(left, "a").join(right, "b").where(able)
-    common = F.size(F.array_intersect("s_a", "s_b"))
-    return both.withColumn("common", common).where(100 * F.col("common") >= share * (F.col("n_a") + F.col("n_b") - F.col("common"))).select("a", "b")
+    return pairs.join(a, "a").join(b, "b").where(able).select("a", "b")
+
+
+def members_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("member")).distinct()
+
+
+def linked(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
+    """The pairs (a, b) whose sets reach the threshold.
+
+    First on half of each number, which moves half as much: a pair is dropped only if it falls short by
+    more than equal halves could account for. The rest is decided on whole numbers.
+    """
+
+    def pass_on(pairs: DataFrame, shown: Column, slack: Column) -> DataFrame:
+        own = stored(sets.join(members_of(pairs), "member").select("member", "n", shown.alias("s")))
+        left, right = (own.select(F.col("member").alias(x), F.col("n").alias(f"n_{x}"), F.col("s").alias(f"s_{x}")) for x in "ab")
+        both = pairs.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("s_a", "s_b")) + slack)
+        found = stored(both.where(100 * F.col("common") >= share * (F.col("n_a") + F.col("n_b") - F.col("common"))).select("a", "b"))
+        discard(own)
+        return found
+
+    half = F.transform("shingles", lambda x: x.bitwiseAND(F.lit((1 << 31) - 1)).cast("int"))
+    slack = 3 + F.ceil(F.col("n_a").cast("double") * F.col("n_b") / 2.0 ** 29)
+    return pass_on(pass_on(pairs, half, slack), F.col("shingles"), F.lit(0))
 
 
 def near_duplicates(
@@ -186,17 +217,18 @@ def near_duplicates(
     hot, times = common_shingles(rows, hot_most, hot_least)
     signs = stored(signatures(rows, hot, times, share, salt_rows))
     known = signs.where("grp IS NOT NULL AND doc_id IS NOT NULL")
-    lists = stored(posting_lists(known))
+    lists = stored(posting_lists(known, share))
+    texts = stored(signs.select("doc_id", "n_shingles", "member"))
     members = stored(known.groupBy("grp", "member", F.col("n_shingles").cast("int").alias("n")).agg(F.min("doc_id").alias("doc_id")))
+    discard(signs)
     groups = stored(members.groupBy("grp").agg(F.min("member").alias("first"), F.count("*").alias("members")))
     several = groups.where("members > 1").select("grp", "first")
-    touched = lists.select("grp").union(several.select("grp")).distinct()
-    sets = stored(whole_sets(rows, members.join(touched, "grp").select("doc_id", "member")))
 
     # First round: stars.
     tops = lists.where("dealt").groupBy("h").agg(F.min("lead").alias("top"))
     stars = (
-        lists.select("lead", "grp")
+        # All the shingles a pair shares must leave a link possible.
+        lists.where("lead <> grp").groupBy("lead", "grp").agg(F.min("able").alias("able")).where("able").select("lead", "grp")
         .union(lists.where("dealt").select("h", "lead").distinct().join(tops, "h").select("top", "lead"))
         .where("lead <> grp").distinct()
     )
@@ -207,7 +239,9 @@ def near_duplicates(
     )
     within = members.join(several, "grp").select(F.col("first").alias("x"), F.col("member").alias("y"))
     pairs = between.union(within).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    links = stored(linked(pairs, sets, share))
+    pairs = stored(of_like_size(pairs, members, share))
+    sets = stored(whole_sets(rows, stored(members.join(members_of(pairs), "member").select("doc_id", "member"))))
+    links = linked(pairs, sets, share)
     joined = components(links)
 
     # Second round: what shares a prefix shingle and is not connected yet.
@@ -216,21 +250,30 @@ def near_duplicates(
         members.join(several, "grp").select(F.col("grp").alias("h"), "member", "n", F.lit(-1)))
     labelled = stored(places.join(joined, F.col("member") == F.col("node"), "left").select(
         "h", "member", "n", "place", F.coalesce("component", "member").alias("c")))
+    discard(lists)
     mixed_lists = labelled.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("h")
     open_places = stored(labelled.join(mixed_lists, "h"))
     x, y = (open_places.select("h", *(F.col(c).alias(f"{c}_{k}") for c in ("member", "n", "place", "c"))) for k in "ab")
-    met = x.join(y, "h").where((F.col("c_a") < F.col("c_b")) & (100 * F.least("n_a", "n_b") >= share * F.greatest("n_a", "n_b")))
+    need = F.ceil(share * (F.col("n_a") + F.col("n_b")) / (100 + share))
+    # The first shingle that two linked sets share lies early in both; those met here are counted from the
+    # first on without gaps, since one order holds for all sets.
+    early = (F.col("place_a") <= F.col("n_a") - need) & (F.col("place_b") <= F.col("n_b") - need)
+    met = x.join(y, "h").where((F.col("c_a") < F.col("c_b")) & (100 * F.least("n_a", "n_b") >= share * F.greatest("n_a", "n_b")) & early)
     shared = met.groupBy(F.col("member_a").alias("a"), F.col("member_b").alias("b"), "n_a", "n_b").agg(
         F.sum((F.col("place_a") >= 0).cast("int")).alias("shared"), F.max("place_a").alias("i"), F.max("place_b").alias("j"),
         F.min("place_a").alias("group_mark"))
     most = F.col("shared") + F.least(F.col("n_a") - F.col("i") - 1, F.col("n_b") - F.col("j") - 1)
-    need = F.ceil(share * (F.col("n_a") + F.col("n_b")) / (100 + share))
-    more = linked(shared.where((F.col("group_mark") < 0) | (most >= need)).select("a", "b"), sets, share)
-    found = components(links.union(stored(more)))
+    late = stored(shared.where((F.col("group_mark") < 0) | (most >= need)).select("a", "b"))
+    discard(labelled, open_places)
+    unread = members_of(late).join(sets.select("member"), "member", "left_anti")
+    late_sets = stored(whole_sets(rows, stored(members.join(unread, "member").select("doc_id", "member"))))
+    more = linked(late, sets.union(late_sets), share)
+    discard(sets, late_sets)
+    found = components(links.union(more))
 
     labels = members.join(found, F.col("member") == F.col("node"), "left").select(
         "member", "doc_id", F.coalesce("component", "member").alias("c"))
     names = labels.groupBy("c").agg(F.min("doc_id").alias("component_id"))
     of_member = stored(labels.select("member", "c").distinct().join(names, "c").select("member", "component_id"))
-    return signs.join(of_member, "member", "left").select(
+    return texts.join(of_member, "member", "left").select(
         "doc_id", "n_shingles", F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "doc_id")).alias("component_id"))
