@@ -152,6 +152,17 @@ def train_sample(docs: DataFrame, per_lang: int, most_chars: int) -> list[tuple[
     return [(g, s) for g in sorted(out) for s in out[g]]
 
 
+def learned(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
+    folds: int = 3, held_out: int = 1, per_lang: int = 256, landmarks: int = 256, ridge: float = 1e-3, most_chars: int = 20_000,
+) -> tuple[DataFrame, Model]:
+    """The rows under the operator's names with their fold, and the model."""
+    rows = only(docs, doc_id=id_col, text=text_col, lang=lang_col).withColumn("lang", F.col("lang").cast("string"))
+    rows = rows.withColumn("held_out", remainder(F.col("doc_id"), folds) == held_out)
+    sample = train_sample(rows, per_lang, most_chars)
+    return rows, fit([s for _, s in sample], [g for g, _ in sample], landmarks, ridge)
+
+
 def identify(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
     folds: int = 3, held_out: int = 1, per_lang: int = 256, landmarks: int = 256, ridge: float = 1e-3, most_chars: int = 20_000,
@@ -165,10 +176,7 @@ def identify(
     learned, is ``und`` with score 0. Equal scores go to the first language by name. Rows that repeat give
     repeated results; further columns are ignored.
     """
-    rows = only(docs, doc_id=id_col, text=text_col, lang=lang_col).withColumn("lang", F.col("lang").cast("string"))
-    rows = rows.withColumn("held_out", remainder(F.col("doc_id"), folds) == held_out)
-    sample = train_sample(rows, per_lang, most_chars)
-    model = fit([s for _, s in sample], [g for g, _ in sample], landmarks, ridge)
+    rows, model = learned(docs, id_col, text_col, lang_col, folds, held_out, per_lang, landmarks, ridge, most_chars)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -182,3 +190,21 @@ def identify(
     kept = rows.select("doc_id", F.coalesce("held_out", F.lit(False)).alias("held_out"), "text")
     kind = kept.schema["doc_id"].dataType.simpleString()
     return kept.mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+
+
+def recognised(docs: DataFrame, *, text_col: str = "text", least_score: float = 0.25, **training) -> DataFrame:
+    """The rows, with all columns, whose text is in a learned language; decided on each row by itself.
+
+    Trained like ``identify``.
+    """
+    _, model = learned(docs, text_col=text_col, **training)
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                langs, scores = decide(model, part.column(place).to_pylist())
+                yield part.filter(pa.array([g != UNKNOWN and s >= least_score for g, s in zip(langs, scores)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

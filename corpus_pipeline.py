@@ -17,7 +17,7 @@ if str(Path(__file__).resolve().parent) not in sys.path:
 
 from alphaframe.llm.common import stored
 from alphaframe.llm.exact_dedup import exact_dedup
-from alphaframe.llm.language_id import UNKNOWN, identify
+from alphaframe.llm.language_id import recognised
 from alphaframe.llm.ngram_join import near_duplicates
 from alphaframe.llm.queries import packed
 from alphaframe.llm.secret_scan import masked, scan_secrets
@@ -26,27 +26,44 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 LEAST_SCORE = 0.25
 
 
-def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """The documents whose id is not in ``dropped``; rows without id stay.
+def keyed(docs: DataFrame) -> DataFrame:
+    """All rows with a key of their own, ``row``: by doc_id, those without one last, then by the place in the stored input.
 
-    The ids are stored first, so that their size decides how the join runs before any text moves.
+    Read as they are, files give each row the same place each time; any other input is stored first.
     """
-    return docs.join(stored(dropped.select("doc_id").where("doc_id IS NOT NULL").distinct()), "doc_id", "left_anti").select(*COLUMNS)
+    if docs._jdf.queryExecution().analyzed().nodeName() != "LogicalRelation" or not docs.inputFiles():
+        docs = stored(docs)
+    place = F.xxhash64("_metadata.file_path", "_metadata.row_index")
+    return docs.select(*COLUMNS, F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", place.alias("place")).alias("row"))
+
+
+def one_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that come first in their group; ``groups`` has row and first, both keys.
+
+    Rows without id are held against each other: where a group has both kinds, one of each kind stays. The keys to
+    drop are stored first, so that their size decides how the join runs before any text moves.
+    """
+    later = stored(groups.where("row <> first").select("row", "first"))
+    apart = "row.missing AND NOT first.missing"
+    spared = stored(later.where(apart).groupBy("first").agg(F.min("row").alias("row")).select("row"))
+    return docs.join(stored(later.select("row").join(spared, "row", "left_anti")), "row", "left_anti").select(*COLUMNS)
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents in no language the model knows: no letter, or no class that fits at all."""
-    return without(docs, identify(docs).where((F.col("lang_pred") == UNKNOWN) | (F.col("score") < LEAST_SCORE)))
+    """Drop rows in no language the model knows: no letter, or no class that fits at all."""
+    return recognised(docs, least_score=LEAST_SCORE).select(*COLUMNS)
 
 
 def copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of equal texts."""
-    return without(docs, exact_dedup(docs).where("NOT kept"))
+    """Keep one row of each group of equal texts."""
+    docs = keyed(docs)
+    return one_of_each(docs, exact_dedup(docs, id_col="row").select(F.col("doc_id").alias("row"), F.col("keep_id").alias("first")))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each component of near-duplicates."""
-    return without(docs, near_duplicates(docs).where("doc_id <> component_id"))
+    """Keep one row of each component of near-duplicates."""
+    docs = keyed(docs)
+    return one_of_each(docs, near_duplicates(docs, id_col="row").select(F.col("doc_id").alias("row"), F.col("component_id").alias("first")))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -67,3 +67,25 @@ def test_odd_rows(spark):
     for _, stage in p.STAGES:
         empty = stage(spark, empty, SF)
     assert empty.count() == 0
+
+
+def test_decisions_take_effect_by_row(spark):
+    cat, chat = "the cat sat on the mat and the hat " * 3, "le chat et le chapeau de la maison " * 3
+    rows = [(k, f"{w} {t}", g, "a", 1) for k in range(1, 40) for w, t, g in [(f"w{k}x{k * 7}", *(((cat, "en"), (chat, "fr"))[k % 2]))]]
+    docs = spark.createDataFrame(
+        [*rows, (None, "123 !", "en", "a", 5), (None, None, "en", "a", None), (50, "567 ?", "en", "a", 5), (50, "the hat of the cat", "en", "b", 18)], SCHEMA)
+    got = p.languages(spark, docs, SF).collect()
+    assert len(got) == len(rows) + 1 and (50, "the hat of the cat") in {(r.doc_id, r.text) for r in got}
+
+    one, two = "one two three four five six seven eight nine ten", "red green blue black white grey pink brown gold silver"
+    docs = spark.createDataFrame(
+        [(7, one, "en", "a", 1)] * 5 + [(3, two, "en", "a", 1), (5, two, "en", "a", 1), (5, "alone " + one, "en", "a", 1)]
+        + [(None, "x y z w v u " + two, "en", "a", 1)] * 4, SCHEMA)
+    kept = [(3, two), (5, "alone " + one), (7, one), (None, "x y z w v u " + two)]
+    assert sorted(((r.doc_id, r.text) for r in p.copies(spark, docs, SF).collect()), key=str) == sorted(kept, key=str)
+    near = "alpha beta gamma delta " * 2 + " ".join(f"v{k}" for k in range(60))
+    docs = spark.createDataFrame(
+        [(2, near, "en", "a", 1), (4, near + " tail", "en", "a", 1), (4, one, "en", "a", 1), (9, two, "en", "a", 1)] + [(6, two, "en", "a", 1)] * 3
+        + [(None, near + " more", "en", "a", 1), (None, near + " other", "en", "b", 1)], SCHEMA)
+    got = [(r.doc_id, r.text) for r in p.near_copies(spark, docs, SF).collect()]
+    assert sorted(x for x in got if x[0]) == [(2, near), (4, one), (6, two)] and sum(x[0] is None for x in got) == 1
