@@ -23,6 +23,7 @@ from .common import only
 SPACE = (1 << 24) + (1 << 16) + (1 << 8)  # keys of all n-grams of one to three bytes
 BATCH = 32
 UNKNOWN = "und"
+LEAST_TEXTS = 20  # learned texts that a bound of the cover is taken from
 
 
 def gram_keys(text: str) -> np.ndarray:
@@ -53,14 +54,30 @@ def kernel(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
 
 @dataclass
 class Model:
-    """Weights of the landmarks' n-grams for each language."""
+    """Weights of the landmarks' n-grams for each language, and the least share of them in a text of such a language."""
 
     langs: list[str]
     keys: np.ndarray = field(default_factory=lambda: np.empty(0, np.int32))
     weights: np.ndarray = field(default_factory=lambda: np.empty((0, 0), np.float32))
+    least: float = 0.0
     name: str = field(default_factory=lambda: uuid4().hex)
 
 
+def least_cover(sets: list[np.ndarray], labels: list[str], chosen: list[int]) -> float:
+    """Half the share of known n-grams that all but one in a hundred learned texts of each language reach.
+
+    Each text is held out for its own share: of a landmark the n-grams count that another landmark has too.
+    """
+    if len(sets) < LEAST_TEXTS:
+        return 0.0
+    keys, times = np.unique(np.concatenate([sets[k] for k in chosen]), return_counts=True)
+    known, often = keys, keys[times > 1]
+    marks, covers = set(chosen), {}
+    for k, s in enumerate(sets):
+        covers.setdefault(labels[k], []).append(np.isin(s, often if k in marks else known).mean())
+    return min((float(np.quantile(c, 0.01)) / 2 for c in covers.values() if len(c) > 1), default=0.0)
+
+
 def fit(sets: list[np.ndarray], labels: list[str], landmarks: int, ridge: float) -> Model:
     """Ridge regression on Nyström features; every k-th text of each language is a landmark."""
     langs = sorted(set(labels))
@@ -81,7 +98,7 @@ def fit(sets: list[np.ndarray], labels: list[str], landmarks: int, ridge: float)
     weights = np.zeros((len(keys), len(langs)))
     for k, s in enumerate(marks):
         weights[np.searchsorted(keys, s)] += alpha[k] / np.sqrt(len(s))
-    return Model(langs, keys, weights.astype(np.float32))
+    return Model(langs, keys, weights.astype(np.float32), least_cover(sets, labels, chosen))
 
 
 _TABLES: dict[str, tuple[np.ndarray, np.ndarray]] = {}
@@ -99,9 +116,17 @@ def tables(model: Model) -> tuple[np.ndarray, np.ndarray]:
 
 def decide(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
     """Language and score (0 to 1) of each whole text."""
-    langs, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
+    return judge(model, texts)[:2]
+
+
+def judge(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Language and score (0 to 1) of each whole text, and whether it has enough known n-grams.
+
+    Its share of them may miss the model's least one by the error of a share of so few.
+    """
+    langs, scores, fits = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), bool)
     if not model.langs:
-        return langs, scores
+        return langs, scores, fits
     column, seen = tables(model)
     known = [k for k, t in enumerate(texts) if has_letter(t)]
     for at in range(0, len(known), BATCH):
@@ -120,7 +145,8 @@ def decide(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray
         for row, k in enumerate(part):
             langs[k] = model.langs[best[row]]
         scores[part] = np.clip((value[np.arange(len(part)), best] + 1) / 2, 0, 1)
-    return langs, scores
+        fits[part] = present.sum(axis=1) / sizes + 1 / np.sqrt(sizes) >= model.least
+    return langs, scores, fits
 
 
 def remainder(doc_id: Column, by: int) -> Column:
@@ -192,10 +218,11 @@ def identify(
     return kept.mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
 
 
-def recognised(docs: DataFrame, *, text_col: str = "text", least_score: float = 0.25, **training) -> DataFrame:
-    """The rows, with all columns, whose text is in a learned language; decided on each row by itself.
+def recognised(docs: DataFrame, *, text_col: str = "text", **training) -> DataFrame:
+    """The rows, with all columns, whose text has a letter and is in a learned language; decided on each row by itself.
 
-    Trained like ``identify``.
+    A text is in none if the share of its n-grams that the model knows is too small, see ``least_cover``; the score
+    tells languages apart and says nothing there. Trained like ``identify``; fewer than ``LEAST_TEXTS`` learned texts give no bound.
     """
     _, model = learned(docs, text_col=text_col, **training)
     place = docs.columns.index(text_col)
@@ -204,7 +231,6 @@ def recognised(docs: DataFrame, *, text_col: str = "text", least_score: float =
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                langs, scores = decide(model, part.column(place).to_pylist())
-                yield part.filter(pa.array([g != UNKNOWN and s >= least_score for g, s in zip(langs, scores)], pa.bool_()))
+                yield part.filter(pa.array(judge(model, part.column(place).to_pylist())[2]))
 
     return docs.mapInArrow(run, docs.schema)

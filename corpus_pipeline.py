@@ -23,7 +23,6 @@ from alphaframe.llm.queries import packed
 from alphaframe.llm.secret_scan import masked, scan_secrets
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-LEAST_SCORE = 0.25
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -51,7 +50,7 @@ def one_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop rows in no language the model knows: no letter, or no class that fits at all."""
-    return recognised(docs, least_score=LEAST_SCORE).select(*COLUMNS)
+    return recognised(docs).select(*COLUMNS)
 
 
 def copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

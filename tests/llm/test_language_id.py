@@ -1,8 +1,9 @@
+import random
 import zlib
 
 import numpy as np
 
-from alphaframe.llm.language_id import BATCH, decide, fit, gram_keys, identify, kernel
+from alphaframe.llm.language_id import BATCH, decide, fit, gram_keys, identify, judge, kernel, recognised
 from alphaframe.llm.queries import op6_language_id
 
 SCHEMA = "doc_id long, text string, lang string, held_out string"
@@ -52,3 +53,23 @@ def test_odd_rows(spark):
     none = identify(spark.createDataFrame([(1, "abc", None, None)], SCHEMA)).collect()
     assert [(r.lang_pred, r.score) for r in none] == [("und", 0.0)]
     assert identify(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+STRANGE = ["это совсем другой язык и никто его не знает", "日本語の文章です。これは学習されていません", "ภาษาที่ไม่ได้เรียนรู้", "это"]
+
+
+def test_unlearned_scripts_do_not_fit_and_short_texts_do(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    short = [" ".join(r.text.split()[3:6]) for r in docs.limit(60).collect() if len(r.text.split()) > 8]
+    more = [(10 ** 9 + k, t, None) for k, t in enumerate([*STRANGE, *short])]
+    got = {r.doc_id for r in recognised(docs.union(spark.createDataFrame(more, docs.schema))).collect()}
+    assert got == {r.doc_id for r in docs.collect() if any(c.isalpha() for c in r.text or "")} | {i for i, *_ in more[len(STRANGE):]}
+
+
+def test_a_text_of_all_languages_fits():
+    rng = random.Random(4)
+    shared = ["".join(rng.choices("abcdefgh", k=4)) for _ in range(40)]
+    texts = [" ".join(rng.choices(shared, k=30)) for _ in range(10)]
+    model = fit([np.unique(gram_keys(t)) for t in texts for _ in range(24)], [f"l{k:02}" for k in range(24)] * 10, 256, 1e-3)
+    langs, scores, fits = judge(model, [texts[0], *STRANGE])
+    assert scores[0] < 0.25 and list(fits) == [True] + [False] * len(STRANGE)
