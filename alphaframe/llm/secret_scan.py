@@ -30,7 +30,9 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ASSIGN_LEAST, ACCESS_LEAST = 8, 16
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{16,}")
+RUN = re.compile(r"[A-Za-z0-9+/_.=-]{8,}")  # no labelled credential is shorter
+CUTS, MARKS = re.compile(r"[=/.]"), "=./_-"
+REMEMBERED = 1 << 16
 
 Span = tuple[str, int, int]
 
@@ -66,6 +68,7 @@ def _classes() -> dict[int, str]:
 
 CLASS_OF = _classes()
 FLOOR = 1e-5
+LOG_FLOOR = math.log(FLOOR)
 
 
 @dataclass
@@ -75,14 +78,20 @@ class Automaton:
     ends: list[float]
     steps: list[dict[str, tuple[float, int]]]
 
+    def __post_init__(self) -> None:
+        self.likeliest = [max(x.values(), default=(0.0, k))[1] for k, x in enumerate(self.steps)]
+
     def log_likelihood(self, shape: str) -> float:
         total, state = 0.0, 0
         for c in shape:
             step = self.steps[state].get(c)
             if step is None:
-                return -math.inf
-            total += step[0]
-            state = step[1]
+                # A class not seen here stands in for the likeliest one.
+                total += LOG_FLOOR
+                state = self.likeliest[state]
+            else:
+                total += step[0]
+                state = step[1]
         return total + self.ends[state]
 
 
@@ -172,27 +181,81 @@ def ordinary(shapes: Counter[str]) -> Ordinary:
     return Ordinary({p: math.log((n + 0.5) / (firsts[p[0]] + 0.5 * kinds)) for p, n in pairs.items()}, math.log(FLOOR))
 
 
+def outside(a: int, b: int, base: list[Span]) -> list[tuple[int, int]]:
+    """What of a run lies outside the base spans, which come by start."""
+    out = []
+    for _, x, y in base:
+        if x < b and a < y:
+            if a < x:
+                out.append((a, x))
+            a = max(a, y)
+    return [*out, (a, b)] if a < b else out
+
+
+def parts(text: str, a: int, b: int, least: int, most: int) -> set[tuple[int, int]]:
+    """Candidates of a run: the whole, what lies between its cuts, and joined neighbours of those.
+
+    Neighbours are joined up to ``most`` characters, and up to the next ``=`` in any case. Each is taken as it
+    stands and without the marks at either end or both, if ``least`` characters are left.
+    """
+    cuts = [a, *(m.end() for m in CUTS.finditer(text, a, b)), b + 1]
+    ranges = {(a, b)}
+    if len(cuts) > 2:
+        for i, x in enumerate(cuts[:-1]):
+            for j in range(i + 1, len(cuts)):
+                if j > i + 1 and cuts[j] - 1 - x > most:
+                    break
+                ranges.add((x, cuts[j] - 1))
+        equals = [a, *(c for c in cuts[1:-1] if text[c - 1] == "="), b + 1]
+        ranges.update((x, y - 1) for x, y in zip(equals, equals[1:]))
+    out = set()
+    for x, y in ranges:
+        if y - x >= least:
+            piece = text[x:y]
+            low, high = y - len(piece.lstrip(MARKS)), x + len(piece.rstrip(MARKS))
+            out.update((c, d) for c, d in ((x, y), (low, y), (x, high), (low, high)) if d - c >= least)
+    return out
+
+
 @dataclass
 class Formats:
     automata: dict[str, Automaton]
     plain: Ordinary | None
     least: float
+    shortest: int = ASSIGN_LEAST  # of the learned credentials
+    longest: int = 256
+
+    def __post_init__(self) -> None:
+        self.known: dict[str, float] = {}
 
     def score(self, token: str) -> float:
-        """log of how much likelier the token is as a credential than as an ordinary token."""
+        """log of how much likelier the token is as a credential than as an ordinary token, which marks at its ends are no part of."""
         if not self.automata or self.plain is None:
             return -math.inf
         shape = token.translate(CLASS_OF)
-        return max(a.log_likelihood(shape) for a in self.automata.values()) - self.plain.log_likelihood(shape)
+        got = self.known.get(shape)
+        if got is None:
+            if len(self.known) >= REMEMBERED:
+                self.known.clear()
+            got = max(a.log_likelihood(shape) for a in self.automata.values()) - self.plain.log_likelihood(shape.strip(MARKS))
+            if len(shape) <= 64:
+                self.known[shape] = got
+        return got
 
     def spans(self, text: str) -> tuple[list[Span], list[Span]]:
-        """Base spans, and with them the candidates of credential format that touch none of them."""
+        """Base spans, and with them the candidates of credential format outside of them, best first."""
         base = base_spans(text)
         added = []
-        for m in CANDIDATE.finditer(text):
-            a, b = m.span()
-            if not any(x < b and a < y for _, x, y in base) and self.score(m[0]) >= self.least:
-                added.append((ADDED, a, b))
+        for m in RUN.finditer(text) if self.automata else ():
+            for a, b in outside(*m.span(), base):
+                if b - a < self.shortest:
+                    continue
+                good = [(-s, x, y) for x, y in parts(text, a, b, self.shortest, self.longest) if (s := self.score(text[x:y])) >= self.least]
+                taken: list[tuple[int, int]] = []
+                for _, x, y in sorted(good):
+                    if not any(c < y and x < d for c, d in taken):
+                        taken.append((x, y))
+                added += [(ADDED, x, y) for x, y in taken]
         return base, sorted(base + added, key=lambda s: (s[1], (*KINDS, ADDED).index(s[0])))
 
 
@@ -202,7 +265,7 @@ def train_rows(texts: list[str]) -> Iterator[tuple[str, str]]:
         base = base_spans(text)
         for s in base:
             yield s[0], value_of(text, s)[:256].translate(CLASS_OF)
-        for m in CANDIDATE.finditer(text):
+        for m in RUN.finditer(text):
             if not any(x < m.end() and m.start() < y for _, x, y in base):
                 yield "plain", m[0][:256].translate(CLASS_OF)
 
@@ -230,7 +293,8 @@ def learn(docs: DataFrame, *, train_docs: int = 20_000, per_kind: int = 1000, al
         for r in shapes.where(F.col("kind") == kind).orderBy(F.desc("n"), "shape").limit(most).collect():
             found[kind][r["shape"]] = r["n"]
     plain = ordinary(found["plain"]) if found["plain"] else ordinary(Counter({"g" * 8: 1}))
-    return Formats({k: infer(found[k], alpha) for k in KINDS if found[k]}, plain, least)
+    sizes = [len(x) for k in KINDS for x in found[k]] or [ASSIGN_LEAST]
+    return Formats({k: infer(found[k], alpha) for k in KINDS if found[k]}, plain, least, min(sizes), max(sizes))
 
 
 def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", formats: Formats | None = None, **training) -> DataFrame:
