@@ -1,6 +1,6 @@
 """Secret scans: fixed patterns, and automata inferred from the credentials that they find.
 
-The patterns label credentials. From a bounded sample of those, a probabilistic automaton is
+The patterns label credentials. From a bounded sample of all their forms, a probabilistic automaton is
 inferred for each kind: the prefix tree of the credentials' character classes, whose states are merged where
 their outgoing and ending frequencies agree within a confidence bound. Every other long token of
 every text is then scored: its likelihood under the best automaton against its likelihood as an
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import only
+from .common import only, stored
 
 KINDS = ("assign", "access", "hex")
 ADDED = "format"
@@ -33,6 +33,7 @@ ASSIGN_LEAST, ACCESS_LEAST = 8, 16
 RUN = re.compile(r"[A-Za-z0-9+/_.=-]{8,}")  # no labelled credential is shorter
 CUTS, MARKS = re.compile(r"[=/.]"), "=./_-"
 REMEMBERED = 1 << 16
+SHAPE_MOST, GOES_ON = 256, "\n"  # a longer shape is cut there and marked as going on
 
 Span = tuple[str, int, int]
 
@@ -99,21 +100,22 @@ def infer(shapes: Counter[str], alpha: float = 0.05) -> Automaton:
     """Merge states of the prefix tree, in breadth-first order, where frequencies are compatible.
 
     Two states are compatible if their ending frequency and that of each class differ by less than
-    the Hoeffding bound at ``alpha``, and so do the states behind them.
+    the Hoeffding bound at ``alpha``, and so do the states behind them. What stands behind a cut is taken
+    to go on like what stands before.
     """
     # By state: how many come, how many end, and by class how many go on and where to.
     count, end, flow, step = [0], [0], [Counter()], [{}]
     for shape, n in sorted(shapes.items()):
-        s = 0
+        s, cut = 0, shape.endswith(GOES_ON)
         count[0] += n
-        for c in shape:
+        for k, c in enumerate(shape := shape.rstrip(GOES_ON), 1):
             if c not in step[s]:
                 step[s][c] = len(count)
                 count.append(0), end.append(0), flow.append(Counter()), step.append({})
             flow[s][c] += n
             s = step[s][c]
-            count[s] += n
-        end[s] += n
+            count[s] += n if k < len(shape) or not cut else 0
+        end[s] += 0 if cut else n
     width = math.sqrt(0.5 * math.log(2 / alpha))
 
     def differ(a: int, n: int, b: int, m: int) -> bool:
@@ -123,6 +125,8 @@ def infer(shapes: Counter[str], alpha: float = 0.05) -> Automaton:
         work = [(a, b)]
         while work:
             a, b = work.pop()
+            if not count[a] or not count[b]:
+                continue
             if differ(end[a], count[a], end[b], count[b]) or any(
                     differ(flow[a][c], count[a], flow[b][c], count[b]) for c in step[a].keys() | step[b].keys()):
                 return False
@@ -147,7 +151,7 @@ def infer(shapes: Counter[str], alpha: float = 0.05) -> Automaton:
     while edge := next(((r, c) for r in settled for c in sorted(step[r]) if step[r][c] not in done), None):
         parent, c = edge
         s = step[parent][c]
-        target = next((r for r in settled if compatible(r, s)), None)
+        target = next((r for r in settled if compatible(r, s)), None) if count[s] else parent
         if target is None:
             settled.append(s)
             done.add(s)
@@ -259,39 +263,69 @@ class Formats:
         return base, sorted(base + added, key=lambda s: (s[1], (*KINDS, ADDED).index(s[0])))
 
 
-def train_rows(texts: list[str]) -> Iterator[tuple[str, str]]:
-    """Kind and shape of each credential, and of each ordinary token (kind ``plain``)."""
-    for text in texts:
+def shape_of(token: str) -> str:
+    return token[:SHAPE_MOST].translate(CLASS_OF) + GOES_ON * (len(token) > SHAPE_MOST)
+
+
+def form_of(shape: str) -> str:
+    return f"{len(shape)} {''.join(sorted(set(shape)))}"
+
+
+def train_rows(texts: list[str], ordinary_too: list[bool]) -> Iterator[tuple[str, str]]:
+    """Kind and shape of each credential, and where asked for of each ordinary token (kind ``plain``)."""
+    for text, too in zip(texts, ordinary_too):
         base = base_spans(text)
         for s in base:
-            yield s[0], value_of(text, s)[:256].translate(CLASS_OF)
-        for m in RUN.finditer(text):
+            yield s[0], shape_of(value_of(text, s))
+        for m in RUN.finditer(text) if too else ():
             if not any(x < m.end() and m.start() < y for _, x, y in base):
-                yield "plain", m[0][:256].translate(CLASS_OF)
+                yield "plain", m[0][:SHAPE_MOST].translate(CLASS_OF)
 
 
-def learn(docs: DataFrame, *, train_docs: int = 20_000, per_kind: int = 1000, alpha: float = 0.05, least: float = 20.0) -> Formats:
-    """Infer the automata from the credentials of at most about ``train_docs`` documents.
+def learn(
+    docs: DataFrame, *, train_docs: int = 20_000, per_kind: int = 1000, alpha: float = 0.05, least: float = 20.0, per_form: int = 20,
+) -> Formats:
+    """Infer the automata from the credentials of all documents.
 
-    Those are taken by a hash of their id. Of each kind the ``per_kind`` most frequent shapes are
-    used with their counts, of ordinary tokens twenty times as many.
+    Of each kind the ``per_kind`` most frequent shapes are used with their counts, and of each form (a length and a set
+    of classes) about ``per_form`` more, which stand for all of that form. Ordinary tokens are those of about
+    ``train_docs`` documents, taken by a hash of their id, the most frequent twenty times ``per_kind`` shapes.
     """
     n = docs.count()
-    sample = docs.where(F.xxhash64("doc_id").cast("double") / F.lit(2.0 ** 64) + 0.5 <= F.lit(min(1.0, train_docs / max(n, 1))))
+    sampled = F.xxhash64("doc_id").cast("double") / F.lit(2.0 ** 64) + 0.5 <= F.lit(min(1.0, train_docs / max(n, 1)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
-                got = Counter(train_rows([t or "" for t in batch.column("text").slice(at, SLICE).to_pylist()]))
+                part = batch.slice(at, SLICE)
+                got = Counter(train_rows([t or "" for t in part.column("text").to_pylist()], part.column("sampled").to_pylist()))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([k for k, _ in got], pa.string()), pa.array([s for _, s in got], pa.string()), pa.array(got.values(), pa.int64())],
-                    names=["kind", "shape", "n"])
+                    [pa.array([k for k, _ in got], pa.string()), pa.array([form_of(s) for _, s in got], pa.string()),
+                     pa.array([s for _, s in got], pa.string()), pa.array(got.values(), pa.int64())], names=["kind", "form", "shape", "n"])
 
-    shapes = sample.select("text").mapInArrow(run, "kind string, shape string, n long").groupBy("kind", "shape").agg(F.sum("n").alias("n"))
+    shapes = stored(
+        docs.select("text", sampled.alias("sampled")).mapInArrow(run, "kind string, form string, shape string, n long")
+        .groupBy("kind", "form", "shape").agg(F.sum("n").alias("n")))
     found: dict[str, Counter[str]] = defaultdict(Counter)
     for kind, most in [*((k, per_kind) for k in KINDS), ("plain", 20 * per_kind)]:
         for r in shapes.where(F.col("kind") == kind).orderBy(F.desc("n"), "shape").limit(most).collect():
             found[kind][r["shape"]] = r["n"]
+    # Of a form with many shapes those below a share of the hash range, a few more than are kept.
+    forms = shapes.where("kind <> 'plain'").groupBy("kind", "form").agg(F.count("*").alias("shapes"), F.sum("n").alias("total"))
+    order = F.xxhash64("shape")
+    share = F.lit(2.0 * per_form + 20) / F.col("shapes")
+    few = shapes.join(forms, ["kind", "form"]).where(order.cast("double") / F.lit(2.0 ** 64) + 0.5 <= share)
+    by_form: dict[tuple[str, str], list] = defaultdict(list)
+    for r in few.select("kind", "form", "shape", "n", "total", order.alias("at")).collect():
+        by_form[r["kind"], r["form"]].append(r)
+    covered: Counter[tuple[str, str]] = Counter()
+    for k in KINDS:
+        for s, c in found[k].items():
+            covered[k, form_of(s)] += c
+    for (kind, form), rows in sorted(by_form.items()):
+        more = [r for r in sorted(rows, key=lambda r: (r["at"], r["shape"])) if r["shape"] not in found[kind]][:per_form]
+        times = (rows[0]["total"] - covered[kind, form]) / max(1, sum(r["n"] for r in more))
+        found[kind].update({r["shape"]: max(1, round(r["n"] * times)) for r in more})
     plain = ordinary(found["plain"]) if found["plain"] else ordinary(Counter({"g" * 8: 1}))
     sizes = [len(x) for k in KINDS for x in found[k]] or [ASSIGN_LEAST]
     return Formats({k: infer(found[k], alpha) for k in KINDS if found[k]}, plain, least, min(sizes), max(sizes))

@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from alphaframe.llm.queries import op5_secret_scan
-from alphaframe.llm.secret_scan import CLASS_OF, base_spans, infer, joined, ordinary, scan_secrets
+from alphaframe.llm.secret_scan import CLASS_OF, GOES_ON, base_spans, infer, joined, ordinary, scan_secrets
 
 SCHEMA = "doc_id long, text string, base string"
 ALNUM = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
@@ -83,3 +83,14 @@ def test_unlabelled_credentials_are_found_wherever_they_stand(spark):
     got = {r.doc_id: r.spans for r in scan_secrets(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert {k: [(s.start, s.end) for s in got[k] if s.kind == "format"] for k in want} == {k: [v] for k, v in want.items()}
     assert not any(s.kind == "format" for k in range(300) for s in got[k])
+
+
+def test_rare_formats_are_learned_and_cut_shapes_do_not_end(spark):
+    rng = random.Random(9)
+    draw = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    rows = [(k, f"ordinarywords andlongerwords secret={draw('0123456789abcdef', 20)} overlongwordings", "x") for k in range(1500)]
+    rows += [(k, f"ordinarywords andlongerwords secret={draw('QRSTUVWXYZ', 24)} overlongwordings", "x") for k in range(1500, 1504)]
+    rows.append((9999, f"ordinarywords {draw('QRSTUVWXYZ', 24)} andlongerwords", "x"))
+    got = scan_secrets(spark.createDataFrame(rows, SCHEMA), train_docs=60, per_kind=50).where("doc_id = 9999").collect()
+    assert [(s.kind, s.start, s.end) for s in got[0].spans] == [("format", 14, 38)]
+    assert max(infer(Counter({"0" * 256 + GOES_ON: 40, "a0" * 128 + GOES_ON: 40})).ends) < -11
