@@ -153,10 +153,10 @@ def remainder(doc_id: Column, by: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % by
 
 
-def train_sample(docs: DataFrame, per_lang: int, most_chars: int) -> list[tuple[str, np.ndarray]]:
+def train_sample(docs: DataFrame, per_lang: int) -> list[tuple[str, np.ndarray]]:
     """At most ``per_lang`` labelled texts of each language, as sorted distinct n-gram keys."""
     able = docs.where(
-        "lang IS NOT NULL AND text IS NOT NULL AND NOT coalesce(held_out, true)").where(F.length("text").between(1, most_chars))
+        "lang IS NOT NULL AND text IS NOT NULL AND NOT coalesce(held_out, true)").where(F.length("text") >= 1)
     order = F.xxhash64("doc_id")
     counts = {r["lang"]: r["n"] for r in able.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
@@ -180,29 +180,28 @@ def train_sample(docs: DataFrame, per_lang: int, most_chars: int) -> list[tuple[
 
 def learned(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-    folds: int = 3, held_out: int = 1, per_lang: int = 256, landmarks: int = 256, ridge: float = 1e-3, most_chars: int = 20_000,
+    folds: int = 3, held_out: int = 1, per_lang: int = 256, landmarks: int = 256, ridge: float = 1e-3,
 ) -> tuple[DataFrame, Model]:
     """The rows under the operator's names with their fold, and the model."""
     rows = only(docs, doc_id=id_col, text=text_col, lang=lang_col).withColumn("lang", F.col("lang").cast("string"))
     rows = rows.withColumn("held_out", remainder(F.col("doc_id"), folds) == held_out)
-    sample = train_sample(rows, per_lang, most_chars)
+    sample = train_sample(rows, per_lang)
     return rows, fit([s for _, s in sample], [g for g, _ in sample], landmarks, ridge)
 
 
 def identify(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-    folds: int = 3, held_out: int = 1, per_lang: int = 256, landmarks: int = 256, ridge: float = 1e-3, most_chars: int = 20_000,
+    folds: int = 3, held_out: int = 1, per_lang: int = 256, landmarks: int = 256, ridge: float = 1e-3,
 ) -> DataFrame:
     """One row per input row: doc_id, held_out, lang_pred, score.
 
-    The model learns from at most ``per_lang`` texts of each language (of up to ``most_chars``
-    characters), taken by a hash of the id from rows whose ``lang`` is not null and whose crc32(id) mod
+    The model learns from at most ``per_lang`` texts of each language, whatever their length, taken by a hash of the id from rows whose ``lang`` is not null and whose crc32(id) mod
     ``folds`` is not ``held_out``; a null id is never learned from and not held out. Every text is
     scored whole. A null text, one without a letter, and every text where no language could be
     learned, is ``und`` with score 0. Equal scores go to the first language by name. Rows that repeat give
     repeated results; further columns are ignored.
     """
-    rows, model = learned(docs, id_col, text_col, lang_col, folds, held_out, per_lang, landmarks, ridge, most_chars)
+    rows, model = learned(docs, id_col, text_col, lang_col, folds, held_out, per_lang, landmarks, ridge)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -73,3 +73,9 @@ def test_a_text_of_all_languages_fits():
     model = fit([np.unique(gram_keys(t)) for t in texts for _ in range(24)], [f"l{k:02}" for k in range(24)] * 10, 256, 1e-3)
     langs, scores, fits = judge(model, [texts[0], *STRANGE])
     assert scores[0] < 0.25 and list(fits) == [True] + [False] * len(STRANGE)
+
+
+def test_a_language_of_long_texts_is_learned(spark):
+    rows = [(k, "the cat and the hat", "en", "x") for k in range(12)] + [(k, "le chat et le chapeau " * 1200, "fr", "x") for k in range(12, 24)]
+    rows.append((99, "le chapeau", None, "x"))
+    assert {r.doc_id: r.lang_pred for r in identify(spark.createDataFrame(rows, SCHEMA)).collect()}[99] == "fr"
