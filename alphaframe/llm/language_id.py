@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import only
+from .common import only, stored
 
 SPACE = (1 << 24) + (1 << 16) + (1 << 8)  # keys of all n-grams of one to three bytes
 BATCH = 32
@@ -154,28 +154,38 @@ def remainder(doc_id: Column, by: int) -> Column:
 
 
 def train_sample(docs: DataFrame, per_lang: int) -> list[tuple[str, np.ndarray]]:
-    """At most ``per_lang`` labelled texts of each language, as sorted distinct n-gram keys."""
-    able = docs.where(
-        "lang IS NOT NULL AND text IS NOT NULL AND NOT coalesce(held_out, true)").where(F.length("text") >= 1)
-    order = F.xxhash64("doc_id")
-    counts = {r["lang"]: r["n"] for r in able.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    """At most ``per_lang`` labelled texts of each language, as sorted distinct n-gram keys; equal rows count once."""
+    able = docs.where("lang IS NOT NULL AND text IS NOT NULL AND NOT coalesce(held_out, true)").where(
+        F.col("text").rlike(r"\p{L}")).withColumn("at", F.xxhash64("doc_id", "text"))
+    hashes = stored(able.select("lang", "at").distinct())
+    counts = {r["lang"]: r["n"] for r in hashes.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return []
-    # Of each language the rows below a share of the hash range, about twice as many as are kept.
+    # Of each language the hashes below a share of their range, about twice as many as are kept.
     share = F.create_map(*[x for g, n in counts.items() for x in (F.lit(g), F.lit(min(1.0, 2 * per_lang / n + 20 / n)))])[F.col("lang")]
-    near = able.where((order.cast("double") / F.lit(2.0 ** 64) + 0.5) <= share)
+    low: dict[str, list[int]] = {g: [] for g in counts}
+    for r in hashes.where((F.col("at").cast("double") / F.lit(2.0 ** 64) + 0.5) <= share).collect():
+        low[r["lang"]].append(r["at"])
+    last = {g: sorted(x)[:per_lang][-1] for g, x in low.items() if x}
+    if not last:
+        return []
+    edge = F.create_map(*[x for g, n in last.items() for x in (F.lit(g), F.lit(n))])[F.col("lang")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[tuple[str, int]] = set()  # of the chosen texts only
         for batch in batches:
-            keys = [np.unique(gram_keys(t)).astype("<i4").tobytes() if has_letter(t) else None for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("at"), pa.array(keys, pa.binary())], names=["lang", "at", "keys"])
+            new = []
+            for k, x in enumerate(zip(batch.column("lang").to_pylist(), batch.column("at").to_pylist())):
+                if x not in done:
+                    done.add(x)
+                    new.append(k)
+            part = batch.take(pa.array(new, pa.int32()))
+            keys = [np.unique(gram_keys(t)).astype("<i4").tobytes() if has_letter(t) else None for t in part.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column("lang"), part.column("at"), pa.array(keys, pa.binary())], names=["lang", "at", "keys"])
 
-    rows = near.select("lang", order.alias("at"), "text").mapInArrow(run, "lang string, at long, keys binary").where("keys IS NOT NULL").collect()
-    out: dict[str, list] = {g: [] for g in counts}
-    for r in sorted(rows, key=lambda r: (r["at"], bytes(r["keys"]))):
-        if len(out[r["lang"]]) < per_lang:
-            out[r["lang"]].append(np.frombuffer(bytes(r["keys"]), "<i4"))
-    return [(g, s) for g in sorted(out) for s in out[g]]
+    chosen = able.where(F.col("at") <= edge).select("lang", "at", "text").mapInArrow(run, "lang string, at long, keys binary")
+    rows = chosen.where("keys IS NOT NULL").groupBy("lang", "at").agg(F.min("keys").alias("keys")).collect()  # per_lang of each language at most
+    return [(r["lang"], np.frombuffer(bytes(r["keys"]), "<i4")) for r in sorted(rows, key=lambda r: (r["lang"], r["at"]))]
 
 
 def learned(
@@ -195,7 +205,7 @@ def identify(
 ) -> DataFrame:
     """One row per input row: doc_id, held_out, lang_pred, score.
 
-    The model learns from at most ``per_lang`` texts of each language, whatever their length, taken by a hash of the id from rows whose ``lang`` is not null and whose crc32(id) mod
+    The model learns from at most ``per_lang`` texts of each language, whatever their length, taken by a hash of id and text from rows whose ``lang`` is not null and whose crc32(id) mod
     ``folds`` is not ``held_out``; a null id is never learned from and not held out. Every text is
     scored whole. A null text, one without a letter, and every text where no language could be
     learned, is ``und`` with score 0. Equal scores go to the first language by name. Rows that repeat give

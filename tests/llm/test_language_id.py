@@ -3,7 +3,7 @@ import zlib
 
 import numpy as np
 
-from alphaframe.llm.language_id import BATCH, decide, fit, gram_keys, identify, judge, kernel, recognised
+from alphaframe.llm.language_id import BATCH, decide, fit, gram_keys, identify, judge, kernel, recognised, train_sample
 from alphaframe.llm.queries import op6_language_id
 
 SCHEMA = "doc_id long, text string, lang string, held_out string"
@@ -79,3 +79,10 @@ def test_a_language_of_long_texts_is_learned(spark):
     rows = [(k, "the cat and the hat", "en", "x") for k in range(12)] + [(k, "le chat et le chapeau " * 1200, "fr", "x") for k in range(12, 24)]
     rows.append((99, "le chapeau", None, "x"))
     assert {r.doc_id: r.lang_pred for r in identify(spark.createDataFrame(rows, SCHEMA)).collect()}[99] == "fr"
+
+
+def test_rows_that_repeat_an_id_do_not_fill_the_sample(spark):
+    rows = [(1, "the cat and the hat", "en", False)] * 300 + [(1, f"the dog number {k}", "en", False) for k in range(300)] + [(2, "le chat", "fr", False)] * 50
+    got = train_sample(spark.createDataFrame(rows, "doc_id long, text string, lang string, held_out boolean"), 20)
+    assert sum(g == "en" for g, _ in got) == 20 and sum(g == "fr" for g, _ in got) == 1
+    assert len({s.tobytes() for g, s in got if g == "en"}) == 20
