@@ -12,6 +12,7 @@ from .byte_repeats import remove_repeats
 from .common import stored, table
 from .exact_dedup import exact_dedup
 from .language_id import identify
+from .line_rules import BOILERPLATE, MARKS, MENU, SEPARATORS, SYMBOLS, clean_lines
 from .maxent_lm import score_texts
 from .ngram_join import near_duplicates
 from .packing import best_fit_pack, token_pieces
@@ -165,3 +166,46 @@ WINDOW same AS (PARTITION BY norm)
 @query
 def op10_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clean_lines(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        "n_lines", "removed.navigation", "removed.boilerplate", "removed.punctuation", "lost_chars")
+
+
+ORACLES["op13_line_rules"] = rf"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
+), win AS MATERIALIZED (
+  SELECT k, unnest(range(1, len(w) - 6)) AS i, unnest(list_transform(range(1, len(w) - 6), lambda j: array_to_string(w[j:j + 7], ' '))) AS s FROM d
+), again AS (SELECT k, i FROM (SELECT *, count(*) OVER (PARTITION BY k, s) AS n FROM win) WHERE n > 1
+), covered AS (
+  SELECT k, sum(least(8, i - coalesce(before, -8))) AS n FROM (SELECT k, i, lag(i) OVER (PARTITION BY k ORDER BY i) AS before FROM again) GROUP BY 1
+), line AS (
+  SELECT k, unnest(lines) AS line FROM d
+), sized AS (
+  SELECT k, line, translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low,
+         len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words,
+         length(line) - length(translate(line, '{SEPARATORS}', '')) AS between,
+         length(line) - length(translate(line, '{SYMBOLS}', '')) AS symbols,
+         length(regexp_replace(line, '[\x20\x09-\x0D]+', '', 'g')) AS chars FROM line
+), judged AS (
+  SELECT k, line, chars, CASE WHEN words = 0 THEN NULL
+           WHEN regexp_matches(low, '{MENU}') OR (between >= 2 AND 4 * between >= words) THEN 'navigation'
+           WHEN regexp_matches(low, '{BOILERPLATE}') THEN 'boilerplate'
+           WHEN 3 * symbols > words OR (words >= 8 AND NOT regexp_matches(line, '{MARKS}')) THEN 'punctuation' END AS fails, words FROM sized
+), per AS (
+  SELECT k, count(*) FILTER (words > 0) AS n_lines, count(*) FILTER (words > 0) - count(DISTINCT line) FILTER (words > 0) AS n_dup_lines,
+         count(*) FILTER (fails = 'navigation') AS navigation, count(*) FILTER (fails = 'boilerplate') AS boilerplate,
+         count(*) FILTER (fails = 'punctuation') AS punctuation, coalesce(sum(chars) FILTER (fails IS NOT NULL), 0)::BIGINT AS lost_chars,
+         sum(chars)::BIGINT AS word_chars FROM judged GROUP BY 1
+), based AS (
+  SELECT doc_id, len(w) AS n_words, word_chars, length(text) - length(translate(text, '{SYMBOLS}', '')) AS n_symbols,
+         n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words, n_lines, navigation, boilerplate, punctuation, lost_chars
+  FROM d JOIN per USING (k) LEFT JOIN covered USING (k)
+), failed AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM based)
+SELECT *, NOT base_failed AND 100 * lost_chars <= 50 * word_chars AS kept FROM failed
+"""
