@@ -18,6 +18,7 @@ from .ngram_join import near_duplicates
 from .packing import best_fit_pack, token_pieces
 from .piece_codec import encode_pieces
 from .secret_scan import scan_secrets
+from .term_scan import search
 from .vector_forest import near_vectors
 from .warc import archive
 
@@ -209,3 +210,35 @@ WITH d AS MATERIALIZED (
 ), failed AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM based)
 SELECT *, NOT base_failed AND 100 * lost_chars <= 50 * word_chars AS kept FROM failed
 """
+
+
+@query
+def op11_term_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLES["op11_term_scan"] = r"""
+WITH words AS MATERIALIZED (
+  SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+), sized AS MATERIALIZED (SELECT k, doc_id, len(w) AS n FROM words WHERE len(w) > 0
+), whole AS (SELECT count(*) AS big_n, CAST(sum(n) AS BIGINT) AS big_l FROM sized
+), item AS MATERIALIZED (
+  SELECT item_id, term, count(*) AS times FROM (
+    SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark WHERE item_id IS NOT NULL) GROUP BY ALL
+), hit AS MATERIALIZED (
+  SELECT k, term, count(*) AS tf FROM (SELECT k, unnest(w) AS term FROM words) WHERE term IN (SELECT term FROM item) GROUP BY ALL
+), weight AS (
+  SELECT term, CAST(floor(1000 * ln((2 * big_n + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w FROM hit, whole GROUP BY term, big_n
+), gain AS (
+  SELECT k, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * big_n) // big_l))) AS gain
+  FROM hit JOIN weight USING (term) JOIN sized USING (k), whole
+), scored AS (
+  SELECT item_id, k, CAST(sum(times * gain) AS BIGINT) AS score FROM item JOIN gain USING (term) GROUP BY 1, 2
+), ranked AS (
+  SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score
+  FROM scored JOIN sized USING (k) WHERE score > 0
+)
+SELECT * FROM ranked WHERE rank <= 10
+"""
