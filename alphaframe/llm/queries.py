@@ -19,6 +19,7 @@ from .packing import best_fit_pack, token_pieces
 from .piece_codec import encode_pieces
 from .secret_scan import scan_secrets
 from .term_scan import search
+from .turn_repair import damaged, repair_reports
 from .vector_forest import near_vectors
 from .warc import archive
 
@@ -242,3 +243,66 @@ WITH words AS MATERIALIZED (
 )
 SELECT * FROM ranked WHERE rank <= 10
 """
+
+
+@query
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    reports = repair_reports(damaged(rows))
+    named = rows.select(F.col("conv_id").alias("id")).distinct()
+    figures = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return named.join(reports, F.col("id").eqNullSafe(F.col("conv_id")), "left").select(
+        F.col("id").alias("conv_id"), *figures, F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+ORACLES["op12_turn_repair"] = r"""
+WITH RECURSIVE hit AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(
+           string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ascii(x)::BIGINT)),
+           lambda c, b: list_reduce(list_prepend(xor(c, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+             lambda x, y: xor(x >> 1, 3988292384 * (x & 1))))) % 20 AS hit FROM conversations
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN hit = 4 THEN 'user' ELSE role END AS role,
+         CASE hit WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(CASE WHEN hit = 3 THEN [0, 1] ELSE [0] END) AS copy FROM hit WHERE hit <> 0
+), placed AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM damaged
+), faulted AS MATERIALIZED (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank'
+      WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+      WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' END AS fault,
+    lag(role[1]) OVER (PARTITION BY conv_id ORDER BY i) || role[1] NOT IN ('su', 'ua', 'au') AS illegal FROM placed
+), figures AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+         count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+         count(*) FILTER (illegal) AS illegal, max(i) AS last FROM faulted GROUP BY 1
+), ins(state, more, here) AS (  -- 0 start, 1 after system, 2 after user, 3 after assistant
+  VALUES (0, 0, 0), (0, 1, 2), (0, 2, 3), (1, 0, 1), (1, 1, 2), (1, 2, 3), (2, 0, 2), (2, 1, 3), (2, 2, 2), (3, 0, 3), (3, 1, 2), (3, 2, 3)
+), edit(here, kind, next) AS (
+  VALUES (0, 'R', 2), (1, 'R', 2), (2, 'R', 3), (3, 'R', 2), (0, 'D', 0), (1, 'D', 1), (2, 'D', 2), (3, 'D', 3),
+         (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)
+), added AS (
+  SELECT state, more, here, list_transform(range(1, more + 1), lambda k: CASE WHEN (state IN (0, 1, 3)) = (k % 2 = 1) THEN 'user:' ELSE 'assistant:' END) AS turns FROM ins
+), walk(conv_id, i, state, best) AS (
+  SELECT conv_id, 0::BIGINT, 0, {'cost': 0::BIGINT, 'audit': '', 'turns': []::VARCHAR[]} FROM figures
+  UNION ALL
+  SELECT w.conv_id, w.i + 1, e.next, min({
+      'cost': w.best.cost + 3 * n.more + CASE e.kind WHEN 'D' THEN 4 WHEN 'R' THEN 3 ELSE 0 END + CASE WHEN f.fault = 'truncated' AND e.kind <> 'D' THEN 3 ELSE 0 END,
+      'audit': w.best.audit || repeat('I', n.more) || CASE WHEN e.kind IN ('D', 'R') THEN e.kind ELSE 'K' END,
+      'turns': list_concat(list_concat(w.best.turns, n.turns), CASE e.kind WHEN 'D' THEN []::VARCHAR[]
+        WHEN 'R' THEN [(CASE e.next WHEN 2 THEN 'user:' ELSE 'assistant:' END) || f.text] ELSE [f.role || ':' || f.text] END)})
+  FROM walk w JOIN faulted f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.i = w.i + 1 JOIN added n ON n.state = w.state JOIN edit e ON e.here = n.here
+  WHERE (e.kind IN ('D', 'R') OR e.kind = f.role[1]) AND (e.kind = 'D' OR coalesce(f.fault, '') NOT IN ('blank', 'duplicate'))
+  GROUP BY 1, 2, 3
+), done AS (
+  SELECT w.conv_id, min({'cost': w.best.cost + 3 * n.more, 'audit': w.best.audit || repeat('I', n.more), 'turns': list_concat(w.best.turns, n.turns)}) AS best
+  FROM walk w JOIN figures g ON g.conv_id IS NOT DISTINCT FROM w.conv_id AND g.last = w.i JOIN added n ON n.state = w.state WHERE n.here IN (0, 3) GROUP BY 1
+)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, coalesce(d.best.cost, 0)::BIGINT AS cost, coalesce(d.best.audit, '') AS audit,
+       sha256(coalesce(array_to_string(d.best.turns, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN figures g ON g.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN done d ON d.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
