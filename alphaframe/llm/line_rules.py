@@ -42,24 +42,15 @@ class LineRules:
 
     least_words: int = 20
     repeat_share: int = 30
-    window: int = 8
+    window: int = 8  # a power of two
     words_per_symbol: int = 3
     words_per_separator: int = 4
     sentence_words: int = 8
     lost_share: int = 50
 
 
-def lower_ascii(text: Column) -> Column:
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
-def word_chars(text: Column) -> Column:
-    """Code points that stand in words."""
-    return F.length(F.translate(text, SPACES, "")).cast("long")
-
-
 def occurrences(text: Column, characters: str) -> Column:
-    return (F.length(text) - F.length(F.translate(text, characters, ""))).cast("long")
+    return F.regexp_count(text, F.lit(f"[{characters}]")).cast("long")
 
 
 def words_of(text: Column) -> Column:
@@ -68,14 +59,17 @@ def words_of(text: Column) -> Column:
 
 
 def failure(line: Column, rules: LineRules) -> Column:
-    """The first rule that a line fails: navigation, boilerplate or punctuation; null where it passes or has no word."""
-    low, words = lower_ascii(line), F.size(words_of(line))
-    between = occurrences(line, SEPARATORS)
-    menu = low.rlike(MENU) | ((between >= 2) & (rules.words_per_separator * between >= words))
-    marks = (rules.words_per_symbol * occurrences(line, SYMBOLS) > words) | ((words >= rules.sentence_words) & ~line.rlike(MARKS))
+    """The first rule that a line fails: navigation, boilerplate or punctuation; null where it passes or has no word.
+
+    Its words are only counted where a rule needs their number.
+    """
+    words, between = F.size(words_of(line)), occurrences(line, SEPARATORS)
+    menu = line.rlike(f"(?i){MENU}") | (line.rlike(f"[{SEPARATORS}]") & (between >= 2) & (rules.words_per_separator * between >= words))
+    dense = line.rlike(f"[{SYMBOLS}]") & (rules.words_per_symbol * occurrences(line, SYMBOLS) > words)
     return (
         F.when(~line.rlike(WORD_MARK), F.lit(None).cast("string"))
-        .when(menu, "navigation").when(low.rlike(BOILERPLATE), "boilerplate").when(marks, "punctuation")
+        .when(menu, "navigation").when(line.rlike(f"(?i){BOILERPLATE}"), "boilerplate")
+        .when(dense | (~line.rlike(MARKS) & (words >= rules.sentence_words)), "punctuation")
     )
 
 
@@ -84,10 +78,16 @@ def repeated_words(df: DataFrame, words: str, window: int) -> DataFrame:
 
     Windows are compared by 64-bit hashes. Their places are only sorted where some hash repeats.
     """
-    starts = F.sequence(F.lit(1), F.size(words) - (window - 1))
-    windows = F.when(F.size(words) >= window, F.transform(starts, lambda i: F.xxhash64(F.slice(words, i, window)))).otherwise(
-        F.array().cast("array<bigint>"))
-    hashed = df.withColumn("_windows", windows)
+    none = F.array().cast("array<bigint>")
+    hashed = df.withColumn("_1", F.transform(words, lambda w: F.xxhash64(w)))
+    width = 1
+    while width < window:  # each step joins neighbours, so that a hash stands for twice as many words
+        left = F.slice(f"_{width}", 1, F.size(f"_{width}") - width)
+        right = F.slice(f"_{width}", width + 1, F.size(f"_{width}") - width)
+        pairs = F.zip_with(left, right, lambda x, y: F.xxhash64(x, y))
+        hashed = hashed.withColumn(f"_{2 * width}", F.when(F.size(f"_{width}") > width, pairs).otherwise(none)).drop(f"_{width}")
+        width *= 2
+    hashed = hashed.withColumnRenamed(f"_{width}", "_windows")
     ordered = F.sort_array(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     hashed = hashed.withColumn("_ordered", F.when(F.size(F.array_distinct("_windows")) < F.size("_windows"), ordered).otherwise(
         F.array().cast("array<struct<h:bigint,i:int>>")))
@@ -117,7 +117,7 @@ def clean_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     rows = only(docs, doc_id=id_col, text=text_col).withColumn("text", F.coalesce("text", F.lit("")))
     split = rows.select("doc_id", "text", words_of(F.col("text")).alias("words"), F.split("text", "\n", -1).alias("lines"))
     figures = repeated_words(split, "words", rules.window).select(
-        "doc_id", F.size("words").cast("long").alias("n_words"), word_chars(F.col("text")).alias("word_chars"),
+        "doc_id", F.size("words").cast("long").alias("n_words"), F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         occurrences(F.col("text"), SYMBOLS).alias("n_symbols"), "n_repeat_words",
         F.filter("lines", lambda x: x.rlike(WORD_MARK)).alias("worded"),
         F.transform("lines", lambda x: F.struct(x.alias("line"), failure(x, rules).alias("fails"))).alias("judged"))
@@ -129,7 +129,8 @@ def clean_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     def failing(rule: str) -> Column:
         return F.size(F.filter("judged", lambda x: x["fails"].eqNullSafe(F.lit(rule)))).cast("long").alias(rule)
 
-    lost = F.col("word_chars") - word_chars(F.col("text"))
+    gone = F.array_join(F.transform(F.filter("judged", lambda x: x["fails"].isNotNull()), lambda x: x["line"]), "")
+    lost = F.length(F.regexp_replace(gone, SPACE_RUN, "")).cast("long")
     measured = cleaned.select(
         "doc_id", "text", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         F.size("worded").cast("long").alias("n_lines"),
