@@ -34,8 +34,9 @@ def scenario_cross(df: DataFrame, grid: Mapping[str, Sequence]) -> DataFrame:
 
 
 def with_scenarios(df: DataFrame, scenarios: Sequence[Mapping]) -> DataFrame:
-    """Repeat rows once per scenario row, its fields becoming columns (a literal explode)."""
-    structs = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in s.items()]) for s in scenarios])
+    """Repeat rows once per scenario row, the fields all of them have becoming columns (a literal explode)."""
+    fields = [k for k in scenarios[0] if all(k in s for s in scenarios)]
+    structs = F.array(*[F.struct(*[F.lit(s[k]).alias(k) for k in fields]) for s in scenarios])
     return df.withColumn("_s", F.explode(structs)).select("*", "_s.*").drop("_s")
 
 
@@ -62,19 +63,56 @@ def select_names(scored: DataFrame, score: str, schedule: DataFrame, scenarios:
     """Longs and shorts of every scenario and rebalance.
 
     A date is ranked once, cut to the largest count any scenario asks for, and only then
-    repeated per scenario, so extra scenarios cost rows of selected names, not of the panel.
+    repeated per scenario, so extra scenarios cost rows of selected names, not of the panel. Scenarios
+    with a ``rank_buffer`` keep a held name until it ranks that many places behind their count.
     """
-    most_long = max(int(s["long_count"]) for s in scenarios)
-    most_short = max(int(s["short_count"]) for s in scenarios)
+    buffers = {s["scenario"]: int(s.get("rank_buffer") or 0) for s in scenarios}
+    most_long = max(int(s["long_count"]) + buffers[s["scenario"]] for s in scenarios)
+    most_short = max(int(s["short_count"]) + (buffers[s["scenario"]] if s["short_count"] else 0) for s in scenarios)
     cut = top_bottom_k(scored, score, most_long, most_short, min_names=0, universe=universe).drop("side")
     up = F.col("candidates") - F.col("rank") + F.lit(1)
-    rows = with_scenarios(cut, scenarios)
+    rows = with_scenarios(cut, scenarios).withColumnRenamed("date", "signal_date").where(F.col("candidates") >= F.col("min_names"))
     n_long = F.least("long_count", "candidates")
     n_short = F.least(F.col("short_count"), F.col("candidates") - n_long)
     side = F.when(F.col("rank") <= n_long, "LONG").when(up <= n_short, "SHORT")
-    rows = rows.where(F.col("candidates") >= F.col("min_names")).withColumn("side", side).where(
-        F.col("side").isNotNull()).withColumnRenamed("date", "signal_date")
-    return rows.join(schedule, ["scenario", "signal_date"])
+    joined = rows.join(schedule, ["scenario", "signal_date"])
+    banded = [name for name, b in buffers.items() if b]
+    if not banded:
+        return joined.withColumn("side", side).where(F.col("side").isNotNull())
+    plain = joined.where(~F.col("scenario").isin(banded)).withColumn("side", side).where(F.col("side").isNotNull())
+    buffer = F.when(F.lit(True), per_scenario([{"scenario": n, "b": b} for n, b in buffers.items()], "b"))
+    near = joined.where(F.col("scenario").isin(banded)).withColumns({"_n_long": n_long, "_n_short": n_short, "_up": up, "_buffer": buffer})
+    kept = retained_names(near)
+    return plain.unionByName(near.join(kept, [*KEY, "symbol"]).select(*plain.columns))
+
+
+def retained_names(near: DataFrame) -> DataFrame:
+    """(scenario, rebalance_id, symbol, side) under a retention band.
+
+    ``near`` has, per scenario and rebalance, the names within count and buffer of either end (rank, _up, _n_long, _n_short,
+    _buffer). A rebalance first keeps what it held that is still within the band, by rank, then takes the best others up
+    to its count. The fold runs over the rebalances of a scenario; it holds those few names, not the panel.
+    """
+    def end(place: str, count: str, side: str) -> DataFrame:
+        close = (F.col(place) <= F.col(count) + F.col("_buffer")) & (F.col(count) > 0)
+        per = near.where(close).groupBy(*KEY).agg(
+            F.transform(F.sort_array(F.collect_list(F.struct(place, "symbol"))), lambda x: x["symbol"]).alias("names"),
+            F.max(count).cast("int").alias("n"))
+        listed = per.groupBy("scenario").agg(F.sort_array(F.collect_list(F.struct("rebalance_id", "names", "n"))).alias("all"))
+        empty = F.struct(
+            F.array().cast("array<string>").alias("held"),
+            F.array().cast("array<struct<rebalance_id:int,names:array<string>>>").alias("out"))
+
+        def step(acc, now):
+            stays = F.filter(now["names"], lambda s: F.array_contains(acc["held"], s))
+            held = F.slice(F.concat(stays, F.filter(now["names"], lambda s: ~F.array_contains(acc["held"], s))), 1, now["n"])
+            row = F.struct(now["rebalance_id"].cast("int").alias("rebalance_id"), held.alias("names"))
+            return F.struct(held.alias("held"), F.array_append(acc["out"], row).alias("out"))
+
+        picks = listed.select("scenario", F.explode(F.aggregate("all", empty, step, lambda acc: acc["out"])).alias("r"))
+        return picks.select("scenario", "r.rebalance_id", F.explode("r.names").alias("symbol"), F.lit(side).alias("side"))
+
+    return end("rank", "_n_long", "LONG").unionByName(end("_up", "_n_short", "SHORT"))
 
 
 def target_weights(

@@ -5,13 +5,14 @@ Inputs keyed by ``decision`` are the names chosen or proposed on a decision date
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import clip, corr_of, finite, ratio
+from ..functions import clip, finite, ratio
 from .calendar import trailing_sessions
+from .correlation import BLOCK, block_pairs, greedy_picks
 from .technical import ANNUAL
 
 
@@ -24,21 +25,10 @@ def trailing_returns(names: DataFrame, rets: DataFrame, cal: DataFrame, lookback
 
 
 def pairwise_corr(
-    names: DataFrame, rets: DataFrame, cal: DataFrame, lookback: int = 63, min_obs: int = 20,
+    names: DataFrame, rets: DataFrame, cal: DataFrame, lookback: int = 63, min_obs: int = 20, block: int = BLOCK,
 ) -> DataFrame:
-    """(decision, a, b, corr, n) with a < b over the sessions both have a return.
-
-    A join on (decision, date) that keeps each pair once; sums are combined map side, so neither
-    the names of a day nor their pairs are ever held together.
-    """
-    known = trailing_returns(names, rets, cal, lookback)
-    x = known.select("decision", "date", F.col("symbol").alias("a"), F.col("ret").alias("x"))
-    y = known.select("decision", "date", F.col("symbol").alias("b"), F.col("ret").alias("y"))
-    return (
-        x.join(y, ["decision", "date"]).where(F.col("a") < F.col("b"))
-        .groupBy("decision", "a", "b").agg(corr_of("x", "y").alias("corr"), F.count("*").alias("n"))
-        .where((F.col("n") >= F.lit(min_obs)) & F.col("corr").isNotNull())
-    )
+    """(decision, a, b, corr, n) with a < b over the sessions both have a return, by products of blocks of names."""
+    return block_pairs(names, rets, cal, lookback, min_obs, block)
 
 
 def rolling_portfolio_vol(
@@ -62,83 +52,41 @@ def rolling_portfolio_vol(
 
 def diversified_select(
     cands: DataFrame, rets: DataFrame, cal: DataFrame, cap: float, max_names: int, min_names: int,
-    cut: Callable[[DataFrame], DataFrame], lookback: int = 63, min_obs: int = 31, block: int = 64,
+    cut: Callable[[DataFrame], DataFrame] | None = None, lookback: int = 63, min_obs: int = 31, block: int = BLOCK,
 ) -> DataFrame:
     """Greedy choice per decision in score order: a name joins unless its largest correlation
     with the names already chosen exceeds ``cap`` (no common history counts 0).
 
-    A decision can have any number of candidates, yet only a few are chosen, so they are taken
-    in blocks of ``block`` by score. A block needs the pairs among itself and with the chosen
-    names, never all pairs of the day; decisions that are full, or out of candidates, stop. The
-    state carried between blocks is bounded: the chosen names and the ``min_names`` least
-    correlated rejects, which fill up a decision that ends below ``min_names``.
+    A decision that ends below ``min_names`` is filled up with its least correlated rejects. One pass
+    over the candidates, whatever their number; see ``greedy_picks``.
+    """
+    picks = greedy_picks(cands, rets, cal, [cap], max_names, min_names, lookback, min_obs, block, cut)
+    return picks.select("decision", "pick", "symbol", "max_corr")
+
 
-    ``cut`` stores the state between blocks. Nearly always one block is enough.
+def diversified_scenarios(
+    cands: DataFrame, rets: DataFrame, cal: DataFrame, scenarios: Sequence[Mapping], min_names: int, lookback: int = 63, min_obs: int = 31,
+) -> DataFrame:
+    """``diversified_select`` for many (scenario, corr_cap, max_names) at once.
+
+    The choice under a lower limit is the start of that under a higher one, so only different caps are walked.
     """
-    order = Window.partitionBy("decision").orderBy(F.col("score").desc(), F.col("symbol").asc())
-    ranked = cut(cands.select(
-        "decision", "symbol", (F.row_number().over(order) - F.lit(1)).alias("pos")
-    ).withColumn("block", F.floor(F.col("pos") / F.lit(block))))
-    chosen_t = "array<struct<symbol: string, corr: double>>"
-    left_t = "array<struct<corr: double, pos: int, symbol: string>>"
-    state = ranked.select("decision").distinct().withColumns({
-        "chosen": F.array().cast(chosen_t), "rejected": F.array().cast(left_t)})
-    last = ranked.agg(F.max("block")).first()[0]
-
-    for k in range(0 if last is None else int(last) + 1):
-        part = ranked.where(F.col("block") == F.lit(k))
-        if k:
-            part = part.join(state.where(F.size("chosen") < F.lit(max_names)).select("decision"), "decision", "left_semi")
-            if part.isEmpty():
-                break
-        live = part.groupBy("decision").agg(
-            F.sort_array(F.collect_list(F.struct("pos", "symbol"))).alias("list"))
-        pool = part.select("decision", "symbol").unionByName(
-            state.join(live.select("decision"), "decision", "left_semi")
-            .select("decision", F.explode("chosen.symbol").alias("symbol")))
-        corr = pairwise_corr(pool, rets, cal, lookback, min_obs).groupBy("decision").agg(
-            F.map_from_entries(F.collect_list(F.struct(
-                F.concat_ws("|", "a", "b").alias("k"), F.col("corr").alias("v")))).alias("corr"))
-        joined = state.join(live, "decision", "left").join(corr, "decision", "left")
-        state = cut(joined.select("decision", _greedy(cap, max_names, min_names).alias("s")).select(
-            "decision", "s.chosen", "s.rejected"))
-
-    short = F.greatest(F.lit(0), F.lit(min_names) - F.size("chosen"))
-    refill = F.transform(
-        F.slice("rejected", F.lit(1), short),
-        lambda r: F.struct(r["symbol"].alias("symbol"), r["corr"].alias("corr")))
-    final = F.slice(F.concat("chosen", refill), 1, max_names)
-    return state.select("decision", F.posexplode(final).alias("pick", "c")).select(
-        "decision", "pick", "c.symbol", F.col("c.corr").alias("max_corr"))
-
-
-def _greedy(cap: float, max_names: int, min_names: int) -> Column:
-    """Fold one block of candidates into the state of a decision."""
-    start = F.struct(F.col("chosen").alias("chosen"), F.col("rejected").alias("rejected"))
-
-    def step(acc, cand):
-        key = lambda o: F.concat_ws("|", F.least(o["symbol"], cand["symbol"]), F.greatest(o["symbol"], cand["symbol"]))
-        seen = F.array_max(F.transform(acc["chosen"], lambda o: F.try_element_at("corr", key(o))))
-        m = F.coalesce(seen, F.lit(0.0))
-        full = F.size(acc["chosen"]) >= F.lit(max_names)
-        took = F.struct(
-            F.array_append(acc["chosen"], F.struct(cand["symbol"].alias("symbol"), m.alias("corr"))).alias("chosen"),
-            acc["rejected"].alias("rejected"))
-        left = F.struct(
-            acc["chosen"].alias("chosen"),
-            F.slice(F.array_sort(F.array_append(acc["rejected"], F.struct(
-                m.alias("corr"), cand["pos"].alias("pos"), cand["symbol"].alias("symbol")))), 1, min_names)
-            .alias("rejected"))
-        return F.when(full, acc).when(m <= F.lit(float(cap)), took).otherwise(left)
-
-    todo = F.coalesce("list", F.array().cast("array<struct<pos: int, symbol: string>>"))
-    return F.aggregate(todo, start, step)
+    caps = sorted({float(s["corr_cap"]) for s in scenarios})
+    picks = greedy_picks(cands, rets, cal, caps, max(int(s["max_names"]) for s in scenarios), min_names, lookback, min_obs)
+    wanted = F.array(*[F.struct(F.lit(s["scenario"]).alias("scenario"), F.lit(float(s["corr_cap"])).alias("of"), F.lit(int(s["max_names"])).alias("most"))
+                       for s in scenarios])
+    rows = picks.withColumn("_s", F.explode(wanted)).where((F.col("_s.of") == F.col("cap")) & (F.col("pick") < F.col("_s.most")))
+    return rows.select("_s.scenario", "decision", "pick", "symbol", "max_corr")
 
 
 # --- sizing --------------------------------------------------------------------------------
 
 
-def prob_sizing(df: DataFrame, variant: str = "v5", floor: float = 0.10, prob: str = "prob", threshold: str = "threshold", out: str = "size") -> DataFrame:
+def _keys(by: str | Sequence[str]) -> list[str]:
+    return [by] if isinstance(by, str) else list(by)
+
+
+def prob_sizing(df: DataFrame, variant: str = "v5", floor: float | Column = 0.10, prob: str = "prob", threshold: str = "threshold", out: str = "size") -> DataFrame:
     """Size from calibrated probability: 0 below the threshold, rising with confidence above.
 
     v5: .25 + .75 c; v6: .10 + .90 c^1.25; floor: f + (1 - f) c^1.25.
@@ -148,15 +96,15 @@ def prob_sizing(df: DataFrame, variant: str = "v5", floor: float = 0.10, prob: s
     if variant == "v5":
         size = F.lit(0.25) + F.lit(0.75) * conf
     else:
-        f = 0.10 if variant == "v6" else min(max(float(floor), 0.0), 0.95)
-        size = F.lit(f) + F.lit(1.0 - f) * F.pow(conf, F.lit(1.25))
+        f = clip(F.lit(0.10) if variant == "v6" else floor if isinstance(floor, Column) else F.lit(float(floor)), 0.0, 0.95)
+        size = f + (F.lit(1.0) - f) * F.pow(conf, F.lit(1.25))
     return df.withColumn(out, F.when(p >= t, size).otherwise(F.lit(0.0)))
 
 
-def vol_scaling(sel: DataFrame, by: str = "date", vol: str = "vol_20d") -> DataFrame:
+def vol_scaling(sel: DataFrame, by: str | Sequence[str] = "date", vol: str = "vol_20d") -> DataFrame:
     """Root of (median / own) volatility, between .35 and 1, times probability and market scale."""
     v = finite(vol)
-    median = F.percentile(v, F.lit(0.5)).over(Window.partitionBy(by))
+    median = F.percentile(v, F.lit(0.5)).over(Window.partitionBy(*_keys(by)))
     own = F.when(v > 0, v)
     root = F.coalesce(F.sqrt(clip(ratio("_median", own), 0.1225, 1.0)), F.lit(1.0))
     scale = F.when(F.col("_median") > 0, clip(root, 0.35, 1.0)).otherwise(F.lit(1.0))
@@ -173,16 +121,19 @@ MARKET_WEIGHT, CONFIDENCE_WEIGHT = 0.50, 0.50
 
 
 def balanced_exposure(
-    df: DataFrame, shift: float = 0.0, by: str = "date", floors: Mapping[str, float] = REGIME_FLOORS,
+    df: DataFrame, shift: float | Column = 0.0, by: str | Sequence[str] = "date", floors: Mapping[str, float] = REGIME_FLOORS,
 ) -> DataFrame:
     """Position scales moved so that their mean meets a gross target of regime, market and confidence.
 
     Takes the selected rows of a date: probability, threshold, regime, market_risk_scale,
     probability_scale, vol_scale. Windows by date hold the selected names only.
     """
-    w = Window.partitionBy(by)
+    by = _keys(by)
+    w = Window.partitionBy(*by)
+    shift = shift if isinstance(shift, Column) else F.lit(float(shift))
     table = F.create_map(*[x for k, v in floors.items() for x in (F.lit(k), F.lit(v))])
-    ctx = df.groupBy(by).agg(
+    ctx = df.groupBy(*by).agg(
+        F.first(shift).alias("_shift"),
         F.coalesce(F.mode("regime", True), F.lit("NEUTRAL")).alias("_regime"),
         F.coalesce(F.percentile("threshold", F.lit(0.5)), F.lit(0.60)).alias("_t"),
         F.avg("probability").alias("_p"),
@@ -193,9 +144,9 @@ def balanced_exposure(
     conf = clip((F.coalesce("_p", "_t") - F.col("_t")) / (ceiling - F.col("_t")), 0.0, 1.0)
     quality = F.lit(MARKET_WEIGHT) * F.col("_m") + F.lit(CONFIDENCE_WEIGHT) * conf
     target = F.col("_floor") + (F.lit(MAX_TARGET_GROSS) - F.col("_floor")) * quality
-    ctx = ctx.withColumn("_floor", clip(base + F.lit(float(shift)), 0.10, 0.80)).withColumn(
+    ctx = ctx.withColumn("_floor", clip(base + F.col("_shift"), 0.10, 0.80)).withColumn(
         "target_gross", F.greatest(F.col("_floor"), F.least(F.lit(MAX_TARGET_GROSS), target))
-    ).select(by, "target_gross")
+    ).select(*by, "target_gross")
 
     raw = F.coalesce("probability_scale", F.lit(0.0)) * F.coalesce("vol_scale", F.lit(1.0))
     out = df.join(ctx, by).withColumn("_raw", raw)

@@ -226,13 +226,18 @@ def classify_regime(
     return ctx.withColumn(out, label)
 
 
-def market_risk_scale(bars: DataFrame, floor: float = 0.45, lookback: int = 20, need: int = 60) -> DataFrame:
-    """(date, market_ret, market_vol, scale): calm market 1, stressed market down to ``floor``."""
+def market_vol_ratio(bars: DataFrame, lookback: int = 20, need: int = 60) -> DataFrame:
+    """(date, market_ret, market_vol, calm): usual market volatility of the past over the present one."""
     daily = (
         returns_n(bars, [1]).groupBy("date").agg(F.avg("ret_1d").alias("market_ret"))
     )
     w = past(Window.orderBy("date"), lookback)
     vol = full_window(F.stddev_samp("market_ret"), F.col("market_ret"), w, lookback) * F.lit(ANNUAL)
     daily = expanding_median(daily.withColumn("market_vol", vol), "market_vol", "_ref", need)
-    scale = F.coalesce(clip(ratio("_ref", "market_vol"), floor, 1.0), F.lit(1.0))
-    return daily.withColumn("scale", scale).drop("_ref")
+    return daily.withColumn("calm", ratio("_ref", "market_vol")).drop("_ref")
+
+
+def market_risk_scale(bars: DataFrame, floor: float = 0.45, lookback: int = 20, need: int = 60) -> DataFrame:
+    """(date, market_ret, market_vol, scale): calm market 1, stressed market down to ``floor``."""
+    scale = F.coalesce(clip("calm", floor, 1.0), F.lit(1.0))
+    return market_vol_ratio(bars, lookback, need).withColumn("scale", scale).drop("calm")

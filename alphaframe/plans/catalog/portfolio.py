@@ -8,7 +8,7 @@ from ...operators import metrics as M
 from ...operators import portfolio as P
 from ...operators.ranks import top_bottom_k
 from ..materialize import cut
-from ..strategy import evaluate, run_strategy, scenario, stress_matrix
+from ..strategy import PRESETS, evaluate, run_strategy, scenario
 from . import inputs as I
 from .base import cte, register, six
 
@@ -22,90 +22,131 @@ SCENARIOS = [
 ]
 BASE = SCENARIOS[:1]
 LONG_ONLY = dict(warmup_days=20, long_gross=LG)
-cte("scen", "SELECT * FROM (VALUES " + ", ".join(
-    f"('{s['scenario']}', {s['rebalance_days']}, {s['warmup_days']}, {s['long_count']}, {s['short_count']}, {s['min_names']},"
-    f" {s['long_gross']}::DOUBLE, {s['short_gross']}::DOUBLE, {s['cost_bps']}::DOUBLE)" for s in [*SCENARIOS, scenario("long_only", "long_only", **LONG_ONLY)]
-) + ") v(scenario, every, warm, nl, ns, mn, lg, sg, bps)")
-cte("sched", """
+PRESET_NAMES = list(PRESETS)
+# All presets on the weekly panel: their own counts and bands, a common cadence and little gross exposure.
+PRESET_ROWS = [scenario(p, p, warmup_days=20, rebalance_days=10, long_gross=LG, **({"short_gross": SG} if PRESETS[p]["short_count"] else {})) for p in PRESET_NAMES]
+
+
+def scen_sql(rows) -> str:
+    return "SELECT * FROM (VALUES " + ", ".join(
+        f"('{s['scenario']}', {s['rebalance_days']}, {s['warmup_days']}, {s['long_count']}, {s['short_count']}, {s['min_names']},"
+        f" {s['long_gross']}::DOUBLE, {s['short_gross']}::DOUBLE, {s['cost_bps']}::DOUBLE, {s['rank_buffer']})" for s in rows
+    ) + ") v(scenario, every, warm, nl, ns, mn, lg, sg, bps, buf)"
+
+
+def band_sql(rk: str, on: str = "r.date = signal_date") -> str:
+    """Selected names under a retention band: a walk over the rebalances of a scenario with lists of names."""
+    keep = lambda held, near, n: (
+        f"list_concat(list_filter({near}, lambda x: list_contains({held}, x)), list_filter({near}, lambda x: NOT list_contains({held}, x)))[1:{n}]")
+    return f"""
+WITH RECURSIVE ends AS MATERIALIZED (
+  SELECT *, least(nl, candidates) AS n_long, least(ns, candidates - least(nl, candidates)) AS n_short
+  FROM sched@ JOIN scen@ USING (scenario) JOIN {rk} r ON {on} WHERE candidates >= mn
+), near AS MATERIALIZED (
+  SELECT scenario, rebalance_id, n_long, n_short, row_number() OVER (PARTITION BY scenario ORDER BY rebalance_id) AS k,
+    list(symbol ORDER BY rank) FILTER (rank <= n_long + buf) AS tops,
+    coalesce(list(symbol ORDER BY rank DESC) FILTER (n_short > 0 AND rank > candidates - n_short - buf), []) AS lows FROM ends GROUP BY 1, 2, 3, 4
+), walk AS (
+  SELECT scenario, rebalance_id, k, tops[1:n_long] AS longs, lows[1:n_short] AS shorts FROM near WHERE k = 1
+  UNION ALL
+  SELECT n.scenario, n.rebalance_id, n.k, {keep('longs', 'tops', 'n_long')}, {keep('shorts', 'lows', 'n_short')}
+  FROM walk w JOIN near n ON n.scenario = w.scenario AND n.k = w.k + 1
+), held AS (
+  SELECT scenario, rebalance_id, unnest(list_concat(longs, shorts)) AS symbol,
+    unnest(list_concat(list_transform(longs, lambda x: 'LONG'), list_transform(shorts, lambda x: 'SHORT'))) AS side FROM walk)
+SELECT h.scenario, h.rebalance_id, h.symbol, h.side, s.signal_date, s.signal_idx, s.entry_date, s.entry_idx, s.exit_date, s.exit_idx, r.score, r.rank,
+  r.candidates, c.lg, c.sg, r.scale FROM held h JOIN sched@ s USING (scenario, rebalance_id) JOIN scen@ c USING (scenario)
+JOIN {rk} r ON r.symbol = h.symbol AND {on.replace('scen_p.', 'c.')}"""
+
+
+cte("scen", scen_sql([*SCENARIOS, scenario("long_only", "long_only", **LONG_ONLY)]))
+cte("rk", """SELECT date, symbol, score, row_number() OVER (PARTITION BY date ORDER BY score DESC, symbol) AS rank,
+  count(*) OVER (PARTITION BY date) AS candidates, 1.0::DOUBLE AS scale FROM panel_w WHERE score IS NOT NULL""", ["panel_w"])
+
+
+def perf_sql(source: str, initial: str = "100000") -> str:
+    return f"""
+SELECT *, CASE WHEN max_drawdown < 0 THEN cagr / abs(max_drawdown) END AS calmar FROM (
+SELECT scenario, g - 1 AS total_return, pow(g, 1 / elapsed_years) - 1 AS cagr, volatility, ann / (volatility + 1e-12) AS sharpe,
+  ann / (down + 1e-12) AS sortino, max_drawdown, elapsed_years, observations FROM (
+  SELECT scenario, arg_max(equity_usd, date) / {initial} AS g, greatest(date_diff('day', min(date), max(date)) / 365.25, 1 / 365.25)::DOUBLE AS elapsed_years,
+    count(daily_return) AS observations, avg(daily_return) * 252 AS ann, stddev_samp(daily_return) * sqrt(252) AS volatility,
+    stddev_samp(daily_return) FILTER (daily_return < 0) * sqrt(252) AS down, min(dd) AS max_drawdown
+  FROM (SELECT *, equity_usd / max(equity_usd) OVER (PARTITION BY scenario ORDER BY date ROWS UNBOUNDED PRECEDING) - 1 AS dd FROM {source})
+  GROUP BY scenario))"""
+
+
+OWN = {"scen", "sched", "sel", "wts", "held", "gross", "trades", "costs", "net", "acct", "mark", "full_days", "journal", "perf", "metrics"}
+
+
+def chain(x: str, sel: str, needs: list[str]) -> None:
+    """The sub-queries from scenarios to figures; ``x`` ends their names, so that other scenario tables can have their own."""
+    def add(name: str, body: str, *uses: str) -> None:
+        cte(name + x, body.replace("@", x), [u + x if u in OWN else u for u in uses])
+
+    add("sched", """
 SELECT * FROM (SELECT scenario, row_number() OVER w AS rebalance_id, date AS signal_date, idx AS signal_idx, entry_date,
   idx + 1 AS entry_idx, lead(entry_date) OVER w AS exit_date, lead(idx) OVER w + 1 AS exit_idx
-  FROM (SELECT *, lead(date) OVER (ORDER BY idx) AS entry_date FROM cal_w), scen WHERE idx >= warm AND (idx - warm) % every = 0
-  WINDOW w AS (PARTITION BY scenario ORDER BY idx)) WHERE exit_date IS NOT NULL""", ["cal_w", "scen"])
-cte("rk", """SELECT date, symbol, score, row_number() OVER (PARTITION BY date ORDER BY score DESC, symbol) AS rank,
-  count(*) OVER (PARTITION BY date) AS candidates FROM panel_w WHERE score IS NOT NULL""", ["panel_w"])
-cte("sel", """
-SELECT * FROM (SELECT scenario, symbol, date AS signal_date, score, rank, candidates, lg, sg, CASE WHEN rank <= least(nl, candidates) THEN 'LONG'
-  WHEN rank > candidates - least(ns, candidates - least(nl, candidates)) THEN 'SHORT' END AS side
-  FROM rk, scen WHERE candidates >= mn) JOIN sched USING (scenario, signal_date) WHERE side IS NOT NULL""", ["rk", "sched", "scen"])
-cte("wts", """SELECT *, CASE side WHEN 'LONG' THEN lg ELSE -sg END / count(*) OVER (PARTITION BY scenario, rebalance_id, side)
-  AS weight FROM sel""", ["sel"])
-cte("held", """
+  FROM (SELECT *, lead(date) OVER (ORDER BY idx) AS entry_date FROM cal_w), scen@ WHERE idx >= warm AND (idx - warm) % every = 0
+  WINDOW w AS (PARTITION BY scenario ORDER BY idx)) WHERE exit_date IS NOT NULL""", "cal_w", "scen")
+    add("sel", sel, *needs)
+    add("wts", """SELECT * FROM (SELECT *, CASE side WHEN 'LONG' THEN lg ELSE -sg END * scale / count(*) OVER (PARTITION BY scenario, rebalance_id, side)
+  AS weight FROM sel@) WHERE abs(weight) > 1e-12""", "sel")
+    add("held", """
 SELECT w.*, a.open AS entry_price, b.open AS exit_price, b.open / a.open - 1 AS asset_return,
   weight * (b.open / a.open - 1) AS contribution
-FROM wts w JOIN bars_w a ON a.symbol = w.symbol AND a.date = w.entry_date
-LEFT JOIN bars_w b ON b.symbol = w.symbol AND b.date = w.exit_date""", ["wts", "bars_w"])
-cte("gross", """SELECT scenario, rebalance_id, coalesce(sum(contribution), 0) AS gross_return, count(*) AS positions
-FROM held GROUP BY 1, 2""", ["held"])
-cte("trades", """
+FROM wts@ w JOIN bars_w a ON a.symbol = w.symbol AND a.date = w.entry_date
+LEFT JOIN bars_w b ON b.symbol = w.symbol AND b.date = w.exit_date""", "wts", "bars_w")
+    add("gross", """SELECT scenario, rebalance_id, coalesce(sum(contribution), 0) AS gross_return, count(*) AS positions
+FROM held@ GROUP BY 1, 2""", "held")
+    add("trades", """
 SELECT coalesce(t.scenario, p.scenario) AS scenario, coalesce(t.rebalance_id, p.nxt) AS rebalance_id,
   coalesce(t.symbol, p.symbol) AS symbol, coalesce(drift, 0) AS prior_weight, coalesce(weight, 0) AS target_weight,
   coalesce(weight, 0) - coalesce(drift, 0) AS traded
-FROM held t FULL JOIN (
+FROM held@ t FULL JOIN (
   SELECT h.scenario, h.symbol, nxt, weight * (1 + coalesce(asset_return, 0)) / (1 + gross_return) AS drift
-  FROM held h JOIN (SELECT *, lead(rebalance_id) OVER (PARTITION BY scenario ORDER BY rebalance_id) AS nxt FROM gross) g
+  FROM held@ h JOIN (SELECT *, lead(rebalance_id) OVER (PARTITION BY scenario ORDER BY rebalance_id) AS nxt FROM gross@) g
     ON h.scenario = g.scenario AND h.rebalance_id = g.rebalance_id WHERE nxt IS NOT NULL) p
-ON t.scenario = p.scenario AND t.rebalance_id = p.nxt AND t.symbol = p.symbol""", ["held", "gross"])
-cte("costs", """SELECT scenario, rebalance_id, sum(abs(traded)) AS turnover, sum(abs(traded)) * any_value(bps) / 10000 AS cost
-FROM trades JOIN scen USING (scenario) GROUP BY 1, 2""", ["trades", "scen"])
-cte("net", """
+ON t.scenario = p.scenario AND t.rebalance_id = p.nxt AND t.symbol = p.symbol""", "held", "gross")
+    add("costs", """SELECT scenario, rebalance_id, sum(abs(traded)) AS turnover, sum(abs(traded)) * any_value(bps) / 10000 AS cost
+FROM trades@ JOIN scen@ USING (scenario) GROUP BY 1, 2""", "trades", "scen")
+    add("net", """
 SELECT *, product(1 + net_return) OVER (PARTITION BY scenario ORDER BY rebalance_id ROWS UNBOUNDED PRECEDING) AS equity
-FROM (SELECT *, gross_return - cost AS net_return FROM gross JOIN costs USING (scenario, rebalance_id))""", ["gross", "costs"])
-cte("acct", """
+FROM (SELECT *, gross_return - cost AS net_return FROM gross@ JOIN costs@ USING (scenario, rebalance_id))""", "gross", "costs")
+    add("acct", """
 SELECT n.scenario, rebalance_id, 100000 * coalesce(lag(equity) OVER (PARTITION BY n.scenario ORDER BY rebalance_id), 1) AS s0,
   100000 * equity AS s1, cost, turnover, entry_idx, exit_idx, entry_date, exit_date
-FROM net n JOIN sched USING (scenario, rebalance_id)""", ["net", "sched"])
-cte("mark", """
+FROM net@ n JOIN sched@ USING (scenario, rebalance_id)""", "net", "sched")
+    add("mark", """
 SELECT scenario, rebalance_id, date, equity_usd, balance_usd, gross_exposure, position_count, turnover, cost_usd FROM (
  SELECT *, row_number() OVER (PARTITION BY scenario, date ORDER BY prio DESC, rebalance_id DESC) AS rn FROM (
   SELECT a.scenario, a.rebalance_id, c.date, 1 AS prio, s0 * (1 - a.cost + sum(weight * (b.open / entry_price - 1))) AS equity_usd,
     s0 * (1 - a.cost) AS balance_usd, sum(abs(weight)) AS gross_exposure, count(*) AS position_count,
     CASE WHEN c.date = a.entry_date THEN a.turnover ELSE 0.0 END AS turnover,
     CASE WHEN c.date = a.entry_date THEN a.cost * s0 ELSE 0.0 END AS cost_usd
-  FROM acct a JOIN cal_w c ON c.idx >= a.entry_idx AND c.idx < a.exit_idx
-  JOIN held h ON h.scenario = a.scenario AND h.rebalance_id = a.rebalance_id JOIN bars_w b ON b.symbol = h.symbol AND b.date = c.date
+  FROM acct@ a JOIN cal_w c ON c.idx >= a.entry_idx AND c.idx < a.exit_idx
+  JOIN held@ h ON h.scenario = a.scenario AND h.rebalance_id = a.rebalance_id JOIN bars_w b ON b.symbol = h.symbol AND b.date = c.date
   GROUP BY a.scenario, a.rebalance_id, c.date, s0, a.cost, a.turnover, a.entry_date
-  UNION ALL SELECT scenario, rebalance_id, exit_date, 0, s1, s1, 0.0, 0, 0.0, 0.0 FROM acct)) WHERE rn = 1""",
-    ["acct", "held", "cal_w", "bars_w"])
-cte("full_days", """
+  UNION ALL SELECT scenario, rebalance_id, exit_date, 0, s1, s1, 0.0, 0, 0.0, 0.0 FROM acct@)) WHERE rn = 1""", "acct", "held", "cal_w", "bars_w")
+    add("full_days", """
 SELECT d.scenario, d.date, rebalance_id, last_value(equity_usd IGNORE NULLS) OVER w AS equity_usd,
   last_value(balance_usd IGNORE NULLS) OVER w AS balance_usd, coalesce(gross_exposure, 0) AS gross_exposure,
   coalesce(position_count, 0) AS position_count, coalesce(turnover, 0) AS turnover, coalesce(cost_usd, 0) AS cost_usd,
   1 - coalesce(gross_exposure, 0) AS cash_pct, equity_usd IS NULL AS is_cash_day
-FROM (SELECT scenario, date FROM cal_w, (SELECT scenario, min(date) AS a, max(date) AS b FROM mark GROUP BY 1) WHERE date BETWEEN a AND b) d
-LEFT JOIN mark m ON m.scenario = d.scenario AND m.date = d.date
-WINDOW w AS (PARTITION BY d.scenario ORDER BY d.date ROWS UNBOUNDED PRECEDING)""", ["mark", "cal_w"])
-cte("journal", """
+FROM (SELECT scenario, date FROM cal_w, (SELECT scenario, min(date) AS a, max(date) AS b FROM mark@ GROUP BY 1) WHERE date BETWEEN a AND b) d
+LEFT JOIN mark@ m ON m.scenario = d.scenario AND m.date = d.date
+WINDOW w AS (PARTITION BY d.scenario ORDER BY d.date ROWS UNBOUNDED PRECEDING)""", "mark", "cal_w")
+    add("journal", """
 SELECT *, equity_usd - pv AS daily_pnl_usd, equity_usd / greatest(pv, 1e-12) - 1 AS daily_return,
   equity_usd / greatest(100000, max(equity_usd) OVER (PARTITION BY scenario ORDER BY date ROWS UNBOUNDED PRECEDING)) - 1 AS drawdown
-FROM (SELECT *, coalesce(lag(equity_usd) OVER (PARTITION BY scenario ORDER BY date), 100000) AS pv FROM full_days)""", ["full_days"])
-
-
-def perf_sql(source: str, initial: str = "100000") -> str:
-    return f"""
-SELECT *, CASE WHEN max_drawdown < 0 THEN cagr / abs(max_drawdown) END AS calmar FROM (
-SELECT scenario, g - 1 AS total_return, pow(g, 1 / elapsed_years) - 1 AS cagr, volatility, ann / (volatility + 1e-12) AS sharpe,
-  ann / (down + 1e-12) AS sortino, max_drawdown, elapsed_years, observations FROM (
-  SELECT scenario, arg_max(equity_usd, date) / {initial} AS g, greatest(date_diff('day', min(date), max(date)) / 365.25, 1 / 365.25)::DOUBLE AS elapsed_years,
-    count(daily_return) AS observations, avg(daily_return) * 252 AS ann, stddev_samp(daily_return) * sqrt(252) AS volatility,
-    stddev_samp(daily_return) FILTER (daily_return < 0) * sqrt(252) AS down, min(dd) AS max_drawdown
-  FROM (SELECT *, equity_usd / max(equity_usd) OVER (PARTITION BY scenario ORDER BY date ROWS UNBOUNDED PRECEDING) - 1 AS dd FROM {source})
-  GROUP BY scenario))"""
+FROM (SELECT *, coalesce(lag(equity_usd) OVER (PARTITION BY scenario ORDER BY date), 100000) AS pv FROM full_days@)""", "full_days")
+    add("perf", perf_sql("journal@"), "journal")
+    add("metrics", """SELECT * FROM perf@ JOIN (SELECT scenario, avg(turnover) AS avg_turnover, count(*) AS rebalance_count
+FROM net@ GROUP BY 1) USING (scenario) WHERE scenario <> 'long_only'""", "perf", "net")
 
 
-cte("perf", perf_sql("journal"), ["journal"])
+chain("", band_sql("rk"), ["rk", "sched", "scen"])
 PERF = ("total_return", "cagr", "volatility", "sharpe", "sortino", "calmar", "max_drawdown", "elapsed_years")
-cte("metrics", """SELECT * FROM perf JOIN (SELECT scenario, avg(turnover) AS avg_turnover, count(*) AS rebalance_count
-FROM net GROUP BY 1) USING (scenario) WHERE scenario <> 'long_only'""", ["perf", "net"])
 
 
 def ev(spark, sf, scenarios=BASE):
@@ -237,12 +278,6 @@ def _(spark, sf):
     return M.rebalance_performance(ev(spark, sf).ledger, 13.0)
 
 
-@register("stress_matrix", "SELECT * FROM metrics", ["metrics"], six(*PERF, "avg_turnover"))
-def _(spark, sf):
-    bars = cut(I.bars_w(spark, sf))
-    return stress_matrix(I.panel_w(spark, sf, bars), bars, "score", SCENARIOS, universe=I.universe_size(spark, sf))
-
-
 @register("sweep_best", "SELECT scenario, sharpe, cagr FROM metrics ORDER BY sharpe DESC NULLS LAST, scenario LIMIT 1", ["metrics"], six("sharpe", "cagr"))
 def _(spark, sf):
     m = ev(spark, sf, SCENARIOS).metrics

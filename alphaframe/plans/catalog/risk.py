@@ -11,7 +11,6 @@ from ...operators.metrics import signal_context
 from ...operators.ranks import top_bottom_k
 
 from ..materialize import cut
-from ..overlay import risk_overlay
 from . import inputs as I
 from .base import cte, register, six
 from .portfolio import BASE, LG, SG
@@ -130,31 +129,3 @@ def _(spark, sf):
   avg(score) AS avg_signal_score FROM ov GROUP BY date""", ["ov"], six("avg_meta_probability", "meta_threshold", "avg_signal_score"))
 def _(spark, sf):
     return signal_context(overlay_rows(spark, sf), "probability", "threshold", "regime", "score")
-
-
-def scored_weekly(spark, sf, bars):
-    df = T.rolling_vol(I.panel_w(spark, sf, bars), [20]).join(sessions(bars), "date")
-    prob = 0.5 + 0.45 * ((F.col("symbol").cast("bigint") * 37 + F.col("idx") * 11) % 101) / 101.0
-    return df.where("score is not null").select(
-        "date", "symbol", F.col("score").alias("smooth_score"), prob.alias("probability"), "vol_20d",
-        F.floor(F.col("idx") / 100).alias("refresh_id"))
-
-
-@register("diversified_select")
-def _(spark, sf):
-    """Candidates of every tenth week thinned to weakly correlated names."""
-    bars = cut(I.bars_w(spark, sf))
-    df = scored_weekly(spark, sf, bars).join(sessions(bars), "date").where("idx % 10 = 0 and probability >= 0.6")
-    rets = bars.select("date", "symbol", period_return("close", F.lag("close").over(by_symbol())).alias("ret"))
-    return K.diversified_select(
-        df.select(F.col("date").alias("decision"), "symbol", F.col("smooth_score").alias("score")),
-        rets, sessions(bars), 0.2, 12, 5, cut, 63, 20)
-
-
-@register("risk_overlay")
-def _(spark, sf):
-    bars = cut(I.bars_w(spark, sf))
-    th = spark.range(4).select(F.col("id").alias("refresh_id"), (F.lit(0.55) + F.col("id") * 0.05).alias("threshold"))
-    out = risk_overlay(scored_weekly(spark, sf, bars), th, bars)
-    return out.select("date", "symbol", "trade_score", "threshold", "max_corr", "probability_scale", "vol_scale",
-                      "market_risk_scale", "position_scale")

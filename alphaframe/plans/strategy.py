@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from ..operators import metrics as M
 from ..operators import portfolio as P
 from ..operators.calendar import sessions
+from ..operators.research import linear_score
 from .materialize import cut
 
 # Portfolio parameters of the strategy presets. Names with scale use that column
@@ -19,17 +21,24 @@ PRESETS: dict[str, dict] = {
     "base": dict(rebalance_days=5, long_count=20, short_count=20, long_gross=1.0, short_gross=1.0),
     "momentum": dict(rebalance_days=5, long_count=20, short_count=20, long_gross=1.0, short_gross=1.0),
     "adaptive": dict(rebalance_days=5, long_count=20, short_count=20, long_gross=1.0, short_gross=1.0),
-    "long_only": dict(rebalance_days=10, long_count=15, short_count=0, long_gross=1.0, short_gross=0.0),
+    "long_only": dict(rebalance_days=10, long_count=15, short_count=0, long_gross=1.0, short_gross=0.0, rank_buffer=5),
     "model": dict(rebalance_days=5, long_count=20, short_count=20, long_gross=1.0, short_gross=1.0),
-    "v5": dict(rebalance_days=10, long_count=15, short_count=0, long_gross=1.0, short_gross=0.0, min_names=5),
-    "v6": dict(rebalance_days=10, long_count=15, short_count=0, long_gross=1.0, short_gross=0.0, min_names=3),
-    "v7": dict(rebalance_days=10, long_count=12, short_count=0, long_gross=1.0, short_gross=0.0, min_names=3, cap=0.10),
-    "v71": dict(rebalance_days=10, long_count=12, short_count=0, long_gross=1.0, short_gross=0.0, min_names=3, cap=0.10),
+    "v5": dict(rebalance_days=10, long_count=15, short_count=0, long_gross=1.0, short_gross=0.0, min_names=5, rank_buffer=5),
+    "v6": dict(rebalance_days=10, long_count=15, short_count=0, long_gross=1.0, short_gross=0.0, min_names=3, rank_buffer=5),
+    "v7": dict(rebalance_days=10, long_count=12, short_count=0, long_gross=1.0, short_gross=0.0, min_names=3, cap=0.10, rank_buffer=3),
+    "v71": dict(rebalance_days=10, long_count=12, short_count=0, long_gross=1.0, short_gross=0.0, min_names=3, cap=0.10, rank_buffer=3),
 }
 LONG_ONLY_WEIGHTS = {
     "momentum_12_1_rank": 0.30, "ret_60d_rank": 0.15, "ret_20d_rank": 0.05, "trend_50_rank": 0.10,
     "trend_200_rank": 0.15, "fundamental_raw_rank": 0.20, "liquidity_rank": 0.05,
 }
+# What each preset ranks by (a column, or weights of rank columns whose gaps count 0.5), and the
+# column that scales its positions.
+PRESET_SCORES: dict[str, str | dict[str, float]] = {
+    "base": "meta_score", "momentum": "momentum_12_1_rank", "adaptive": "adaptive_score", "long_only": LONG_ONLY_WEIGHTS,
+    "model": "model_score", "v5": "trade_score", "v6": "trade_score", "v7": "trade_score", "v71": "trade_score",
+}
+PRESET_SCALES = dict.fromkeys(("v5", "v6", "v7", "v71"), "position_scale")
 COMMISSION_PLUS_SLIPPAGE_BPS = 11.0
 INITIAL_CAPITAL = 100_000.0
 
@@ -38,7 +47,7 @@ def scenario(name: str, preset: str = "base", **override) -> dict:
     """A complete scenario row: preset fields, then overrides."""
     row = {
         "scenario": name, "warmup_days": 0, "cost_bps": COMMISSION_PLUS_SLIPPAGE_BPS, "min_names": None,
-        "cap": 1e9, **PRESETS[preset], **override,
+        "cap": 1e9, "rank_buffer": 0, **PRESETS[preset], **override,
     }
     if row["min_names"] is None:
         row["min_names"] = row["long_count"] + row["short_count"]
@@ -87,6 +96,14 @@ def evaluate(
     cal = sessions(bars) if cal is None else cal
     schedule = P.schedules(cal, scenarios)
     sel = P.select_names(scored, score, schedule, scenarios, universe)
+    return evaluate_selection(sel, schedule, bars, scenarios, cal, scale, normalize, initial)
+
+
+def evaluate_selection(
+    sel: DataFrame, schedule: DataFrame, bars: DataFrame, scenarios: Sequence[Mapping], cal: DataFrame,
+    scale: str | None = None, normalize: bool = True, initial: float = INITIAL_CAPITAL,
+) -> Evaluation:
+    """``evaluate`` from the selected names on; they may come from several selections in one table."""
     weights = P.target_weights(sel, F.col("long_gross"), F.col("short_gross"), scale, normalize)
     cap = F.col("cap")
     weights = weights.withColumn("weight", F.greatest(-cap, F.least(cap, F.col("weight"))))
@@ -107,13 +124,17 @@ def figures(daily: DataFrame, ledger: DataFrame, initial: float = INITIAL_CAPITA
     return M.period_performance(daily, ["scenario"], initial).join(turns, "scenario")
 
 
-def run_strategy(
-    scored: DataFrame, bars: DataFrame, preset: str, score: str, scale: str | None = None, universe: int | None = None, **override,
-) -> DataFrame:
-    """Figures of one preset, beside the equal-weight benchmark over the same dates."""
-    rows = [scenario(preset, preset, **override)]
-    sized = preset in ("v5", "v6", "v7", "v71")
-    ev = evaluate(scored, bars, score, rows, scale=scale, normalize=not sized, universe=universe)
+def with_score(scored: DataFrame, preset: str) -> tuple[DataFrame, str]:
+    """The panel with the column that the preset ranks by."""
+    by = PRESET_SCORES[preset]
+    if isinstance(by, str):
+        return scored, by
+    # Rounded, so that equal sums of ranks tie whatever the order of additions.
+    return linear_score(scored, by, "_s", 0.5).withColumn("_preset_score", F.round("_s", 12)).drop("_s"), "_preset_score"
+
+
+def beside_benchmark(ev: Evaluation, bars: DataFrame) -> DataFrame:
+    """Figures of an evaluation's scenario beside equal weights over its own dates."""
     ev = replace(ev, daily=cut(ev.daily))
     ev = replace(ev, metrics=figures(ev.daily, ev.ledger))
     first = ev.daily.agg(F.min("date")).scalar()
@@ -122,9 +143,56 @@ def run_strategy(
     return M.excess_vs_benchmark(ev.metrics, M.period_performance(bench, initial=INITIAL_CAPITAL))
 
 
+def run_strategy(
+    scored: DataFrame, bars: DataFrame, preset: str, score: str | None = None, scale: str | None = None, universe: int | None = None, **override,
+) -> DataFrame:
+    """Figures of one preset, beside the equal-weight benchmark over the same dates; by default with the preset's own score and scale."""
+    rows = [scenario(preset, preset, **override)]
+    if score is None:
+        scored, score = with_score(scored, preset)
+        scale = PRESET_SCALES.get(preset) if scale is None else scale
+    ev = evaluate(scored, bars, score, rows, scale=scale, normalize=preset not in PRESET_SCALES, universe=universe)
+    return beside_benchmark(ev, bars)
+
+
+def run_presets(
+    panels: Mapping[str, DataFrame], bars: DataFrame, universe: int | None = None, overrides: Mapping[str, Mapping] | None = None,
+) -> DataFrame:
+    """Figures of several presets as rows of one plan: each selects from its own panel by its own score and scale,
+    and prices, costs and accounts are computed for all together. ``overrides`` changes fields of single presets."""
+    cal, rows, sels = sessions(bars), [], []
+    for preset, panel in panels.items():
+        row = scenario(preset, preset, **(overrides or {}).get(preset, {}))
+        scored, score = with_score(panel, preset)
+        schedule = P.schedules(cal, [row])
+        scale = PRESET_SCALES.get(preset)
+        sel = P.select_names(scored, score, schedule, [row], universe)
+        sels.append(sel.select(
+            *P.KEY, "symbol", "side", "rank", "signal_date", "entry_date", "exit_date", "long_gross", "short_gross", "cap",
+            (F.lit(1.0) if scale is None else F.col(scale)).alias("_scale")))
+        rows.append(row)
+    both = reduce(DataFrame.unionByName, sels)
+    return evaluate_selection(both, P.schedules(cal, rows), bars, rows, cal, "_scale", normalize=False).metrics
+
+
 def stress_matrix(
     scored: DataFrame, bars: DataFrame, score: str, scenarios: Sequence[Mapping] | None = None,
     scale: str | None = None, normalize: bool = True, universe: int | None = None,
+    overlay: DataFrame | None = None, overlays: Sequence[Mapping] = (),
 ) -> DataFrame:
-    """Figures per scenario; scenarios are rows of the plan, not separate plans."""
-    return evaluate(scored, bars, score, scenarios or stress_scenarios(), scale=scale, normalize=normalize, universe=universe).metrics
+    """Figures per scenario; scenarios are rows of the plan, not separate plans.
+
+    ``overlay`` adds rows that select and size through the risk overlay: its output for the ``overlays`` scenarios.
+    """
+    scenarios = scenarios or stress_scenarios()
+    if overlay is None:
+        return evaluate(scored, bars, score, scenarios, scale=scale, normalize=normalize, universe=universe).metrics
+    from .overlay import overlay_selection
+
+    cal, everything = sessions(bars), [*scenarios, *overlays]
+    schedule = cut(P.schedules(cal, everything))
+    columns = [*P.KEY, "symbol", "side", "rank", "signal_date", "entry_date", "exit_date", "long_gross", "short_gross", "cap"]
+    plain = P.select_names(scored, score, schedule, scenarios, universe).select(
+        *columns, (F.lit(1.0) if scale is None else F.col(scale)).alias("_scale"))
+    sized = overlay_selection(overlay, schedule, overlays).select(*columns, F.col("position_scale").alias("_scale"))
+    return evaluate_selection(plain.unionByName(sized), schedule, bars, everything, cal, "_scale", normalize=False).metrics
