@@ -290,24 +290,70 @@ def _(spark, sf):
     return validation_gate(one).withColumn("value", F.when(size > 1e6, F.signum("value") * F.log(size)).otherwise(F.col("value")))
 
 
-# --- models (checked by tests on planted signals) ---------------------------------------------
+# --- models ----------------------------------------------------------------------------------
 
 
 def model_panel(spark, sf, *extra):
     return cut(I.panel(spark, sf).select("date", "symbol", "future_relative_20d", *MODEL_FEATURES, *extra))
 
 
-@register("ridge_expanding")
+FEATS = list(MODEL_FEATURES)
+K = len(FEATS)
+
+
+def ridge_sql(folds: str, alpha: float = 10.0) -> str:
+    """fold, intercept and coefficients by elimination of the normal equations, one pivot a step."""
+    x = [f"{f}::DOUBLE" for f in FEATS]
+    row = lambda i: "[" + ", ".join(
+        f"n * covar_pop_{min(i, j)}_{max(i, j)}" + (f" + {alpha}" if i == j else "") for j in range(K)) + f", n * covar_y_{i}]"
+    covs = ", ".join(f"covar_pop({x[i]}, {x[j]}) AS covar_pop_{i}_{j}" for i in range(K) for j in range(i, K))
+    ys = ", ".join(f"covar_pop({x[i]}, future_relative_20d) AS covar_y_{i}" for i in range(K))
+    return f"""
+WITH RECURSIVE sums AS MATERIALIZED (
+  SELECT fold, count(*) AS n, avg(future_relative_20d) AS my, [{", ".join(f"avg({c})" for c in x)}] AS mx, {covs}, {ys}
+  FROM ({folds}) GROUP BY fold
+), gone(fold, p, m) AS (
+  SELECT fold, 1, [{", ".join(row(i) for i in range(K))}] FROM sums
+  UNION ALL
+  SELECT fold, p + 1, list_transform(range(1, {K + 1}), lambda r: CASE WHEN r = p THEN top
+    ELSE list_transform(range(1, {K + 2}), lambda c: m[r][c] - m[r][p] * top[c]) END)
+  FROM (SELECT *, list_transform(m[p], lambda v: v / m[p][p]) AS top FROM gone WHERE p <= {K})
+), fit AS (SELECT fold, list_transform(m, lambda r: r[{K + 1}]) AS coef FROM gone WHERE p = {K + 1})
+SELECT f.fold, coef, my - list_sum(list_transform(range(1, {K + 1}), lambda i: coef[i] * mx[i])) AS intercept FROM fit f JOIN sums USING (fold)"""
+
+
+_DOT = " + ".join(f"{f} * coef[{i + 1}]" for i, f in enumerate(FEATS))
+cte("mp", f"SELECT date, symbol, future_relative_20d, {', '.join(FEATS)} FROM panel WHERE {' AND '.join(f'{f} IS NOT NULL' for f in FEATS)}", ["panel"])
+cte("cal_m", "SELECT date, row_number() OVER (ORDER BY date) - 1 AS idx FROM (SELECT DISTINCT date FROM mp)", ["mp"])
+cte("simple_m", _SIMPLE.format(cal="cal_m"), ["cal_m"])
+cte("ridge_w", ridge_sql("SELECT f.fold, p.* FROM simple_m f JOIN cal_m c ON c.idx < f.train_stop JOIN mp p ON p.date = c.date WHERE future_relative_20d IS NOT NULL"),
+    ["simple_m", "cal_m", "mp"])
+cte("ridge_1", ridge_sql("SELECT 1 AS fold, * FROM mp WHERE future_relative_20d IS NOT NULL"), ["mp"])
+
+
+@register("ridge_expanding", f"""SELECT f.fold, p.date, symbol, intercept + {_DOT} AS model_score
+FROM simple_m f JOIN ridge_w USING (fold) JOIN cal_m c ON c.idx >= f.test_start AND c.idx < f.test_stop JOIN mp p ON p.date = c.date""",
+          ["simple_m", "ridge_w", "cal_m", "mp"], six("model_score"))
 def _(spark, sf):
-    p = model_panel(spark, sf).na.drop(subset=[*MODEL_FEATURES])
-    cal = sessions(p)
-    members = fold_range_join(cal, FO.simple_folds(cal))
-    return MO.ridge_expanding(p, members, MODEL_FEATURES, "future_relative_20d").select("fold", "date", "symbol", "model_score")
+    p = model_panel(spark, sf).na.drop(subset=FEATS)
+    cal = cut(sessions(p))
+    return MO.ridge_expanding(p, cal, cut(FO.simple_folds(cal)), FEATS, "future_relative_20d").select("fold", "date", "symbol", "model_score")
 
 
-@register("latest_prediction")
+@register("latest_prediction", f"""SELECT date, symbol, intercept + {_DOT} AS prediction FROM mp, ridge_1 WHERE date = (SELECT max(date) FROM mp)
+ORDER BY prediction DESC, symbol LIMIT 20""", ["mp", "ridge_1"], six("prediction"))
 def _(spark, sf):
-    return MO.latest_prediction(model_panel(spark, sf), MODEL_FEATURES, "future_relative_20d")
+    return MO.latest_prediction(model_panel(spark, sf), FEATS, "future_relative_20d")
+
+
+@register("model_importances", f"""SELECT fold, feature, importance, row_number() OVER (PARTITION BY fold ORDER BY abs(importance) DESC, feature) AS place
+FROM (SELECT fold, unnest({FEATS!r}) AS feature, unnest(coef) AS importance FROM ridge_w)""", ["ridge_w"], six("importance"))
+def _(spark, sf):
+    """Coefficients of the ridge of every fold, largest first."""
+    p = model_panel(spark, sf).na.drop(subset=FEATS)
+    cal = cut(sessions(p))
+    fits = MO.ridge_prefix_fits(MO.gram_by_date(p, FEATS, "future_relative_20d"), cal, FO.simple_folds(cal), K)
+    return MO.importances(fits, FEATS)
 
 
 @register("gbt_walk_forward")
@@ -338,19 +384,57 @@ def labelled_cal(spark, sf):
     return cut(fit_or_calibrate(ME.meta_label(df).withColumn("fold", F.lit(0)), WalkForward()))
 
 
-@register("meta_classifier")
+_WF = WalkForward()
+cte("lab", f"""SELECT l.*, i < split AS fit, i >= CASE WHEN n - least(n, split + {_WF.embargo}) < 10 THEN split ELSE least(n, split + {_WF.embargo}) END AS late
+FROM (SELECT date, symbol, smooth_score AS x1, prob AS x2, CAST(future_relative_20d > 0 AS INT) AS label FROM cf WHERE smooth_score IS NOT NULL AND future_relative_20d IS NOT NULL) l
+JOIN (SELECT date, i, n, greatest({_WF.min_fit}, CAST(floor(n * {_WF.fit_share}) AS BIGINT)) AS split FROM (
+  SELECT date, row_number() OVER (ORDER BY date) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT date FROM cf WHERE smooth_score IS NOT NULL AND future_relative_20d IS NOT NULL))) d
+USING (date)""", ["cf"])
+# Newton steps on standardised features with balanced classes; three unknowns by Cramer's rule.
+cte("newton", """
+WITH RECURSIVE base AS MATERIALIZED (
+  SELECT avg(x1) AS m1, stddev_pop(x1) AS s1, avg(x2) AS m2, stddev_pop(x2) AS s2, count(*) AS n, sum(label) AS k FROM lab WHERE fit
+), z AS MATERIALIZED (
+  SELECT label AS y, (x1 - m1) / s1 AS u, (x2 - m2) / s2 AS v, CASE label WHEN 1 THEN n / (2.0 * k) ELSE n / (2.0 * (n - k)) END AS w FROM lab, base WHERE fit
+), step(i, b0, b1, b2) AS (
+  SELECT 0, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE
+  UNION ALL
+  SELECT i + 1, b0 + (g0 * (d * f - e * e) - b * (g1 * f - e * g2) + c * (g1 * e - d * g2)) / det, b1 + (a * (g1 * f - e * g2) - g0 * (b * f - e * c) + c * (b * g2 - g1 * c)) / det,
+    b2 + (a * (d * g2 - g1 * e) - b * (b * g2 - g1 * c) + g0 * (b * e - d * c)) / det
+  FROM (SELECT *, a * (d * f - e * e) - b * (b * f - e * c) + c * (b * e - d * c) AS det FROM (
+    SELECT i, b0, b1, b2, sum(w * (y - p)) AS g0, sum(w * (y - p) * u) - b1 / 0.35 AS g1, sum(w * (y - p) * v) - b2 / 0.35 AS g2, sum(w * p * (1 - p)) AS a,
+      sum(w * p * (1 - p) * u) AS b, sum(w * p * (1 - p) * v) AS c, sum(w * p * (1 - p) * u * u) + 1 / 0.35 AS d, sum(w * p * (1 - p) * u * v) AS e,
+      sum(w * p * (1 - p) * v * v) + 1 / 0.35 AS f
+    FROM (SELECT *, 1 / (1 + exp(-(b0 + b1 * u + b2 * v))) AS p FROM step, z WHERE i < 12) GROUP BY i, b0, b1, b2)))
+SELECT b0 - b1 * m1 / s1 - b2 * m2 / s2 AS c0, b1 / s1 AS c1, b2 / s2 AS c2 FROM step, base WHERE i = 12""", ["lab"])
+cte("filtered", "SELECT date, symbol, label, late, 1 / (1 + exp(-(c0 + c1 * x1 + c2 * x2))) AS raw FROM lab, newton", ["lab", "newton"])
+cte("platt", """
+WITH RECURSIVE z AS MATERIALIZED (
+  SELECT label AS y, ln(least(greatest(raw, 1e-5), 1 - 1e-5) / (1 - least(greatest(raw, 1e-5), 1 - 1e-5))) AS u FROM filtered WHERE late
+), step(i, b, a) AS (
+  SELECT 0, 0.0::DOUBLE, 0.0::DOUBLE
+  UNION ALL
+  SELECT i + 1, b + (g0 * h11 - g1 * h01) / (h00 * h11 - h01 * h01), a + (g1 * h00 - g0 * h01) / (h00 * h11 - h01 * h01)
+  FROM (SELECT i, b, a, sum(y - p) AS g0, sum((y - p) * u) - a AS g1, sum(p * (1 - p)) AS h00, sum(p * (1 - p) * u) AS h01, sum(p * (1 - p) * u * u) + 1 AS h11
+    FROM (SELECT *, 1 / (1 + exp(-(b + a * u))) AS p FROM step, z WHERE i < 12) GROUP BY i, b, a))
+SELECT a, b FROM step WHERE i = 12""", ["filtered"])
+
+
+@register("meta_classifier", "SELECT date, symbol, label, raw AS p FROM filtered", ["filtered"], {"p": 4})
 def _(spark, sf):
     df = labelled_cal(spark, sf)
-    m = MO.meta_classifier(df.where("_fit"), ["smooth_score", "prob"])
-    return MO.probability(df, m, ["smooth_score", "prob"], "p").select("date", "symbol", "label", "p")
+    m = MO.meta_classifiers(df.where("_fit"), ["smooth_score", "prob"], cut=cut)
+    out = MO.linear_predict(df, m, ["smooth_score", "prob"], "_z")
+    return out.select("date", "symbol", "label", (1 / (1 + F.exp(-F.col("_z")))).alias("p"))
 
 
-@register("platt_calibration")
+@register("platt_calibration", """SELECT date, symbol, label, 1 / (1 + exp(-(b + a * ln(least(greatest(raw, 1e-5), 1 - 1e-5) / (1 - least(greatest(raw, 1e-5), 1 - 1e-5)))))) AS p
+FROM filtered, platt""", ["filtered", "platt"], {"p": 4})
 def _(spark, sf):
     """A filter fitted on the early dates, calibrated on the late ones."""
     df = labelled_cal(spark, sf)
     m = MO.meta_classifier(df.where("_fit"), ["smooth_score", "prob"])
-    raw = MO.probability(df, m, ["smooth_score", "prob"], "raw_prob")
+    raw = cut(MO.probability(df, m, ["smooth_score", "prob"], "raw_prob"))
     p = MO.platt_calibration(raw.where("_cal"))
     return MO.calibrated(raw, p, "raw_prob", "p").select("date", "symbol", "label", "p")
 

@@ -74,7 +74,7 @@ def walk_forward_oos(panel: DataFrame, cfg: WalkForward) -> tuple[DataFrame, Dat
     # Dates whose fold had too few labels keep the models of the last usable refresh.
     test = test.join(count.select("date"), "date", "left_semi").join(_carry_folds(members, usable), "date")
 
-    val, test = _base_predictions(labelled, val, test, dates, usable, cfg)
+    val, test = _base_predictions(labelled, val, test, dates, usable, cal, folds, cfg)
     ranks = {f"pred_{m}": f"rank_{m}" for m in cfg.models}
     names = list(ranks.values())
     val = cut(pct_rank(val, ranks, by=["fold", "date"], universe=cfg.universe))
@@ -121,13 +121,14 @@ def _carry_folds(members: DataFrame, usable: DataFrame) -> DataFrame:
     return t.where(F.col("fold").isNotNull())
 
 
-def _base_predictions(labelled, val, test, dates, usable, cfg: WalkForward):
+def _base_predictions(labelled, val, test, dates, usable, cal, folds, cfg: WalkForward):
     feats, target = list(cfg.features), cfg.target
     if "momentum" in cfg.models:
         val, test = ME.momentum_base(val), ME.momentum_base(test)
     if "ridge" in cfg.models:
         gram = cut(MO.gram_by_date(labelled, feats, target))
-        fits = [MO.ridge_fits(gram, dates(r), len(feats), standardize=True) for r in ("train", "live")]
+        wanted = folds.join(usable.select("fold"), "fold", "left_semi")
+        fits = [MO.ridge_prefix_fits(gram, cal, wanted, len(feats), standardize=True, stop=s) for s in ("train_stop", "live_stop")]
         val = MO.linear_predict(val, fits[0], feats, "pred_ridge")
         test = MO.linear_predict(test, fits[1], feats, "pred_ridge")
     trees = [m for m in ("gbt", "ensemble") if m in cfg.models]
@@ -174,17 +175,16 @@ def fit_or_calibrate(val: DataFrame, cfg: WalkForward) -> DataFrame:
 
 
 def _meta_layer(val: DataFrame, cols: Sequence[str], cfg: WalkForward) -> tuple[DataFrame, DataFrame]:
-    """Coefficients of the trade filter per refresh, and calibration rows with their probability."""
-    spark, layer, parts = val.sparkSession, [], []
-    for k in sorted(r["fold"] for r in val.select("fold").distinct().collect()):
-        one = val.where(F.col("fold") == k)
-        m = MO.meta_classifier(one.where("_fit"), cols, c=cfg.logistic_c)
-        c = MO.probability(one.where("_cal"), m, cols, "raw_prob")
-        p = MO.platt_calibration(c)
-        parts.append(MO.calibrated(c, p, "raw_prob", "prob"))
-        layer.append((k, m["coef"], m["intercept"], None if p is None else p["a"], None if p is None else p["b"]))
-    schema = "fold long, coef array<double>, intercept double, platt_a double, platt_b double"
-    return spark.createDataFrame(layer, schema), cut(_union(parts))
+    """Coefficients of the trade filter per refresh, and calibration rows with their probability; all refreshes are fitted together."""
+    fits = MO.meta_classifiers(val.where("_fit"), cols, c=cfg.logistic_c, cut=cut)
+    raw = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("_z")))
+    late = cut(MO.linear_predict(val.where("_cal"), fits, cols, "_z").withColumn("raw_prob", raw))
+    platt = MO.platt_calibrations(late, cut=cut)
+    layer = fits.join(platt.select("fold", F.col("a").alias("platt_a"), F.col("b").alias("platt_b")), "fold", "left")
+    z = F.col("platt_a") * ME.logit("raw_prob") + F.col("platt_b")
+    prob = F.when(F.col("platt_a").isNull(), F.col("raw_prob")).otherwise(F.lit(1.0) / (F.lit(1.0) + F.exp(-z)))
+    cal_rows = late.join(layer.select("fold", "platt_a", "platt_b"), "fold").withColumn("prob", prob).drop("_z", "platt_a", "platt_b")
+    return layer, cut(cal_rows)
 
 
 def _thresholds(cal_rows: DataFrame, cfg: WalkForward) -> DataFrame:
