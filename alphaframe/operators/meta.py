@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import clip, ratio, true_or_false
 from ..functions.cols import EPS
 from .calendar import latest_cross_section
+from .ranks import row_numbers
 from .research import rank_ic
 from .risk import prob_sizing
 from .technical import REGIMES
@@ -25,11 +26,11 @@ def momentum_base(df: DataFrame, out: str = "pred_momentum") -> DataFrame:
     return df.withColumn(out, F.coalesce("momentum_12_1_rank", F.lit(0.5)) - F.lit(0.5))
 
 
-def model_ic(df: DataFrame, models: Sequence[str], target: str, by: Sequence[str] = ("fold", "date")) -> DataFrame:
+def model_ic(df: DataFrame, models: Sequence[str], target: str, by: Sequence[str] = ("fold", "date"), universe: int | None = None) -> DataFrame:
     """(by…, model, ic): daily rank correlation of every model column in one long pass."""
     long = df.select(*by, F.col(target).alias("_target"), *models).unpivot(
         [*by, "_target"], list(models), "model", "_score")
-    return rank_ic(long, "_score", "_target", [*by, "model"]).select(*by, "model", "ic")
+    return rank_ic(long, "_score", "_target", [*by, "model"], universe).select(*by, "model", "ic")
 
 
 def _quality():
@@ -175,19 +176,18 @@ def portfolio_grid_search(
         *by, "threshold", "long_count", "periods", "acceptance_rate", "objective", "selected")
 
 
-def latest_signals(scored: DataFrame, prob: str = "prob", trade: str = "trade_score") -> DataFrame:
-    """Last scored date, ranked by trade score with rejected names last."""
-    snap = latest_cross_section(scored, prob)
-    w = Window.partitionBy("date").orderBy(F.col(trade).desc_nulls_last(), F.col("symbol").asc())
-    return snap.withColumns({
-        "rank": F.row_number().over(w), "accepted": F.col(trade).isNotNull(),
-        "accepted_count": F.count(trade).over(Window.partitionBy("date")),
-    })
+def latest_signals(scored: DataFrame, prob: str = "prob", trade: str = "trade_score", universe: int | None = None, last: Column | None = None) -> DataFrame:
+    """Last scored date, ranked by trade score with rejected names last. Counts are summed map side; ranks are
+    taken range by range where ``universe`` says that the date may be too wide for a task."""
+    snap = latest_cross_section(scored, prob, last)
+    counts = snap.groupBy("date").agg(F.count(trade).alias("accepted_count"))
+    ranked = row_numbers(snap, F.col(trade), ["date"], "symbol", "rank", universe)
+    return ranked.join(counts, "date").withColumn("accepted", F.col(trade).isNotNull())
 
 
-def refresh_report(scored: DataFrame, score: str, target: str, trade: str, by: str = "refresh_id") -> DataFrame:
+def refresh_report(scored: DataFrame, score: str, target: str, trade: str, by: str = "refresh_id", universe: int | None = None) -> DataFrame:
     """Per refresh and over all (null id): mean IC, IR, hit rate, days, acceptance rate."""
-    ic = rank_ic(scored, score, target, [by, "date"])
+    ic = rank_ic(scored, score, target, [by, "date"], universe)
     accept = scored.groupBy(by).agg(F.count("*").alias("_n"), F.count(trade).alias("_a"))
     daily = lambda rows, key: rows.groupBy(*key).agg(
         F.avg("ic").alias("rank_ic"),

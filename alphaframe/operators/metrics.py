@@ -165,20 +165,47 @@ def robustness_summary(metrics: DataFrame, cost_scenarios: Sequence[str], base:
     )
 
 
+def journal_rows(
+    daily: DataFrame, held: DataFrame, orders: DataFrame, schedule: DataFrame, context: DataFrame | None = None, risk: DataFrame | None = None,
+) -> DataFrame:
+    """The daily account with what a journal shows of the open rebalance: its largest weight, the orders of its entry
+    day, and on request the signal context (date, …) and portfolio risk (scenario, decision, …) of its signal date."""
+    key = ["scenario", "rebalance_id"]
+    largest = held.groupBy(*key).agg(F.max(F.abs("weight")).alias("largest_weight"))
+    sent = orders.groupBy(*key).agg(F.count("*").alias("_orders"))
+    when = schedule.select(*key, "signal_date", "entry_date")
+    rows = daily.join(when, key, "left").join(largest, key, "left").join(sent, key, "left")
+    opened = F.col("position_count") > 0
+    rows = rows.withColumns({
+        "largest_weight": F.when(opened, F.col("largest_weight")),
+        "trade_count": F.when(opened & (F.col("date") == F.col("entry_date")), F.coalesce("_orders", F.lit(0))).otherwise(F.lit(0)).cast("long"),
+        "_signal": F.when(opened, F.col("signal_date"))}).drop("_orders", "signal_date", "entry_date")
+    if context is not None:
+        rows = rows.join(context.withColumnRenamed("date", "_signal"), "_signal", "left")
+    if risk is not None:
+        rows = rows.join(risk.withColumnRenamed("decision", "_signal"), ["scenario", "_signal"], "left")
+    return rows.drop("_signal")
+
+
+AVERAGED = ("gross_exposure", "cash_pct", "avg_meta_probability", "meta_threshold", "avg_pair_corr", "portfolio_vol")
+LARGEST = ("largest_weight", "max_pair_corr")
+
+
 def journal_totals(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """The total row of a daily journal."""
+    """The total row of a daily journal: sums, compounded return, last equity and balance, worst drawdown, means of the
+    known values of levels, and largest values; columns the journal does not have are left out."""
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    last = [F.max_by(c, "date").alias(c) for c in ("equity_usd", "balance_usd") if c in df.columns]
     return df.groupBy(*by).agg(
         F.sum(zero("daily_pnl_usd")).alias("daily_pnl_usd"),
         (F.product(F.lit(1.0) + zero("daily_return")) - F.lit(1.0)).alias("daily_return"),
-        F.max_by("equity_usd", "date").alias("equity_usd"),
+        *last,
         F.min(zero("drawdown")).alias("drawdown"),
-        F.avg("gross_exposure").alias("gross_exposure"),
-        F.avg("cash_pct").alias("cash_pct"),
         F.sum(zero("turnover")).alias("turnover"),
         F.sum(F.coalesce("trade_count", F.lit(0))).alias("trade_count"),
-        F.greatest(F.max("largest_weight"), F.lit(0.0)).alias("largest_weight"),
         F.sum(zero("cost_usd")).alias("cost_usd"),
+        *[F.avg(c).alias(c) for c in AVERAGED if c in df.columns],
+        *[F.greatest(F.max(c), F.lit(0.0)).alias(c) for c in LARGEST if c in df.columns],
     )
 
 

@@ -286,9 +286,14 @@ def daily_mark(
 
 
 def dedup_keep_last(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """The last row per key by ``order``, as an aggregation (no per-key sort)."""
+    """The last row per key by ``order``, as an aggregation (no per-key sort). One whole number as ``order``
+    (``ordered_key`` packs several) keeps it hashed; several columns make it sort."""
     rest = [c for c in df.columns if c not in keys]
-    return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_r")).select(*keys, "_r.*")
+    at = F.col(order[0]) if len(order) == 1 else F.struct(*order)
+    # Each column by itself: a plain value beside a plain order is what a hashed aggregation can hold.
+    if len(order) == 1:
+        return df.groupBy(*keys).agg(*[F.max_by(c, at).alias(c) for c in rest])
+    return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), at).alias("_r")).select(*keys, "_r.*")
 
 
 def complete_calendar(ledger: DataFrame, cal: DataFrame, by: Sequence[str] = ("scenario",)) -> DataFrame:
@@ -321,6 +326,23 @@ def ledger_drilldown(day: DataFrame, pos: DataFrame) -> DataFrame:
     )
 
 
+def day_detail(day: DataFrame, positions: DataFrame, orders: DataFrame, rebalances: DataFrame) -> DataFrame:
+    """All that lies behind a journal day: its rebalance, the orders of that, and the positions by absolute weight.
+
+    (scenario, rebalance_id, date, kind, place, symbol, action, value): turnover of the rebalance, traded weight of an order, weight of
+    a position.
+    """
+    days = day.select(*KEY, "date")
+    parts = (
+        rebalances.select(*KEY, F.lit("rebalance").alias("kind"), F.lit(None).cast("string").alias("symbol"), F.lit(None).cast("string").alias("action"), F.col("turnover").alias("value")),
+        orders.select(*KEY, F.lit("order").alias("kind"), "symbol", "action", F.col("qty").alias("value")),
+        positions.select(*KEY, F.lit("position").alias("kind"), "symbol", F.col("side").alias("action"), F.col("weight").alias("value")),
+    )
+    # Numbered once per rebalance, before days repeat them; rounded, so that equal weights tie by symbol.
+    order = Window.partitionBy(*KEY, "kind").orderBy(F.round(F.abs("value"), 9).desc(), "symbol", "action")
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).withColumn("place", F.row_number().over(order)).join(days, list(KEY))
+
+
 def rebalance_diff(current: DataFrame, targets: DataFrame, equity: float, min_usd: float = 25.0, min_share: float = 0.001) -> DataFrame:
     """Proposed orders: CLOSE what is not wanted, BUY or SELL what moves enough."""
     j = current.select("symbol", F.col("notional").alias("_c")).join(

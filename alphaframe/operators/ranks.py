@@ -186,16 +186,26 @@ def top_bottom_k(
     )
 
 
+def row_numbers(df: DataFrame, order: Column, by: Sequence[str], tie: str, out: str, universe: int | None = None) -> DataFrame:
+    """Adds the row number by ``order`` descending (unknown last), then ``tie``; range by range where a group is too wide for a task."""
+    if too_wide(universe):
+        down = df.withColumn("_down", F.coalesce(-order, F.lit(float("inf"))))
+        return split_ordinal(down, "_down", by, tie, _ranges(universe)).withColumn(out, F.col("_ord").cast("int")).select(*df.columns, out)
+    return df.withColumn(out, F.row_number().over(Window.partitionBy(*by).orderBy(order.desc_nulls_last(), F.col(tie).asc())))
+
+
 def first_rank_filter(
     df: DataFrame, score: str, accepted: str, keep: int, by: Sequence[str] = ("date",),
-    tie: str = "symbol",
+    tie: str = "symbol", universe: int | None = None,
 ) -> DataFrame:
-    """Number the accepted rows of a group by score and flag the first ``keep``."""
-    w = Window.partitionBy(*by).orderBy(
-        F.when(F.col(accepted), F.col(score)).desc_nulls_last(), F.col(tie).asc()
-    )
-    counted = F.col(accepted) & F.col(score).isNotNull()
-    return df.withColumn("selected_rank", F.when(counted, F.row_number().over(w))).withColumn(
+    """Number the accepted rows of a group by score and flag the first ``keep``; others have no number.
+
+    Only accepted rows are ordered, and where a group may be too wide for one task, range by range.
+    """
+    counted = F.coalesce(F.col(accepted) & F.col(score).isNotNull(), F.lit(False))
+    ordered = row_numbers(df.where(counted), F.col(score), by, tie, "selected_rank", universe)
+    rest = df.where(~counted).withColumn("selected_rank", F.lit(None).cast("int"))
+    return ordered.unionByName(rest).withColumn(
         "selected", F.coalesce(F.col("selected_rank") <= F.lit(keep), F.lit(False))
     )
 

@@ -60,10 +60,25 @@ def universe_top_n(stats: DataFrame, n: int, universe: int | None = None) -> Dat
     ).limit(n)
 
 
-def universe_funnel(stages: DataFrame) -> DataFrame:
-    """One row of counts from a table of per-symbol stage flags."""
+FUNNEL_COLUMNS = ("quality_score", "median_dollar_volume_60", "history_sessions", "volatility_60")
+
+
+def universe_funnel(stages: DataFrame, ranked: DataFrame | None = None, filters: dict | None = None, top: int = 50) -> DataFrame:
+    """One row of counts from a table of per-symbol stage flags, on request with the thresholds applied and the symbols of the
+    ``top`` names of ``ranked`` in order."""
     flags = ("prefiltered", "qualified", "selected")
-    return stages.agg(
+    out = stages.agg(
         F.count("*").alias("candidate_count"),
         *[F.count_if(F.col(c)).alias(f"{c}_count") for c in flags],
-    )
+    ).withColumns({k: F.lit(v) for k, v in (filters or {}).items()})
+    if ranked is None:
+        return out
+    names = funnel_top(ranked, top).agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "symbol"))), lambda x: x["symbol"])).scalar()
+    return out.withColumn("top_symbols", names)
+
+
+def funnel_top(ranked: DataFrame, top: int = 50, universe: int | None = None) -> DataFrame:
+    """(place, symbol, score and statistics) of the best ``top`` names; the cut runs before the numbering."""
+    best = universe_top_n(ranked, top, universe)
+    order = Window.orderBy(F.col("quality_score").desc_nulls_last(), F.col("median_dollar_volume_60").desc(), "symbol")
+    return best.select(F.row_number().over(order).alias("place"), "symbol", *FUNNEL_COLUMNS)

@@ -194,7 +194,7 @@ def scored(spark, sf):
   trade_score IS NOT NULL AS accepted, count(trade_score) OVER () AS accepted_count FROM sc WHERE date = (SELECT max(date) FROM sc)""",
           ["sc"], six("prob"))
 def _(spark, sf):
-    return ME.latest_signals(scored(spark, sf)).select("date", "symbol", "prob", "rank", "accepted", "accepted_count")
+    return ME.latest_signals(scored(spark, sf), universe=I.universe_size(spark, sf)).select("date", "symbol", "prob", "rank", "accepted", "accepted_count")
 
 
 cte("sic", ic_sql("smooth_score", "future_relative_20d", "sc", "fold, date"), ["sc"])
@@ -208,7 +208,7 @@ UNION ALL SELECT NULL, *, (SELECT count(trade_score) / count(*) FROM sc) FROM (S
           six("rank_ic", "ic_ir", "positive_ic_ratio", "acceptance_rate"))
 def _(spark, sf):
     df = scored(spark, sf).withColumnRenamed("fold", "refresh_id")
-    return ME.refresh_report(df, "smooth_score", "future_relative_20d", "trade_score")
+    return ME.refresh_report(df, "smooth_score", "future_relative_20d", "trade_score", universe=I.universe_size(spark, sf))
 
 
 @register("coverage_report", """

@@ -7,6 +7,7 @@ from ...operators import calendar as C
 from ...operators import metrics as M
 from ...operators import portfolio as P
 from ...operators.ranks import top_bottom_k
+from ...sources.bars import ordered_key
 from ..materialize import cut
 from ..strategy import PRESETS, evaluate, run_strategy, scenario
 from . import inputs as I
@@ -389,25 +390,54 @@ def _(spark, sf):
     return M.exposure_summary(ev(spark, sf).held)
 
 
-@register("journal_totals", """
-SELECT scenario, sum(daily_pnl_usd) AS daily_pnl_usd, product(1 + daily_return) - 1 AS daily_return,
-  arg_max(equity_usd, date) AS equity_usd, min(drawdown) AS drawdown, avg(gross_exposure) AS gross_exposure, avg(cash_pct) AS cash_pct,
-  sum(turnover) AS turnover, CAST(sum(position_count) AS BIGINT) AS trade_count, max(gross_exposure) AS largest_weight, sum(cost_usd) AS cost_usd
-FROM journal WHERE scenario <> 'long_only' GROUP BY 1""", ["journal"], {"daily_pnl_usd": 2, "daily_return": 6, "equity_usd": 2, "drawdown": 6, "gross_exposure": 6,
-                                        "cash_pct": 6, "turnover": 6, "largest_weight": 6, "cost_usd": 2})
-def _(spark, sf):
-    d = ev(spark, sf, SCENARIOS).daily.withColumns({"trade_count": F.col("position_count"), "largest_weight": F.col("gross_exposure")})
-    return M.journal_totals(d, ["scenario"])
+_LEGS = """unnest(['COVER', 'BUY', 'SELL', 'SHORT']) AS action, unnest([
+      greatest(-prior_weight, 0) - greatest(-target_weight, 0), greatest(target_weight, 0) - greatest(prior_weight, 0),
+      greatest(prior_weight, 0) - greatest(target_weight, 0), greatest(-target_weight, 0) - greatest(-prior_weight, 0)]) AS qty"""
+cte("legs", f"SELECT * FROM (SELECT scenario, rebalance_id, symbol, {_LEGS} FROM trades) WHERE qty > 1e-9", ["trades"])
+cte("sig", """SELECT date, avg(0.5 + 0.45 * ((CAST(symbol AS BIGINT) * 37 + idx * 11) % 101) / 101.0) AS avg_meta_probability, 0.6::DOUBLE AS meta_threshold
+FROM rk JOIN cal_w USING (date) WHERE rank <= 12 GROUP BY date""", ["rk", "cal_w"])
+cte("day_rows", """
+SELECT j.*, CASE WHEN position_count > 0 THEN largest END AS largest_weight,
+  CASE WHEN position_count > 0 AND j.date = s.entry_date THEN coalesce(sent, 0) ELSE 0 END AS trade_count, avg_meta_probability, meta_threshold
+FROM journal j LEFT JOIN sched s USING (scenario, rebalance_id)
+LEFT JOIN (SELECT scenario, rebalance_id, max(abs(weight)) AS largest FROM held GROUP BY 1, 2) h USING (scenario, rebalance_id)
+LEFT JOIN (SELECT scenario, rebalance_id, count(*) AS sent FROM legs GROUP BY 1, 2) o USING (scenario, rebalance_id)
+LEFT JOIN sig c ON c.date = s.signal_date AND position_count > 0""", ["journal", "sched", "held", "legs", "sig"])
+_TOTALS = {"daily_pnl_usd": 2, "daily_return": 6, "equity_usd": 2, "balance_usd": 2, "drawdown": 6, "gross_exposure": 6, "cash_pct": 6, "turnover": 6,
+           "largest_weight": 6, "cost_usd": 2, "avg_meta_probability": 6, "meta_threshold": 6}
+TOTALS_SQL = """sum(daily_pnl_usd) AS daily_pnl_usd, product(1 + daily_return) - 1 AS daily_return,
+  arg_max(equity_usd, date) AS equity_usd, arg_max(balance_usd, date) AS balance_usd, min(drawdown) AS drawdown, avg(gross_exposure) AS gross_exposure,
+  avg(cash_pct) AS cash_pct, sum(turnover) AS turnover, CAST(sum(trade_count) AS BIGINT) AS trade_count, max(largest_weight) AS largest_weight,
+  sum(cost_usd) AS cost_usd, avg(avg_meta_probability) AS avg_meta_probability, avg(meta_threshold) AS meta_threshold"""
+
+
+def signal_days(spark, sf, bars):
+    """Mean probability and threshold of the best names of each date."""
+    best = top_bottom_k(I.panel_w(spark, sf, bars), "score", 12, min_names=0, universe=I.universe_size(spark, sf)).join(C.sessions(bars), "date")
+    prob = 0.5 + 0.45 * ((F.col("symbol").cast("bigint") * 37 + F.col("idx") * 11) % 101) / 101.0
+    return best.groupBy("date").agg(F.avg(prob).alias("avg_meta_probability"), F.lit(0.6).alias("meta_threshold"))
+
+
+@register("journal_totals", f"SELECT scenario, {TOTALS_SQL} FROM day_rows WHERE scenario <> 'long_only' GROUP BY 1", ["day_rows"], _TOTALS)
+def _(spark, sf):
+    """Totals per scenario, with largest weights and orders from the holdings and the trades."""
+    bars = cut(I.bars_w(spark, sf))
+    e = evaluate(I.panel_w(spark, sf, bars), bars, "score", SCENARIOS, universe=I.universe_size(spark, sf))
+    rows = M.journal_rows(e.daily, e.held, P.split_orders(e.trades), e.schedule, signal_days(spark, sf, bars))
+    return M.journal_totals(rows, ["scenario"])
 
 
 @register("ledger_drilldown", """
-SELECT d.scenario, d.rebalance_id, d.date, symbol, side, weight FROM mark d JOIN held h
-ON d.scenario = h.scenario AND d.rebalance_id = h.rebalance_id WHERE d.scenario = 'base'""", ["mark", "held"], six("weight"))
+SELECT p.*, d.date FROM (SELECT *, CAST(row_number() OVER (PARTITION BY scenario, rebalance_id, kind ORDER BY round(abs(value), 9) DESC, symbol, action) AS INTEGER) AS place FROM (
+  SELECT scenario, rebalance_id, 'rebalance' AS kind, NULL AS symbol, NULL AS action, turnover AS value FROM net
+  UNION ALL SELECT scenario, rebalance_id, 'order', symbol, action, qty FROM legs
+  UNION ALL SELECT scenario, rebalance_id, 'position', symbol, side, weight FROM held)) p
+JOIN (SELECT scenario, rebalance_id, date FROM mark) d ON d.scenario = p.scenario AND d.rebalance_id = p.rebalance_id WHERE d.scenario = 'base'""", ["mark", "held", "legs", "net"], six("value"))
 def _(spark, sf):
+    """Rebalance, orders and positions behind every day of the journal."""
     e = ev(spark, sf)
     day = e.daily.where(F.col("rebalance_id").isNotNull())
-    pos = e.held.select(*P.KEY, "symbol", "side", "weight")
-    return P.ledger_drilldown(day, pos).select("scenario", "rebalance_id", "date", "symbol", "side", "weight")
+    return P.day_detail(day, e.held, P.split_orders(e.trades), e.ledger)
 
 
 @register("compare_runs", """
@@ -441,8 +471,8 @@ FROM lineitem) WHERE rn = 1""", (), {"close": 4})
 def _(spark, sf):
     rows = I.table(spark, sf, "lineitem").select(
         F.col("l_shipdate").cast("date").alias("date"), F.col("l_suppkey").cast("string").alias("symbol"),
-        F.col("l_extendedprice").alias("close"), "l_orderkey", "l_linenumber", "l_partkey")
-    return P.dedup_keep_last(rows, ["date", "symbol"], ["l_orderkey", "l_linenumber", "l_partkey"]).select("date", "symbol", "close")
+        F.col("l_extendedprice").alias("close"), ordered_key(l_orderkey=15, l_linenumber=2, l_partkey=12).alias("at"))
+    return P.dedup_keep_last(rows, ["date", "symbol"], ["at"]).select("date", "symbol", "close")
 
 
 # --- live portfolio checks -------------------------------------------------------------------

@@ -1,5 +1,7 @@
 """Sources, filters, predicates and point-in-time joins."""
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -11,11 +13,12 @@ from ...operators.portfolio import dedup_keep_last
 
 from ...operators.research import FEATURES, linear_score
 from ...operators.technical import solid_eligible
-from ...operators.universe import liquidity_stats, quality_score, universe_funnel, universe_gate, universe_top_n
+from ...operators.universe import funnel_top, liquidity_stats, quality_score, universe_funnel, universe_gate, universe_top_n
 from ...sources import bars as B
 from ...sources import filings as FI
 from ...sources.news import pit_news_mask, score_news
 from ...sources.store import fingerprint, strict_json
+from ..materialize import cut, shared_folder
 from ..panel import META_WEIGHTS
 from . import inputs as I
 from .base import cte, register, six
@@ -33,9 +36,10 @@ def _(spark, sf):
     rows = li.select(
         F.col("l_shipdate").cast("date").alias("date"), F.col("l_suppkey").cast("string").alias("symbol"),
         (F.col("l_extendedprice") / F.col("l_quantity")).alias("open"), F.col("l_quantity").alias("volume"),
-        "l_orderkey", "l_linenumber", "l_partkey",
-    )
-    return B.unique_bars(rows, ["l_orderkey", "l_linenumber", "l_partkey"]).select("date", "symbol", "open", "volume")
+        B.ordered_key(l_orderkey=15, l_linenumber=2, l_partkey=12).alias("at"))
+    path = f"{shared_folder(spark)}/bars-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return B.scan_bars(spark, path, ["at"]).select("date", "symbol", "open", "volume")
 
 
 @register("flatten_bars_json", """
@@ -177,7 +181,7 @@ def _(spark, sf):
 SELECT date, b.symbol, CASE WHEN date = (SELECT max(date) FROM bars) THEN coalesce(news_score, 0) ELSE 0.0 END AS news_raw
 FROM bars b LEFT JOIN news n ON b.symbol = n.symbol""", ["bars", "news"], six("news_raw"))
 def _(spark, sf):
-    return pit_news_mask(I.bars(spark, sf).select("date", "symbol"), I.news(spark, sf))
+    return pit_news_mask(I.bars(spark, sf).select("date", "symbol"), I.news(spark, sf), last=I.last_session(spark, sf))
 
 
 @register("fingerprint", """
@@ -282,8 +286,8 @@ FROM (SELECT *, {_raw_pct('median_dollar_volume_60')} AS liq_rank, {_raw_pct('cu
   FROM gated JOIN current USING (symbol))""", ["gated", "current"])
 
 
-def gated_stats(spark, sf):
-    b = I.bars(spark, sf)
+def gated_stats(spark, sf, bars=None):
+    b = I.bars(spark, sf) if bars is None else bars
     cur = b.groupBy("symbol").agg(
         F.max_by(F.col("close") * F.col("volume"), F.col("date")).alias("current_dollar_volume"))
     return universe_gate(liquidity_stats(b), **GATE).join(cur, "symbol")
@@ -297,16 +301,31 @@ def _(spark, sf):
     return top.select("symbol", "quality_score", "median_dollar_volume_60", "history_sessions", "volatility_60")
 
 
-@register("universe_funnel", """
-SELECT count(*) AS candidate_count, count(*) FILTER (history_sessions >= 500) AS prefiltered_count,
+_BEST = "ORDER BY quality_score DESC NULLS LAST, median_dollar_volume_60 DESC, symbol LIMIT 50"
+
+
+@register("universe_funnel", f"""
+SELECT count(*) AS candidate_count, count(*) FILTER (s.history_sessions >= 500) AS prefiltered_count,
   count(*) FILTER (g.symbol IS NOT NULL) AS qualified_count,
-  count(*) FILTER (g.symbol IS NOT NULL AND coalesce(quality_score, 0) >= 0.5) AS selected_count
-FROM stats s LEFT JOIN quality g ON s.symbol = g.symbol""".replace("history_sessions >=", "s.history_sessions >="), ["stats", "quality"])
+  count(*) FILTER (g.symbol IS NOT NULL AND coalesce(quality_score, 0) >= 0.5) AS selected_count,
+  {GATE['min_sessions']} AS min_sessions, {GATE['min_price']}::DOUBLE AS min_price, {GATE['min_dollar_volume']}::DOUBLE AS min_dollar_volume, {GATE['max_vol']}::DOUBLE AS max_vol,
+  (SELECT list(symbol) FROM (SELECT symbol FROM quality {_BEST})) AS top_symbols
+FROM stats s LEFT JOIN quality g ON s.symbol = g.symbol""", ["stats", "quality"])
 def _(spark, sf):
-    q = quality_score(gated_stats(spark, sf), I.universe_size(spark, sf)).select(
+    bars = cut(I.bars(spark, sf))
+    gated = cut(gated_stats(spark, sf, bars))
+    q = quality_score(gated, I.universe_size(spark, sf)).select(
         "symbol", F.lit(True).alias("qualified"), (F.coalesce("quality_score", F.lit(0.0)) >= 0.5).alias("selected"))
-    stages = liquidity_stats(I.bars(spark, sf)).select("symbol", (F.col("history_sessions") >= 500).alias("prefiltered"))
-    return universe_funnel(stages.join(q, "symbol", "left").na.fill(False, ["qualified", "selected"]))
+    stages = liquidity_stats(bars).select("symbol", (F.col("history_sessions") >= 500).alias("prefiltered"))
+    return universe_funnel(stages.join(q, "symbol", "left").na.fill(False, ["qualified", "selected"]), gated, GATE)
+
+
+@register("universe_funnel_top", f"""SELECT CAST(row_number() OVER () AS INTEGER) AS place, * FROM (
+  SELECT symbol, quality_score, median_dollar_volume_60, history_sessions, volatility_60 FROM quality {_BEST})""", ["quality"],
+          six("quality_score", "median_dollar_volume_60", "volatility_60"))
+def _(spark, sf):
+    """The best names of the funnel with their score and statistics."""
+    return funnel_top(gated_stats(spark, sf), 50, I.universe_size(spark, sf))
 
 
 # --- projections on the panel ---------------------------------------------------------------
@@ -327,12 +346,13 @@ def _(spark, sf):
 @register("latest_cross_section", """SELECT date, symbol, score FROM panel_w
 WHERE date = (SELECT max(date) FROM panel_w WHERE score IS NOT NULL) AND score IS NOT NULL""", ["panel_w"], six("score"))
 def _(spark, sf):
-    return latest_cross_section(I.panel_w(spark, sf), "score").select("date", "symbol", "score")
+    panel = cut(I.panel_w(spark, sf).select("date", "symbol", "score"))
+    return latest_cross_section(panel, "score")
 
 
 @register("period_filter", "SELECT date, symbol, close FROM bars WHERE date >= (SELECT max(date) FROM bars) - 90", ["bars"], six("close"))
 def _(spark, sf):
-    return period_filter(I.bars(spark, sf), 90).select("date", "symbol", "close")
+    return period_filter(I.bars(spark, sf), 90, I.last_session(spark, sf)).select("date", "symbol", "close")
 
 
 # --- point-in-time joins ---------------------------------------------------------------------

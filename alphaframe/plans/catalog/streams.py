@@ -23,9 +23,11 @@ def messages(spark, sf):
     event = F.when(F.col("event_type") == "purchase", "fill").when(F.col("event_type") == "click", "partial_fill").otherwise(F.col("event_type"))
     qty, price = F.round("value", 2), F.get_json_object("props", "$.k").cast("double")
     given = F.col("event_id") % 3 != 0
+    # Purchases fill the order, sign-ups end it for the day every other time; the rest leave the status to the event.
+    status = F.when(F.col("event_type") == "purchase", "Filled").when((F.col("event_type") == "signup") & (F.col("event_id") % 2 == 0), "canceled")
     order = F.struct(
         F.col("user_id").cast("string").alias("client_order_id"), F.col("event_id").cast("string").alias("id"),
-        (F.col("user_id") % 10).cast("string").alias("symbol"), F.lit("buy").alias("side"),
+        (F.col("user_id") % 10).cast("string").alias("symbol"), F.lit("buy").alias("side"), status.alias("status"),
         qty.alias("filled_qty"), price.alias("filled_avg_price"))
     data = F.struct(event.alias("event"), F.when(given, qty).alias("qty"), F.when(given, price).alias("price"), order.alias("order"))
     stream = F.when(F.col("event_type") == "error", "listening").otherwise("trade_updates")
@@ -58,7 +60,11 @@ def _(spark, sf):
     return out.select("client_order_id", "event", "qty", "price", "notional")
 
 
-@register("stream_order_status", """SELECT client_order_id, arg_max(event, row(ts, event)) AS status, FALSE AS is_terminal FROM msgs GROUP BY 1""", ["msgs"])
+cte("statuses", """SELECT client_order_id, ts, CASE WHEN event = 'fill' THEN 'Filled' WHEN event = 'signup' AND event_id % 2 = 0 THEN 'canceled' ELSE event END AS status FROM msgs""", ["msgs"])
+
+
+@register("stream_order_status", """SELECT client_order_id, status, lower(status) IN ('filled', 'canceled', 'expired', 'rejected', 'done_for_day') AS is_terminal
+FROM (SELECT client_order_id, arg_max(status, row(ts, status)) AS status FROM statuses GROUP BY 1)""", ["statuses"])
 def _(spark, sf):
     where = f"{shared_folder(spark)}/status-{uuid.uuid4().hex}"
     ST.stream_order_status(ST.stream_trade_updates(messages(spark, sf)), f"{where}/data", f"{where}/ckpt").awaitTermination()

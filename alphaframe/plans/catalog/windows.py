@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ...operators import technical as T
-from ...operators.ranks import first_rank_filter, pct_rank, quantile_bins
+from ...operators.ranks import first_rank_filter, pct_rank, quantile_bins, row_numbers
 from . import inputs as I
 from .base import cte, register, six
 
@@ -179,10 +179,8 @@ SELECT date, symbol, rank, coalesce(last_value(CASE WHEN rank <= 20 THEN TRUE WH
 FROM (SELECT date, symbol, row_number() OVER (PARTITION BY date ORDER BY score DESC, symbol) AS rank
       FROM panel_w WHERE score IS NOT NULL)""", ["panel_w"])
 def _(spark, sf):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("date").orderBy(F.col("score").desc(), "symbol")
-    df = I.panel_w(spark, sf).where("score is not null").select("date", "symbol", F.row_number().over(w).alias("rank"))
+    df = I.panel_w(spark, sf).where("score is not null").select("date", "symbol", "score")
+    df = row_numbers(df, F.col("score"), ["date"], "symbol", "rank", I.universe_size(spark, sf)).drop("score")
     return T.band_membership(df, 20, 10)
 
 
@@ -196,4 +194,4 @@ FROM (SELECT date, symbol, accepted, row_number() OVER (PARTITION BY date ORDER
 def _(spark, sf):
     df = I.panel_w(spark, sf).where("score is not null and ret_1d is not null")
     df = df.withColumn("accepted", F.col("ret_1d") > 0)
-    return first_rank_filter(df, "score", "accepted", 8).select("date", "symbol", "accepted", "selected_rank", "selected")
+    return first_rank_filter(df, "score", "accepted", 8, universe=I.universe_size(spark, sf)).select("date", "symbol", "accepted", "selected_rank", "selected")

@@ -45,6 +45,8 @@ class WalkForward:
         return "future_relative_20d" if self.kind == "relative" else "future_relative_open"
 
 
+# Date-level features of the trade filter of the next-open variant.
+CONTEXT = ("market_ret_20", "market_vol_20", "market_dispersion_20", "market_breadth_20", "market_trend_breadth")
 # Fixed values of the next-open variant: ten-session holding period, twelve-session embargo.
 NET = dict(kind="net", validation=126, embargo=12, logistic_c=0.30, fit_share=0.55, min_fit=30)
 
@@ -58,7 +60,9 @@ def walk_forward_oos(panel: DataFrame, cfg: WalkForward) -> tuple[DataFrame, Dat
     """
     target, feats = cfg.target, list(cfg.features)
     labels = [target] + (["future_open_return"] if cfg.kind == "net" else [])
-    rows = cut(panel.select("date", "symbol", "regime", "solid_eligible", *feats, *labels))
+    # The net variant also learns from the state of the market, where the panel has it.
+    context = [c for c in CONTEXT if c in panel.columns] if cfg.kind == "net" else []
+    rows = cut(panel.select("date", "symbol", "regime", "solid_eligible", *feats, *labels, *context))
     cal = sessions(rows)
     live_names = valid_dates_semi(rows, cfg.min_names)
     labelled = cut(live_names.na.drop(subset=[*feats, *labels]))
@@ -81,11 +85,11 @@ def walk_forward_oos(panel: DataFrame, cfg: WalkForward) -> tuple[DataFrame, Dat
     test = cut(pct_rank(test, ranks, universe=cfg.universe))
 
     val_dates = val.select("fold", "date", "regime").distinct()
-    router = cut(ME.regime_router(ME.model_ic(val, names, target), val_dates))
+    router = cut(ME.regime_router(ME.model_ic(val, names, target, universe=cfg.universe), val_dates))
     val = ewma_score(ME.blend_score(val, router, names), "raw_score", cfg.span, "smooth_score", by=["fold", "symbol"])
     test = ewma_score(ME.blend_score(test, router, names), "raw_score", cfg.span, "smooth_score")
 
-    inputs = [*names, "raw_score", "smooth_score", *feats]
+    inputs = [*names, "raw_score", "smooth_score", *feats, *context]
     cols = [*inputs, *[f"regime_{r.lower()}" for r in REGIMES]]
     val = cut(ME.meta_label(ME.meta_features(fit_or_calibrate(val, cfg), inputs), cfg.kind))
     layer, cal_rows = _meta_layer(val, cols, cfg)
@@ -203,7 +207,7 @@ def _decide(test: DataFrame, meta: DataFrame, cols: Sequence[str], cfg: WalkForw
     out = out.withColumn("prob", F.when(F.col("platt_a").isNull(), raw).otherwise(F.lit(1.0) / (F.lit(1.0) + F.exp(-z))))
     out = prob_sizing(out, "v5" if cfg.kind == "relative" else "v6").withColumn("_ok", F.col("prob") >= F.col("threshold"))
     # The count kept per date comes with the refresh, so the flag is taken on the rank.
-    out = first_rank_filter(out, "smooth_score", "_ok", 1 << 30)
+    out = first_rank_filter(out, "smooth_score", "_ok", 1 << 30, universe=cfg.universe)
     keep = F.col("_ok") & (F.col("selected_rank") <= F.col("long_count"))
     return out.select(
         "date", "symbol", "regime", F.col("fold").alias("refresh_id"), "raw_score", "smooth_score", "prob", "threshold",

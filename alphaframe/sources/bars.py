@@ -34,8 +34,11 @@ def scan_bars(spark: SparkSession, path: str, order: Sequence[str] = BAR_COLUMNS
 
 
 def unique_bars(df: DataFrame, order: Sequence[str] = BAR_COLUMNS) -> DataFrame:
-    """Aggregation rather than a window, so duplicates collapse before the shuffle."""
+    """Aggregation rather than a window, so duplicates collapse before the shuffle; one whole number as ``order`` keeps
+    it hashed, several columns make it sort."""
     rest = [c for c in df.columns if c not in ("date", "symbol")]
+    if len(order) == 1:
+        return df.groupBy("date", "symbol").agg(*[F.min_by(c, order[0]).alias(c) for c in rest])
     first = F.min_by(F.struct(*rest), F.struct(*order)).alias("_b")
     return df.groupBy("date", "symbol").agg(first).select("date", "symbol", "_b.*")
 
