@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import by_date, finite, mean_known, ratio, true_or_false
 from ..sources.filings import METRICS
 from .asof import asof_join
+from .ranks import medians
 from .technical import eps_change
 
 CORE = ("revenue", "net_income", "assets", "equity", "operating_cf")
@@ -85,24 +86,24 @@ def pit_fundamentals(
     return eps_change(pit).withColumn("earnings_raw", finite("earnings_raw"))
 
 
-def attach_fundamentals(panel: DataFrame, pit: DataFrame) -> DataFrame:
+def attach_fundamentals(panel: DataFrame, pit: DataFrame, universe: int | None = None) -> DataFrame:
     """Left join on (date, symbol); a missing composite takes the date's median, then 0."""
     cols = ["fundamental_raw", "earnings_raw", "solid_fundamental_eligible", "sec_core_metrics"]
     joined = panel.join(pit.select("date", "symbol", *cols), ["date", "symbol"], "left")
-    return fill_fundamentals(joined)
+    return fill_fundamentals(joined, universe=universe)
 
 
-def fill_fundamentals(df: DataFrame, one_task_per_date: bool = False) -> DataFrame:
+def fill_fundamentals(df: DataFrame, one_task_per_date: bool = False, universe: int | None = None) -> DataFrame:
     """Missing composite to the date's median, then 0; missing earnings to 0.
 
     ``one_task_per_date`` takes the median in a window, which shares the shuffle of the date
-    ranks that follow; the default aggregates map side and joins the medians back.
+    ranks that follow; the default aggregates map side and joins the medians back, range by range on dates
+    wider than a task should hold.
     """
-    median = F.percentile("fundamental_raw", F.lit(0.5))
     if one_task_per_date:
-        df = df.withColumn("_median", median.over(by_date()))
+        df = df.withColumn("_median", F.percentile("fundamental_raw", F.lit(0.5)).over(by_date()))
     else:
-        df = df.join(df.groupBy("date").agg(median.alias("_median")), "date", "left")
+        df = df.join(medians(df, "fundamental_raw", ["date"], "_median", universe), "date", "left")
     return df.withColumns({
         "fundamental_raw": F.coalesce("fundamental_raw", "_median", F.lit(0.0)),
         "earnings_raw": F.coalesce("earnings_raw", F.lit(0.0)),

@@ -58,6 +58,33 @@ def value_ranks(df: DataFrame, value: str, by: Sequence[str], ranges: int) -> Da
     )
 
 
+def medians(df: DataFrame, value: str, by: Sequence[str], out: str, universe: int | None = None) -> DataFrame:
+    """(by…, out): the exact median of the known values of each group.
+
+    A group too wide for one buffer is selected from: distinct values are counted, cut at approximate quantiles, and only
+    the ranges that hold the middle are looked into.
+    """
+    known = df.where(F.col(value).isNotNull())
+    if not too_wide(universe):
+        return known.groupBy(*by).agg(F.percentile(value, F.lit(0.5)).alias(out))
+    ranges = _ranges(universe)
+    counted = known.groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    cuts = counted.groupBy(*by).agg(F.percentile_approx("_v", [i / ranges for i in range(1, ranges)], 20 * ranges).alias("_cuts"))
+    placed = counted.join(cuts, list(by)).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).drop("_cuts")
+    g = Window.partitionBy(*by).orderBy("_range")
+    sizes = placed.groupBy(*by, "_range").agg(F.sum("_n").alias("_rows")).select(
+        *by, "_range", (F.sum("_rows").over(g) - F.col("_rows")).alias("_below"), F.sum("_rows").over(g).alias("_upto"),
+        F.sum("_rows").over(Window.partitionBy(*by)).alias("_all"))
+    low, high = F.floor((F.col("_all") + 1) / 2), F.floor(F.col("_all") / 2) + 1
+    holds = lambda k: (F.col("_below") < k) & (k <= F.col("_upto"))
+    middle = sizes.where(holds(low) | holds(high)).drop("_upto")
+    inside = Window.partitionBy(*by, "_range").orderBy("_v")
+    rows = placed.join(middle, [*by, "_range"]).withColumn("_upto", F.col("_below") + F.sum("_n").over(inside)).withColumn(
+        "_below", F.col("_upto") - F.col("_n"))
+    at = lambda k: F.max(F.when(holds(k), F.col("_v")))
+    return rows.groupBy(*by).agg((at(low) * F.lit(0.5) + at(high) * F.lit(0.5)).alias(out))
+
+
 def pct_rank(
     df: DataFrame,
     cols: Sequence[str] | dict[str, str],

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from bisect import insort
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions import by_date, by_symbol, clip, full_window, past, period_return, ratio, true_or_false
 from ..functions.cols import TRADING_DAYS
-from .ranks import too_wide
+from .ranks import medians, too_wide
 
 ANNUAL = TRADING_DAYS ** 0.5
 
@@ -185,25 +188,41 @@ def band_membership(df: DataFrame, n: int, buffer: int, rank: str = "rank", by:
 # --- date-level series -------------------------------------------------------------------
 
 
-def market_context(panel: DataFrame) -> DataFrame:
+def market_context(panel: DataFrame, universe: int | None = None) -> DataFrame:
     """Per date: mean and spread of 20-day returns, median volatility, two breadth shares."""
     up = lambda c: F.avg(F.when(F.col(c) > 0, 1.0).otherwise(0.0))
-    return panel.groupBy("date").agg(
+    out = panel.groupBy("date").agg(
         F.avg("ret_20d").alias("market_ret_20"),
-        F.percentile("vol_20d", F.lit(0.5)).alias("market_vol_20"),
+        *([] if too_wide(universe) else [F.percentile("vol_20d", F.lit(0.5)).alias("market_vol_20")]),
         F.stddev_samp("ret_20d").alias("market_dispersion_20"),
         up("ret_20d").alias("market_breadth_20"),
         up("trend_200").alias("market_trend_breadth"),
     )
+    if too_wide(universe):
+        out = out.join(medians(panel, "vol_20d", ["date"], "market_vol_20", universe), "date", "left")
+    return out.select("date", "market_ret_20", "market_vol_20", "market_dispersion_20", "market_breadth_20", "market_trend_breadth")
 
 
 def expanding_median(df: DataFrame, col: str, out: str, need: int = 60) -> DataFrame:
     """Median of all earlier dates (the current one excluded) once ``need`` are known.
 
-    Date-level input only: one row per session in a single ordered window.
+    Date-level input only: one row per session. Earlier values are kept in order as they come, so a date costs
+    a search and an insertion instead of a sort of its past.
     """
-    w = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn(out, full_window(F.percentile(col, F.lit(0.5)), F.col(col), w, need))
+    schema = StructType([*df.schema.fields, StructField(out, DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        past: list[float] = []
+        for batch in batches:
+            found = []
+            for v in batch.column(col).to_pylist():
+                n = len(past)
+                found.append(0.5 * past[(n - 1) // 2] + 0.5 * past[n // 2] if n >= max(need, 1) else None)
+                if v is not None:
+                    insort(past, v)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], names=schema.names)
+
+    return df.repartition(1).sortWithinPartitions("date").mapInArrow(run, schema)
 
 
 def vol_reference(ctx: DataFrame) -> DataFrame:

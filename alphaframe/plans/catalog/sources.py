@@ -381,7 +381,7 @@ def _(spark, sf):
 @register("attach_fundamentals", "SELECT date, symbol, fundamental_raw, earnings_raw FROM joined", ["joined"],
           six("fundamental_raw", "earnings_raw"))
 def _(spark, sf):
-    out = FU.attach_fundamentals(I.bars(spark, sf).select("date", "symbol"), I.pit(spark, sf))
+    out = FU.attach_fundamentals(I.bars(spark, sf).select("date", "symbol"), I.pit(spark, sf), I.universe_size(spark, sf))
     return out.select("date", "symbol", "fundamental_raw", "earnings_raw")
 
 

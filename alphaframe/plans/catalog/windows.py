@@ -97,7 +97,7 @@ def tech_df(spark, sf):
 
 def context(spark, sf):
     df = T.rolling_vol(T.returns_n(I.bars(spark, sf), [1, 20]), [20])
-    ctx = T.vol_reference(T.market_context(T.sma_trend(df, [200])))
+    ctx = T.vol_reference(T.market_context(T.sma_trend(df, [200]), I.universe_size(spark, sf)))
     return T.classify_regime(ctx, I.RISK_OFF, I.TREND_UP)
 
 

@@ -5,8 +5,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from alphaframe.operators import fundamentals as FU
 from alphaframe.operators import ranks as K
 from alphaframe.operators import research as R
+from alphaframe.operators import technical as T
 from alphaframe.operators.asof import asof_join
 from alphaframe.operators.technical import forward_return
 
@@ -69,6 +71,43 @@ def test_ic_and_summary(cross):
     assert rows(R.factor_summary(cross, ["x"], "y"), *cols) == rows(R.factor_summary(cross, ["x"], "y", universe=200), *cols)
 
 
+def test_medians_wide(cross):
+    """Only the ranges that hold the middle are looked into; ties, gaps and even counts included."""
+    for value in ("x", "y"):
+        a, b = K.medians(cross, value, ["date"], "m"), K.medians(cross, value, ["date"], "m", universe=200)
+        assert rows(a, "date", F.round("m", 12)) == rows(b, "date", F.round("m", 12))
+    one = cross.where("date = 1 AND symbol < 's003'").withColumn("z", F.lit(None).cast("double"))
+    assert K.medians(one, "z", ["date"], "m", universe=200).count() == 0
+    ctx = cross.withColumnsRenamed({"x": "vol_20d", "y": "ret_20d"}).withColumn("trend_200", F.col("ret_20d"))
+    cols = ("date", F.round("market_vol_20", 12), F.round("market_ret_20", 9))
+    assert rows(T.market_context(ctx), *cols) == rows(T.market_context(ctx, universe=200), *cols)
+    raw = cross.withColumnsRenamed({"x": "fundamental_raw", "y": "earnings_raw"})
+    cols = ("date", "symbol", F.round("fundamental_raw", 12), "earnings_raw")
+    assert rows(FU.fill_fundamentals(raw), *cols) == rows(FU.fill_fundamentals(raw, universe=200), *cols)
+
+
+def test_row_numbers_and_filters_wide(cross):
+    df = cross.withColumn("ok", F.col("y") > 0)
+    cols = ("date", "symbol", "selected_rank", "selected")
+    assert rows(K.first_rank_filter(df, "x", "ok", 8), *cols) == rows(K.first_rank_filter(df, "x", "ok", 8, universe=200), *cols)
+    assert rows(K.row_numbers(df, F.col("x"), ["date"], "symbol", "n"), "date", "symbol", "n") == rows(
+        K.row_numbers(df, F.col("x"), ["date"], "symbol", "n", 200), "date", "symbol", "n")
+
+
+def test_expanding_median(spark):
+    """Equal to the median of a growing window, without sorting the past again."""
+    import numpy as np
+
+    rng = random.Random(3)
+    values = [None if rng.random() < 0.1 else rng.gauss(0, 1) for _ in range(300)]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "date int, v double").repartition(4)
+    got = {r["date"]: r["m"] for r in T.expanding_median(df, "v", "m", 20).collect()}
+    for i in range(300):
+        past = [v for v in values[:i] if v is not None]
+        assert (got[i] is None) == (len(past) < 20)
+        assert got[i] is None or abs(got[i] - np.median(past)) < 1e-12
+
+
 def test_forward_return_wide(cross):
     bars = cross.select("date", "symbol", (F.abs("y") + 1).alias("close"))
     a, b = forward_return(bars, 1), forward_return(bars, 1, universe=200)
