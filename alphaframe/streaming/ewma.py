@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-OUTPUT = "symbol string, ts timestamp, tie long, score double, smooth double"
+from pyspark.sql import DataFrame, Row
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from .trades import ROCKSDB, STORE
 
 BLOCK = 64
 
@@ -31,20 +31,76 @@ def smoothed(x: np.ndarray, alpha: float, previous: float | None) -> np.ndarray:
     return out
 
 
-def stream_ewma(sdf: DataFrame, span: int = 5) -> DataFrame:
-    """(symbol, ts, tie, score) with the running smoothed score.
+ROW = np.dtype([("at", "<i8"), ("tie", "<i8"), ("score", "<f8")])
+CHUNK = 4096
+
+
+class Smoothing(StatefulProcessor):
+    """Per symbol the last smoothed value, and the rows the watermark has not passed yet.
 
-    The state of a symbol is one number. Rows of a micro-batch are ordered by (ts, tie) inside
-    their symbol; rows that arrive in a later batch continue from the stored value. The source bounds how
-    much of a symbol one micro-batch holds (``maxFilesPerTrigger``).
+    Rows wait packed, 24 bytes each, in chunks of a list state; a timer at the earliest of them hands out what
+    the watermark has passed, in order of (ts, tie), a chunk at a time.
     """
-    alpha = 2.0 / (span + 1.0)
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values(["ts", "tie"], kind="stable")
-        out = smoothed(rows["score"].to_numpy(), alpha, state.get[0] if state.exists else None)
-        state.update((float(out[-1]),))
-        yield rows.assign(symbol=key[0], smooth=out)[["symbol", "ts", "tie", "score", "smooth"]]
+    def __init__(self, alpha: float) -> None:
+        self.alpha = alpha
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "value double")
+        self.waiting = handle.getListState("waiting", "chunk binary")
+
+    def _wake(self, earliest_us: int) -> None:
+        for t in list(self.handle.listTimers()):
+            if t <= earliest_us // 1000 - 1:
+                return
+            self.handle.deleteTimer(t)
+        self.handle.registerTimer(earliest_us // 1000 - 1)  # timers fire once the watermark is beyond them
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        first = None
+        while part := list(islice(rows, CHUNK)):
+            packed = np.array([(r["at"], r["tie"], np.nan if r["score"] is None else r["score"]) for r in part], ROW)
+            self.waiting.appendValue((packed.tobytes(),))
+            low = int(packed["at"].min())
+            first = low if first is None else min(first, low)
+        if first is not None:
+            self._wake(first)
+        return iter(())
 
-    return sdf.groupBy("symbol").applyInPandasWithState(
-        step, OUTPUT, "last double", "append", GroupStateTimeout.NoTimeout)
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
+        passed = timerValues.getCurrentWatermarkInMs()
+        held = np.concatenate([np.frombuffer(bytes(c[0]), ROW) for c in self.waiting.get()] or [np.empty(0, ROW)])
+        ready = held["at"] // 1000 <= passed
+        rest, now = held[~ready], held[ready]
+        self.waiting.clear()
+        for at in range(0, len(rest), CHUNK):
+            self.waiting.appendValue((rest[at:at + CHUNK].tobytes(),))
+        if len(rest):
+            self._wake(int(rest["at"].min()))
+        now = now[np.lexsort((now["tie"], now["at"]))]
+        for at in range(0, len(now), CHUNK):
+            part = now[at:at + CHUNK]
+            out = smoothed(part["score"], self.alpha, self.last.get()[0] if self.last.exists() else None)
+            self.last.update((float(out[-1]),))
+            for r, s in zip(part, out):
+                yield Row(symbol=key[0], at=int(r["at"]), tie=int(r["tie"]), score=float(r["score"]), smooth=float(s))
+
+    def close(self) -> None:
+        pass
+
+
+def stream_ewma(sdf: DataFrame, span: int = 5, delay: str = "0 seconds") -> DataFrame:
+    """(symbol, ts, tie, score) with the running smoothed score, in the order of event time.
+
+    A row is handed out once the watermark, ``delay`` behind the newest time seen, has passed it, so rows that come out of
+    order within that delay are smoothed in order; later ones are dropped. The state of a symbol is one number
+    and the rows still waiting. Rows without symbol, time or score are left out. Sets the session's state store to the one
+    that typed state needs.
+    """
+    sdf.sparkSession.conf.set(STORE, ROCKSDB)
+    rows = sdf.where("symbol IS NOT NULL AND ts IS NOT NULL AND score IS NOT NULL").select(
+        "symbol", "ts", F.unix_micros("ts").alias("at"), "tie", F.col("score").cast("double").alias("score"))
+    out = rows.withWatermark("ts", delay).groupBy("symbol").transformWithState(
+        Smoothing(2.0 / (span + 1.0)), "symbol string, at long, tie long, score double, smooth double", "append", "EventTime")
+    return out.select("symbol", F.timestamp_micros("at").alias("ts"), "tie", "score", "smooth")

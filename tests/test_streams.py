@@ -69,3 +69,48 @@ def test_order_updates_from_messages(spark):
     updates = ST.stream_trade_updates(spark.createDataFrame(rows, "payload string, ts timestamp"))
     got = {r["client_order_id"]: r["is_terminal"] for r in ST.merge_order_status(updates.where(F.col("client_order_id").isNotNull()), None).collect()}
     assert got == {"a": True, "b": True}
+
+
+EWMA = "symbol string, ts timestamp, tie long, score double"
+
+
+def smooth_feed(spark, src, rows):
+    spark.createDataFrame([("s", dt.datetime(2024, 1, 1, 0, 0, t), i, float(v)) for i, t, v in rows], EWMA).coalesce(1).write.mode("append").parquet(src)
+
+
+def smooth_drain(spark, tmp_path, delay):
+    from alphaframe.streaming.ewma import stream_ewma
+
+    src, out, ck = (str(tmp_path / x) for x in ("src", "out", "ck"))
+    rows = spark.readStream.schema(EWMA).parquet(src)
+    stream_ewma(rows, 3, delay).writeStream.format("parquet").option("path", out).option("checkpointLocation", ck).trigger(availableNow=True).start().awaitTermination()
+    return {r["tie"]: r["smooth"] for r in spark.read.parquet(out).collect()}
+
+
+def test_rows_out_of_order_wait_for_the_watermark_and_late_ones_go(spark, tmp_path):
+    """Rows of a later batch that lie between earlier ones are smoothed in their place; what the watermark passed stays as it was."""
+    src = str(tmp_path / "src")
+    smooth_feed(spark, src, [(1, 0, 1), (2, 10, 2), (3, 30, 8)])
+    first = smooth_drain(spark, tmp_path, "15 seconds")
+    assert first == {1: 1.0, 2: 1.5}  # 30 waits: the watermark is at 15
+    smooth_feed(spark, src, [(4, 20, 4), (5, 5, 100), (6, 50, 0)])  # 20 comes before 30; 5 is too late
+    got = smooth_drain(spark, tmp_path, "15 seconds")
+    assert got == {1: 1.0, 2: 1.5, 4: 2.75, 3: 5.375}
+    smooth_feed(spark, src, [(7, 59, 1)])
+    smooth_drain(spark, tmp_path, "15 seconds")
+    assert set(got) == {1, 2, 3, 4}
+
+
+def test_many_rows_of_one_symbol_wait_packed(spark, tmp_path):
+    """A symbol's rows wait at 24 bytes each and leave in chunks, in order."""
+    from alphaframe.streaming.ewma import CHUNK, ROW, smoothed
+
+    n = 3 * CHUNK + 17
+    assert ROW.itemsize == 24
+    src = str(tmp_path / "src")
+    spark.range(n).select(F.lit("s").alias("symbol"), F.timestamp_micros(F.lit(1_700_000_000_000_000) + (F.col("id") * 7919) % n * 1_000_000).alias("ts"),
+                          F.col("id").alias("tie"), ((F.col("id") * 31) % 101).cast("double").alias("score")).coalesce(1).write.parquet(src)
+    got = smooth_drain(spark, tmp_path, "0 seconds")
+    order = sorted(range(n), key=lambda i: (i * 7919 % n, i))
+    want = smoothed([float(i * 31 % 101) for i in order], 0.5, None)
+    assert len(got) == n and max(abs(got[i] - w) for i, w in zip(order, want)) < 1e-9
