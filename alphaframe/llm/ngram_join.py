@@ -2,11 +2,12 @@
 
 Shingles are put in one order, common ones last. Two sets can only reach the threshold if they share
 a shingle among the first few of each (their prefixes). Documents with one prefix and size form a
-group, which takes part once. Candidates are compared in two rounds. First, each group is compared with
-the smallest group of each list it is in, and each member with the smallest member of its group; that
-links large sets of copies without ever forming all their pairs. Then pairs of members that share a
-prefix shingle but are not connected yet are compared, unless their sizes or the places of what
-they share already rule a link out.
+group, which takes part once. Candidates are compared in rounds, and what links is contracted after each. First, each
+group is compared with the smallest group of each list it is in, and each member with the smallest member of
+its group. Then, a few times, members of lists that still hold several components meet a few
+neighbours of other components, others each time; that joins large sets of near copies by a number of pairs in
+proportion to their members. At last all pairs of members that share a prefix shingle but are not connected yet are
+compared, unless their sizes or the places of what they share already rule a link out.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import discard, most_frequent, only, stored
@@ -26,6 +27,11 @@ SLICE = 1024
 HOT_MOST = 1 << 16
 HOT_LEAST = 24
 SALT_ROWS = 512
+LOW = np.uint64((1 << 31) - 1)
+MERGES = 3  # rounds of neighbours at most; they change cost, not results
+MEETINGS = 4  # neighbours of a member in a round
+WORTH = 20  # a round that links less than one pair in so many is the last
+DEAL_ROWS = 1024  # rows of a list that are compared with so many others by one task
 
 
 def common_shingles(docs: DataFrame, most: int = HOT_MOST, least: int = HOT_LEAST) -> tuple[np.ndarray, np.ndarray]:
@@ -152,22 +158,28 @@ def posting_lists(signs: DataFrame, share: int) -> DataFrame:
     return dealt_out.mapInArrow(run, "h long, grp long, n int, place int, dealt boolean, lead long, able boolean")
 
 
-def whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """member, n, shingles of the wanted (doc_id, member), read from the texts again."""
+def whole_sets(docs: DataFrame, wanted: DataFrame, halves: bool = False) -> DataFrame:
+    """member, n, shingles of the wanted (doc_id, member), read from the texts again; with ``halves`` 31 bits of each number."""
+    kind = "int" if halves else "long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            seen: set[int] = set()  # rows that repeat an id
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
                 sets = [shingle_set(t) for t in part.column("text").to_pylist()]
-                same = [named(s, len(s)) if len(s) else None for s in sets]
-                ok = [k for k, (x, m) in enumerate(zip(same, part.column("member").to_pylist(), strict=True)) if x == m]
+                ok = []
+                for k, (s, m) in enumerate(zip(sets, part.column("member").to_pylist(), strict=True)):
+                    if m not in seen and len(s) and named(s, len(s)) == m:
+                        seen.add(m)
+                        ok.append(k)
+                shown = [np.unique((sets[k] & LOW).astype(np.int32)) if halves else sets[k].view(np.int64) for k in ok]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("member").take(pa.array(ok, pa.int32())), pa.array([len(sets[k]) for k in ok], pa.int32()),
-                     pa.array([sets[k].view(np.int64) for k in ok], pa.list_(pa.int64()))],
+                     pa.array(shown, pa.list_(pa.int32() if halves else pa.int64()))],
                     names=["member", "n", "shingles"])
 
-    return docs.join(wanted, "doc_id").select("member", "text").mapInArrow(run, "member long, n int, shingles array<long>")
+    return docs.join(wanted, "doc_id").select("member", "text").mapInArrow(run, f"member long, n int, shingles array<{kind}>")
 
 
 def of_like_size(pairs: DataFrame, members: DataFrame, share: int) -> DataFrame:
@@ -181,24 +193,105 @@ def members_of(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("a", "b")).alias("member")).distinct()
 
 
-def linked(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
+def once(sets: DataFrame) -> DataFrame:
+    """One row per member; nothing moves unless rows repeat an id over several batches."""
+    if sets.count() == sets.select("member").distinct().count():
+        return sets
+    alone = stored(sets.dropDuplicates(["member"]))
+    discard(sets)
+    return alone
+
+
+def met_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs with both sets and the size of what they share. Sets grow with the data: they are dealt by member at every size."""
+    left, right = (sets.select(F.col("member").alias(x), F.col("n").alias(f"n_{x}"), F.col("shingles").alias(f"s_{x}")).hint("merge") for x in "ab")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", F.size(F.array_intersect("s_a", "s_b")).alias("common"))
+
+
+def linked(pairs: DataFrame, halves: DataFrame, docs: DataFrame, members: DataFrame, share: int) -> DataFrame:
     """The pairs (a, b) whose sets reach the threshold.
 
-    First on half of each number, which moves half as much: a pair is dropped only if it falls short by
-    more than equal halves could account for. The rest is decided on whole numbers.
+    Halves of the numbers decide unless a pair is so close to the threshold that equal halves of different numbers
+    could matter; those few are decided on whole numbers, read from the texts.
     """
+    def reach(common: Column) -> Column:
+        return 100 * common >= share * (F.col("n_a") + F.col("n_b") - common)
 
-    def pass_on(pairs: DataFrame, shown: Column, slack: Column) -> DataFrame:
-        own = stored(sets.join(members_of(pairs), "member").select("member", "n", shown.alias("s")))
-        left, right = (own.select(F.col("member").alias(x), F.col("n").alias(f"n_{x}"), F.col("s").alias(f"s_{x}")) for x in "ab")
-        both = pairs.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("s_a", "s_b")) + slack)
-        found = stored(both.where(100 * F.col("common") >= share * (F.col("n_a") + F.col("n_b") - F.col("common"))).select("a", "b"))
-        discard(own)
-        return found
-
-    half = F.transform("shingles", lambda x: x.bitwiseAND(F.lit((1 << 31) - 1)).cast("int"))
     slack = 3 + F.ceil(F.col("n_a").cast("double") * F.col("n_b") / 2.0 ** 29)
-    return pass_on(pass_on(pairs, half, slack), F.col("shingles"), F.lit(0))
+    judged = stored(met_sets(pairs, halves).where(reach(F.col("common") + slack)).select("a", "b", reach(F.col("common") - slack).alias("sure")))
+    sure, doubtful = judged.where("sure").select("a", "b"), judged.where("NOT sure").select("a", "b")
+    if doubtful.isEmpty():
+        return sure
+    exact = once(stored(whole_sets(docs, stored(members.join(members_of(doubtful), "member").select("doc_id", "member").distinct()))))
+    found = stored(met_sets(doubtful, exact).where(reach(F.col("common"))).select("a", "b"))
+    discard(exact)
+    return sure.union(found)
+
+
+def links_possible(share: int) -> Column:
+    """Whether the sizes of two members of a list, and the places of the shingle they share, leave a link possible.
+
+    The first shingle that two linked sets share lies early in both: behind it there is no room for more than need be missed.
+    """
+    need = F.ceil(share * (F.col("n_a") + F.col("n_b")) / (100 + share))
+    early = (F.col("place_a") <= F.col("n_a") - need) & (F.col("place_b") <= F.col("n_b") - need)
+    return (100 * F.least("n_a", "n_b") >= share * F.greatest("n_a", "n_b")) & early
+
+
+def mixed_lists(places: DataFrame, label: DataFrame) -> DataFrame:
+    """h, member, n, place, c: the lists that hold several components, with the component of each member."""
+    labelled = places.join(label, "member").select("h", "member", "n", "place", "c")
+    several = labelled.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("size")).where("low < high")
+    return stored(labelled.join(several.select("h", "size"), "h"))
+
+
+def neighbours(open_lists: DataFrame, turn: int, share: int, salt_rows: int) -> DataFrame:
+    """Pairs (a, b) of members of different components that lie side by side in a list; a few for each member.
+
+    A list is dealt into parts and each part ordered by size class, then by chance; ``turn`` changes both.
+    """
+    chance = F.xxhash64("member", "h", F.lit(turn))
+    part = F.pmod(F.xxhash64("member", F.lit(turn)), F.ceil(F.col("size") / F.lit(salt_rows)))
+    # Only where the shingle lies early enough for a link with a set of the same size.
+    early = open_lists.where(F.col("place") <= F.col("n") - F.ceil(2 * share * F.col("n") / (100 + share)))
+    rows = early.withColumns({"_chance": chance, "_part": part, "_class": F.floor(F.log2("n") * 8)})
+    order = Window.partitionBy("h", "_part").orderBy("_class", "_chance")
+    own = F.struct("member", "n", "place", "c")
+    beside = rows.withColumns({f"_o{k}": F.lead(own, k).over(order) for k in (1, 2)}).withColumn(
+        "_o", F.explode(F.array("_o1", "_o2"))).where("_o.member IS NOT NULL")
+    met = beside.select("_chance", *(F.col(x).alias(f"{x}_a") for x in ("member", "n", "place", "c")), *(F.col(f"_o.{x}").alias(f"{x}_b") for x in ("member", "n", "place", "c")))
+    met = met.where("c_a <> c_b").where(links_possible(share))
+    few = Window.partitionBy("member_a").orderBy("_chance")
+    pairs = met.withColumn("_k", F.row_number().over(few)).where(F.col("_k") <= MEETINGS)
+    return pairs.select(F.least("member_a", "member_b").alias("a"), F.greatest("member_a", "member_b").alias("b")).distinct()
+
+
+def all_pairs(open_lists: DataFrame, share: int) -> DataFrame:
+    """All pairs (a, b) of members of different components that a list brings together and that could link.
+
+    A long list is dealt into parts, and each pair of parts is a key of its own.
+    """
+    parts = F.ceil(F.col("size") / F.lit(DEAL_ROWS)).cast("int")
+    own = F.pmod(F.xxhash64("member"), parts).cast("int")
+    rows = open_lists.select("*", own.alias("own"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
+    x, y = (rows.select("h", F.col(i).alias("i"), F.col(j).alias("j"), *(F.col(c).alias(f"{c}_{k}") for c in ("member", "n", "place", "c")))
+            for k, i, j in (("a", "own", "other"), ("b", "other", "own")))
+    met = x.join(y, ["h", "i", "j"]).where("c_a < c_b").where(links_possible(share))
+    # Those met here are counted from the first place on without gaps, since one order holds for all sets.
+    shared = met.groupBy(F.col("member_a").alias("a"), F.col("member_b").alias("b"), "n_a", "n_b").agg(
+        F.sum((F.col("place_a") >= 0).cast("int")).alias("shared"), F.max("place_a").alias("i"), F.max("place_b").alias("j"),
+        F.min("place_a").alias("group_mark"))
+    most = F.col("shared") + F.least(F.col("n_a") - F.col("i") - 1, F.col("n_b") - F.col("j") - 1)
+    need = F.ceil(share * (F.col("n_a") + F.col("n_b")) / (100 + share))
+    return shared.where((F.col("group_mark") < 0) | (most >= need)).select("a", "b")
+
+
+def contracted(label: DataFrame, links: DataFrame) -> DataFrame:
+    """The components (member, c) after more links (a, b) between members."""
+    a, b = (label.select(F.col("member").alias(x), F.col("c").alias(f"c_{x}")) for x in "ab")
+    between = links.join(a, "a").join(b, "b").select(F.col("c_a").alias("a"), F.col("c_b").alias("b"))
+    moved = components(between).select(F.col("node").alias("c"), "component")
+    return stored(label.join(moved, "c", "left").select("member", F.coalesce("component", "c").alias("c")))
 
 
 def near_duplicates(
@@ -240,39 +333,35 @@ def near_duplicates(
     within = members.join(several, "grp").select(F.col("first").alias("x"), F.col("member").alias("y"))
     pairs = between.union(within).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     pairs = stored(of_like_size(pairs, members, share))
-    sets = stored(whole_sets(rows, stored(members.join(members_of(pairs), "member").select("doc_id", "member"))))
-    links = linked(pairs, sets, share)
-    joined = components(links)
+    met_in = lists.select("grp").union(several.select("grp")).distinct()
+    halves = once(stored(whole_sets(rows, stored(members.join(met_in, "grp").select("doc_id", "member").distinct()), halves=True)))
+    label = stored(members.select("member", F.col("member").alias("c")).distinct())
+    label = contracted(label, linked(pairs, halves, rows, members, share))
 
-    # Second round: what shares a prefix shingle and is not connected yet.
+    # Lists by member; a group of several members is a list too.
     of_group = members.select("grp", "member")
     places = lists.join(of_group, "grp").select("h", "member", "n", "place").union(
         members.join(several, "grp").select(F.col("grp").alias("h"), "member", "n", F.lit(-1)))
-    labelled = stored(places.join(joined, F.col("member") == F.col("node"), "left").select(
-        "h", "member", "n", "place", F.coalesce("component", "member").alias("c")))
+    open_lists = mixed_lists(places, label)
     discard(lists)
-    mixed_lists = labelled.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("h")
-    open_places = stored(labelled.join(mixed_lists, "h"))
-    x, y = (open_places.select("h", *(F.col(c).alias(f"{c}_{k}") for c in ("member", "n", "place", "c"))) for k in "ab")
-    need = F.ceil(share * (F.col("n_a") + F.col("n_b")) / (100 + share))
-    # The first shingle that two linked sets share lies early in both; those met here are counted from the
-    # first on without gaps, since one order holds for all sets.
-    early = (F.col("place_a") <= F.col("n_a") - need) & (F.col("place_b") <= F.col("n_b") - need)
-    met = x.join(y, "h").where((F.col("c_a") < F.col("c_b")) & (100 * F.least("n_a", "n_b") >= share * F.greatest("n_a", "n_b")) & early)
-    shared = met.groupBy(F.col("member_a").alias("a"), F.col("member_b").alias("b"), "n_a", "n_b").agg(
-        F.sum((F.col("place_a") >= 0).cast("int")).alias("shared"), F.max("place_a").alias("i"), F.max("place_b").alias("j"),
-        F.min("place_a").alias("group_mark"))
-    most = F.col("shared") + F.least(F.col("n_a") - F.col("i") - 1, F.col("n_b") - F.col("j") - 1)
-    late = stored(shared.where((F.col("group_mark") < 0) | (most >= need)).select("a", "b"))
-    discard(labelled, open_places)
-    unread = members_of(late).join(sets.select("member"), "member", "left_anti")
-    late_sets = stored(whole_sets(rows, stored(members.join(unread, "member").select("doc_id", "member"))))
-    more = linked(late, sets.union(late_sets), share)
-    discard(sets, late_sets)
-    found = components(links.union(more))
-
-    labels = members.join(found, F.col("member") == F.col("node"), "left").select(
-        "member", "doc_id", F.coalesce("component", "member").alias("c"))
+    # Rounds of neighbours, while they join what the last one left apart.
+    for turn in range(MERGES):
+        met = stored(neighbours(open_lists, turn, share, salt_rows))
+        found = linked(met, halves, rows, members, share)
+        n_met, n_found = met.count(), found.count()
+        if n_found:
+            label = contracted(label, found)
+            before, open_lists = open_lists, mixed_lists(open_lists.drop("c", "size"), label)
+            discard(before)
+        if n_found * WORTH <= n_met:
+            break
+
+    # All that is left.
+    late = stored(all_pairs(open_lists, share))
+    label = contracted(label, linked(late, halves, rows, members, share))
+    discard(open_lists, halves)
+
+    labels = members.join(label, "member").select("member", "doc_id", "c")
     names = labels.groupBy("c").agg(F.min("doc_id").alias("component_id"))
     of_member = stored(labels.select("member", "c").distinct().join(names, "c").select("member", "component_id"))
     return texts.join(of_member, "member", "left").select(

@@ -70,3 +70,45 @@ def test_shingle_sets():
 
 def test_empty_table(spark):
     assert near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_exactly_at_the_threshold(spark):
+    """6 of 8 shingles in common is a link, 5 of 9 is not; so close a pair is decided on whole numbers."""
+    words = [f"w{k}" for k in range(11)]
+    texts = [" ".join(words), " ".join([*words[:-1], "x"]), " ".join([*words[:-2], "y", "z"]), " ".join([f"v{k}" for k in range(11)])]
+    rows = [(k, t, "x") for k, t in enumerate(texts)]
+    got = near_duplicates(spark.createDataFrame(rows, SCHEMA))
+    assert sorted([tuple(r) for r in got.collect()]) == brute(rows)
+    assert [r[2] for r in brute(rows)][:2] == [0, 0]
+
+
+def test_large_group_of_near_copies_takes_few_pairs(spark, monkeypatch):
+    """Copies with one or two of 120 words changed: pairs compared grow with the group, not with its square."""
+    from alphaframe.llm import ngram_join as N
+
+    rng, compared = random.Random(3), []
+    real = N.linked
+
+    def counted(pairs, *rest):
+        compared.append(pairs.count())
+        return real(pairs, *rest)
+
+    monkeypatch.setattr(N, "linked", counted)
+    base = [f"b{k}" for k in range(120)]
+    rows = []
+    for i in range(1200):
+        w = list(base)
+        for _ in range(1 if i % 3 else 2):
+            w[rng.randrange(120)] = f"n{rng.randrange(10 ** 6)}"
+        rows.append((i, " ".join(w), "x"))
+    got = near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(6))
+    assert {r["component_id"] for r in got.collect()} == {0}
+    assert sum(compared) < 30 * 1200  # all pairs would be 720,000
+
+
+def test_many_rows_of_one_id(spark):
+    """Rows that repeat an id and a text over many batches are one member."""
+    text = " ".join(f"w{k}" for k in range(60))
+    rows = [(7, text, "x")] * 3000 + [(9, text + " end", "x"), (11, text + " end here", "x"), (7, "other words altogether stand here now", "x")]
+    got = near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(40))
+    assert {(r["doc_id"], r["component_id"]) for r in got.collect()} == {(7, 7), (9, 7), (11, 7)}
