@@ -11,7 +11,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +32,15 @@ def gram_keys(text: str) -> np.ndarray:
     return np.concatenate([b, two + (1 << 8), (two[:-1] << 8) + b[2:] + ((1 << 16) + (1 << 8))])
 
 
+def distinct_keys(text: str) -> np.ndarray:
+    """Sorted distinct keys of a whole text; nothing but the text's own n-grams takes memory."""
+    b = np.frombuffer(text.lower().encode(), np.uint8).astype(np.int32)
+    two = (b[:-1] << 8) + b[1:]
+    ones, twos = np.flatnonzero(np.bincount(b, minlength=1)), np.flatnonzero(np.bincount(two, minlength=1))
+    threes = np.unique((two[:-1] << 8) + b[2:])
+    return np.concatenate([ones, twos + (1 << 8), threes + ((1 << 16) + (1 << 8))]).astype(np.int32)
+
+
 def has_letter(text: str | None) -> bool:
     return text is not None and any(c.isalpha() for c in text)
 
@@ -60,7 +68,6 @@ class Model:
     keys: np.ndarray = field(default_factory=lambda: np.empty(0, np.int32))
     weights: np.ndarray = field(default_factory=lambda: np.empty((0, 0), np.float32))
     least: float = 0.0
-    name: str = field(default_factory=lambda: uuid4().hex)
 
 
 def least_cover(sets: list[np.ndarray], labels: list[str], chosen: list[int]) -> float:
@@ -101,19 +108,6 @@ def fit(sets: list[np.ndarray], labels: list[str], landmarks: int, ridge: float)
     return Model(langs, keys, weights.astype(np.float32), least_cover(sets, labels, chosen))
 
 
-_TABLES: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def tables(model: Model) -> tuple[np.ndarray, np.ndarray]:
-    """A worker's lookup tables: n-gram to column, and marks to count distinct n-grams."""
-    if model.name not in _TABLES:
-        _TABLES.clear()
-        column = np.full(SPACE, -1, np.int32)
-        column[model.keys] = np.arange(len(model.keys), dtype=np.int32)
-        _TABLES[model.name] = column, np.zeros(SPACE, np.int32)
-    return _TABLES[model.name]
-
-
 def decide(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
     """Language and score (0 to 1) of each whole text."""
     return judge(model, texts)[:2]
@@ -127,19 +121,16 @@ def judge(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray,
     langs, scores, fits = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), bool)
     if not model.langs:
         return langs, scores, fits
-    column, seen = tables(model)
     known = [k for k, t in enumerate(texts) if has_letter(t)]
     for at in range(0, len(known), BATCH):
         part = known[at:at + BATCH]
         present = np.zeros((len(part), len(model.keys)), np.float32)
         sizes = np.empty(len(part))
         for row, k in enumerate(part):
-            keys = gram_keys(texts[k])
-            places = np.arange(len(keys), dtype=np.int32)
-            seen[keys] = places
-            sizes[row] = np.count_nonzero(seen[keys] == places)  # one place wins for each n-gram
-            col = column[keys]
-            present[row, col[col >= 0]] = 1
+            keys = distinct_keys(texts[k])
+            sizes[row] = len(keys)
+            col = np.minimum(np.searchsorted(model.keys, keys), len(model.keys) - 1)
+            present[row, col[model.keys[col] == keys]] = 1
         value = (present @ model.weights) / np.sqrt(sizes)[:, None]
         best = value.argmax(axis=1)
         for row, k in enumerate(part):
@@ -180,7 +171,7 @@ def train_sample(docs: DataFrame, per_lang: int) -> list[tuple[str, np.ndarray]]
                     done.add(x)
                     new.append(k)
             part = batch.take(pa.array(new, pa.int32()))
-            keys = [np.unique(gram_keys(t)).astype("<i4").tobytes() if has_letter(t) else None for t in part.column("text").to_pylist()]
+            keys = [distinct_keys(t).astype("<i4").tobytes() if has_letter(t) else None for t in part.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column("lang"), part.column("at"), pa.array(keys, pa.binary())], names=["lang", "at", "keys"])
 
     chosen = able.where(F.col("at") <= edge).select("lang", "at", "text").mapInArrow(run, "lang string, at long, keys binary")
