@@ -39,39 +39,51 @@ def keyed(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
     """The rows of ``docs`` that come first in their group; ``groups`` has row and first, both keys.
 
-    Rows without id are held against each other: where a group has both kinds, one of each kind stays. The keys to
-    drop are stored first, so that their size decides how the join runs before any text moves.
+    The keys to drop are stored first, so that their size decides how the join runs before any text moves.
     """
-    later = stored(groups.where("row <> first").select("row", "first"))
-    apart = "row.missing AND NOT first.missing"
-    spared = stored(later.where(apart).groupBy("first").agg(F.min("row").alias("row")).select("row"))
-    return docs.join(stored(later.select("row").join(spared, "row", "left_anti")), "row", "left_anti").select(*COLUMNS)
+    later = stored(groups.where("row <> first").select("row"))
+    return docs.join(later, "row", "left_anti").select(*COLUMNS)
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop rows in no language the model knows: no letter, or no class that fits at all."""
+    """Drop rows in no language the model knows: no letter, or no class that fits at all.
+
+    A null or empty text goes. Each row is judged by itself: rows without id and rows that repeat one alike.
+    """
     return recognised(docs).select(*COLUMNS)
 
 
 def copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one row of each group of equal texts."""
+    """Keep one row of each group of equal texts: the one with the smallest id, of several with that id the first in place.
+
+    A row without id is a row like others but comes behind those with one; of texts that only such rows have, one stays. Null and empty texts are one group.
+    """
     docs = keyed(docs)
     return one_of_each(docs, exact_dedup(docs, id_col="row").select(F.col("doc_id").alias("row"), F.col("keep_id").alias("first")))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one row of each component of near-duplicates."""
+    """Keep one row of each component of near-duplicates, chosen as in ``copies``.
+
+    Null and empty texts have no shingles, link with nothing and all stay.
+    """
     docs = keyed(docs)
     return one_of_each(docs, near_duplicates(docs, id_col="row").select(F.col("doc_id").alias("row"), F.col("component_id").alias("first")))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Mask every secret found, and give the new length."""
+    """Mask every secret found, and give the new length.
+
+    All rows stay, whatever their id; a null text stays null. A secret in a row that repeats is masked in each.
+    """
     return masked(docs).select(*COLUMNS)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Place all token pieces in sequences."""
+    """Place all token pieces in sequences.
+
+    A null text is empty and takes one end token; rows that repeat an id or have none are placed each by itself.
+    """
     return packed(docs)
 
 
