@@ -24,16 +24,15 @@ SELECT p.date, p.symbol, idx, score, 0.5 + 0.45 * ((CAST(p.symbol AS BIGINT) * 3
     FROM tech_w WINDOW w AS (PARTITION BY symbol ORDER BY date ROWS 19 PRECEDING)) v ON v.date = p.date AND v.symbol = p.symbol
 WHERE score IS NOT NULL""", ["panel_w", "cal_w", "tech_w"])
 cte("thresholds", "SELECT refresh_id, floor(quantile_cont(probability, 0.4) * 100) / 100 AS threshold FROM scored_w GROUP BY 1", ["scored_w"])
-# Sums over the trailing 63 sessions of each ordered pair; the overlay looks back within the scored sessions.
-for _name, _from in (("roll", "0"), ("roll_o", "(SELECT min(idx) FROM scored_w)")):
-    cte(_name, f"""
+# Sums over the trailing 63 sessions of each ordered pair.
+cte("roll", """
 SELECT idx, x, y, n, CASE WHEN n * sxx > sx * sx AND n * syy > sy * sy THEN round((n * sxy - sx * sy) / sqrt((n * sxx - sx * sx) * (n * syy - sy * sy)), 12) END AS corr
 FROM (SELECT idx, x, y, count(p) OVER w AS n, sum(a) OVER w AS sx, sum(b) OVER w AS sy, sum(a * a) OVER w AS sxx, sum(b * b) OVER w AS syy, sum(p) OVER w AS sxy
   FROM (SELECT c.idx, s.symbol AS x, t.symbol AS y, CASE WHEN v.ret_1d IS NOT NULL THEN u.ret_1d END AS a, CASE WHEN u.ret_1d IS NOT NULL THEN v.ret_1d END AS b,
       u.ret_1d * v.ret_1d AS p
-    FROM (SELECT * FROM cal_w WHERE idx >= {_from}) c, (SELECT DISTINCT symbol FROM tech_w) s JOIN (SELECT DISTINCT symbol FROM tech_w) t ON s.symbol <> t.symbol
+    FROM cal_w c, (SELECT DISTINCT symbol FROM tech_w) s JOIN (SELECT DISTINCT symbol FROM tech_w) t ON s.symbol <> t.symbol
     LEFT JOIN tech_w u ON u.date = c.date AND u.symbol = s.symbol LEFT JOIN tech_w v ON v.date = c.date AND v.symbol = t.symbol)
-  WINDOW w AS (PARTITION BY x, y ORDER BY idx ROWS 62 PRECEDING)) WHERE n >= 20""", ["cal_w", "tech_w", "scored_w"])
+  WINDOW w AS (PARTITION BY x, y ORDER BY idx ROWS 62 PRECEDING)) WHERE n >= 20""", ["cal_w", "tech_w"])
 
 
 def greedy_sql(cands: str, roll: str, caps, most: int, need: int, min_obs: int) -> str:
@@ -99,7 +98,7 @@ def overlay_sql(rows) -> str:
     ctx = "least(greatest((p - t) / (greatest(0.75, t + 0.1) - t), 0), 1)"
     return f"""
 WITH o(scenario, cap, most, mfloor, pfloor, shift) AS (VALUES {values}
-), picks AS MATERIALIZED ({greedy_sql("cand_o", "roll_o", caps, max(s["max_names"] for s in rows), 5, 31)}
+), picks AS MATERIALIZED ({greedy_sql("cand_o", "roll", caps, max(s["max_names"] for s in rows), 5, 31)}
 ), chosen AS (
   SELECT o.scenario, c.decision AS date, c.symbol, c.score, c.threshold, c.probability, c.regime, p.max_corr, shift,
     pfloor + (1 - pfloor) * pow({conf}, 1.25) AS probability_scale, vol_20d,
@@ -126,7 +125,7 @@ SELECT scenario, date, symbol, score AS trade_score, threshold, max_corr, probab
 cte("mrs1", """SELECT date, market_vol, CASE WHEN count(market_vol) OVER p >= 60 THEN quantile_cont(market_vol, 0.5) OVER p END AS ref
 FROM (SELECT *, CASE WHEN count(market_ret) OVER w = 20 THEN stddev_samp(market_ret) OVER w * sqrt(252) END AS market_vol
       FROM mrs0 WINDOW w AS (ORDER BY date ROWS 19 PRECEDING)) WINDOW p AS (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""", ["mrs0"])
-OVERLAY_NEEDS = ["cand_o", "roll_o", "mrs1"]
+OVERLAY_NEEDS = ["cand_o", "roll", "mrs1"]
 OVERLAY_OUT = ["probability_scale", "vol_scale", "market_risk_scale", "position_scale"]
 _SINGLE = [dict(scenario="one", corr_cap=0.85, max_names=12, market_floor=0.45, prob_floor=0.10, shift=None)]
 
@@ -135,7 +134,7 @@ _SINGLE = [dict(scenario="one", corr_cap=0.85, max_names=12, market_floor=0.45,
 def _(spark, sf):
     bars = cut(I.bars_w(spark, sf))
     scored = cut(scored_weekly(spark, sf, bars))
-    out = risk_overlay(scored, thresholds(scored), bars)
+    out = risk_overlay(scored, thresholds(scored), bars, cal=sessions(bars))
     return out.select("date", "symbol", "trade_score", "threshold", "max_corr", *OVERLAY_OUT)
 
 
@@ -144,7 +143,7 @@ def _(spark, sf):
     """All stress rows of the overlay at once."""
     bars = cut(I.bars_w(spark, sf))
     scored = cut(scored_weekly(spark, sf, bars))
-    return risk_overlays(scored, thresholds(scored), bars, OVERLAYS).select("scenario", "date", "symbol", "max_corr", "position_scale")
+    return risk_overlays(scored, thresholds(scored), bars, OVERLAYS, cal=sessions(bars)).select("scenario", "date", "symbol", "max_corr", "position_scale")
 
 
 cte("ovl", overlay_sql(OVERLAYS), OVERLAY_NEEDS)
@@ -160,7 +159,7 @@ def _(spark, sf):
     """Portfolio scenarios and overlay scenarios as rows of one plan."""
     bars = cut(I.bars_w(spark, sf))
     scored = cut(scored_weekly(spark, sf, bars))
-    rows = risk_overlays(scored, thresholds(scored), bars, OVERLAYS)
+    rows = risk_overlays(scored, thresholds(scored), bars, OVERLAYS, cal=sessions(bars))
     return stress_matrix(I.panel_w(spark, sf, bars), bars, "score", SCENARIOS, universe=I.universe_size(spark, sf), overlay=rows, overlays=OVERLAYS)
 
 
@@ -201,7 +200,7 @@ def preset_panels(spark, sf, bars):
     ranked = cut(ranked)
     scored = cut(scored_weekly(spark, sf, bars))
     sized = scored.where("probability >= 0.6").withColumns({"trade_score": F.col("smooth_score"), "threshold": F.lit(0.6)})
-    pair = risk_overlays(scored, thresholds(scored), bars, PAIR)
+    pair = risk_overlays(scored, thresholds(scored), bars, PAIR, cal=sessions(bars))
     panels = dict.fromkeys(("base", "momentum", "adaptive", "long_only", "model"), ranked)
     for v in ("v5", "v6"):
         panels[v] = K.prob_sizing(sized, v, prob="probability", out="position_scale")

@@ -47,16 +47,17 @@ def overlay_stress_scenarios(**override) -> list[dict]:
 
 def risk_overlays(
     scored: DataFrame, thresholds: DataFrame, bars: DataFrame, scenarios: Sequence[Mapping], every: int = 10, min_names: int = 5,
-    lookback: int = 63,
+    lookback: int = 63, cal: DataFrame | None = None,
 ) -> DataFrame:
     """Selected names of every scenario and decision date with their scales.
 
     ``scored``: date, symbol, smooth_score, probability, vol_20d, refresh_id (and regime where a scenario
-    balances exposure); ``thresholds``: refresh_id, threshold. Decision dates are every ``every``-th session and the last one.
+    balances exposure); ``thresholds``: refresh_id, threshold. Decision dates are every ``every``-th session of ``cal`` (the scored dates by
+    default; give the portfolio's calendar where rebalances have to meet them) and the last scored one.
     """
-    cal = sessions(scored)
+    cal = sessions(scored) if cal is None else cal
     last = F.max("idx").over(Window.partitionBy())
-    decide = cal.withColumn("_last", last).where(
+    decide = cal.join(scored.select("date").distinct(), "date", "left_semi").withColumn("_last", last).where(
         (F.col("idx") % F.lit(every) == 0) | (F.col("idx") == F.col("_last"))).select("date")
     rows = scored.join(decide, "date", "left_semi").join(thresholds, "refresh_id", "left").withColumn(
         "threshold", F.coalesce("threshold", F.lit(DEFAULT_THRESHOLD)))
@@ -87,11 +88,11 @@ def risk_overlays(
 def risk_overlay(
     scored: DataFrame, thresholds: DataFrame, bars: DataFrame, every: int = 10, corr_cap: float = 0.85,
     max_names: int = 12, min_names: int = 5, market_floor: float = 0.45, prob_floor: float = 0.10,
-    lookback: int = 63,
+    lookback: int = 63, cal: DataFrame | None = None,
 ) -> DataFrame:
     """One row of ``risk_overlays``, without its scenario."""
     row = overlay_scenario("overlay", corr_cap=corr_cap, max_names=max_names, market_floor=market_floor, prob_floor=prob_floor)
-    return risk_overlays(scored, thresholds, bars, [row], every, min_names, lookback).drop("scenario")
+    return risk_overlays(scored, thresholds, bars, [row], every, min_names, lookback, cal).drop("scenario")
 
 
 def overlay_selection(rows: DataFrame, schedule: DataFrame, scenarios: Sequence[Mapping]) -> DataFrame:
