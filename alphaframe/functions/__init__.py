@@ -11,9 +11,9 @@ from .cols import (
     ratio,
     true_or_false,
 )
-from .frames import by_date, by_symbol, full_window, past
+from .frames import by_date, by_symbol, dealt, full_window, past
 
 __all__ = [
-    "any_of", "by_date", "by_symbol", "clip", "corr_of", "finite", "full_window",
+    "any_of", "by_date", "by_symbol", "clip", "corr_of", "dealt", "finite", "full_window",
     "mean_known", "null_nan", "past", "period_return", "ratio", "true_or_false",
 ]
