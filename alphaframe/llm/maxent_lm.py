@@ -1,8 +1,9 @@
 """A hashed maximum-entropy language model with class-factored softmax.
 
-The most frequent words form classes of neighbouring frequency, and all other words one more class.
-A word's probability is that of its class given the context, times that of the word in its class given the
-context; a word outside the classes has its share of all such words' counts. Contexts are hashed
+The most frequent words form classes of neighbouring frequency, and all other words one more class, which is a
+tree: every word, seen or not, falls to a leaf by its hash, about as many leaves as the root of the number of
+words. A word's probability is that of its class given the context, times that of the word in its class given the
+context, or of the branches to its leaf given the context and of its share of the leaf's counts. Contexts are hashed
 features: the word before, the one before that alone (a skip) and both. Every task runs gradient updates
 over its own documents from the common weights; the changes of a feature's weights are averaged by how
 often each task saw the feature, and the next round starts from there. Counts cover all training documents.
@@ -10,9 +11,10 @@ often each task saw the feature, and the next round starts from there. Counts co
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -23,10 +25,12 @@ from pyspark.sql import functions as F
 from .common import most_frequent, only, stored
 from .language_id import remainder
 
-WIDTH = 32  # classes, and words of a class; the last class is that of all other words
+WIDTH = 32  # classes, words of a class, and branches of a node; the last class is that of all other words
 ITEMS = WIDTH * (WIDTH - 1)
 KNOWN = 1 << 18
-BUCKETS = 1 << 13
+BUCKETS, MOST_BUCKETS = 1 << 13, 1 << 15  # rows of weights for classes, and as many for what is inside; they grow with the different words
+MOST_LEVELS = 3
+LEARNED = 1 << 22  # tokens a task should learn from, since each hands on weights of all features it saw
 FEATURES = 3
 BATCH = 1 << 13
 SLICE = 256
@@ -47,10 +51,14 @@ class Vocabulary:
     total: int  # N: training tokens, ends included
     distinct: int  # V: different training tokens, the end included
     ends: int
+    rest: np.ndarray | None = None  # by leaf: counts plus one of its words, plus one for a word never seen; None: one leaf
+    buckets: int = BUCKETS
+    nodes: list[np.ndarray] = field(init=False, repr=False)
 
     def __post_init__(self) -> None:
         self.index = {w: k for k, w in enumerate(self.words)}
         self.unknown, self.end, self.start = len(self.words), len(self.words) + 1, len(self.words) + 2
+        self.hashed = len(self.words) + 3  # from here on: words that are not shipped, by their hash
         # By token: log10(count + 1), and its place among the classes' words.
         self.log_count = np.concatenate([np.log10(self.counts + 1.0), [0.0, np.log10(self.ends + 1.0), 0.0]])
         self.item = np.full(len(self.words) + 3, -1, np.int64)
@@ -68,14 +76,34 @@ class Vocabulary:
             inside = np.log(grid) - np.log(np.maximum(grid.sum(axis=1, keepdims=True), 1e-9))
         self.class_bias = np.maximum(classes, NOTHING).astype(np.float32)
         self.word_bias = np.maximum(inside, NOTHING).astype(np.float32)
+        if self.rest is None:
+            self.rest = np.array([self.rest_total + self.rest_distinct + 1.0])
+        self.leaf = np.array([zlib.crc32(w) % len(self.rest) for w in self.words] + [0, 0, 0], np.int64)
+        self.log_rest = np.log10(self.rest)
+        # By level, what the branches of each node hold.
+        self.nodes = []
+        below = self.rest
+        while len(below) > 1:
+            grid = below.reshape(-1, WIDTH)
+            below = grid.sum(axis=1)
+            self.nodes.insert(0, (np.log(grid) - np.log(below)[:, None]).astype(np.float32))
+
+    def shipped(self, ids: np.ndarray) -> np.ndarray:
+        """Token numbers with one number for all words that are not shipped."""
+        return np.where(ids >= self.hashed, self.unknown, ids)
+
+    def leaves(self, ids: np.ndarray) -> np.ndarray:
+        return np.where(ids >= self.hashed, (ids - self.hashed) % len(self.rest), self.leaf[self.shipped(ids)])
 
     def tokens(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[Counter[bytes]]]:
         """Token numbers with two start marks before each text and an end after it, where texts begin, unknown words."""
-        get, unknown, parts, starts, strange, at = self.index.get, self.unknown, [], [], [], 0
+        get, parts, starts, strange, at = self.index.get, [], [], [], 0
         for text in texts:
             words = words_of(text)
-            ids = np.fromiter([self.start, self.start, *[get(w, unknown) for w in words], self.end], np.int64, len(words) + 3)
-            strange.append(Counter([words[k] for k in np.flatnonzero(ids[2:-1] == unknown)]))
+            ids = np.fromiter([self.start, self.start, *[get(w, -1) for w in words], self.end], np.int64, len(words) + 3)
+            missing = np.flatnonzero(ids < 0)
+            strange.append(Counter([words[k - 2] for k in missing]))
+            ids[missing] = [self.hashed + zlib.crc32(words[k - 2]) for k in missing]
             parts.append(ids)
             starts.append(at)
             at += len(ids)
@@ -91,8 +119,9 @@ class Maxent:
 
     def __init__(self, vocabulary: Vocabulary, weights: np.ndarray | None = None):
         self.v = vocabulary
-        self.weights = np.zeros((2 * BUCKETS, WIDTH), np.float32) if weights is None else weights.copy()
-        self.seen = np.zeros(2 * BUCKETS, np.float32)
+        self.weights = np.zeros((2 * vocabulary.buckets, WIDTH), np.float32) if weights is None else weights.copy()
+        self.half = len(self.weights) // 2
+        self.seen = np.zeros(2 * self.half, np.float32)
 
     def contexts(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places of the tokens to predict, and their features before hashing."""
@@ -101,32 +130,52 @@ class Maxent:
         return at, np.stack([one * 4 + 1, two * 4 + 2, (one * np.int64(1_000_003) + two) * 4 + 3], axis=1)
 
     def logits(self, features: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        rows = spread(features) % BUCKETS
-        return rows, self.weights[rows].sum(axis=1) + self.v.class_bias
+        rows = spread(features) % self.half
+        return rows, self._sum(rows, self.v.class_bias)
 
     def word_logits(self, features: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        rows = BUCKETS + spread(features * WIDTH + classes[:, None]) % BUCKETS
-        return rows, self.weights[rows].sum(axis=1) + self.v.word_bias[classes]
+        rows = self.half + spread(features * WIDTH + classes[:, None]) % self.half
+        return rows, self._sum(rows, self.v.word_bias[classes])
+
+    def branches(self, features: np.ndarray, leaves: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """From the root of the words outside the classes to their leaves: rows, logits and the branch taken, by level."""
+        for level, bias in enumerate(self.v.nodes):
+            under = WIDTH ** (len(self.v.nodes) - 1 - level)
+            node = leaves // (under * WIDTH)
+            rows = self.half + spread((features * np.int64(MOST_LEVELS) + level) * np.int64(1_000_003) + node[:, None]) % self.half
+            yield rows, self._sum(rows, bias[node]), leaves // under % WIDTH
+
+    def _sum(self, rows: np.ndarray, bias: np.ndarray) -> np.ndarray:
+        z = self.weights.take(rows[:, 0], axis=0)
+        for k in range(1, rows.shape[1]):
+            z += self.weights.take(rows[:, k], axis=0)
+        z += bias
+        return z
 
     def log_probabilities(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places and natural log probabilities: of the word for words of the classes, else of the last class."""
+        """Places and natural log probabilities: of the word for words of the classes, else of the word's leaf."""
         at, features = self.contexts(ids)
         out = np.empty(len(at))
         for a in range(0, len(at), 1 << 15):
-            f, item = features[a:a + (1 << 15)], self.v.item[ids[at[a:a + (1 << 15)]]]
+            f, shown = features[a:a + (1 << 15)], ids[at[a:a + (1 << 15)]]
+            item = self.v.item[self.v.shipped(shown)]
             classes = np.where(item < 0, WIDTH - 1, item // WIDTH)
             _, z = self.logits(f)
             p = picked(z, classes)
             inside = np.flatnonzero(item >= 0)
             _, z = self.word_logits(f[inside], classes[inside])
             p[inside] += picked(z, item[inside] % WIDTH)
+            others = np.flatnonzero(item < 0)
+            for _, z, branch in self.branches(f[others], self.v.leaves(shown[others])):
+                p[others] += picked(z, branch)
             out[a:a + (1 << 15)] = p
         return at, out
 
     def learn(self, ids: np.ndarray) -> None:
         at, features = self.contexts(ids)
         for a in range(0, len(at), BATCH):
-            f, item = features[a:a + BATCH], self.v.item[ids[at[a:a + BATCH]]]
+            f, shown = features[a:a + BATCH], ids[at[a:a + BATCH]]
+            item = self.v.item[self.v.shipped(shown)]
             classes = np.where(item < 0, WIDTH - 1, item // WIDTH)
             rows, z = self.logits(f)
             self._update(rows, slope(z, classes))
@@ -134,13 +183,19 @@ class Maxent:
             if len(inside):
                 rows, z = self.word_logits(f[inside], classes[inside])
                 self._update(rows, slope(z, item[inside] % WIDTH))
+            others = np.flatnonzero(item < 0)
+            if len(others):
+                for rows, z, branch in self.branches(f[others], self.v.leaves(shown[others])):
+                    self._update(rows, slope(z, branch))
 
     def _update(self, rows: np.ndarray, step: np.ndarray) -> None:
         """Move each feature's weights along its summed slope; features seen often move less per sight."""
-        by = np.argsort(rows, axis=None, kind="stable")
+        # Numbers of 16 bits are sorted by radix; sums run along columns kept together.
+        narrow = rows.astype(np.uint16) if len(self.weights) <= 1 << 16 else rows
+        by = np.argsort(narrow, axis=None, kind="stable")
         flat = rows.ravel()[by]
         first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
-        total = np.add.reduceat(step[by // rows.shape[1]], first, axis=0)
+        total = np.add.reduceat(np.ascontiguousarray(step.take(by // rows.shape[1], axis=0).T), first, axis=1).T
         own, n = flat[first], np.diff(np.append(first, len(flat)))
         self.seen[own] += n
         self.weights[own] -= RATE * total / np.sqrt(self.seen[own] + 8)[:, None]
@@ -173,7 +228,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 def trained(docs: DataFrame, vocabulary: Broadcast, rounds: int) -> np.ndarray:
     """Weights after ``rounds`` rounds, each over its own share of the documents."""
-    weights = np.zeros((2 * BUCKETS, WIDTH), np.float32)
+    weights = np.zeros((2 * vocabulary.value.buckets, WIDTH), np.float32)
     fields = [f"d{k}" for k in range(WIDTH)]
     sc = docs.sparkSession.sparkContext
     for r in range(rounds):
@@ -187,18 +242,31 @@ def trained(docs: DataFrame, vocabulary: Broadcast, rounds: int) -> np.ndarray:
             own = np.flatnonzero(model.seen)
             change = (model.weights[own] - shared.value[own]) * model.seen[own, None]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(own), pa.array(model.seen[own].astype(np.float64)), *(pa.array(change[:, k].astype(np.float64)) for k in range(WIDTH))],
+                [pa.array(own), pa.array(model.seen[own]), *(pa.array(np.ascontiguousarray(change[:, k])) for k in range(WIDTH))],
                 names=["feature", "seen", *fields])
 
-        share = docs.where(F.pmod(F.xxhash64("text"), F.lit(rounds)) == r).select("text")
-        moved = share.mapInArrow(run, "feature long, seen double, " + ", ".join(f"{f} double" for f in fields))
-        total = moved.groupBy("feature").agg(F.sum("seen").alias("seen"), *(F.sum(f).alias(f) for f in fields)).toArrow()  # a row per feature, 2 * BUCKETS at most
+        share = docs.where(F.pmod(F.xxhash64("text"), F.lit(rounds)) == r).select("text").coalesce(max(sc.defaultParallelism, vocabulary.value.total // LEARNED))
+        moved = share.mapInArrow(run, "feature long, seen float, " + ", ".join(f"{f} float" for f in fields))
+        total = moved.groupBy("feature").agg(F.sum("seen").alias("seen"), *(F.sum(f).alias(f) for f in fields)).toArrow()  # a row per feature, 2 * MOST_BUCKETS at most
         own = total.column("feature").to_numpy()
         weights = weights.copy()
         weights[own] += np.stack([total.column(f).to_numpy() for f in fields], axis=1) / total.column("seen").to_numpy()[:, None]
     return weights
 
 
+def rest_of(counts: DataFrame, words: list[bytes], n: np.ndarray, distinct: int) -> np.ndarray:
+    """By leaf of the words outside the classes: counts plus one of its words, plus one. About as many leaves as the root of ``distinct``."""
+    levels = 0
+    while levels < MOST_LEVELS and WIDTH ** (2 * levels) < distinct:
+        levels += 1
+    rest = np.zeros(WIDTH ** levels)
+    sums = counts.groupBy(F.pmod(F.crc32("word"), F.lit(len(rest))).alias("leaf")).agg(F.sum(F.col("n") + 1).alias("n")).toArrow()  # a row per leaf
+    rest[sums.column("leaf").to_numpy()] = sums.column("n").to_numpy()
+    for w, c in zip(words[:ITEMS - 1], n[:ITEMS - 1]):
+        rest[zlib.crc32(w) % len(rest)] -= c + 1
+    return rest + 1
+
+
 def score_texts(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held_out: int = 2, rounds: int = 2, known: int = KNOWN,
 ) -> DataFrame:
@@ -217,7 +285,9 @@ def score_texts(
     sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     ends = train.count()
     top = most_frequent(counts, known)
-    vocabulary = Vocabulary(top.column("word").to_pylist(), top.column("n").to_numpy(), sums["n"] + ends, sums["v"] + (ends > 0), ends)
+    words, n = top.column("word").to_pylist(), top.column("n").to_numpy()
+    buckets = min(MOST_BUCKETS, max(BUCKETS, 1 << (max(1, sums["v"]) - 1).bit_length()))
+    vocabulary = Vocabulary(words, n, sums["n"] + ends, sums["v"] + (ends > 0), ends, rest_of(counts, words, n, sums["v"]), buckets)
     shared = spark.sparkContext.broadcast(vocabulary)
     weights = spark.sparkContext.broadcast(trained(train, shared, rounds))
 
@@ -230,22 +300,22 @@ def score_texts(
                 part = batch.slice(at, SLICE)
                 ids, starts, strange = v.tokens(part.column("text").to_pylist())
                 places, p = model.log_probabilities(ids)
-                shown, log10 = ids[places], np.zeros((3, len(ids)))
-                rest = v.item[shown] < 0
-                log10[0, places] = v.log_count[shown]
-                log10[1, places] = p / np.log(10) + np.where(rest, v.log_count[shown], 0.0)
-                log10[2, places] = rest
-                head, score, others = np.add.reduceat(log10, starts, axis=1)
+                shown, log10 = ids[places], np.zeros((2, len(ids)))
+                known = v.shipped(shown)
+                rest = v.item[known] < 0
+                log10[0, places] = v.log_count[known]
+                log10[1, places] = p / np.log(10) + np.where(rest, v.log_count[known] - v.log_rest[v.leaves(shown)], 0.0)
+                head, score = np.add.reduceat(log10, starts, axis=1)
                 size = np.diff(np.append(starts, len(ids))) - 2
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("held_out"), pa.array(size), pa.array(head), pa.array(score), pa.array(others.astype(np.int64)),
+                    [part.column("doc_id"), part.column("held_out"), pa.array(size), pa.array(head), pa.array(score),
                      pa.array([[{"word": w, "n": n} for w, n in s.items()] for s in strange], strange_kind)],
-                    names=["doc_id", "held_out", "n_tokens", "head", "score", "others", "strange"])
+                    names=["doc_id", "held_out", "n_tokens", "head", "score", "strange"])
 
     key = rows.schema["doc_id"].dataType.simpleString()
     part = stored(
         rows.select("doc_id", F.coalesce("held_out", F.lit(False)).alias("held_out"), "text")
-        .mapInArrow(run, f"doc_id {key}, held_out boolean, n_tokens long, head double, score double, others long, strange array<struct<word:binary,n:long>>")
+        .mapInArrow(run, f"doc_id {key}, held_out boolean, n_tokens long, head double, score double, strange array<struct<word:binary,n:long>>")
         .withColumn("row", F.monotonically_increasing_id()))
     # Words outside the bounded vocabulary meet their counts by a join, once per text and word.
     strange = part.select("row", F.explode("strange").alias("s")).select("row", "s.word", F.col("s.n").alias("times"))
@@ -255,8 +325,7 @@ def score_texts(
     tail, tail_known = F.coalesce("tail", F.lit(0.0)), F.coalesce("tail_known", F.lit(0))
     unknown = F.aggregate("strange", F.lit(0).cast("long"), lambda n, s: n + s["n"])
     base = F.col("head") + tail - F.col("n_tokens") * F.lit(float(np.log10(vocabulary.total + vocabulary.distinct + 1)))
-    rest = float(np.log10(vocabulary.rest_total + vocabulary.rest_distinct + 1))
-    model = F.col("score") + tail - F.col("others") * F.lit(rest)
+    model = F.col("score") + tail
     return part.join(found, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_tokens") - unknown - (0 if ends else 1) + tail_known).cast("long").alias("n_known"),
         F.lit(vocabulary.total).cast("long").alias("train_tokens"), base.alias("base_score"),
