@@ -15,6 +15,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,7 @@ FEATURES = 3
 BATCH = 1 << 13
 SLICE = 256
 RATE = 0.1
+FEW = 7  # sights of a feature in a batch that are added one after the other
 NOTHING = np.float32(-1e4)
 
 
@@ -95,15 +97,19 @@ class Vocabulary:
     def leaves(self, ids: np.ndarray) -> np.ndarray:
         return np.where(ids >= self.hashed, (ids - self.hashed) % len(self.rest), self.leaf[self.shipped(ids)])
 
-    def tokens(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[Counter[bytes]]]:
-        """Token numbers with two start marks before each text and an end after it, where texts begin, unknown words."""
+    def tokens(self, texts: list[str | None], counted: bool = True) -> tuple[np.ndarray, np.ndarray, list[Counter[bytes]]]:
+        """Token numbers with two start marks before each text and an end after it, where texts begin, unknown words if ``counted``."""
         get, parts, starts, strange, at = self.index.get, [], [], [], 0
         for text in texts:
             words = words_of(text)
-            ids = np.fromiter([self.start, self.start, *[get(w, -1) for w in words], self.end], np.int64, len(words) + 3)
-            missing = np.flatnonzero(ids < 0)
-            strange.append(Counter([words[k - 2] for k in missing]))
-            ids[missing] = [self.hashed + zlib.crc32(words[k - 2]) for k in missing]
+            ids = np.empty(len(words) + 3, np.int64)
+            ids[:2], ids[-1] = self.start, self.end
+            ids[2:-1] = np.fromiter(map(get, words, repeat(-1)), np.int64, len(words))
+            missing = np.flatnonzero(ids < 0).tolist()
+            if counted:
+                strange.append(Counter([words[k - 2] for k in missing]))
+            if missing:
+                ids[missing] = [self.hashed + zlib.crc32(words[k - 2]) for k in missing]
             parts.append(ids)
             starts.append(at)
             at += len(ids)
@@ -129,12 +135,16 @@ class Maxent:
         one, two = ids[at - 1], ids[at - 2]
         return at, np.stack([one * 4 + 1, two * 4 + 2, (one * np.int64(1_000_003) + two) * 4 + 3], axis=1)
 
+    def folded(self, x: np.ndarray) -> np.ndarray:
+        """``x`` modulo the rows of one half, which a mask gives where they are a power of two."""
+        return x % self.half if self.half & (self.half - 1) else x & (self.half - 1)
+
     def logits(self, features: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        rows = spread(features) % self.half
+        rows = self.folded(spread(features))
         return rows, self._sum(rows, self.v.class_bias)
 
     def word_logits(self, features: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        rows = self.half + spread(features * WIDTH + classes[:, None]) % self.half
+        rows = self.half + self.folded(spread(features * WIDTH + classes[:, None]))
         return rows, self._sum(rows, self.v.word_bias[classes])
 
     def branches(self, features: np.ndarray, leaves: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -142,13 +152,14 @@ class Maxent:
         for level, bias in enumerate(self.v.nodes):
             under = WIDTH ** (len(self.v.nodes) - 1 - level)
             node = leaves // (under * WIDTH)
-            rows = self.half + spread((features * np.int64(MOST_LEVELS) + level) * np.int64(1_000_003) + node[:, None]) % self.half
-            yield rows, self._sum(rows, bias[node]), leaves // under % WIDTH
+            rows = self.half + self.folded(spread((features * np.int64(MOST_LEVELS) + level) * np.int64(1_000_003) + node[:, None]))
+            yield rows, self._sum(rows, bias[node] if level else bias), leaves // under % WIDTH
 
     def _sum(self, rows: np.ndarray, bias: np.ndarray) -> np.ndarray:
         z = self.weights.take(rows[:, 0], axis=0)
+        more = np.empty_like(z)
         for k in range(1, rows.shape[1]):
-            z += self.weights.take(rows[:, k], axis=0)
+            z += self.weights.take(rows[:, k], axis=0, out=more, mode="clip")  # all are in range; clip spares a copy
         z += bias
         return z
 
@@ -156,8 +167,8 @@ class Maxent:
         """Places and natural log probabilities: of the word for words of the classes, else of the word's leaf."""
         at, features = self.contexts(ids)
         out = np.empty(len(at))
-        for a in range(0, len(at), 1 << 15):
-            f, shown = features[a:a + (1 << 15)], ids[at[a:a + (1 << 15)]]
+        for a in range(0, len(at), BATCH):
+            f, shown = features[a:a + BATCH], ids[at[a:a + BATCH]]
             item = self.v.item[self.v.shipped(shown)]
             classes = np.where(item < 0, WIDTH - 1, item // WIDTH)
             _, z = self.logits(f)
@@ -168,7 +179,7 @@ class Maxent:
             others = np.flatnonzero(item < 0)
             for _, z, branch in self.branches(f[others], self.v.leaves(shown[others])):
                 p[others] += picked(z, branch)
-            out[a:a + (1 << 15)] = p
+            out[a:a + BATCH] = p
         return at, out
 
     def learn(self, ids: np.ndarray) -> None:
@@ -193,21 +204,41 @@ class Maxent:
         # Numbers of 16 bits are sorted by radix; sums run along columns kept together.
         narrow = rows.astype(np.uint16) if len(self.weights) <= 1 << 16 else rows
         by = np.argsort(narrow, axis=None, kind="stable")
-        flat = rows.ravel()[by]
+        flat = rows.ravel().take(by)
         first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
-        total = np.add.reduceat(np.ascontiguousarray(step.take(by // rows.shape[1], axis=0).T), first, axis=1).T
-        own, n = flat[first], np.diff(np.append(first, len(flat)))
-        self.seen[own] += n
-        self.weights[own] -= RATE * total / np.sqrt(self.seen[own] + 8)[:, None]
+        own, n = flat.take(first), np.diff(np.append(first, len(flat)))
+        of = by // rows.shape[1]  # whose slope
+        total = step.take(of.take(first), axis=0)
+        # Most features are seen once or a few times in a batch: their further slopes are added turn by turn.
+        more = np.flatnonzero((n > 1) & (n <= FEW))
+        for k in range(1, FEW):
+            if not len(more):
+                break
+            total[more] += step.take(of.take(first.take(more) + k), axis=0)
+            more = more.compress(n.take(more) > k + 1)
+        many = np.flatnonzero(n > FEW)
+        if len(many):
+            places = of.compress(np.repeat(n > FEW, n))
+            begins = np.concatenate([[0], np.cumsum(n.take(many))[:-1]])
+            total[many] = np.add.reduceat(np.ascontiguousarray(step.take(places, axis=0).T), begins, axis=1).T
+        seen = self.seen.take(own) + n.astype(np.float32)
+        self.seen[own] = seen
+        total *= np.float32(RATE)
+        total /= np.sqrt(seen + 8)[:, None]
+        self.weights[own] = np.subtract(self.weights.take(own, axis=0), total, out=total)
 
 
 def picked(z: np.ndarray, which: np.ndarray) -> np.ndarray:
-    z = z - z.max(axis=1, keepdims=True)
-    return (z[np.arange(len(z)), which] - np.log(np.exp(z).sum(axis=1))).astype(np.float64)
+    """Log probabilities of the branches taken; ``z`` is used up."""
+    z -= z.max(axis=1, keepdims=True)
+    taken = z[np.arange(len(z)), which]
+    return (taken - np.log(np.exp(z, out=z).sum(axis=1))).astype(np.float64)
 
 
 def slope(z: np.ndarray, which: np.ndarray) -> np.ndarray:
-    p = np.exp(z - z.max(axis=1, keepdims=True))
+    """Probabilities less one at the branch taken; ``z`` is used up."""
+    z -= z.max(axis=1, keepdims=True)
+    p = np.exp(z, out=z)
     p /= p.sum(axis=1, keepdims=True)
     p[np.arange(len(p)), which] -= 1
     return p
@@ -238,7 +269,7 @@ def trained(docs: DataFrame, vocabulary: Broadcast, rounds: int) -> np.ndarray:
             model = Maxent(vocabulary.value, shared.value)
             for batch in batches:
                 for at in range(0, batch.num_rows, SLICE):
-                    model.learn(vocabulary.value.tokens(batch.column("text").slice(at, SLICE).to_pylist())[0])
+                    model.learn(vocabulary.value.tokens(batch.column("text").slice(at, SLICE).to_pylist(), counted=False)[0])
             own = np.flatnonzero(model.seen)
             change = (model.weights[own] - shared.value[own]) * model.seen[own, None]
             yield pa.RecordBatch.from_arrays(
@@ -294,7 +325,7 @@ def score_texts(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = shared.value
         model = Maxent(v, weights.value)
-        strange_kind = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
+        strange_kind = pa.struct([("word", pa.binary()), ("n", pa.int64())])
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
@@ -307,9 +338,12 @@ def score_texts(
                 log10[1, places] = p / np.log(10) + np.where(rest, v.log_count[known] - v.log_rest[v.leaves(shown)], 0.0)
                 head, score = np.add.reduceat(log10, starts, axis=1)
                 size = np.diff(np.append(starts, len(ids))) - 2
+                ends_at = np.cumsum([0, *map(len, strange)], dtype=np.int32)
+                met = pa.StructArray.from_arrays(
+                    [pa.array([w for s in strange for w in s], pa.binary()), pa.array([n for s in strange for n in s.values()], pa.int64())], fields=list(strange_kind))
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), part.column("held_out"), pa.array(size), pa.array(head), pa.array(score),
-                     pa.array([[{"word": w, "n": n} for w, n in s.items()] for s in strange], strange_kind)],
+                     pa.ListArray.from_arrays(pa.array(ends_at), met)],
                     names=["doc_id", "held_out", "n_tokens", "head", "score", "strange"])
 
     key = rows.schema["doc_id"].dataType.simpleString()
