@@ -209,13 +209,16 @@ class Maxent:
         own, n = flat.take(first), np.diff(np.append(first, len(flat)))
         of = by // rows.shape[1]  # whose slope
         total = step.take(of.take(first), axis=0)
-        # Most features are seen once or a few times in a batch: their further slopes are added turn by turn.
+        # Most features are seen once or a few times in a batch: their further slopes are added up turn by turn.
         more = np.flatnonzero((n > 1) & (n <= FEW))
-        for k in range(1, FEW):
-            if not len(more):
+        begin, times = first.take(more), n.take(more)
+        rest = step.take(of.take(begin + 1), axis=0)
+        for k in range(2, FEW):
+            still = np.flatnonzero(times > k)
+            if not len(still):
                 break
-            total[more] += step.take(of.take(first.take(more) + k), axis=0)
-            more = more.compress(n.take(more) > k + 1)
+            rest[still] += step.take(of.take(begin.take(still) + k), axis=0)
+        total[more] += rest
         many = np.flatnonzero(n > FEW)
         if len(many):
             places = of.compress(np.repeat(n > FEW, n))
