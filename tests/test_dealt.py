@@ -3,10 +3,13 @@
 import random
 from datetime import date, timedelta
 
+from pyspark.sql import functions as F
+
 from alphaframe.functions import frames
 from alphaframe.operators import research as R
-from alphaframe.operators.fundamentals import pit_fundamentals
+from alphaframe.operators.fundamentals import facts_wide, pit_fundamentals
 from alphaframe.operators.technical import forward_return
+from alphaframe.sources.bars import resample_bars
 
 
 def bars(spark):
@@ -49,3 +52,32 @@ def test_features_and_filings(spark, monkeypatch):
     pit = lambda **k: pit_fundamentals(df.select("date", "symbol"), facts, 2, 1.0, 1.0, **k)
     got = pit(rows_bound=n)
     assert got.rdd.getNumPartitions() == -(-n // 50) and rows(got) == rows(pit())
+
+
+def test_bars_of_many_transactions(spark, monkeypatch):
+    """Transactions are dealt by bar before they are grouped: no task's table grows with the split it reads."""
+    monkeypatch.setattr("alphaframe.sources.bars.ROWS_PER_HASH", 40)
+    rng = random.Random(5)
+    trades = [(date(2020, 1, 1) + timedelta(rng.randrange(30)), rng.choice([None, *(f"s{i}" for i in range(20))]), rng.uniform(1, 9), rng.choice([None, 1.0, 2.0]), k)
+              for k in range(900)]
+    df = spark.createDataFrame(trades, "d date, s string, p double, q double, k long")
+    cols = dict(date=F.col("d"), symbol=F.col("s"), price=F.col("p"), qty=F.col("q"), tie=F.col("k"))
+    cut = resample_bars(df, **cols, rows_bound=len(trades))
+    assert cut.rdd.getNumPartitions() == -(-len(trades) // 40)
+    assert rows(cut) == rows(resample_bars(df, **cols))
+
+
+def test_filings_of_one_group_each(spark):
+    """What a pivot gives: latest known period of each metric, a row also where none is known."""
+    facts = spark.createDataFrame([
+        ("a", date(2020, 5, 1), date(2020, 3, 31), "assets", 2.0), ("a", date(2020, 5, 1), date(2019, 3, 31), "assets", 9.0),
+        ("a", date(2020, 5, 1), date(2020, 3, 31), "equity", None), ("a", date(2020, 5, 1), date(2019, 3, 31), "equity", 3.0),
+        ("b", date(2020, 5, 1), date(2020, 3, 31), "other", 1.0), ("c", date(2020, 5, 1), None, "assets", 1.0),
+        (None, None, date(2020, 3, 31), "assets", 4.0), ("d", date(2020, 5, 1), date(2020, 3, 31), None, 4.0),
+    ], "symbol string, available_at date, period_end date, metric string, value double")
+    names = ["assets", "equity"]
+    latest = F.max_by("value", F.when(F.col("value").isNotNull(), F.col("period_end")))
+    wide = facts_wide(facts, names)
+    assert rows(wide) == rows(facts.groupBy("symbol", "available_at").pivot("metric", names).agg(latest))
+    # Both sides of one shuffle, where the pivot had two shuffles or two more aggregations.
+    assert facts_wide(facts, names)._jdf.queryExecution().executedPlan().toString().count("Aggregate(") == 2
