@@ -12,13 +12,13 @@ often each task saw the feature, and the next round starts from there. Counts co
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,8 +40,14 @@ FEW = 7  # sights of a feature in a batch that are added one after the other
 NOTHING = np.float32(-1e4)
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return (text or "").encode().lower().split()
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts one after the other, A-Z lower-cased, as bytes, and how many each text has; a null text has none."""
+    trimmed = pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    lists = pc.ascii_split_whitespace(trimmed)
+    words, blank = lists.flatten(), pc.equal(pc.binary_length(trimmed), 0).to_numpy(zero_copy_only=False)
+    if blank.any():
+        words = words.filter(pc.greater(pc.binary_length(words), 0))
+    return words.cast(pa.binary()), np.where(blank, 0, pc.list_value_length(lists).to_numpy(zero_copy_only=False))
 
 
 @dataclass
@@ -97,23 +103,33 @@ class Vocabulary:
     def leaves(self, ids: np.ndarray) -> np.ndarray:
         return np.where(ids >= self.hashed, (ids - self.hashed) % len(self.rest), self.leaf[self.shipped(ids)])
 
-    def tokens(self, texts: list[str | None], counted: bool = True) -> tuple[np.ndarray, np.ndarray, list[Counter[bytes]]]:
+    def tokens(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[dict[bytes, int]]]:
+        """As ``numbered``, for texts and counts in plain lists."""
+        ids, starts, strange = self.numbered(pa.array(texts, pa.string()))
+        return ids, starts, [{s["word"]: s["n"] for s in own} for own in strange.to_pylist()]
+
+    def numbered(self, texts: pa.Array, counted: bool = True) -> tuple[np.ndarray, np.ndarray, pa.ListArray | None]:
         """Token numbers with two start marks before each text and an end after it, where texts begin, unknown words if ``counted``."""
-        get, parts, starts, strange, at = self.index.get, [], [], [], 0
-        for text in texts:
-            words = words_of(text)
-            ids = np.empty(len(words) + 3, np.int64)
-            ids[:2], ids[-1] = self.start, self.end
-            ids[2:-1] = np.fromiter(map(get, words, repeat(-1)), np.int64, len(words))
-            missing = np.flatnonzero(ids < 0).tolist()
-            if counted:
-                strange.append(Counter([words[k - 2] for k in missing]))
-            if missing:
-                ids[missing] = [self.hashed + zlib.crc32(words[k - 2]) for k in missing]
-            parts.append(ids)
-            starts.append(at)
-            at += len(ids)
-        return np.concatenate(parts) if parts else np.empty(0, np.int64), np.array(starts, np.int64), strange
+        words, sizes = words_of(texts)
+        # A word is looked up once, however often the texts have it.
+        coded = words.dictionary_encode()
+        met, code = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
+        own = np.fromiter(map(self.index.get, met, repeat(-1)), np.int64, len(met))
+        missing = np.flatnonzero(own < 0)
+        own[missing] = [self.hashed + zlib.crc32(met[k]) for k in missing.tolist()]
+        starts = np.cumsum(sizes + 3) - sizes - 3
+        ids = np.empty(len(words) + 3 * len(sizes), np.int64)
+        ids[starts] = ids[starts + 1] = self.start
+        ids[starts + 2 + sizes] = self.end
+        text = np.repeat(np.arange(len(sizes)), sizes)
+        ids[np.arange(len(words)) + 3 * text + 2] = shown = own.take(code)
+        if not counted:
+            return ids, starts, None
+        at = np.flatnonzero(shown >= self.hashed)
+        pairs, n = np.unique(text.take(at) * np.int64(len(met) + 1) + code.take(at), return_counts=True)
+        text, code = np.divmod(pairs, len(met) + 1)
+        strange = pa.StructArray.from_arrays([coded.dictionary.take(pa.array(code)), pa.array(n)], names=["word", "n"])
+        return ids, starts, pa.ListArray.from_arrays(pa.array(np.searchsorted(text, np.arange(len(sizes) + 1)).astype(np.int32)), strange)
 
 
 def spread(x: np.ndarray) -> np.ndarray:
@@ -204,20 +220,20 @@ class Maxent:
         # Numbers of 16 bits are sorted by radix; sums run along columns kept together.
         narrow = rows.astype(np.uint16) if len(self.weights) <= 1 << 16 else rows
         by = np.argsort(narrow, axis=None, kind="stable")
-        flat = rows.ravel().take(by)
+        flat = narrow.ravel().take(by)
         first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
-        own, n = flat.take(first), np.diff(np.append(first, len(flat)))
+        own, n = flat.take(first).astype(np.int64), np.diff(first, append=len(flat))
         of = by // rows.shape[1]  # whose slope
         total = step.take(of.take(first), axis=0)
-        # Most features are seen once or a few times in a batch: their further slopes are added up turn by turn.
+        # Most features are seen once or a few times in a batch: their further slopes are added up turn by turn, those seen most often first in line.
         more = np.flatnonzero((n > 1) & (n <= FEW))
-        begin, times = first.take(more), n.take(more)
+        times = n.take(more).astype(np.uint8)
+        more = more.take(np.argsort(times, kind="stable")[::-1])
+        begin = first.take(more)
         rest = step.take(of.take(begin + 1), axis=0)
+        over = len(more) - np.cumsum(np.bincount(times, minlength=FEW + 1))  # by k: features with more than k sights
         for k in range(2, FEW):
-            still = np.flatnonzero(times > k)
-            if not len(still):
-                break
-            rest[still] += step.take(of.take(begin.take(still) + k), axis=0)
+            rest[:over[k]] += step.take(of.take(begin[:over[k]] + k), axis=0)
         total[more] += rest
         many = np.flatnonzero(n > FEW)
         if len(many):
@@ -228,14 +244,28 @@ class Maxent:
         self.seen[own] = seen
         total *= np.float32(RATE)
         total /= np.sqrt(seen + 8)[:, None]
-        self.weights[own] = np.subtract(self.weights.take(own, axis=0), total, out=total)
+        np.subtract(self.weights.take(own, axis=0), total, out=total)
+        whole_rows(self.weights)[own] = whole_rows(total)
+
+
+def whole_rows(x: np.ndarray) -> np.ndarray:
+    """The rows of ``x`` as one item each, which are set at once."""
+    return x.view(f"V{x.shape[1] * x.itemsize}").ravel()
 
 
 def picked(z: np.ndarray, which: np.ndarray) -> np.ndarray:
-    """Log probabilities of the branches taken; ``z`` is used up."""
-    z -= z.max(axis=1, keepdims=True)
-    taken = z[np.arange(len(z)), which]
-    return (taken - np.log(np.exp(z, out=z).sum(axis=1))).astype(np.float64)
+    """Log probabilities of the branches taken."""
+    z = np.ascontiguousarray(z.T)  # one branch after the other: sums and maxima of many rows at once
+    z -= z.max(axis=0)
+    taken = z[which, np.arange(len(which))]
+    np.exp(z, out=z)
+    # Added as a sum along a row adds them.
+    total = z[:8] + z[8:16]
+    for k in range(16, WIDTH, 8):
+        total += z[k:k + 8]
+    while len(total) > 1:
+        total = total[::2] + total[1::2]
+    return (taken - np.log(total[0])).astype(np.float64)
 
 
 def slope(z: np.ndarray, which: np.ndarray) -> np.ndarray:
@@ -252,10 +282,8 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got: Counter[bytes] = Counter()
-            for text in batch.column("text").to_pylist():
-                got.update(words_of(text))
-            yield pa.RecordBatch.from_arrays([pa.array(got.keys(), pa.binary()), pa.array(got.values(), pa.int64())], names=["word", "n"])
+            got = words_of(batch.column("text"))[0].value_counts()
+            yield pa.RecordBatch.from_arrays([got.field("values"), got.field("counts")], names=["word", "n"])
 
     return docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -272,7 +300,7 @@ def trained(docs: DataFrame, vocabulary: Broadcast, rounds: int) -> np.ndarray:
             model = Maxent(vocabulary.value, shared.value)
             for batch in batches:
                 for at in range(0, batch.num_rows, SLICE):
-                    model.learn(vocabulary.value.tokens(batch.column("text").slice(at, SLICE).to_pylist(), counted=False)[0])
+                    model.learn(vocabulary.value.numbered(batch.column("text").slice(at, SLICE), counted=False)[0])
             own = np.flatnonzero(model.seen)
             change = (model.weights[own] - shared.value[own]) * model.seen[own, None]
             yield pa.RecordBatch.from_arrays(
@@ -328,11 +356,10 @@ def score_texts(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = shared.value
         model = Maxent(v, weights.value)
-        strange_kind = pa.struct([("word", pa.binary()), ("n", pa.int64())])
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
-                ids, starts, strange = v.tokens(part.column("text").to_pylist())
+                ids, starts, strange = v.numbered(part.column("text"))
                 places, p = model.log_probabilities(ids)
                 shown, log10 = ids[places], np.zeros((2, len(ids)))
                 known = v.shipped(shown)
@@ -341,12 +368,8 @@ def score_texts(
                 log10[1, places] = p / np.log(10) + np.where(rest, v.log_count[known] - v.log_rest[v.leaves(shown)], 0.0)
                 head, score = np.add.reduceat(log10, starts, axis=1)
                 size = np.diff(np.append(starts, len(ids))) - 2
-                ends_at = np.cumsum([0, *map(len, strange)], dtype=np.int32)
-                met = pa.StructArray.from_arrays(
-                    [pa.array([w for s in strange for w in s], pa.binary()), pa.array([n for s in strange for n in s.values()], pa.int64())], fields=list(strange_kind))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("held_out"), pa.array(size), pa.array(head), pa.array(score),
-                     pa.ListArray.from_arrays(pa.array(ends_at), met)],
+                    [part.column("doc_id"), part.column("held_out"), pa.array(size), pa.array(head), pa.array(score), strange],
                     names=["doc_id", "held_out", "n_tokens", "head", "score", "strange"])
 
     key = rows.schema["doc_id"].dataType.simpleString()
