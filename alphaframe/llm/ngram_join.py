@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, most_frequent, only, stored
+from .common import bucketed, discard, most_frequent, only, stored
 from .components import components
 from .shingles import mixed, shingle_set
 
@@ -158,9 +158,8 @@ def posting_lists(signs: DataFrame, share: int) -> DataFrame:
     return dealt_out.mapInArrow(run, "h long, grp long, n int, place int, dealt boolean, lead long, able boolean")
 
 
-def whole_sets(docs: DataFrame, wanted: DataFrame, halves: bool = False) -> DataFrame:
-    """member, n, shingles of the wanted (doc_id, member), read from the texts again; with ``halves`` 31 bits of each number."""
-    kind = "int" if halves else "long"
+def whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """member, n, shingles of the wanted (doc_id, member), read from the texts again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -173,13 +172,37 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, halves: bool = False) -> Data
                     if m not in seen and len(s) and named(s, len(s)) == m:
                         seen.add(m)
                         ok.append(k)
-                shown = [np.unique((sets[k] & LOW).astype(np.int32)) if halves else sets[k].view(np.int64) for k in ok]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("member").take(pa.array(ok, pa.int32())), pa.array([len(sets[k]) for k in ok], pa.int32()),
-                     pa.array(shown, pa.list_(pa.int32() if halves else pa.int64()))],
+                     pa.array([sets[k].view(np.int64) for k in ok], pa.list_(pa.int64()))],
                     names=["member", "n", "shingles"])
 
-    return docs.join(wanted, "doc_id").select("member", "text").mapInArrow(run, f"member long, n int, shingles array<{kind}>")
+    return docs.join(wanted, "doc_id").select("member", "text").mapInArrow(run, "member long, n int, shingles array<long>")
+
+
+def half_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """member, n, shingles (31 bits of each number) of the wanted members, stored in buckets of member.
+
+    Sets are made from all texts where these lie and dealt by member once; no text moves, and joins by member find them in place.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen: set[int] = set()  # of a batch's copies one goes on
+            for at in range(0, batch.num_rows, SLICE):
+                found = {}
+                for t in batch.slice(at, SLICE).column("text").to_pylist():
+                    s = shingle_set(t)
+                    if len(s) and (m := named(s, len(s))) not in seen:
+                        seen.add(m)
+                        found[m] = (len(s), np.unique((s & LOW).astype(np.int32)))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([*found], pa.int64()), pa.array([n for n, _ in found.values()], pa.int32()),
+                     pa.array([s for _, s in found.values()], pa.list_(pa.int32()))],
+                    names=["member", "n", "shingles"])
+
+    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sets = docs.select("text").mapInArrow(run, "member long, n int, shingles array<int>").repartition(buckets, "member")
+    return bucketed(sets.join(wanted, "member", "left_semi").dropDuplicates(["member"]), "member", buckets)
 
 
 def of_like_size(pairs: DataFrame, members: DataFrame, share: int) -> DataFrame:
@@ -203,7 +226,7 @@ def once(sets: DataFrame) -> DataFrame:
 
 
 def met_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs with both sets and the size of what they share. Sets grow with the data: they are dealt by member at every size."""
+    """The pairs with both sets and the size of what they share. Sets grow with the data: they meet by member at every size."""
     left, right = (sets.select(F.col("member").alias(x), F.col("n").alias(f"n_{x}"), F.col("shingles").alias(f"s_{x}")).hint("merge") for x in "ab")
     return pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", F.size(F.array_intersect("s_a", "s_b")).alias("common"))
 
@@ -334,7 +357,7 @@ def near_duplicates(
     pairs = between.union(within).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     pairs = stored(of_like_size(pairs, members, share))
     met_in = lists.select("grp").union(several.select("grp")).distinct()
-    halves = once(stored(whole_sets(rows, stored(members.join(met_in, "grp").select("doc_id", "member").distinct()), halves=True)))
+    halves = half_sets(rows, stored(members.join(met_in, "grp").select("member").distinct()))
     label = stored(members.select("member", F.col("member").alias("c")).distinct())
     label = contracted(label, linked(pairs, halves, rows, members, share))
 

@@ -112,3 +112,23 @@ def test_many_rows_of_one_id(spark):
     rows = [(7, text, "x")] * 3000 + [(9, text + " end", "x"), (11, text + " end here", "x"), (7, "other words altogether stand here now", "x")]
     got = near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(40))
     assert {(r["doc_id"], r["component_id"]) for r in got.collect()} == {(7, 7), (9, 7), (11, 7)}
+
+
+def test_sets_are_dealt_once(spark):
+    """Whatever is compared in a round, sets stay where they were stored: only pairs, and what the first set adds to them, move."""
+    from pyspark.sql import functions as F
+
+    from alphaframe.llm import ngram_join as N
+
+    texts = [" ".join(f"w{k + j}" for k in range(12)) for j in range(40)]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate([*texts, *texts, None, ""])], "doc_id long, text string").repartition(3)
+    names = [N.named(s, len(s)) for s in map(shingle_set, texts)]
+    sets = N.half_sets(docs, spark.createDataFrame([(m,) for m in names[:30]], "member long"))
+    assert {r["member"]: r["n"] for r in sets.collect()} == dict.fromkeys(names[:30], 8) and sets.count() == 30
+    pairs = spark.createDataFrame([(names[k], names[k + d]) for k in range(20) for d in (1, 3)], "a long, b long")
+    met = N.met_sets(pairs, sets)
+    assert sorted(r["common"] for r in met.collect()) == [5] * 20 + [7] * 20
+    plan = met._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert plan.count("Exchange hashpartitioning") == 2
+    # Sets of texts that no one asks for are not kept; an empty table has none.
+    assert N.half_sets(docs.where(F.lit(False)), sets.select("member")).count() == 0
