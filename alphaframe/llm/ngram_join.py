@@ -31,6 +31,7 @@ LOW = np.uint64((1 << 31) - 1)
 MERGES = 3  # rounds of neighbours at most; they change cost, not results
 MEETINGS = 4  # neighbours of a member in a round
 WORTH = 20  # a round that links less than one pair in so many is the last
+MARKS = 4096  # bits of a set's marks; they bound what two sets can share before any set moves
 DEAL_ROWS = 1024  # rows of a list that are compared with so many others by one task
 
 
@@ -180,10 +181,18 @@ def whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return docs.join(wanted, "doc_id").select("member", "text").mapInArrow(run, "member long, n int, shingles array<long>")
 
 
+def marks_of(shingles: np.ndarray) -> tuple[np.ndarray, int]:
+    """The marks of a set as 64-bit words, and how many of its shingles share a bit with another."""
+    bits = np.zeros(MARKS, bool)
+    bits[(shingles % np.uint64(MARKS)).astype(np.intp)] = True
+    return np.packbits(bits).view(np.int64), len(shingles) - int(np.count_nonzero(bits))
+
+
 def half_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """member, n, shingles (31 bits of each number) of the wanted members, stored in buckets of member.
+    """member, n, shingles (31 bits of each number), marks and twice of the wanted members, stored in buckets of member.
 
     Sets are made from all texts where these lie and dealt by member once; no text moves, and joins by member find them in place.
+    Each shingle sets one bit of the marks; ``twice`` counts those that found theirs set.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -194,14 +203,15 @@ def half_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                     s = shingle_set(t)
                     if len(s) and (m := named(s, len(s))) not in seen:
                         seen.add(m)
-                        found[m] = (len(s), np.unique((s & LOW).astype(np.int32)))
+                        found[m] = (len(s), np.unique((s & LOW).astype(np.int32)), *marks_of(s))
+                n, halves, marks, twice = zip(*found.values(), strict=True) if found else ((),) * 4
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([*found], pa.int64()), pa.array([n for n, _ in found.values()], pa.int32()),
-                     pa.array([s for _, s in found.values()], pa.list_(pa.int32()))],
-                    names=["member", "n", "shingles"])
+                    [pa.array([*found], pa.int64()), pa.array(n, pa.int32()), pa.array(halves, pa.list_(pa.int32())),
+                     pa.array(marks, pa.list_(pa.int64())), pa.array(twice, pa.int32())],
+                    names=["member", "n", "shingles", "marks", "twice"])
 
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sets = docs.select("text").mapInArrow(run, "member long, n int, shingles array<int>").repartition(buckets, "member")
+    sets = docs.select("text").mapInArrow(run, "member long, n int, shingles array<int>, marks array<long>, twice int").repartition(buckets, "member")
     return bucketed(sets.join(wanted, "member", "left_semi").dropDuplicates(["member"]), "member", buckets)
 
 
@@ -231,16 +241,29 @@ def met_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", F.size(F.array_intersect("s_a", "s_b")).alias("common"))
 
 
+def able_by_marks(pairs: DataFrame, halves: DataFrame, share: int) -> DataFrame:
+    """The pairs whose marks leave a link possible; none that links is lost.
+
+    What two sets share sets bits that both have, one each but for those that found their bit set.
+    """
+    left, right = (halves.select(F.col("member").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "marks", "twice"))).hint("merge") for x in "ab")
+    both = F.zip_with("marks_a", "marks_b", lambda x, y: F.bit_count(x.bitwiseAND(y)))
+    most = F.aggregate(both, F.lit(0), lambda total, x: total + x) + F.least("twice_a", "twice_b")
+    return pairs.join(left, "a").join(right, "b").where(100 * most >= share * (F.col("n_a") + F.col("n_b") - most)).select("a", "b")
+
+
 def linked(pairs: DataFrame, halves: DataFrame, docs: DataFrame, members: DataFrame, share: int) -> DataFrame:
     """The pairs (a, b) whose sets reach the threshold.
 
     Halves of the numbers decide unless a pair is so close to the threshold that equal halves of different numbers
-    could matter; those few are decided on whole numbers, read from the texts.
+    could matter; those few are decided on whole numbers, read from the texts. Sets move for pairs only that their marks
+    do not rule out.
     """
     def reach(common: Column) -> Column:
         return 100 * common >= share * (F.col("n_a") + F.col("n_b") - common)
 
     slack = 3 + F.ceil(F.col("n_a").cast("double") * F.col("n_b") / 2.0 ** 29)
+    pairs = stored(able_by_marks(pairs, halves, share))
     judged = stored(met_sets(pairs, halves).where(reach(F.col("common") + slack)).select("a", "b", reach(F.col("common") - slack).alias("sure")))
     sure, doubtful = judged.where("sure").select("a", "b"), judged.where("NOT sure").select("a", "b")
     if doubtful.isEmpty():
@@ -263,9 +286,11 @@ def links_possible(share: int) -> Column:
 
 def mixed_lists(places: DataFrame, label: DataFrame) -> DataFrame:
     """h, member, n, place, c: the lists that hold several components, with the component of each member."""
-    labelled = places.join(label, "member").select("h", "member", "n", "place", "c")
+    labelled = stored(places.join(label, "member").select("h", "member", "n", "place", "c"))
     several = labelled.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("size")).where("low < high")
-    return stored(labelled.join(several.select("h", "size"), "h"))
+    mixed = stored(labelled.join(several.select("h", "size"), "h"))
+    discard(labelled)
+    return mixed
 
 
 def neighbours(open_lists: DataFrame, turn: int, share: int, salt_rows: int) -> DataFrame:
@@ -363,10 +388,11 @@ def near_duplicates(
 
     # Lists by member; a group of several members is a list too.
     of_group = members.select("grp", "member")
-    places = lists.join(of_group, "grp").select("h", "member", "n", "place").union(
-        members.join(several, "grp").select(F.col("grp").alias("h"), "member", "n", F.lit(-1)))
-    open_lists = mixed_lists(places, label)
+    places = stored(lists.join(of_group, "grp").select("h", "member", "n", "place").union(
+        members.join(several, "grp").select(F.col("grp").alias("h"), "member", "n", F.lit(-1))))
     discard(lists)
+    open_lists = mixed_lists(places, label)
+    discard(places)
     # Rounds of neighbours, while they join what the last one left apart.
     for turn in range(MERGES):
         met = stored(neighbours(open_lists, turn, share, salt_rows))
